@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate
+from polisgraph.llm import decontaminate, jaccard
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op8_ngram_jaccard": jaccard.OP8_SQL,
 }
