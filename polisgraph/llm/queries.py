@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard
+from polisgraph.llm import decontaminate, jaccard, packing, tokenbin
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_packing": packing.op2_packing,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_token_ids": tokenbin.op9_token_ids,
 }
 
 ORACLE_SQL = {
