@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, packing, tokenbin
+from polisgraph.llm import decontaminate, jaccard, langid, packing, tokenbin
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_packing": packing.op2_packing,
+    "op3_language": langid.op3_language,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_token_ids": tokenbin.op9_token_ids,
 }
