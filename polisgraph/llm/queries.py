@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, langid, packing, tokenbin
+from polisgraph.llm import decontaminate, jaccard, langid, linededup, packing, tokenbin
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_packing": packing.op2_packing,
     "op3_language": langid.op3_language,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_token_ids": tokenbin.op9_token_ids,
 }
