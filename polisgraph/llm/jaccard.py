@@ -36,8 +36,8 @@ from polisgraph.llm.components import connected_components
 WIDTH = 5
 #: Lists up to this length give all their pairs; longer ones are resolved by pivots.
 SHORT_LIST = 16
-#: Pivots of a long list in each round after the first.
-PIVOTS = 6
+#: Pivots of a long list in the second round; each later round has four times as many.
+FIRST_PIVOTS = 6
 #: Text bytes whose shingles are dealt out at a time.
 DEAL_BYTES = 24 << 20
 _TOKEN_BYTES = 6
@@ -229,6 +229,10 @@ class _Join:
         self.sets, self.percent, self.short = sets, percent, short_list
         entries = sets.select("sid", "n", "alone", F.posexplode("prefix").alias("rank", "token"))
         entries = entries.select("token", "sid", "n", (F.col("alone") + F.col("rank")).alias("pos"))
+        # The positional filter, solved for the partner: a set meets none of more than ``most`` shingles here.
+        entries = entries.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-9) - F.col("n"))
+        least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("held")).where("held > 1")
+        entries = entries.join(least, "token").where("most >= least").drop("least", "held")
         lists = entries.groupBy("token").agg(F.count("*").alias("members"), F.min("sid").alias("pivot")).where("members > 1")
         self.entries = C.staged(entries.join(lists, "token"), "postings")
         self.known: DataFrame | None = None
@@ -246,13 +250,15 @@ class _Join:
         return found
 
     def short_pairs(self) -> DataFrame:
-        group = self.entries.where(F.col("members") <= self.short).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("sid", "n", "pos"))).alias("g"))
+        group = self.entries.where(F.col("members") <= self.short).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("sid", "n", "most"))).alias("g"))
         one = group.select("g", F.posexplode("g").alias("i", "x"))
         two = one.select("x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
-        need = F.ceil(F.lit(self.percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + self.percent) - 1e-9)
-        rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        length = 100 * F.least("x.n", "y.n") >= self.percent * F.greatest("x.n", "y.n")
-        return two.where(length & (rest >= need)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        return two.where(self.can_meet("x.", "y.")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+    def can_meet(self, x: str, y: str):
+        """Length and positional filters of two entries of one list."""
+        nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+        return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & (ny <= F.col(f"{x}most")) & (nx <= F.col(f"{y}most"))
 
     def links(self) -> DataFrame:
         return self.known.where(_similar(self.percent)).select("a", "b")
@@ -261,30 +267,35 @@ class _Join:
         large = self.entries.where(F.col("members") > self.short)
         star = large.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
         self.verified(self.short_pairs().unionByName(star))
-        open_ = large.select("token", "sid", F.lit(False).alias("used"), "pivot")
-        open_ = open_.withColumn("used", F.col("sid") == F.col("pivot")).drop("pivot")
+        open_ = large.where("sid <> pivot").select("token", "sid", "n", "most")
         found = C.saved(connected_components(self.links()))
         if large.limit(1).count() == 0:
             return found
-        far = (100 - self.percent) / 100.0
+        far, pivots = (100 - self.percent) / 100.0, FIRST_PIVOTS
         while True:
-            named = open_.where("not used").join(found, F.col("sid") == F.col("node"), "left").select("token", "sid", F.coalesce("component", "sid").alias("comp"))
-            mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            active = C.saved(named.join(mixed, "token", "left_semi"))
+            named = open_.join(found, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "most", F.coalesce("component", "sid").alias("comp"))
+            mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("token", "least")
+            active = C.saved(named.join(mixed, "token").where("most >= least").drop("least"))
             if active.limit(1).count() == 0:
                 return found
-            heads = active.groupBy("token", "comp").agg(F.min("sid").alias("pivot"))
-            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("pivot"))).where(f"k <= {PIVOTS}").drop("k")
-            probes = active.join(heads.select("token", "pivot", F.col("comp").alias("pcomp")), "token").where("sid <> pivot")
-            probes = C.saved(probes.withColumn("a", F.least("sid", "pivot")).withColumn("b", F.greatest("sid", "pivot")))
-            self.verified(probes.select("a", "b"))
-            gap = self.known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-            probed = probes.join(gap, ["a", "b"])
-            nearest = probed.where("comp <> pcomp").groupBy("token", "pivot").agg(F.min("d").alias("nearest"))
-            settled = probed.where("comp = pcomp").join(nearest, ["token", "pivot"]).where(F.col("d") + far + 1e-9 < F.col("nearest")).select("token", "sid")
-            done = settled.unionByName(heads.select("token", F.col("pivot").alias("sid")))
-            open_ = C.saved(active.select("token", "sid").join(done, ["token", "sid"], "left_anti").withColumn("used", F.lit(False)))
-            found = C.saved(connected_components(self.links()))
+            heads = active.groupBy("token", "comp").agg(F.min_by(F.struct("sid", "n", "most"), "sid").alias("p"))
+            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("p.sid"))).where(f"k <= {pivots}")
+            heads = heads.select("token", F.col("comp").alias("pcomp"), F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.most").alias("pmost"))
+            probes = active.join(heads, "token").where("sid <> pivot")
+            done = heads.select("token", F.col("pivot").alias("sid"))
+            if pivots > FIRST_PIVOTS:  # pairs that can be similar only
+                probes = probes.where("comp <> pcomp").where(self.can_meet("", "p"))
+            pairs = probes.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"), "token", "sid", "pivot", (F.col("comp") == F.col("pcomp")).alias("same"))
+            pairs = C.saved(pairs)
+            self.verified(pairs.select("a", "b"))
+            if pivots == FIRST_PIVOTS:  # members nearer to their pivot than any other component's can be
+                gap = self.known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+                probed = pairs.join(gap, ["a", "b"])
+                nearest = probed.where("not same").groupBy("token", "pivot").agg(F.min("d").alias("nearest"))
+                settled = probed.where("same").join(nearest, ["token", "pivot"]).where(F.col("d") + far + 1e-9 < F.col("nearest"))
+                done = done.unionByName(settled.select("token", "sid"))
+            open_ = C.saved(active.select("token", "sid", "n", "most").join(done, ["token", "sid"], "left_anti"))
+            found, pivots = C.saved(connected_components(self.links())), 4 * pivots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, short_list: int = SHORT_LIST) -> DataFrame:
