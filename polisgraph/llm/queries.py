@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, langid, linededup, packing, tokenbin
+from polisgraph.llm import decontaminate, jaccard, langid, linededup, packing, tokenbin, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_packing": packing.op2_packing,
     "op3_language": langid.op3_language,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_token_ids": tokenbin.op9_token_ids,
 }
