@@ -1,4 +1,67 @@
-STAGES = []
+"""The corpus pipeline: five filtering stages over ``documents``, each over all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``; the last returns
+the packed pieces.  Between stages ``run`` writes Parquet to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from polisgraph.llm import _common, decontaminate, jaccard, langid, linededup, packing
+
+#: A prediction of less confidence names no language: the document goes.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; null texts and texts without letters go."""
+    found = langid.identify(docs, langid.fit(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks that an earlier one holds; those of which nothing is left go."""
+    kept = linededup.dedup_lines(docs).where(~F.col("all_deleted"))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(_common.saved(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated."""
+    found = decontaminate.mark(docs, _common.read_table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: its sequence and its place there."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontaminate", benchmark_decontamination),
+    ("packing", pack),
+]
+
+#: Trained models and alignments are beyond SQL: tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _common.read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = _common.staged(docs, name)
+    return docs
