@@ -8,11 +8,13 @@ form one class, and only one set per class goes on.
 2. Only shingles in at least two different sets return to their set.  Those in one set alone come first in
    the rare-first order, so a set whose prefix they fill is done.  For the others the rest of the prefix is
    known exactly: the rarest returned shingles, with their positions.
-3. Sets are joined on prefix shingles.  Short posting lists give their pairs, under the length, positional
-   and suffix filters.  A long list (a large group of near copies) is resolved by pivots: its pivot is
-   compared with all its members, links contract to components, and only members outside one component
-   remain for the next round; by the triangle inequality of the Jaccard distance a member is settled once
-   every other component is further from its pivot than any similar set could be.
+3. Sets are joined on prefix shingles, under the length and positional filters.  The suffix filter is a
+   parity bitmap of the returned shingles: the bits in which two bitmaps differ, and the shingles in one set
+   alone, are in the sets' symmetric difference, so a pair with too many of them is never similar.  Short
+   posting lists give their pairs.  A long list (a large group of near copies) is resolved in rounds: its
+   pivot is compared with all its members and links contract to components; then members outside the list's
+   largest component meet the members of other components, ever more of them in a round, and a list is done
+   once one component is left.
 4. Each pair is verified once, on the shingles that returned: those in one set alone cannot be shared.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; with one to four words
@@ -36,10 +38,12 @@ from polisgraph.llm.components import connected_components
 WIDTH = 5
 #: Lists up to this length give all their pairs; longer ones are resolved by pivots.
 SHORT_LIST = 16
-#: Pivots of a long list in the second round; each later round has four times as many.
-FIRST_PIVOTS = 6
+#: Members of a long list that meet all others in the first round after its pivot; each later round has 16 times as many.
+FIRST_PROBES = 64
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 16
 #: Text bytes whose shingles are dealt out at a time.
-DEAL_BYTES = 24 << 20
+DEAL_BYTES = 8 << 20
 _TOKEN_BYTES = 6
 _HEAD = np.dtype([("sid", "<i8"), ("n", "<u4"), ("k", "<u4")])
 
@@ -187,7 +191,7 @@ def _prefixes(percent: int):
             k = int(prefix_length(np.int64(size), percent)) - alone
             if k > 0:
                 own = token[a:b]
-                rows.append((int(sid[a]), size, own[: min(k, len(own))].view(np.int64), alone, np.sort(own).tobytes()))
+                rows.append((int(sid[a]), size, own[: min(k, len(own))].view(np.int64), alone, np.sort(own).tobytes(), parity(own)))
             if len(rows) >= 2000:
                 yield _prefix_batch(rows)
                 rows = []
@@ -197,10 +201,16 @@ def _prefixes(percent: int):
     return order
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """Of each bit's shingles the parity: sets of d different shingles differ in d bits at most."""
+    bits = np.bincount((tokens >> np.uint64(13)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _prefix_batch(rows: list) -> pa.RecordBatch:
-    sid, n, prefix, alone, tokens = zip(*rows, strict=True)
-    columns = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array([list(p) for p in prefix], pa.list_(pa.int64())), pa.array(alone, pa.int64()), C.binary(list(tokens))]
-    return pa.RecordBatch.from_arrays(columns, ["sid", "n", "prefix", "alone", "tokens"])
+    sid, n, prefix, alone, tokens, bits = zip(*rows, strict=True)
+    columns = [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array([list(p) for p in prefix], pa.list_(pa.int64())), pa.array(alone, pa.int64()), C.binary(list(tokens)), pa.array(bits, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["sid", "n", "prefix", "alone", "tokens", "bits"])
 
 
 def _verify(batches):
@@ -237,9 +247,16 @@ class _Join:
         self.entries = C.staged(entries.join(lists, "token"), "postings")
         self.known: DataFrame | None = None
 
+    def suffix(self, x: str, y: str):
+        """The suffix filter of two sets given by their names' prefixes: ``n``, ``alone`` and ``bits``."""
+        differ = sum((F.bit_count(F.get(f"{x}bits", k).bitwiseXOR(F.get(f"{y}bits", k))) for k in range(BITMAP_WORDS)), F.col(f"{x}alone") + F.col(f"{y}alone"))
+        return (100 + self.percent) * differ <= (100 - self.percent) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Overlaps of pairs that were not verified before."""
-        pairs = pairs.distinct()
+        """Overlaps of pairs that pass the suffix filter and were not verified before."""
+        thin = self.sets.select(F.col("sid").alias("a"), F.col("n").alias("xn"), F.col("alone").alias("xalone"), F.col("bits").alias("xbits"))
+        other = thin.toDF("b", "yn", "yalone", "ybits")
+        pairs = pairs.distinct().join(thin, "a").join(other, "b").where(self.suffix("x", "y")).select("a", "b")
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
         left = self.sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
@@ -267,35 +284,24 @@ class _Join:
         large = self.entries.where(F.col("members") > self.short)
         star = large.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
         self.verified(self.short_pairs().unionByName(star))
-        open_ = large.where("sid <> pivot").select("token", "sid", "n", "most")
         found = C.saved(connected_components(self.links()))
-        if large.limit(1).count() == 0:
-            return found
-        far, pivots = (100 - self.percent) / 100.0, FIRST_PIVOTS
+        thin = self.sets.select("sid", "alone", "bits")
+        open_, probes = C.saved(large.select("token", "sid", "n", "most").join(thin, "sid")), FIRST_PROBES
         while True:
-            named = open_.join(found, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "most", F.coalesce("component", "sid").alias("comp"))
-            mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("token", "least")
-            active = C.saved(named.join(mixed, "token").where("most >= least").drop("least"))
+            named = open_.join(found, F.col("sid") == F.col("node"), "left").select(*open_.columns, F.coalesce("component", "sid").alias("comp"))
+            sizes = named.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min("n").alias("n"))
+            lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps"), F.min("n").alias("least"))
+            active = C.saved(named.join(lists.where("comps > 1").drop("comps"), "token").where("most >= least").drop("least"))
             if active.limit(1).count() == 0:
                 return found
-            heads = active.groupBy("token", "comp").agg(F.min_by(F.struct("sid", "n", "most"), "sid").alias("p"))
-            heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("p.sid"))).where(f"k <= {pivots}")
-            heads = heads.select("token", F.col("comp").alias("pcomp"), F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.most").alias("pmost"))
-            probes = active.join(heads, "token").where("sid <> pivot")
-            done = heads.select("token", F.col("pivot").alias("sid"))
-            if pivots > FIRST_PIVOTS:  # pairs that can be similar only
-                probes = probes.where("comp <> pcomp").where(self.can_meet("", "p"))
-            pairs = probes.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"), "token", "sid", "pivot", (F.col("comp") == F.col("pcomp")).alias("same"))
-            pairs = C.saved(pairs)
-            self.verified(pairs.select("a", "b"))
-            if pivots == FIRST_PIVOTS:  # members nearer to their pivot than any other component's can be
-                gap = self.known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-                probed = pairs.join(gap, ["a", "b"])
-                nearest = probed.where("not same").groupBy("token", "pivot").agg(F.min("d").alias("nearest"))
-                settled = probed.where("same").join(nearest, ["token", "pivot"]).where(F.col("d") + far + 1e-9 < F.col("nearest"))
-                done = done.unionByName(settled.select("token", "sid"))
-            open_ = C.saved(active.select("token", "sid", "n", "most").join(done, ["token", "sid"], "left_anti"))
-            found, pivots = C.saved(connected_components(self.links())), 4 * pivots
+            order = Window.partitionBy("token").orderBy("sid")
+            heads = active.where("comp <> largest").withColumn("k", F.row_number().over(order)).where(F.col("k") <= probes)
+            heads = C.saved(heads.select("token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "most", "alone", "bits", "comp")]))
+            pairs = active.join(heads, "token").where("comp <> pcomp").where(self.can_meet("", "p") & self.suffix("", "p"))
+            self.verified(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")))
+            done = heads.select("token", F.col("psid").alias("sid"))
+            open_ = C.saved(active.drop("comp", "largest").join(done, ["token", "sid"], "left_anti").select(*open_.columns))
+            found, probes = C.saved(connected_components(self.links())), 16 * probes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, short_list: int = SHORT_LIST) -> DataFrame:
@@ -307,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = C.staged(rows.mapInArrow(_name_sets, T.StructType([T.StructField("row_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())])), "set-names")
     dealt = rows.select("row_text").mapInArrow(_dealer(buckets), "bucket int, blob binary").repartitionById(buckets, "bucket")
     back = dealt.mapInArrow(_shared(buckets, buckets), "bucket int, blob binary").repartitionById(buckets, "bucket")
-    sets = C.staged(back.mapInArrow(_prefixes(percent), "sid long, n long, prefix array<long>, alone long, tokens binary"), "prefixes")
+    sets = C.staged(back.mapInArrow(_prefixes(percent), "sid long, n long, prefix array<long>, alone long, tokens binary, bits array<bigint>"), "prefixes")
     found = _Join(sets, percent, short_list).components()
     classed = named.join(found, F.col("sid") == F.col("node"), "left").select("row_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("class"))
     least = classed.where("sid is not null").groupBy("class").agg(F.min("row_id").alias("least_id"))
