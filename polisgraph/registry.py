@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from polisgraph.plans import tabular
+from polisgraph.plans import graphq, tabular, views
 
-_MODULES = (tabular,)
+_MODULES = (tabular, graphq, views)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
