@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from polisgraph.functions import vocabulary as V
 from polisgraph.graph import Graph
+from polisgraph.session import shared_dir
 
 
 def walkable(g: Graph, rels=V.TRAVERSED, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -118,9 +119,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds take the smallest label of a node's neighbours and jump to that label's own label; each round is
     checkpointed in the cluster's shared folder and ends the loop when no label moves.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_dir(links.sparkSession)
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     label = e.groupBy("u").agg(F.least("u", F.min("v")).alias("c")).checkpoint()

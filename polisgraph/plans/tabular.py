@@ -104,7 +104,7 @@ def officeholder_coverage(g: Graph, as_of: str, seat: str | None) -> DataFrame:
 def agreements_for_project(g: Graph, project: str) -> DataFrame:
     linked = g.undirected().where(F.col("v") == project).select(F.col("u").alias("id")).distinct().withColumn("linked", F.lit(True))
     amendments = g.rel("AMENDS_AGREEMENT", source="amendment", target="id").groupBy("id").agg(F.count("*").alias("amendments"))
-    a = g.of("Agreement").join(F.broadcast(linked), "id", "left").where(F.col("linked") | (F.col("ref_id") == project))
+    a = g.of("Agreement").join(linked, "id", "left").where(F.col("linked") | (F.col("ref_id") == project))
     return a.join(amendments, "id", "left").select(F.col("id").alias("agreement_id"), F.col("label").alias("title"), "amount", F.coalesce("amendments", F.lit(0)).alias("amendments")).orderBy(down("amendments"), up("agreement_id")).limit(500)
 
 
@@ -119,7 +119,7 @@ def legal_proceedings(g: Graph, kind: str | None) -> DataFrame:
 
 def evidence_records(g: Graph, target: str) -> DataFrame:
     e = g.rel("EVIDENCED_BY", source="target_id", target="id").where(F.col("target_id") == target)
-    out = g.of("Record").join(F.broadcast(e), "id").select(F.col("id").alias("record_id"), F.col("label").alias("title"), F.col("event_date").alias("captured_at"), "url")
+    out = g.of("Record").join(e, "id").select(F.col("id").alias("record_id"), F.col("label").alias("title"), F.col("event_date").alias("captured_at"), "url")
     return out.orderBy(down("captured_at"), up("record_id")).limit(500)
 
 
@@ -207,9 +207,9 @@ TEMPLATES = {
         {"as_of": "2026-01-01", "seat": None}, ("as_of",)),
     "agreements_for_project": Template(agreements_for_project, _sql("""
         SELECT a.id AS agreement_id, a.label AS title, a.amount, (SELECT count(*) FROM edges m WHERE m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.id) AS amendments
-        FROM nodes a WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-3' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-3' OR e.target_id = a.id AND e.source_id = 'project-3'))
+        FROM nodes a WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-7' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-7' OR e.target_id = a.id AND e.source_id = 'project-7'))
         ORDER BY amendments DESC, agreement_id LIMIT 500"""),
-        {"project": "project-3"}, ("project",)),
+        {"project": "project-7"}, ("project",)),
     "legal_proceedings": Template(legal_proceedings, _sql("""
         linked AS (SELECT source_id AS c, target_id AS x FROM edges WHERE source_id LIKE 'case-%' AND (target_id LIKE 'program-%' OR target_id LIKE 'project-%')
           UNION SELECT target_id, source_id FROM edges WHERE target_id LIKE 'case-%' AND (source_id LIKE 'program-%' OR source_id LIKE 'project-%'))
@@ -219,9 +219,9 @@ TEMPLATES = {
         {"kind": None}),
     "evidence_records_supporting": Template(evidence_records, _sql("""
         SELECT r.id AS record_id, r.label AS title, r.event_date AS captured_at, r.url
-        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-3'
+        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-7'
         ORDER BY captured_at DESC NULLS FIRST, record_id LIMIT 500"""),
-        {"target": "project-3"}, ("target",)),
+        {"target": "project-7"}, ("target",)),
     "local_pressure_ranking": Template(pressure_ranking, _sql("""
         near AS (SELECT source_id AS u, target_id AS v FROM edges UNION ALL SELECT target_id, source_id FROM edges)
         SELECT n.id, n.node_type, n.label, coalesce(m.flows, 0) AS flows, CAST(coalesce(m.money, 0) AS DECIMAL(18,2)) AS money, coalesce(d.n, 0) AS decisions, coalesce(r.n, 0) AS records

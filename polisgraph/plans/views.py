@@ -52,7 +52,7 @@ def flows_of(g: Graph) -> DataFrame:
 
 def decisions_in_scope(g: Graph, place: str) -> DataFrame:
     """Decisions that relate to a project of the place, or to a program one of whose projects is there."""
-    here = F.broadcast(g.rel("IN_JURISDICTION", source="project", target="place", source_type="project").where(F.col("place") == place).select("project"))
+    here = g.rel("IN_JURISDICTION", source="project", target="place", source_type="project").where(F.col("place") == place).select("project")
     return g.rel("RELATES_TO_PROJECT", source="decision", target="project", source_type="decision").join(here, "project", "left_semi").select("decision").distinct()
 
 

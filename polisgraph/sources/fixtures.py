@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from polisgraph.graph import Graph
+from polisgraph.session import new_path
+from polisgraph.sources.store import load_graph, save_graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -87,7 +89,20 @@ EDGES = [
 ]
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def fixture_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of ``sf_dir``, stored by type in the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        path = new_path(spark, "property-graph")
+        save_graph(project(spark, sf_dir), path)
+        _SAVED[key] = path
+    return load_graph(spark, _SAVED[key])
+
+
+def project(spark: SparkSession, sf_dir: str) -> Graph:
     held = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
     def union(branches: list[str]) -> DataFrame:
