@@ -207,9 +207,9 @@ TEMPLATES = {
         {"as_of": "2026-01-01", "seat": None}, ("as_of",)),
     "agreements_for_project": Template(agreements_for_project, _sql("""
         SELECT a.id AS agreement_id, a.label AS title, a.amount, (SELECT count(*) FROM edges m WHERE m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.id) AS amendments
-        FROM nodes a WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-7' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-7' OR e.target_id = a.id AND e.source_id = 'project-7'))
+        FROM nodes a WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-10' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-10' OR e.target_id = a.id AND e.source_id = 'project-10'))
         ORDER BY amendments DESC, agreement_id LIMIT 500"""),
-        {"project": "project-7"}, ("project",)),
+        {"project": "project-10"}, ("project",)),
     "legal_proceedings": Template(legal_proceedings, _sql("""
         linked AS (SELECT source_id AS c, target_id AS x FROM edges WHERE source_id LIKE 'case-%' AND (target_id LIKE 'program-%' OR target_id LIKE 'project-%')
           UNION SELECT target_id, source_id FROM edges WHERE target_id LIKE 'case-%' AND (source_id LIKE 'program-%' OR source_id LIKE 'project-%'))
@@ -219,9 +219,9 @@ TEMPLATES = {
         {"kind": None}),
     "evidence_records_supporting": Template(evidence_records, _sql("""
         SELECT r.id AS record_id, r.label AS title, r.event_date AS captured_at, r.url
-        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-7'
+        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-10'
         ORDER BY captured_at DESC NULLS FIRST, record_id LIMIT 500"""),
-        {"target": "project-7"}, ("target",)),
+        {"target": "project-10"}, ("target",)),
     "local_pressure_ranking": Template(pressure_ranking, _sql("""
         near AS (SELECT source_id AS u, target_id AS v FROM edges UNION ALL SELECT target_id, source_id FROM edges)
         SELECT n.id, n.node_type, n.label, coalesce(m.flows, 0) AS flows, CAST(coalesce(m.money, 0) AS DECIMAL(18,2)) AS money, coalesce(d.n, 0) AS decisions, coalesce(r.n, 0) AS records
