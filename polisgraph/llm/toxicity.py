@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, MAX_TOXIC / counts[1])).otherwise(min(1.0, MAX_CLEAN / counts[0]))
     drawn = F.broadcast(known.where(draw < share))  # about MAX_TOXIC + MAX_CLEAN rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(drawn, "id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(drawn, "id").select("text", "toxic").dropDuplicates()  # copies are one witness
     rows = C.staged(rows, "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
