@@ -90,7 +90,7 @@ def parse_date(c) -> Column:
     short = F.regexp_replace(c, r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "$1/$2/20$3")
     # A format is tried only on text of its shape: Spark refuses text that its older parser read differently.
     ladder = ((F.substring(c, 1, 10), r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (short, r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (c, r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (c, r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"))
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, F.lit(fmt))) for text, shape, fmt in ladder])
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, fmt)) for text, shape, fmt in ladder])
 
 
 def meeting_type(title) -> Column:
