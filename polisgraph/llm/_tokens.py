@@ -3,6 +3,7 @@
 Byte-level BPE never merges across the start of a run of white space that follows other text, so a text
 is cut there and the ids of its chunks, joined, are the ids of the text.  Chunks repeat, so a worker keeps
 the ids of up to ``CACHE_CHUNKS`` of them.  Special tokens' strings inside a text are ordinary text.
+New chunks are encoded many to a call, joined by spaces: each begins at the only ids that open with a space.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: Chunks whose ids a worker keeps; the table is emptied when full.
 CACHE_CHUNKS = 600_000
+#: New chunks that are encoded as one text.
+JOINED_CHUNKS = 500
 _ENCODERS: dict[str, Encoder] = {}
 _IRREGULAR = re.compile(r"\s ")
 
@@ -30,12 +35,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.opens[k] = token.startswith("\u0120")  # a space in byte-level vocabularies
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that hold no space and have no white space at their ends, each after a space."""
+        groups = [chunks[at : at + JOINED_CHUNKS] for at in range(0, len(chunks), JOINED_CHUNKS)]
+        found: dict[str, bytes] = {}
+        for group, raw in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
+            starts = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist()
+            if len(starts) == len(group):  # else the caller encodes them one by one
+                found.update(zip(group, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)), strict=True))
+        return found
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null has none."""
         cut: list[tuple[str, list[str]]] = []
@@ -56,7 +72,10 @@ class Encoder:
         missing = [w for w in wanted if w not in self.cache]
         for at in range(0, len(missing), 50_000):
             part = missing[at : at + 50_000]
-            self.cache.update(zip(part, self.whole([" " + w for w in part]), strict=True))
+            plain = [w for w in part if w and " " not in w and w == w.strip()]
+            self.cache.update(self.joined(plain))
+            other = [w for w in part if w not in self.cache]
+            self.cache.update(zip(other, self.whole([" " + w for w in other]), strict=True))
         get = self.cache.__getitem__
         return [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, cut, strict=True)]
 
