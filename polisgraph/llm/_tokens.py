@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Chunks whose ids a worker keeps; the table is emptied when full.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED_CHUNKS = 500
 _ENCODERS: dict[str, Encoder] = {}
@@ -42,40 +42,45 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that hold no space and have no white space at their ends, each after a space."""
+    def learn(self, chunks: list[str]) -> None:
+        """Cache the ids of chunks that hold no space and do not end in white space, each after a space."""
         groups = [chunks[at : at + JOINED_CHUNKS] for at in range(0, len(chunks), JOINED_CHUNKS)]
-        found: dict[str, bytes] = {}
         for group, raw in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
             starts = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist()
-            if len(starts) == len(group):  # else the caller encodes them one by one
-                found.update(zip(group, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)), strict=True))
-        return found
+            if len(starts) == len(group):
+                self.cache.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+            else:
+                self.learn_each(group)
+
+    def learn_each(self, chunks: list[str]) -> None:
+        self.cache.update(zip(chunks, self.whole([" " + w for w in chunks]), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null has none."""
         cut: list[tuple[str, list[str]]] = []
-        wanted: set[str] = set()
+        plain: set[str] = set()
+        other: set[str] = set()
         for text in texts:
             if not text:
                 cut.append(("", []))
                 continue
             if text[0] == " " or _IRREGULAR.search(text):
                 first, rest = _cut(text)
+                other.update(rest)
             else:
                 first, *rest = text.split(" ")
+                plain.update(rest)
+                if rest and (not rest[-1] or rest[-1][-1].isspace()):  # only a text's end can be white space here
+                    plain.discard(rest[-1])
+                    other.add(rest[-1])
             cut.append((first, rest))
-            wanted.update(rest)
         firsts = self.whole([first for first, _ in cut])
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        missing = [w for w in wanted if w not in self.cache]
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            plain = [w for w in part if w and " " not in w and w == w.strip()]
-            self.cache.update(self.joined(plain))
-            other = [w for w in part if w not in self.cache]
-            self.cache.update(zip(other, self.whole([" " + w for w in other]), strict=True))
+        for chunks, learn in ((plain - other, self.learn), (other, self.learn_each)):
+            missing = [w for w in chunks if w not in self.cache]
+            for at in range(0, len(missing), 50_000):
+                learn(missing[at : at + 50_000])
         get = self.cache.__getitem__
         return [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, cut, strict=True)]
 
