@@ -125,6 +125,16 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(ids)
 
 
+def test_chunked_encoding_is_whole_encoding():
+    r = random.Random(5)
+    bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "a", "\u0120", "É", "don't", "<|endoftext|>", "12", "!?", "\u0301", "日本", "\r\n", "🙂", "\u200b", "\x00", "_"]
+    values = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(6000)]
+    e = _tokens.Encoder(_tokens.default_vocabulary())
+    found = [ids for at in range(0, len(values), 500) for ids in e.ids(values[at : at + 500])]
+    assert found == e.whole(values)
+    assert e.ids([None, ""]) == [b"", b""]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_blocks_round_trip(seed):
     r = np.random.default_rng(seed)
