@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by a hash of their words, with A-Z lowered and white space collapsed.  Every line points
-to the earliest document that holds it, and a rare line (in at most ``RARE_DOCS`` documents) also to the
-holder just before, so overlapping documents are found in a number of pairs linear in the lines; a frequent
-line gives each holder one pair and is never matched with all others.  Each pair's line hashes, a few bytes a
-line, are aligned by patience diff: unique common lines in longest increasing order, extended to equal
-neighbours.  Aligned blocks of at least ``BLOCK_WORDS`` words are deleted from the later document.  The
+Lines are compared by a hash of their words, with A-Z lowered and white space collapsed.  Documents are brought
+together by runs: from every line with words, the fewest lines onwards, and the fewest lines back, that reach
+``BLOCK_WORDS`` words.  Each line of a block of that size lies in a run that is wholly in the block, and every
+holder of a run is paired with the run's first holder, so each block that can be deleted is met, in a number of
+pairs linear in the lines.  Each pair's line hashes, a few bytes a line, are aligned by patience diff: unique
+common lines in longest increasing order, extended to equal neighbours.  Aligned blocks of at least ``BLOCK_WORDS`` words are deleted from the later document.  The
 first holder of a line never loses it, so no passage disappears from the corpus.
 
 Defined cases: documents are ordered by id, then by text hash; equal rows are one document, and each gets its
@@ -20,16 +20,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polisgraph.llm import _common as C
 
 #: A repeated block of at least so many words is deleted.
 BLOCK_WORDS = 40
-#: Lines of fewer words do not bring documents together.
-SEED_WORDS = 3
-RARE_DOCS = 32
 _SLICE = 4 << 20
 
 
@@ -73,18 +70,43 @@ def _signatures(batches):
             )
 
 
-def _seeds(batches):
-    """The distinct lines of each document that are long enough to bring documents together."""
-    for batch in batches:
-        rows, out = [], []
-        for i in range(batch.num_rows):
-            lines = np.frombuffer(batch.column(2)[i].as_buffer(), "<i8")
-            words = np.frombuffer(batch.column(3)[i].as_buffer(), "<i4")
-            own = np.unique(lines[words >= SEED_WORDS])
-            rows += [i] * len(own)
-            out.append(own)
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(out) if out else [], pa.int64())], ["doc", "th", "line"])
+def minimal_runs(lines: np.ndarray, words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each run of lines that loses ``least`` words if a line at one of its ends goes.
+
+    ``first`` tells where each text's lines begin; a run stays in its text.  A line with words has the run that begins with
+    it and the run that ends with it, where its text has enough words.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    some = np.flatnonzero(words)
+    text = np.searchsorted(first, some, "right") - 1
+    on, back = np.searchsorted(total, total[some] + least), np.searchsorted(total, total[some + 1] - least, "right") - 1
+    ahead, behind = on <= first[text + 1], back >= first[text]
+    ends = np.unique(np.stack([np.append(some[ahead], back[behind]), np.append(on[ahead], some[behind] + 1)], 1), axis=0)
+    start, stop = ends[:, 0], ends[:, 1]
+    with np.errstate(over="ignore"):
+        up, down = C._powers(1 << max(14, int(len(lines)).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(lines) * up[: len(lines)])])
+        return start, stop, C.mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column's arrays, and where each array begins."""
+    own = [np.frombuffer(v.as_buffer(), kind) for v in column]
+    return np.concatenate([*own, np.zeros(0, kind)]), np.concatenate([[0], np.cumsum([len(v) for v in own], dtype=np.int64)])
+
+
+def _seeds(least: int):
+    """The distinct runs of each document."""
+
+    def seeds(batches):
+        for batch in batches:
+            (lines, first), (words, _) = _flat(batch.column(2), "<u8"), _flat(batch.column(3), "<i4")
+            start, _, run = minimal_runs(lines, words, first, least)
+            own = np.unique(np.stack([np.searchsorted(first, start, "right") - 1, run.view(np.int64)], 1), axis=0)
+            take = pa.array(own[:, 0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own[:, 1], pa.int64())], ["doc", "th", "run"])
+
+    return seeds
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -177,12 +199,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
     signed = rows.mapInArrow(_signatures, f"doc {kind}, th long, lines binary, words binary")
     signed = C.staged(signed.dropDuplicates(["doc", "th"]), "line-signatures")
-    seeds = signed.mapInArrow(_seeds, f"doc {kind}, th long, line long").withColumn("key", F.struct("doc", "th"))
-    holders = seeds.groupBy("line").agg(F.count("*").alias("held"), F.min("key").alias("owner")).where("held > 1")
-    repeated = C.staged(seeds.select("line", "key").join(holders, "line"), "line-holders")
-    before = F.lag("key").over(Window.partitionBy("line").orderBy("key"))  # at most RARE_DOCS rows a line
-    rare = repeated.where(F.col("held") <= RARE_DOCS).select("key", before.alias("owner")).where("owner is not null")
-    pairs = repeated.where("key <> owner").select("key", "owner").unionByName(rare).distinct()
+    seeds = signed.mapInArrow(_seeds(block_words), f"doc {kind}, th long, run long").withColumn("key", F.struct("doc", "th"))
+    holders = seeds.groupBy("run").agg(F.count("*").alias("held"), F.min("key").alias("owner")).where("held > 1")
+    pairs = seeds.select("run", "key").join(holders, "run").where("key <> owner").select("key", "owner").distinct()
     early = signed.select(F.struct("doc", "th").alias("owner"), F.col("lines").alias("early"))
     late = signed.select(F.struct("doc", "th").alias("key"), F.col("lines").alias("late"), "words")
     aligned = pairs.join(late, "key").join(early, "owner").select("key.doc", "key.th", "early", "late", "words")

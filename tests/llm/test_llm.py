@@ -173,6 +173,14 @@ def test_line_dedup_keeps_the_first_and_cuts_the_later(spark):
     assert got[3].text == values[3] and got[4].text is None and got[5].text == "" and got[6].text == values[6]
 
 
+def test_line_dedup_meets_every_holder_of_a_passage(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    for singles in (1, 40):
+        values = [a, b, f"{a}\n{b}", *[a, b] * singles, f"{a}\n{b}"]
+        got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, values)).collect()}
+        assert [i for i, r in got.items() if r.deleted_lines] == [len(values) - 1] and got[len(values) - 1].all_deleted
+
+
 def test_common_blocks_are_common():
     r = random.Random(3)
     for _ in range(100):
