@@ -4,13 +4,15 @@ Lines are compared by a hash of their words, with A-Z lowered and white space co
 together by runs: from every line with words, the fewest lines onwards, and the fewest lines back, that reach
 ``BLOCK_WORDS`` words.  Each line of a block of that size lies in a run that is wholly in the block, and every
 holder of a run is paired with the run's first holder, so each block that can be deleted is met, in a number of
-pairs linear in the lines.  Each pair's line hashes, a few bytes a line, are aligned by patience diff: unique
-common lines in longest increasing order, extended to equal neighbours.  Aligned blocks of at least ``BLOCK_WORDS`` words are deleted from the later document.  The
-first holder of a line never loses it, so no passage disappears from the corpus.
+pairs linear in the lines.  Each pair's line hashes, a few bytes a line, are then
+aligned: wherever a run of the later document stands in the earlier one, in any order and any number of times,
+its lines are deleted from the later document.  So a document loses exactly the lines of the blocks of at least
+``BLOCK_WORDS`` words that an earlier document also has; the tests hold this against all pairs of places.  The
+first holder of a run never loses it for that run, so no passage disappears from the corpus.
 
 Defined cases: documents are ordered by id, then by text hash; equal rows are one document, and each gets its
-deletions; rows with a null id or text are left as they are; blank lines count only inside a block; a text
-with no line left becomes empty.  Added columns replace input columns of the same name.
+deletions; rows with a null id or text are left as they are; blank lines go where the lines with words on both
+sides go (a text's end counts as gone); a text with no line left becomes empty.  Added columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -125,7 +127,10 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(x: list[int], y: list[int], blank: int = 0) -> list[tuple[int, int, int]]:
-    """Patience diff: maximal blocks ``(start in x, start in y, lines)`` of equal lines in the same order."""
+    """One level of patience diff: blocks ``(start in x, start in y, lines)`` of equal lines in the same order.
+
+    For showing what two documents share in order; an order loses moved and repeated blocks, so deletions do not use it.
+    """
 
     def unique(lines):
         seen = Counter(lines)
@@ -172,23 +177,56 @@ def common_blocks(x: list[int], y: list[int], blank: int = 0) -> list[tuple[int,
     return blocks
 
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of each stretch, one stretch after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+
+
+def repeated_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np.ndarray, least: int) -> np.ndarray:
+    """The lines of ``y`` that lie in a block of at least ``least`` words that ``x`` also has, wherever it stands in both."""
+    xs, xe, xh = minimal_runs(x, x_words, np.array([0, len(x)]), least)
+    ys, ye, yh = minimal_runs(y, y_words, np.array([0, len(y)]), least)
+    known, where = np.unique(xh, return_index=True)
+    if not len(known) or not len(yh):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, yh), len(known) - 1)
+    of = where[at]
+    hit = (known[at] == yh) & (xe[of] - xs[of] == ye - ys)
+    if not hit.any():
+        return np.zeros(0, np.int64)
+    start, length, of = ys[hit], (ye - ys)[hit], of[hit]
+    place = _spread(start, length)
+    same = np.logical_and.reduceat(x[_spread(xs[of], length)] == y[place], np.cumsum(length) - length)
+    return np.unique(place[np.repeat(same, length)])
+
+
+def _blanks(gone: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blank lines before which, and after which, the nearest line with words is gone or there is none."""
+    n = len(words)
+    lost = np.zeros(n + 2, bool)
+    lost[gone + 1] = True
+    lost[[0, -1]] = True
+    place = np.arange(n + 2)
+    full = np.concatenate([[True], words > 0, [True]])
+    last = np.maximum.accumulate(np.where(full, place, 0))
+    following = np.minimum.accumulate(np.where(full, place, n + 1)[::-1])[::-1]
+    return np.flatnonzero(~full & lost[last]) - 1, np.flatnonzero(~full & lost[following]) - 1
+
+
 def _aligner(least: int):
     def align(batches):
         for batch in batches:
             rows, out = [], []
-            early, late, words = batch.column(2), batch.column(3), batch.column(4)
             for i in range(batch.num_rows):
-                x = np.frombuffer(early[i].as_buffer(), "<u8")
-                y = np.frombuffer(late[i].as_buffer(), "<u8")
-                w = np.frombuffer(words[i].as_buffer(), "<i4")
-                if int(w[np.isin(y, x)].sum()) < least:
-                    continue
-                gone = [j + k for _, j, n in common_blocks(x.tolist(), y.tolist()) if w[j : j + n].sum() >= least for k in range(n)]
-                if gone:
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
+                v, w = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in (4, 5))
+                gone = repeated_lines(x, y, v, w, least)
+                if len(gone):
                     rows.append(i)
-                    out.append(gone)
+                    out.append((gone, *_blanks(gone, w)))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out, pa.list_(pa.int32()))], ["doc", "th", "gone"])
+            lists = [pa.array([o[k] for o in out], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], ["doc", "th", "gone", "after", "before"])
 
     return align
 
@@ -202,11 +240,12 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block
     seeds = signed.mapInArrow(_seeds(block_words), f"doc {kind}, th long, run long").withColumn("key", F.struct("doc", "th"))
     holders = seeds.groupBy("run").agg(F.count("*").alias("held"), F.min("key").alias("owner")).where("held > 1")
     pairs = seeds.select("run", "key").join(holders, "run").where("key <> owner").select("key", "owner").distinct()
-    early = signed.select(F.struct("doc", "th").alias("owner"), F.col("lines").alias("early"))
+    early = signed.select(F.struct("doc", "th").alias("owner"), F.col("lines").alias("early"), F.col("words").alias("early_words"))
     late = signed.select(F.struct("doc", "th").alias("key"), F.col("lines").alias("late"), "words")
-    aligned = pairs.join(late, "key").join(early, "owner").select("key.doc", "key.th", "early", "late", "words")
-    lost = aligned.mapInArrow(_aligner(block_words), f"doc {kind}, th long, gone array<int>")
-    return lost.groupBy("doc", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    aligned = pairs.join(late, "key").join(early, "owner").select("key.doc", "key.th", "early", "late", "early_words", "words")
+    lost = aligned.mapInArrow(_aligner(block_words), f"doc {kind}, th long, gone array<int>, after array<int>, before array<int>")
+    gone, after, before = (F.flatten(F.collect_list(c)) for c in ("gone", "after", "before"))
+    return lost.groupBy("doc", "th").agg(F.array_sort(F.array_union(gone, F.array_intersect(after, before))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

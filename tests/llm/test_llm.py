@@ -181,6 +181,57 @@ def test_line_dedup_meets_every_holder_of_a_passage(spark):
         assert [i for i, r in got.items() if r.deleted_lines] == [len(values) - 1] and got[len(values) - 1].all_deleted
 
 
+def common_lines(x, y, size, least):
+    """Lines of ``y`` in common blocks of at least ``least`` words, by all pairs of places."""
+    out = set()
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            if sum(size[v] for v in y[j : j + n]) >= least:
+                out |= {j + k for k in range(n)}
+    return out
+
+
+def trimmed(found, y, size):
+    """Without blank lines, which count only inside a block."""
+    return sorted(k for k in found if size[y[k]])
+
+
+@pytest.mark.parametrize("least", [1, 7, 40])
+def test_repeated_lines_are_brute_force(least):
+    r = random.Random(least)
+    for case in range(200):
+        size = {v: r.choice([0, 1, 5, 12, 45]) for v in range(1, 8)} | {0: 0}
+        x, y = ([r.randint(0, r.choice([2, 7])) for _ in range(r.randint(0, 25))] for _ in range(2))
+        v, w = (np.array([size[k] for k in z], np.int32) for z in (x, y))
+        got = linededup.repeated_lines(np.array(x, np.uint64), np.array(y, np.uint64), v, w, least).tolist()
+        assert trimmed(got, y, size) == trimmed(common_lines(x, y, size, least), y, size), (case, x, y)
+
+
+def test_line_dedup_cuts_moved_and_repeated_passages(spark):
+    p, r = (" ".join(f"{k}{i}" for i in range(50)) for k in "pr")
+    values = [f"h\na\n{p}", f"h\nz\n{p}\nw\n{p}", f"{r}\nq\n{p}", f"{p}\nz\n{r}"]
+    got = {d.doc_id: d.text for d in linededup.dedup_lines(docs(spark, values)).collect()}
+    assert got == {0: values[0], 1: "h\nz\nw", 2: f"{r}\nq", 3: "z"}
+
+
+def test_line_dedup_is_brute_force(spark):
+    r = random.Random(5)
+    line = {k: " ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([0, 2, 15, 15, 20, 30, 45])}
+    size = {k: len(t.split()) for k, t in line.items()}
+    rows = [[r.randrange(7) for _ in range(r.randint(1, 9))] for _ in range(80)]
+    got = {d.doc_id: d.deleted_lines for d in linededup.dedup_lines(docs(spark, ["\n".join(line[k] for k in row) for row in rows])).collect()}
+    for j, y in enumerate(rows):
+        lost = set().union(*[common_lines(x, y, size, linededup.BLOCK_WORDS) for x in rows[:j] if x != y or rows.index(y) < j])
+        lost = set(trimmed(lost, y, size))
+        for k in range(len(y)) if lost else ():  # a blank line between lines that go, or between one and the text's end
+            sides = [next((i for i in side if size[y[i]]), None) for side in (range(k, -1, -1), range(k, len(y)))]
+            lost |= {k} if not size[y[k]] and all(i is None or i in lost for i in sides) else set()
+        assert got[j] == sorted(lost), j
+
+
 def test_common_blocks_are_common():
     r = random.Random(3)
     for _ in range(100):
