@@ -157,6 +157,14 @@ def money_near_decisions(g: Graph, window: int, minimum: float, institution: str
     return out.orderBy(F.abs("days_delta"), down("decided_at"), "decision_id", "flow_id").limit(500)
 
 
+def money_around_decisions(g: Graph, window: int, jurisdiction: str) -> DataFrame:
+    """Every dated flow near a decision whose institution or id contains the slug: any kind and amount, also none."""
+    d = g.of("Decision").where(F.col("ref_id").contains(jurisdiction) | F.col("id").contains(jurisdiction)).select(F.col("id").alias("decision_id"), F.col("event_date").alias("decided_at"))
+    f = g.of("MoneyFlow").select(F.col("id").alias("flow_id"), F.col("event_date").alias("flow_date"), "amount")
+    out = interval_join(d, f, "decided_at", "flow_date", window).select("decision_id", "decided_at", "flow_id", "flow_date", "amount", "days_delta")
+    return out.orderBy(F.abs("days_delta"), down("decided_at"), "flow_id", "decision_id").limit(500)
+
+
 def validation_gaps(g: Graph) -> DataFrame:
     """Five kinds of gaps, counted."""
     cited = g.rel("EVIDENCED_BY", source="x", target="id").select("id").distinct()
@@ -236,6 +244,13 @@ TEMPLATES = {
         WHERE d.node_type = 'Decision' AND d.ref_id = 'org-3' AND f.node_type = 'MoneyFlow' AND f.kind = 'contribution' AND f.amount >= 50000
         ORDER BY abs(days_delta), decided_at DESC, decision_id, flow_id LIMIT 500"""),
         {"window": 30, "minimum": 50000, "institution": "org-3"}),
+    "money_around_decisions": Template(money_around_decisions, _sql("""
+        d AS (SELECT id, event_date, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'Decision' AND (contains(ref_id, 'org-3') OR contains(id, 'org-3'))),
+        f AS (SELECT id, event_date, amount, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'MoneyFlow')
+        SELECT d.id AS decision_id, d.event_date AS decided_at, f.id AS flow_id, f.event_date AS flow_date, f.amount, CAST(datediff('day', f.day, d.day) AS INTEGER) AS days_delta
+        FROM d JOIN f ON f.day BETWEEN d.day - 30 AND d.day + 30
+        ORDER BY abs(days_delta), decided_at DESC, flow_id, decision_id LIMIT 500"""),
+        {"window": 30, "jurisdiction": "org-3"}),
     "qa_validation_gaps": Template(validation_gaps, _sql("""
         SELECT 'records_without_evidence_links' AS category, count(*) AS gaps FROM nodes r WHERE r.node_type = 'Record' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.rel = 'EVIDENCED_BY' AND e.target_id = r.id)
         UNION SELECT 'decisions_without_date', count(*) FROM nodes WHERE node_type = 'Decision' AND event_date IS NULL

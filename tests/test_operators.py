@@ -1,4 +1,5 @@
 import difflib
+from decimal import Decimal
 
 import pytest
 
@@ -103,3 +104,16 @@ def test_expand_grows_with_hops(spark):
     assert seen == [{"decision-1"}, {"decision-1", "org-1"}, {"decision-1", "org-1", "seat-1"}]
     with pytest.raises(ValueError):
         traverse.expand(g, "person-1", 5)
+
+
+def with_values(spark, nodes, edges):
+    """A graph of ``(id, type, kind, amount, day, ref)`` nodes."""
+    schema = "id string, node_type string, kind string, amount decimal(18,2), event_date string, ref_id string, label string, status string, ended_date string, url string"
+    return Graph(spark.createDataFrame([(*n[:3], n[3] if n[3] is None else Decimal(n[3]), *n[4:], None, None, None, None) for n in nodes], schema), spark.createDataFrame([(s, t, None, r) for s, r, t in edges], store.EDGE_SCHEMA))
+
+
+def test_money_around_decisions_takes_every_dated_flow(spark):
+    nodes = [("decision-1", "Decision", None, None, "2020-03-01", "org-san-rafael-council"), ("decision-san-rafael-2", "Decision", None, None, "2020-05-01", None), ("decision-3", "Decision", None, None, "2020-03-01", "org-x"), ("decision-san-rafael-4", "Decision", None, None, "", None)]
+    nodes += [("moneyflow-a", "MoneyFlow", "behest", None, "2020-03-05", None), ("moneyflow-b", "MoneyFlow", "expenditure", 1, "2020-03-31", None), ("moneyflow-c", "MoneyFlow", "contribution", -4, "2020-04-01", None), ("moneyflow-d", "MoneyFlow", None, 90000, None, None), ("moneyflow-e", "MoneyFlow", None, 90000, "soon", None)]
+    got = tabular.query(with_values(spark, nodes, []), "money_around_decisions", jurisdiction="san-rafael").collect()
+    assert [(r.decision_id, r.flow_id, r.days_delta) for r in got] == [("decision-1", "moneyflow-a", -4), ("decision-san-rafael-2", "moneyflow-c", 30), ("decision-1", "moneyflow-b", -30)]
