@@ -51,9 +51,11 @@ def flows_of(g: Graph) -> DataFrame:
 
 
 def decisions_in_scope(g: Graph, place: str) -> DataFrame:
-    """Decisions that relate to a project of the place, or to a program one of whose projects is there."""
-    here = g.rel("IN_JURISDICTION", source="project", target="place", source_type="project").where(F.col("place") == place).select("project")
-    return g.rel("RELATES_TO_PROJECT", source="decision", target="project", source_type="decision").join(here, "project", "left_semi").select("decision").distinct()
+    """Decisions that relate to a project of the place, or that a program of the place relates to."""
+    here = lambda kind: g.rel("IN_JURISDICTION", source=kind, target="place", source_type=kind).where(F.col("place") == place).select(kind)
+    by_project = g.rel("RELATES_TO_PROJECT", source="decision", target="project", source_type="decision").join(here("project"), "project", "left_semi").select("decision")
+    by_program = g.rel("RELATES_TO_DECISION", source="program", target="decision", source_type="program").join(here("program"), "program", "left_semi").select("decision")
+    return by_project.unionByName(by_program).distinct()
 
 
 def decision_money_rollup(g: Graph, place: str) -> DataFrame:
@@ -77,11 +79,13 @@ def thread_pressure(g: Graph) -> DataFrame:
     """Money, decisions and cases of each thread (project or program) with its place."""
     project_flows = g.rel("RELATES_TO_PROJECT", source="flow", target="thread", source_type="moneyflow").join(flows_of(g), "flow")
     of_program = g.rel("RELATES_TO_PROGRAM", source="project", target="program", source_type="project")
-    program_flows = project_flows.withColumnRenamed("thread", "project").join(of_program, "project").select(F.col("program").alias("thread"), "flow", "amount").distinct()
+    own = g.rel("RELATES_TO_DECISION", source="thread", target="decision", source_type="program")
+    own_flows = own.join(g.rel("RELATES_TO_DECISION", source="flow", target="decision", source_type="moneyflow"), "decision").join(flows_of(g), "flow").select("thread", "flow", "amount")
+    program_flows = project_flows.withColumnRenamed("thread", "project").join(of_program, "project").select(F.col("program").alias("thread"), "flow", "amount").unionByName(own_flows).distinct()
     money = project_flows.select("thread", "flow", "amount").distinct().unionByName(program_flows).groupBy("thread").agg(F.count("*").alias("flows"), F.sum("amount").cast(MONEY).alias("money"))
     decided = g.rel("RELATES_TO_PROJECT", source="decision", target="thread", source_type="decision")
     by_program = decided.withColumnRenamed("thread", "project").join(of_program, "project").select(F.col("program").alias("thread"), "decision")
-    decisions = decided.select("thread", "decision").unionByName(by_program).distinct().groupBy("thread").agg(F.count("*").alias("decisions"))
+    decisions = decided.select("thread", "decision").unionByName(by_program).unionByName(own).distinct().groupBy("thread").agg(F.count("*").alias("decisions"))
     cases = g.rel("RELATES_TO_PROGRAM", source="case", target="thread", source_type="case").distinct().groupBy("thread").agg(F.count("*").alias("cases"))
     out = g.of("Project", "Program").select(F.col("id").alias("thread"), "node_type")
     for df in (money, decisions, cases):
@@ -104,10 +108,17 @@ def jurisdiction_delivery(g: Graph) -> DataFrame:
 
 
 def pressure_comparison(g: Graph) -> DataFrame:
-    """Threads of each place by rank: money, then decisions, then flows, then id."""
-    here = g.rel("IN_JURISDICTION", source="thread", target="place", source_type="project")
+    """Threads of each place by rank: money, then decisions, then flows, then id.
+
+    Threads are the place's projects, programs, and general municipal elections that have flows.
+    """
+    here = g.rel("IN_JURISDICTION", source="thread", target="place").where(F.col("thread").rlike("^(project|program|election)-"))
+    general = g.of("Election").where(F.col("kind") == "general_municipal").select(F.col("id").alias("thread"))
+    spent = g.rel("RELATED_TO_ELECTION", source="flow", target="thread", source_type="moneyflow").join(general, "thread", "left_semi").join(flows_of(g), "flow").select("thread", "flow", "amount").distinct()
+    elections = spent.groupBy("thread").agg(F.count("*").alias("flows"), F.sum("amount").cast(MONEY).alias("money")).withColumn("decisions", F.lit(0))
     order = Window.partitionBy("place").orderBy(F.desc("money"), F.desc("decisions"), F.desc("flows"), "thread")
-    return thread_pressure(g).join(here, "thread").withColumn("rank", F.row_number().over(order)).select("place", "rank", "thread", "flows", "decisions", "money")
+    threads = thread_pressure(g).select("thread", "flows", "decisions", "money").unionByName(elections)
+    return threads.join(here, "thread").withColumn("rank", F.row_number().over(order)).select("place", "rank", "thread", "flows", "decisions", "money")
 
 
 def pressure_explanation(g: Graph) -> DataFrame:

@@ -7,7 +7,7 @@ from polisgraph.functions import cleaning as K
 from polisgraph.graph import Graph
 from polisgraph.operators import resolve, traverse
 from polisgraph.operators.reconcile import reconcile
-from polisgraph.plans import cleanq, tabular
+from polisgraph.plans import cleanq, tabular, views
 from polisgraph.sources import store
 
 
@@ -112,6 +112,23 @@ def with_values(spark, nodes, edges):
     return Graph(spark.createDataFrame([(*n[:3], n[3] if n[3] is None else Decimal(n[3]), *n[4:], None, None, None, None) for n in nodes], schema), spark.createDataFrame([(s, t, None, r) for s, r, t in edges], store.EDGE_SCHEMA))
 
 
+def test_programs_and_elections_bring_a_place_its_decisions_and_threads(spark):
+    nodes = [("decision-1", "Decision", None, None, None, None), ("decision-2", "Decision", None, None, None, None), ("program-1", "Program", None, None, None, None), ("program-2", "Program", None, None, None, None), ("project-1", "Project", None, None, None, None)]
+    nodes += [("election-1", "Election", "general_municipal", None, None, None), ("election-2", "Election", "primary", None, None, None), ("election-3", "Election", "general_municipal", None, None, None)]
+    nodes += [(f"moneyflow-{k}", "MoneyFlow", "contribution", k, None, None) for k in (5, 7, 9)]
+    edges = [("program-1", "IN_JURISDICTION", "place-1"), ("program-1", "RELATES_TO_DECISION", "decision-1"), ("program-2", "IN_JURISDICTION", "place-2"), ("program-2", "RELATES_TO_DECISION", "decision-2"), ("project-1", "IN_JURISDICTION", "place-1")]
+    edges += [("moneyflow-5", "RELATES_TO_DECISION", "decision-1"), ("moneyflow-7", "RELATED_TO_ELECTION", "election-1"), ("moneyflow-9", "RELATED_TO_ELECTION", "election-2"), ("moneyflow-5", "FROM_SOURCE", "org-1"), ("case-1", "RELATES_TO_DECISION", "decision-1")]
+    edges += [(f"election-{k}", "IN_JURISDICTION", "place-1") for k in (1, 2, 3)]
+    g = with_values(spark, nodes, edges)
+    assert [r.decision for r in views.decisions_in_scope(g, "place-1").collect()] == ["decision-1"]
+    assert [(r.decision, r.total_amount) for r in views.decision_money_rollup(g, "place-1").collect()] == [("decision-1", 5)]
+    assert [(r.decision, r.party) for r in views.counterparties(g, "place-1").collect()] == [("decision-1", "org-1")]
+    assert [(r.case, r.by_decision) for r in views.legal_scope(g, "place-1").collect()] == [("case-1", 1)]
+    ranked = sorted(tuple(r) for r in views.pressure_comparison(g).where("place = 'place-1'").collect())
+    assert ranked == [("place-1", 1, "election-1", 1, 0, 7), ("place-1", 2, "program-1", 1, 1, 5), ("place-1", 3, "project-1", 0, 0, 0)]
+    assert [(r.thread, r.lead) for r in views.pressure_explanation(g).where("place = 'place-1'").collect()] == [("election-1", 2)]
+
+
 def test_money_around_decisions_takes_every_dated_flow(spark):
     nodes = [("decision-1", "Decision", None, None, "2020-03-01", "org-san-rafael-council"), ("decision-san-rafael-2", "Decision", None, None, "2020-05-01", None), ("decision-3", "Decision", None, None, "2020-03-01", "org-x"), ("decision-san-rafael-4", "Decision", None, None, "", None)]
     nodes += [("moneyflow-a", "MoneyFlow", "behest", None, "2020-03-05", None), ("moneyflow-b", "MoneyFlow", "expenditure", 1, "2020-03-31", None), ("moneyflow-c", "MoneyFlow", "contribution", -4, "2020-04-01", None), ("moneyflow-d", "MoneyFlow", None, 90000, None, None), ("moneyflow-e", "MoneyFlow", None, 90000, "soon", None)]
