@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text whose running sums are held at once.
 SLICE_BYTES = 1 << 20
+#: Input bytes that one shuffle partition should hold at most.
+PARTITION_BYTES = 128 << 20
 
 
 # ---------------------------------------------------------------- shared folder
@@ -59,8 +61,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions_for(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Shuffle partitions as set, but no fewer than give each ``PARTITION_BYTES`` of ``df`` by Spark's estimate of its size."""
+    found = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return found
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Spark takes plans of unknown size for endless: those keep the setting.
+    return max(found, -(-size // PARTITION_BYTES)) if size < 1 << 56 else found
 
 
 def salted_bucket(buckets: int, *cols):

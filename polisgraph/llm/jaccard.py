@@ -4,22 +4,29 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles.  Do
 form one class, and only one set per class goes on.
 
 1. Every set is dealt out by shingle: a task packs its sets' shingles into one binary block per bucket, so
-   counting document frequencies moves about eight bytes a shingle.
+   counting document frequencies moves about eight bytes a shingle.  Shingles that are frequent already within
+   a task's slice of texts are counted over all slices; the ``MAX_HOT`` most frequent of those in ``HOT_SETS``
+   sets or more are known to every task, rank last, and stay with their sets, so that no bucket gathers them.
 2. Only shingles in at least two different sets return to their set.  Those in one set alone come first in
    the rare-first order, so a set whose prefix they fill is done.  For the others the rest of the prefix is
    known exactly: the rarest returned shingles, with their positions.
 3. Sets are joined on prefix shingles, under the length and positional filters.  The suffix filter is a
    parity bitmap of the returned shingles: the bits in which two bitmaps differ, and the shingles in one set
    alone, are in the sets' symmetric difference, so a pair with too many of them is never similar.  Short
-   posting lists give their pairs.  A long list (a large group of near copies) is resolved in rounds: its
-   pivot is compared with all its members and links contract to components; then members outside the list's
-   largest component meet the members of other components, ever more of them in a round, and a list is done
-   once one component is left.
-4. Each pair is verified once, on the shingles that returned: those in one set alone cannot be shared.
+   posting lists give their pairs.
+4. Long lists (groups of near copies, common passages) are joined on differences.  Lists are grouped by a pivot,
+   the member that lies in the most long lists, and a member ``x`` is written as its difference ``D`` from the
+   pivot's set.  Two members are similar if and only if ``2 |Dx & Dy| >= s_x + s_y`` with ``s = |D| - c n`` and
+   ``c = (1 - t) / (1 + t)``.  Where ``s_x + s_y <= 0`` both are similar to the member of least ``s`` too, so one
+   pair a member stands for all of those.  The other pairs share a shingle of their differences, and of a rare-first
+   prefix of them: edits, which are rare where texts were changed independently.  Entries of a list that no other
+   entry of it can meet at their place and ``s`` are left out, and so are pairs within one component.  A difference that is itself frequent is a long list of the next round, without the pivot.
+5. Each pair is verified once, on the shingles that returned: those in one set alone cannot be shared.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; with one to four words
 the whole sequence is one shingle; rows with a null id keep their set size and a null component; rows with
-equal ids share one component only if their sets do.  Sets are named by 64-bit hashes.
+equal ids share one component only if their sets do.  Sets and shingles are named by 64-bit hashes: among ``m``
+different shingles a given one has the hash of another with a chance of ``m / 2**64``.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,14 +45,20 @@ from polisgraph.llm.components import connected_components
 WIDTH = 5
 #: Lists up to this length give all their pairs; longer ones are resolved by pivots.
 SHORT_LIST = 16
-#: Members of a long list that meet all others in the first round after its pivot; each later round has 16 times as many.
-FIRST_PROBES = 64
+#: Lists of differences are joined where one side has up to so many times ``SHORT_LIST`` members.
+DIRECT = 16
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 16
 #: Text bytes whose shingles are dealt out at a time.
-DEAL_BYTES = 8 << 20
-_TOKEN_BYTES = 6
+DEAL_BYTES = 2 << 20
+#: Sets of one slice that hold a shingle from which on it is counted over all slices.
+SLICE_SETS = 16
+#: Shingles in so many sets stay with their sets, the ``MAX_HOT`` most frequent ones (eight bytes each in every task).
+HOT_SETS = 4096
+MAX_HOT = 1_000_000
 _HEAD = np.dtype([("sid", "<i8"), ("n", "<u4"), ("k", "<u4")])
+#: Frequent shingles rank from here on, all others below.
+_HOT_RANK = 1 << 31
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -65,16 +78,42 @@ def _slices(batch: pa.RecordBatch, column: int):
 
 
 def _name_sets(batches):
+    """Size and name of each row's set; with a slice's first row, the slice's frequent shingles and their sets' number."""
+    names = ["row_id", "n_shingles", "sid", "often", "held"]
     for whole in batches:
         for batch in _slices(whole, 1):
             sets = document_sets(batch.column(1))
-            n = pa.array([len(s) for s in sets], pa.int64())
-            sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, sid], ["row_id", "n_shingles", "sid"])
+            sid = [set_id(s) if len(s) else None for s in sets]
+            own = {k: s for k, s in zip(sid, sets, strict=True) if k is not None}
+            token, held = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            some = held >= SLICE_SETS
+            rest = [None] * (batch.num_rows - 1)
+            often, held = ([x.tolist(), *rest] for x in (token[some].view(np.int64), held[some]))
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], sid)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, *(pa.array(x, pa.list_(pa.int64())) for x in (often, held))], names)
 
 
-def _dealer(buckets: int):
+def _blob(head: np.ndarray, *parts: np.ndarray) -> bytes:
+    return b"".join([len(head).to_bytes(4, "little"), head.tobytes(), *(np.ascontiguousarray(x).tobytes() for x in parts)])
+
+
+def _runs(sids: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A head for each stretch of one owner."""
+    at = np.flatnonzero(np.diff(owner, prepend=-1))
+    head = np.empty(len(at), _HEAD)
+    head["sid"], head["n"], head["k"] = sids[owner[at]], sizes[owner[at]], np.diff(at, append=len(owner))
+    return head
+
+
+def _stretches(values: np.ndarray):
+    """Each value of an ascending array, and where its stretch begins and ends."""
+    edge = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    yield from zip(values[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(values)], strict=True)
+
+
+def _dealer(buckets: int, held):
     def deal(batches):
+        hot, rank = held.value
         for whole in batches:
             for batch in _slices(whole, 0):
                 sets = {set_id(s): s for s in document_sets(batch.column(0)) if len(s)}
@@ -84,50 +123,53 @@ def _dealer(buckets: int):
                 tokens = np.concatenate(list(sets.values()))
                 sids = np.fromiter(sets, np.int64, len(sets))
                 owner = np.repeat(np.arange(len(sets)), sizes)
-                bucket = ((tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.uint32)
+                ids, kinds, blobs = [], [], []
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                    known = hot[at] == tokens
+                    who, at = owner[known], at[known]
+                    place = np.mod(sids[who], buckets)
+                    order = np.lexsort((who, place))
+                    who, at, place = who[order], at[order], place[order]
+                    for p, a, b in _stretches(place):
+                        ids.append(p)
+                        kinds.append(True)
+                        blobs.append(_blob(_runs(sids, sizes, who[a:b]), hot[at[a:b]], rank[at[a:b]]))
+                    tokens, owner = tokens[~known], owner[~known]
+                bucket = ((tokens >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
                 order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-                bucket, owner = bucket[order], owner[order]
-                raw = tokens[order].view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES]
-                edge = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + 1))
-                ids, blobs = [], []
-                for a, b in zip(edge, [*edge[1:], len(bucket)], strict=True):
-                    runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                    head = np.empty(len(runs), _HEAD)
-                    who = owner[a:b][runs]
-                    head["sid"], head["n"], head["k"] = sids[who], sizes[who], np.diff(runs, append=b - a)
-                    ids.append(int(bucket[a]))
-                    blobs.append(len(runs).to_bytes(4, "little") + head.tobytes() + np.ascontiguousarray(raw[a:b]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), C.binary(blobs)], ["bucket", "blob"])
+                bucket, owner, tokens = bucket[order], owner[order], tokens[order]
+                for p, a, b in _stretches(bucket):
+                    ids.append(p)
+                    kinds.append(False)
+                    blobs.append(_blob(_runs(sids, sizes, owner[a:b]), tokens[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.bool_()), C.binary(blobs)], ["bucket", "hot", "blob"])
 
     return deal
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    runs = int.from_bytes(blob[:4], "little")
-    head = np.frombuffer(blob, _HEAD, runs, 4)
-    raw = np.frombuffer(blob, np.uint8, offset=4 + runs * _HEAD.itemsize).reshape(-1, _TOKEN_BYTES)
-    return head, raw
-
-
-def _shared(buckets: int, back: int):
-    """Tokens in at least two sets, with their frequency, dealt out by set."""
+def _shared(buckets: int):
+    """Tokens in at least two sets, with their frequency, dealt out by set; those known as frequent pass through."""
 
     def count(batches):
         blobs: dict[int, list] = {}
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blobs.setdefault(bucket, []).append(_unpack(blob.as_buffer().to_pybytes()))
+            for bucket, hot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_buffer().to_pybytes()
+                if hot:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), C.binary([blob])], ["bucket", "blob"])
+                    continue
+                runs = int.from_bytes(blob[:4], "little")
+                blobs.setdefault(bucket, []).append((np.frombuffer(blob, _HEAD, runs, 4), np.frombuffer(blob, np.uint64, offset=4 + runs * _HEAD.itemsize)))
         for bucket in sorted(blobs):
             parts = blobs.pop(bucket)
             head = np.concatenate([h for h, _ in parts])
-            raw = np.concatenate([r for _, r in parts])
-            tokens = np.zeros((len(raw), 8), np.uint8)
-            tokens[:, :_TOKEN_BYTES] = raw
-            tokens = tokens.view(np.uint64).ravel()
+            tokens = np.concatenate([t for _, t in parts])
+            del parts
             first = np.unique(head["sid"], return_index=True)[1]  # one of each class of equal sets
             kept = np.zeros(len(head), bool)
             kept[first] = True
-            owner = np.repeat(np.arange(len(head)), head["k"])
+            owner = np.repeat(np.arange(len(head), dtype=np.int32), head["k"])
             use = kept[owner]
             tokens, owner = tokens[use], owner[use]
             order = np.argsort(tokens, kind="stable")
@@ -139,19 +181,13 @@ def _shared(buckets: int, back: int):
             tokens, owner = tokens[often], owner[often]
             if not len(tokens):
                 continue
-            # The bucket is part of the token: two buckets never hold the same one.
-            tokens = tokens ^ C.mix(np.array([bucket + 1], np.uint64))[0]
-            place = np.mod(head["sid"][owner], back)
+            place = np.mod(head["sid"][owner], buckets)
             order = np.lexsort((owner, place))
             tokens, owner, df, place = tokens[order], owner[order], df[order], place[order]
-            edge = np.flatnonzero(np.diff(place, prepend=-1))
             ids, out = [], []
-            for a, b in zip(edge, [*edge[1:], len(place)], strict=True):
-                runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                h = head[owner[a:b][runs]].copy()
-                h["k"] = np.diff(runs, append=b - a)
-                ids.append(int(place[a]))
-                out.append(len(runs).to_bytes(4, "little") + h.tobytes() + tokens[a:b].tobytes() + np.minimum(df[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes())
+            for p, a, b in _stretches(place):
+                ids.append(p)
+                out.append(_blob(_runs(head["sid"], head["n"], owner[a:b]), tokens[a:b], np.minimum(df[a:b], _HOT_RANK - 1).astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), C.binary(out)], ["bucket", "blob"])
 
     return count
@@ -163,7 +199,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(percent: int):
-    """Sets whose prefix holds shared tokens: set, size, prefix tokens, positions, all shared tokens."""
+    """Sets whose prefix holds shared tokens: set, size, prefix, number of other tokens, all shared tokens rare first."""
 
     def order(batches):
         heads, tokens, dfs = [], [], []
@@ -191,7 +227,7 @@ def _prefixes(percent: int):
             k = int(prefix_length(np.int64(size), percent)) - alone
             if k > 0:
                 own = token[a:b]
-                rows.append((int(sid[a]), size, own[: min(k, len(own))].view(np.int64), alone, np.sort(own).tobytes(), parity(own)))
+                rows.append((int(sid[a]), size, own[: min(k, len(own))].view(np.int64), alone, own.tobytes(), parity(own)))
             if len(rows) >= 2000:
                 yield _prefix_batch(rows)
                 rows = []
@@ -219,13 +255,21 @@ def _verify(batches):
         both = []
         for i in range(batch.num_rows):
             p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            both.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
+            both.append(len(np.intersect1d(p, q, assume_unique=True)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], ["a", "b", "na", "nb", "both"])
 
 
+def _differences(batches):
+    """Each member's difference from its pivot: shingles of its own, rare first, then the pivot's that it lacks, frequent first."""
+    for batch in batches:
+        x, p = batch.column(4), batch.column(5)
+        out = []
+        for i in range(batch.num_rows):
+            own, pivot = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(p[i].as_buffer(), np.uint64)
+            out.append(np.concatenate([own[~np.isin(own, pivot)], pivot[~np.isin(pivot, own)][::-1]]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.int64()))], ["pivot", "sid", "comp", "largest", "d"])
+
+
 _PAIR = "a long, b long, na long, nb long, both long"
 
 
@@ -243,7 +287,7 @@ class _Join:
         entries = entries.withColumn("most", F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-9) - F.col("n"))
         least = entries.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("held")).where("held > 1")
         entries = entries.join(least, "token").where("most >= least").drop("least", "held")
-        lists = entries.groupBy("token").agg(F.count("*").alias("members"), F.min("sid").alias("pivot")).where("members > 1")
+        lists = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
         self.entries = C.staged(entries.join(lists, "token"), "postings")
         self.known: DataFrame | None = None
 
@@ -280,39 +324,106 @@ class _Join:
     def links(self) -> DataFrame:
         return self.known.where(_similar(self.percent)).select("a", "b")
 
+    def named(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        return members.join(found, F.col("sid") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "sid").alias("comp"))
+
     def components(self) -> DataFrame:
-        large = self.entries.where(F.col("members") > self.short)
-        star = large.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
-        self.verified(self.short_pairs().unionByName(star))
+        self.verified(self.short_pairs())
+        large = self.entries.where(F.col("members") > self.short).select(F.col("token").alias("list"), "sid")
+        weights = large.groupBy("sid").agg(F.count("*").alias("w"))
+        open_ = C.saved(large.join(weights, "sid").select("list", "sid", "w"))
         found = C.saved(connected_components(self.links()))
-        thin = self.sets.select("sid", "alone", "bits")
-        open_, probes = C.saved(large.select("token", "sid", "n", "most").join(thin, "sid")), FIRST_PROBES
         while True:
-            named = open_.join(found, F.col("sid") == F.col("node"), "left").select(*open_.columns, F.coalesce("component", "sid").alias("comp"))
-            sizes = named.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min("n").alias("n"))
-            lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps"), F.min("n").alias("least"))
-            active = C.saved(named.join(lists.where("comps > 1").drop("comps"), "token").where("most >= least").drop("least"))
-            if active.limit(1).count() == 0:
+            named = self.named(open_, found)
+            lists = named.groupBy("list").agg(F.max_by("sid", F.struct("w", "sid")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            groups = C.saved(named.join(lists.where("low <> high"), "list").select("pivot", "sid", "w").distinct())
+            if groups.limit(1).count() == 0:
                 return found
-            order = Window.partitionBy("token").orderBy("sid")
-            heads = active.where("comp <> largest").withColumn("k", F.row_number().over(order)).where(F.col("k") <= probes)
-            heads = C.saved(heads.select("token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "most", "alone", "bits", "comp")]))
-            pairs = active.join(heads, "token").where("comp <> pcomp").where(self.can_meet("", "p") & self.suffix("", "p"))
-            self.verified(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")))
-            done = heads.select("token", F.col("psid").alias("sid"))
-            open_ = C.saved(active.drop("comp", "largest").join(done, ["token", "sid"], "left_anti").select(*open_.columns))
-            found, probes = C.saved(connected_components(self.links())), 16 * probes
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, short_list: int = SHORT_LIST) -> DataFrame:
+            self.verified(groups.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
+            found = C.saved(connected_components(self.links()))
+            pairs, open_ = self.by_differences(groups, found)
+            self.verified(pairs)
+            found = C.saved(connected_components(self.links()))
+
+    def by_differences(self, groups: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of the members of each pivot's group that can be similar, and the lists to be resolved in another round.
+
+        All in whole numbers: ``s`` stands for ``(100 + percent) (|D| - c n)``.
+        """
+        up, down = 100 + self.percent, 100 - self.percent
+        named = self.named(groups, found)
+        sizes = named.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
+        most = sizes.groupBy("pivot").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+        members = named.where("sid <> pivot").join(most, "pivot").select("pivot", "sid", "comp", "largest")
+        own = self.sets.select("sid", F.col("tokens").alias("x"))
+        pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p"))
+        both = members.join(own, "sid").join(pivots, "pivot").select(*members.columns, "x", "p")
+        cut = both.mapInArrow(_differences, "pivot long, sid long, comp long, largest long, d array<long>")
+        rows = cut.join(self.sets.select("sid", "n", "alone"), "sid").withColumn("nd", F.size("d") + F.col("alone")).withColumn("s", up * F.col("nd") - down * F.col("n"))
+        rows = C.staged(rows, "differences")
+        outside = F.col("comp") != F.col("largest")
+        bounds = C.saved(rows.groupBy("pivot").agg(F.min("s").alias("least"), F.min_by("sid", F.struct("s", "sid")).alias("nearest"), F.min(F.when(outside, F.col("s"))).alias("least_outside")))
+        rows = rows.join(bounds, "pivot")
+        certain = rows.where((F.col("s") + F.col("least") <= 0) & (F.col("sid") != F.col("nearest"))).select(F.least("sid", "nearest").alias("a"), F.greatest("sid", "nearest").alias("b"))
+
+        def overlap(x, y):
+            """The least common part of the differences of a pair in two components."""
+            return F.greatest(F.lit(1), F.ceil((x + y) / (2.0 * up))).cast("long")
+
+        def entries(df: DataFrame, least: str, probe: bool) -> DataFrame:
+            prefix = (F.col("nd") - overlap(F.col("s"), F.col(least)) + 1 - F.col("alone")).cast("int")
+            cut = F.when(prefix > 0, F.slice("d", F.lit(1), F.greatest(prefix, F.lit(0))))
+            out = df.select("pivot", "sid", "n", "nd", "s", "comp", "alone", F.posexplode(cut).alias("k", "token")).withColumn("pos", F.col("alone") + F.col("k"))
+            # At this place of the prefix a partner has no more than ``cap`` for its ``s``.
+            cap = 2 * up * (F.col("nd") - F.col("pos")) - F.col("s")
+            return out.select("pivot", "token", "sid", "n", "nd", "s", "comp", "pos", cap.alias("cap"), F.lit(probe).alias("probe"))
+
+        def bounded(df: DataFrame) -> DataFrame:
+            """Entries that some entry of the other side of their list can meet."""
+            ends = [f(F.when(F.col("probe") == side, F.col(c))).alias(f"{name}{c}") for side, name in ((True, "x"), (False, "y")) for f, c in ((F.min, "s"), (F.max, "cap"))]
+            held = df.groupBy("pivot", "token").agg(*ends, F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
+            meets = F.when(F.col("probe"), (F.col("s") <= F.col("ycap")) & (F.col("cap") >= F.col("ys"))).otherwise((F.col("s") <= F.col("xcap")) & (F.col("cap") >= F.col("xs")))
+            return df.join(held, ["pivot", "token"]).where(meets).select(df.columns)
+
+        postings = entries(rows.where(outside), "least", True).unionByName(entries(rows, "least_outside", False))
+        postings = C.staged(bounded(C.staged(bounded(postings), "difference-postings")), "difference-postings")
+        probes = F.sum(F.col("probe").cast("int"))
+        held = postings.groupBy("pivot", "token").agg(probes.alias("probes"), (F.count("*") - probes).alias("others"))
+        held = held.where("probes > 0 and others > 0").select("pivot", "token", (F.least("probes", "others") > DIRECT * self.short).alias("long"))
+        postings = C.saved(postings.join(held, ["pivot", "token"]))
+        x = postings.where("probe and not long")
+        y = postings.where("not probe and not long").select("pivot", "token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "nd", "s", "comp", "pos")])
+        similar = 100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")
+        enough = F.least(F.col("nd") - F.col("pos"), F.col("pnd") - F.col("ppos")) >= overlap(F.col("s"), F.col("ps"))
+        met = x.join(y, ["pivot", "token"]).where(similar & enough & (F.col("comp") != F.col("pcomp")))
+        pairs = certain.unionByName(met.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")))
+        again = postings.where("long").select(F.xxhash64("pivot", "token").alias("list"), "sid").distinct()
+        weights = groups.groupBy("sid").agg(F.max("w").alias("w"))
+        return C.saved(pairs), C.saved(again.join(weights, "sid").select("list", "sid", "w"))
+
+
+def frequent_shingles(named: DataFrame, least: int = HOT_SETS, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their ranks, the most frequent last; ``most`` of them at most."""
+    each = named.where("often is not null").select(F.explode(F.arrays_zip("often", "held")).alias("x"))
+    held = each.groupBy(F.col("x.often").alias("token")).agg(F.sum("x.held").alias("held")).where(F.col("held") >= least)
+    found = [r["token"] for r in held.orderBy(F.desc("held"), "token").limit(most).collect()]
+    tokens = np.array(found, np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    rank = np.uint32(_HOT_RANK) + np.arange(len(tokens), dtype=np.uint32)[::-1]
+    return tokens[order], rank[order]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, short_list: int = SHORT_LIST, hot_sets: int = HOT_SETS) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``; documents link at Jaccard ``percent``/100 or more."""
     spark = docs.sparkSession
-    buckets = C.partitions_for(spark)
+    buckets = C.partitions_for(spark, docs)
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text).alias("row_text"))
-    kind = rows.schema["row_id"].dataType
-    named = C.staged(rows.mapInArrow(_name_sets, T.StructType([T.StructField("row_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())])), "set-names")
-    dealt = rows.select("row_text").mapInArrow(_dealer(buckets), "bucket int, blob binary").repartitionById(buckets, "bucket")
-    back = dealt.mapInArrow(_shared(buckets, buckets), "bucket int, blob binary").repartitionById(buckets, "bucket")
+    fields = [T.StructField("row_id", rows.schema["row_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("sid", T.LongType())]
+    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("often", "held")]
+    named = C.staged(rows.mapInArrow(_name_sets, T.StructType(fields)), "set-names")
+    hot = spark.sparkContext.broadcast(frequent_shingles(named, hot_sets))
+    dealt = rows.select("row_text").mapInArrow(_dealer(buckets, hot), "bucket int, hot boolean, blob binary").repartitionById(buckets, "bucket")
+    back = dealt.mapInArrow(_shared(buckets), "bucket int, blob binary").repartitionById(buckets, "bucket")
     sets = C.staged(back.mapInArrow(_prefixes(percent), "sid long, n long, prefix array<long>, alone long, tokens binary, bits array<bigint>"), "prefixes")
     found = _Join(sets, percent, short_list).components()
     classed = named.join(found, F.col("sid") == F.col("node"), "left").select("row_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("class"))

@@ -64,6 +64,29 @@ def test_jaccard_is_brute_force(spark, short_list):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), c) for i, c in enumerate(components(sets))}
 
 
+def test_jaccard_of_a_large_group_of_distant_copies_meets_few_pairs(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, values = [word() for _ in range(120)], []
+    for k in range(500):  # 1 to 9 edits: from near the base to 0.5 alike, plus two groups that share a long passage only
+        w = list(base)
+        for _ in range(1 + k % 9):
+            at = r.randrange(len(w))
+            w[at : at + 1] = [[word()], [], [word(), word()]][k % 3]
+        values.append(" ".join(w))
+    for own in ([word() for _ in range(60)], [word() for _ in range(60)]):
+        for k in range(60):
+            w = base[:40] + own
+            w[40 + k % 60] = word()
+            values.append(" ".join(w))
+    met = []
+    verified = jaccard._Join.verified
+    monkeypatch.setattr(jaccard._Join, "verified", lambda self, pairs: met.append(verified(self, pairs)) or met[-1])
+    got = jaccard.near_duplicates(docs(spark, values), hot_sets=100).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == set(enumerate(components([shingle_set(t) for t in values])))
+    assert sum(x.count() for x in met) < 20 * len(values)  # all pairs of the 500 are 124,750
+
+
 def test_jaccard_of_nothing_and_without_ids(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
