@@ -7,7 +7,9 @@ and no Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import uuid
 
@@ -76,6 +78,28 @@ def salted_bucket(buckets: int, *cols):
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 
 
+# ---------------------------------------------------------------- what a worker keeps
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What workers keep from task to task for one operator."""
+    return _KEPT.setdefault(name, {})
+
+
+def begin(name: str) -> None:
+    """At the start of a task: what other operators' tasks have left goes, and free memory goes back to the system."""
+    for other, values in _KEPT.items():
+        if other != name:
+            values.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
 # ---------------------------------------------------------------- bytes and words
 
 

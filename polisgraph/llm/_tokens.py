@@ -13,11 +13,13 @@ import re
 
 import numpy as np
 
+from polisgraph.llm import _common as C
+
 #: Chunks whose ids a worker keeps; the table is emptied when full.
 CACHE_CHUNKS = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED_CHUNKS = 500
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = C.kept("tokens")
 _IRREGULAR = re.compile(r"\s ")
 
 
@@ -92,6 +94,7 @@ def _cut(text: str) -> tuple[str, list[str]]:
 
 
 def encoder(path: str) -> Encoder:
+    C.begin("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

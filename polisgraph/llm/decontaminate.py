@@ -31,7 +31,7 @@ WINDOW_WORDS = 13
 BLOCK_WORDS = 2_000_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else (b if C.ALNUM[b] else 32) for b in range(256))
-_AUTOMATA: dict[str, tuple] = {}
+_AUTOMATA: dict[str, tuple] = C.kept("decontaminate")
 
 _MARKS = T.StructType(
     [
@@ -105,6 +105,7 @@ def char_spans(text: bytes, words: list[int]) -> list[int]:
 
 
 def _scan(batches, text_at: int, key: str, block: dict, fields: list[str], marked: bool):
+    C.begin("decontaminate")
     symbols, machine = _automaton(key, block)
     get = symbols.get
     for batch in batches:

@@ -79,6 +79,7 @@ def _slices(batch: pa.RecordBatch, column: int):
 
 def _name_sets(batches):
     """Size and name of each row's set; with a slice's first row, the slice's frequent shingles and their sets' number."""
+    C.begin("jaccard")
     names = ["row_id", "n_shingles", "sid", "often", "held"]
     for whole in batches:
         for batch in _slices(whole, 1):
@@ -113,6 +114,7 @@ def _stretches(values: np.ndarray):
 
 def _dealer(buckets: int, held):
     def deal(batches):
+        C.begin("jaccard")
         hot, rank = held.value
         for whole in batches:
             for batch in _slices(whole, 0):
@@ -152,6 +154,7 @@ def _shared(buckets: int):
     """Tokens in at least two sets, with their frequency, dealt out by set; those known as frequent pass through."""
 
     def count(batches):
+        C.begin("jaccard")
         blobs: dict[int, list] = {}
         for batch in batches:
             for bucket, hot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -202,6 +205,7 @@ def _prefixes(percent: int):
     """Sets whose prefix holds shared tokens: set, size, prefix, number of other tokens, all shared tokens rare first."""
 
     def order(batches):
+        C.begin("jaccard")
         heads, tokens, dfs = [], [], []
         for batch in batches:
             for blob in batch.column(1):

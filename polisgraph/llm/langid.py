@@ -35,7 +35,7 @@ RIDGE = 1e-3
 SOFTNESS = 0.15
 _ORDERS = (2, 3, 4)
 _TABLE_BITS = 18
-_MODELS: dict[str, tuple] = {}
+_MODELS: dict[str, tuple] = C.kept("langid")
 #: Bytes of text whose n-grams are marked at a time.
 _MARK_BYTES = 4 << 20
 
@@ -88,6 +88,7 @@ def _normal(marks: np.ndarray) -> np.ndarray:
 
 
 def _all_slots(batches):
+    C.begin("langid")
     for batch in batches:
         sets = []
         for i in range(batch.num_rows):
@@ -98,6 +99,7 @@ def _all_slots(batches):
 
 def _features(key, held):
     def features(batches):
+        C.begin("langid")
         columns, marks, _ = _model(key, held)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -128,6 +130,8 @@ def _predictor(key, held, text_at: int, langs: list[str], names: list[str]):
     def predict(batches):
         import pyarrow.compute as pc
 
+        C.begin("langid")
+
         columns, marks, weights = _model(key, held)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

@@ -60,6 +60,7 @@ def line_hashes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _signatures(batches):
+    C.begin("linededup")
     for whole in batches:
         _, offsets = C.text_buffers(whole.column(2))
         for a, b in C.row_slices(offsets, _SLICE):
@@ -101,6 +102,7 @@ def _seeds(least: int):
     """The distinct runs of each document."""
 
     def seeds(batches):
+        C.begin("linededup")
         for batch in batches:
             (lines, first), (words, _) = _flat(batch.column(2), "<u8"), _flat(batch.column(3), "<i4")
             start, _, run = minimal_runs(lines, words, first, least)
@@ -215,6 +217,7 @@ def _blanks(gone: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _aligner(least: int):
     def align(batches):
+        C.begin("linededup")
         for batch in batches:
             rows, out = [], []
             for i in range(batch.num_rows):

@@ -42,7 +42,7 @@ BACKGROUND = 0.2
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else (b if C.ALNUM[b] else 32) for b in range(256))
-_MODELS: dict[str, tuple] = {}
+_MODELS: dict[str, tuple] = C.kept("toxicity")
 _SLICE = 2 << 20
 
 
