@@ -48,7 +48,7 @@ def normal_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def _blocks(items: Iterator[tuple], width: int, limit: int) -> Iterator[dict[tuple, list[str]]]:
+def _blocks(items: Iterator[tuple], width: int, limit: int) -> Iterator[dict[tuple, dict[str, None]]]:
     """Windows to the ids of the items that hold them, in blocks of bounded size."""
     block, held = {}, 0
     for item_id, text in items:
@@ -57,11 +57,10 @@ def _blocks(items: Iterator[tuple], width: int, limit: int) -> Iterator[dict[tup
             continue
         for k in range(max(1, len(words) - width + 1)):
             window = tuple(words[k : k + width])
-            ids = block.setdefault(window, [])
+            ids = block.setdefault(window, {})
             if not ids:
                 held += len(window)
-            if item_id not in ids:
-                ids.append(item_id)
+            ids[item_id] = None
             if held >= limit:
                 yield block
                 block, held = {}, 0

@@ -109,6 +109,8 @@ def _runs(sids: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def _stretches(values: np.ndarray):
     """Each value of an ascending array, and where its stretch begins and ends."""
     edge = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    if not len(edge):
+        return
     yield from zip(values[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(values)], strict=True)
 
 

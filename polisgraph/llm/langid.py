@@ -1,13 +1,14 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the cosine of their blended-spectrum presence vectors: which byte n-grams of two
-to four bytes of the lower-cased text occur at all, over the n-grams of the landmarks.  Kernels to Nystroem
+to four bytes of the lower-cased text occur at all, over all n-grams of the landmarks (a text of one byte is taken
+with a space after it).  N-grams are told apart by 20 bits of a hash.  Kernels to Nystroem
 landmarks are the features, and one ridge regression per language, solved once on the driver over landmarks
 times landmarks numbers, gives its scores.  A batch of texts is scored by two matrix products.
 
 Bounds, all parameters: ``TRAIN_PER_LANG`` labelled rows of each language are fitted, ``LANDMARKS`` of them
-in all are landmarks, ``ALPHABET`` n-grams at most (the most widespread among the landmarks) are compared,
-and ``MAX_LANGS`` languages can be told apart; more raise an error.
+in all are landmarks (the longest of twice as many drawn), and ``MAX_LANGS`` languages can be told apart; more
+raise an error.  Copies of a text are drawn once.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a language, and
 held-out rows, are not learned from; with one learned language every text with a letter gets it; with none,
@@ -28,13 +29,14 @@ from polisgraph.llm import _common as C
 
 TRAIN_PER_LANG = 1500
 LANDMARKS = 96
-ALPHABET = 8192
 MAX_LANGS = 200
 RIDGE = 1e-3
 #: Width of the softmax over the regressions' values, which aim at 0 and 1.
 SOFTNESS = 0.15
 _ORDERS = (2, 3, 4)
-_TABLE_BITS = 18
+_TABLE_BITS = 20
+#: Texts whose presence vectors are held at a time.
+_ROWS = 64
 _MODELS: dict[str, tuple] = C.kept("langid")
 #: Bytes of text whose n-grams are marked at a time.
 _MARK_BYTES = 4 << 20
@@ -67,6 +69,7 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 def _slots(data: np.ndarray) -> list[np.ndarray]:
+    data = np.append(data, np.uint8(32)) if len(data) == 1 else data
     return [_slot(g) for g in _grams(data)]
 
 
@@ -93,7 +96,7 @@ def _all_slots(batches):
         sets = []
         for i in range(batch.num_rows):
             data, _ = lowered(batch.column(0).slice(i, 1))
-            sets.append(np.unique(np.concatenate(_slots(data))).astype("<i4").tobytes() if len(data) > 1 else b"")
+            sets.append(np.unique(np.concatenate(_slots(data))).astype("<i4").tobytes() if len(data) else b"")
         yield pa.RecordBatch.from_arrays([batch.column(1), C.binary(sets)], ["lang", "slots"])
 
 
@@ -102,8 +105,8 @@ def _features(key, held):
         C.begin("langid")
         columns, marks, _ = _model(key, held)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 k = _normal(presence(batch.column(0), columns, marks.shape[1])) @ marks.T
                 yield pa.RecordBatch.from_arrays([batch.column(1), C.binary([row.astype("<f4").tobytes() for row in k])], ["lang", "kernels"])
 
@@ -134,8 +137,8 @@ def _predictor(key, held, text_at: int, langs: list[str], names: list[str]):
 
         columns, marks, weights = _model(key, held)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 text = batch.column(text_at)
                 lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 k = _normal(presence(text, columns, marks.shape[1])) @ marks.T
@@ -148,7 +151,7 @@ def _predictor(key, held, text_at: int, langs: list[str], names: list[str]):
     return predict
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_PER_LANG, landmarks: int = LANDMARKS, alphabet: int = ALPHABET) -> tuple[list[str], tuple] | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_PER_LANG, landmarks: int = LANDMARKS) -> tuple[list[str], tuple] | None:
     """Languages and the model, learned from the rows that are not held out; None without any such row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(~held_out("id") & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
@@ -163,7 +166,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
     def sample(n: int) -> DataFrame:
         share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, n / counts[k]))])
-        return rows.where(draw < share[F.col("lang")]).select("text", "lang")
+        return rows.where(draw < share[F.col("lang")]).select("text", "lang").dropDuplicates()
 
     each = max(1, landmarks // len(langs))
     found = sample(2 * each).mapInArrow(_all_slots, "lang string, slots binary").collect()  # about 2 * landmarks rows
@@ -173,7 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
             taken[r["lang"]] += 1
             sets.append(np.frombuffer(r["slots"], "<i4"))
     spread = np.bincount(np.concatenate(sets), minlength=1 << _TABLE_BITS)
-    slots = np.sort(np.argsort(-spread, kind="stable")[: min(alphabet, int((spread > 0).sum()))])
+    slots = np.flatnonzero(spread)
     marks = np.zeros((len(sets), len(slots)), bool)
     for i, s in enumerate(sets):
         marks[i] = np.isin(slots, s)
@@ -200,7 +203,7 @@ def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
     langs, values = model
-    held = docs.sparkSession.sparkContext.broadcast(values)  # alphabet x landmarks bits and landmarks x languages weights
+    held = docs.sparkSession.sparkContext.broadcast(values)  # n-grams x landmarks bits and landmarks x languages weights
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return docs.mapInArrow(_predictor(uuid.uuid4().hex, held, docs.columns.index(text), langs, schema.names), schema)
 

@@ -1,18 +1,25 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by a hash of their words, with A-Z lowered and white space collapsed.  Documents are brought
-together by runs: from every line with words, the fewest lines onwards, and the fewest lines back, that reach
-``BLOCK_WORDS`` words.  Each line of a block of that size lies in a run that is wholly in the block, and every
-holder of a run is paired with the run's first holder, so each block that can be deleted is met, in a number of
-pairs linear in the lines.  Each pair's line hashes, a few bytes a line, are then
-aligned: wherever a run of the later document stands in the earlier one, in any order and any number of times,
-its lines are deleted from the later document.  So a document loses exactly the lines of the blocks of at least
-``BLOCK_WORDS`` words that an earlier document also has; the tests hold this against all pairs of places.  The
-first holder of a run never loses it for that run, so no passage disappears from the corpus.
-
-Defined cases: documents are ordered by id, then by text hash; equal rows are one document, and each gets its
-deletions; rows with a null id or text are left as they are; blank lines go where the lines with words on both
-sides go (a text's end counts as gone); a text with no line left becomes empty.  Added columns replace input columns of the same name.
+Lines are compared by a hash of their words, with A-Z lowered and white space collapsed.  Equal texts are one
+text, held by its first document.  Documents are brought together by hashes of lines that are long enough to be
+rare: from every line with words, the fewest lines onwards, and the fewest lines back, that reach ``BLOCK_WORDS``
+words (a run; one line, if it is as long).  Each line of a block of that size lies in a run that is wholly in the
+block, and every text with a run is paired with the first text that has it, so each block that can be deleted is
+met, in a number of pairs linear in the lines.
+
+Each pair's line hashes, a few bytes a line, are aligned by patience diff: lines that are unique on both sides and
+in the same order are anchors, equal lines next to an anchor join it, and the gaps between anchors are aligned in
+the same way.  Aligned blocks of at least ``BLOCK_WORDS`` words go from the later text; what is left of it is
+aligned again until nothing more goes, which finds blocks that were moved or stand there twice.  A last look-up of
+its runs among those of the earlier text finds blocks without any unique line.  So a document loses exactly the
+lines of the blocks of at least ``BLOCK_WORDS`` words that an earlier document also has; the tests hold this
+against all pairs of places.  The first holder of a run never loses it for that run, so no passage disappears
+from the corpus.
+
+Defined cases: documents are ordered by id, then by text hash; of equal texts all but the first lose every line, if
+they have ``BLOCK_WORDS`` words; equal rows are one document, and each gets its deletions; rows with a null id or text
+are left as they are; blank lines go where the lines with words on both sides go (a text's end counts as gone); a
+text with no line left becomes empty; an empty table stays empty.  Added columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polisgraph.llm import _common as C
 
@@ -67,10 +75,9 @@ def _signatures(batches):
             batch = whole.slice(a, b - a)
             hashes, words, first = line_hashes(batch.column(2))
             cut = [(hashes[first[i] : first[i + 1]], words[first[i] : first[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), C.binary([h.astype("<u8").tobytes() for h, _ in cut]), C.binary([w.astype("<i4").tobytes() for _, w in cut])],
-                ["doc", "th", "lines", "words"],
-            )
+            lines, sizes = C.binary([h.astype("<u8").tobytes() for h, _ in cut]), C.binary([w.astype("<i4").tobytes() for _, w in cut])
+            total = pa.array([int(w.sum()) for _, w in cut], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, sizes, total], ["doc", "th", "lines", "words", "total"])
 
 
 def minimal_runs(lines: np.ndarray, words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(least: int):
-    """The distinct runs of each document."""
+    """The distinct runs of each text."""
 
     def seeds(batches):
         C.begin("linededup")
@@ -128,55 +135,56 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(x: list[int], y: list[int], blank: int = 0) -> list[tuple[int, int, int]]:
-    """One level of patience diff: blocks ``(start in x, start in y, lines)`` of equal lines in the same order.
-
-    For showing what two documents share in order; an order loses moved and repeated blocks, so deletions do not use it.
-    """
+def _anchors(x: list[int], y: list[int], blank: int) -> list[tuple[int, int]]:
+    """Places of equal lines in ascending order on both sides: of lines unique on both, or else of equal counts before."""
 
     def unique(lines):
         seen = Counter(lines)
-        return {v: k for k, v in enumerate(lines) if seen[v] == 1 and v != blank}
-
-    ux, uy = unique(x), unique(y)
-    anchors = sorted((i, uy[v]) for v, i in ux.items() if v in uy)
-    if not anchors:  # no line is unique in both: pair equal lines by how often they came before
-        def numbered(lines):
-            seen: Counter = Counter()
-            out = {}
-            for k, v in enumerate(lines):
-                if v != blank:
-                    out[v, seen[v]] = k
-                    seen[v] += 1
-            return out
-
-        nx, ny = numbered(x), numbered(y)
-        anchors = sorted((i, ny[v]) for v, i in nx.items() if v in ny)
-    anchors = _increasing(anchors)
+        return {v: k for k, v in enumerate(lines) if v != blank and seen[v] == 1}
+
+    def numbered(lines):
+        seen: Counter = Counter()
+        out = {}
+        for k, v in enumerate(lines):
+            if v != blank:
+                out[v, seen[v]] = k
+                seen[v] += 1
+        return out
+
+    for places in (unique, numbered):
+        own, other = places(x), places(y)
+        found = sorted((i, other[v]) for v, i in own.items() if v in other)
+        if found:
+            return _increasing(found)
+    return []
+
+
+def common_blocks(x: list[int], y: list[int], blank: int = 0) -> list[tuple[int, int, int]]:
+    """Patience diff: blocks ``(start in x, start in y, lines)`` of equal lines in the same order."""
     matched: list[tuple[int, int]] = []
-    for k, (i, j) in enumerate(anchors):
-        low = matched[-1] if matched else (-1, -1)
-        if i <= low[0] or j <= low[1]:
+    gaps = [(0, len(x), 0, len(y))]
+    while gaps:
+        a, b, c, d = gaps.pop()
+        while a < b and c < d and x[a] == y[c]:
+            matched.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            matched.append((b, d))
+        if a == b or c == d:
             continue
-        back = []
-        p, q = i - 1, j - 1
-        while p > low[0] and q > low[1] and x[p] == y[q]:
-            back.append((p, q))
-            p, q = p - 1, q - 1
-        matched += back[::-1]
-        matched.append((i, j))
-        stop = anchors[k + 1] if k + 1 < len(anchors) else (len(x), len(y))
-        p, q = i + 1, j + 1
-        while p < stop[0] and q < stop[1] and x[p] == y[q]:
-            matched.append((p, q))
-            p, q = p + 1, q + 1
-    blocks: list[tuple[int, int, int]] = []
-    for i, j in matched:
+        anchors = [(a + i, c + j) for i, j in _anchors(x[a:b], y[c:d], blank)]
+        if anchors:
+            matched += anchors
+            edges = [(a - 1, c - 1), *anchors, (b, d)]
+            gaps += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
+    blocks: list[list[int]] = []
+    for i, j in sorted(matched):
         if blocks and blocks[-1][0] + blocks[-1][2] == i and blocks[-1][1] + blocks[-1][2] == j:
-            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+            blocks[-1][2] += 1
         else:
-            blocks.append((i, j, 1))
-    return blocks
+            blocks.append([i, j, 1])
+    return [tuple(b) for b in blocks]
 
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -202,6 +210,25 @@ def repeated_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: n
     return np.unique(place[np.repeat(same, length)])
 
 
+def aligned_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np.ndarray, least: int) -> np.ndarray:
+    """The lines of ``y`` that go: blocks that patience diff aligns, again and again, then what only runs can find."""
+    early, late, size = x.tolist(), y.tolist(), np.concatenate([[0], np.cumsum(y_words, dtype=np.int64)])
+    gone = np.zeros(len(y), bool)
+    left = [(0, len(y))]
+    while left:
+        a, b = left.pop()
+        if size[b] - size[a] < least:
+            continue
+        blocks = [(a + j, a + j + n) for _, j, n in common_blocks(early, late[a:b]) if size[a + j + n] - size[a + j] >= least]
+        for start, stop in blocks:
+            gone[start:stop] = True
+        if blocks:
+            edges = [a, *(k for block in sorted(blocks) for k in block), b]
+            left += list(zip(edges[::2], edges[1::2], strict=True))
+    gone[repeated_lines(x, y, x_words, y_words, least)] = True
+    return np.flatnonzero(gone)
+
+
 def _blanks(gone: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blank lines before which, and after which, the nearest line with words is gone or there is none."""
     n = len(words)
@@ -221,50 +248,75 @@ def _aligner(least: int):
         for batch in batches:
             rows, out = [], []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (2, 3))
-                v, w = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in (4, 5))
-                gone = repeated_lines(x, y, v, w, least)
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (1, 2))
+                v, w = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in (3, 4))
+                gone = aligned_lines(x, y, v, w, least)
                 if len(gone):
                     rows.append(i)
                     out.append((gone, *_blanks(gone, w)))
-            take = pa.array(rows, pa.int64())
             lists = [pa.array([o[k] for o in out], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], ["doc", "th", "gone", "after", "before"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *lists], ["th", "gone", "after", "before"])
 
     return align
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(doc, th, gone)``: the line numbers, from 0, that a document (id and text hash) loses."""
+    """``(th, first, whole, gone)``: of each text (by hash) its first document, the line numbers, from 0, that this
+    document loses (null: none), and whether other documents with the text lose all of it."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    signed = rows.mapInArrow(_signatures, f"doc {kind}, th long, lines binary, words binary")
-    signed = C.staged(signed.dropDuplicates(["doc", "th"]), "line-signatures")
-    seeds = signed.mapInArrow(_seeds(block_words), f"doc {kind}, th long, run long").withColumn("key", F.struct("doc", "th"))
-    holders = seeds.groupBy("run").agg(F.count("*").alias("held"), F.min("key").alias("owner")).where("held > 1")
-    pairs = seeds.select("run", "key").join(holders, "run").where("key <> owner").select("key", "owner").distinct()
-    early = signed.select(F.struct("doc", "th").alias("owner"), F.col("lines").alias("early"), F.col("words").alias("early_words"))
-    late = signed.select(F.struct("doc", "th").alias("key"), F.col("lines").alias("late"), "words")
-    aligned = pairs.join(late, "key").join(early, "owner").select("key.doc", "key.th", "early", "late", "early_words", "words")
-    lost = aligned.mapInArrow(_aligner(block_words), f"doc {kind}, th long, gone array<int>, after array<int>, before array<int>")
+    signed = rows.mapInArrow(_signatures, f"doc {kind}, th long, lines binary, words binary, total long")
+    signed = C.staged(signed.groupBy("th").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("lines", "words", "total")]), "line-signatures")
+    seeds = C.staged(signed.select("doc", "th", "lines", "words").mapInArrow(_seeds(block_words), f"doc {kind}, th long, run long"), "line-runs")
+    # A table of its own, so that the join's large side can be split where one run is frequent.
+    holders = C.saved(seeds.groupBy("run").agg(F.count("*").alias("held"), F.min(F.struct("doc", "th")).alias("owner")).where("held > 1").select("run", F.col("owner.th").alias("owner")))
+    pairs = seeds.select("run", "th").join(holders, "run").where("th <> owner").select("th", "owner").distinct()
+    early = signed.select(F.col("th").alias("owner"), F.col("lines").alias("early"), F.col("words").alias("early_words"))
+    late = signed.select("th", F.col("lines").alias("late"), "words")
+    aligned = pairs.join(late, "th").join(early, "owner").select("th", "early", "late", "early_words", "words")
+    lost = aligned.mapInArrow(_aligner(block_words), "th long, gone array<int>, after array<int>, before array<int>")
     gone, after, before = (F.flatten(F.collect_list(c)) for c in ("gone", "after", "before"))
-    return lost.groupBy("doc", "th").agg(F.array_sort(F.array_union(gone, F.array_intersect(after, before))).alias("gone"))
+    lost = lost.groupBy("th").agg(F.array_sort(F.array_union(gone, F.array_intersect(after, before))).alias("gone"))
+    return signed.select("th", F.col("doc").alias("first"), (F.col("total") >= block_words).alias("whole")).join(lost, "th", "left").where("whole or gone is not null")
+
+
+def _cutter(text_at: int, kept: int, names: list[str]):
+    """Cut the lines in the last column (null: none) out of the text; an empty list there stands for all lines."""
+
+    def cut(batches):
+        C.begin("linededup")
+        for batch in batches:
+            bodies, lost = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            out, count, numbers, empty = [], [], [], []
+            for body, gone in zip(bodies, lost, strict=True):
+                n = 0 if body is None else body.count("\n") + 1
+                if gone is not None:
+                    gone = gone or range(n)
+                    away = set(gone)
+                    body = "\n".join(line for k, line in enumerate(body.split("\n")) if k not in away)
+                out.append(body)
+                count.append(n)
+                numbers.append(list(gone) if gone is not None else [])
+                empty.append(gone is not None and not body.strip(" \t\n\v\f\r"))
+            columns = list(batch.columns[:kept])
+            columns[text_at] = pa.array(out, batch.column(text_at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(numbers, pa.list_(pa.int32())), pa.array(empty, pa.bool_())], names)
+
+    return cut
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with repeated blocks cut out of ``text``, and ``n_lines``, ``deleted_lines`` and ``all_deleted``."""
-    docs = docs.drop(*[c for c in ("n_lines", "deleted_lines", "all_deleted", "_th", "_doc", "_gone") if c not in (text, id_col)])
-    lost = C.saved(deletions(docs, id_col, text, block_words)).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    body = F.col(f"`{text}`")
-    keyed = docs.withColumn("_h", F.xxhash64(body))
-    joined = keyed.join(lost, (F.col(f"`{id_col}`") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
-    lines = F.split(body, "\n", -1)
-    rest = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    cut = F.when(F.col("_gone").isNull(), body).otherwise(rest)
-    columns = [cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    blank = F.length(F.regexp_replace(cut, r"\s", "")) == 0
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), gone.alias("deleted_lines"), F.coalesce(F.col("_gone").isNotNull() & blank, F.lit(False)).alias("all_deleted"))
+    docs = docs.drop(*[c for c in ("n_lines", "deleted_lines", "all_deleted", "_th", "_first", "_whole", "_gone") if c not in (text, id_col)])
+    lost = C.staged(deletions(docs, id_col, text, block_words), "line-deletions").toDF("_th", "_first", "_whole", "_gone")
+    keyed = docs.withColumn("_h", F.when(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`"))))
+    joined = keyed.join(lost, F.col("_h") == F.col("_th"), "left")
+    again = F.col("_whole") & (F.col(f"`{id_col}`") != F.col("_first"))
+    gone = F.when(again, F.array().cast("array<int>")).otherwise(F.col("_gone"))
+    rows = joined.select(*[F.col(f"`{c}`") for c in docs.columns], gone.alias("_gone"))
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("deleted_lines", T.ArrayType(T.IntegerType())), T.StructField("all_deleted", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *added])
+    return rows.mapInArrow(_cutter(docs.columns.index(text), len(docs.columns), schema.names), schema)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
 Components are turned into whole numbers, ``floor(256 * x)``.  Candidates are dealt into blocks of about
-``BLOCK_ROWS`` rows and queries into blocks of ``BLOCK_QUERIES``; a task gets one block of each.  It sorts
-the candidates by every dimension once.  A query then walks its lists side by side, from the end that its
-sign prefers, scores each row that it meets for the first time, and stops when the bound of the rows not met,
-the sum of its weights times the lists' current values, is below its k-th score.  A tie of the bound goes on,
-since a row not met could win it by its smaller id.  The best k of each block are merged by a ranking that
-Spark limits before the shuffle.
+``BLOCK_ROWS`` rows; a task gets one block, sorts it by every dimension once, and streams the queries past it from
+files in the shared folder, so neither side is copied for the other.  A query walks the block's lists side by side,
+from the end that its sign prefers, scores each row that it meets for the first time, and stops when the bound of
+the rows not met cannot beat its k-th score, or when no row is left that it has not met.  The bound is the sum of its
+weights times the lists' current values, or the product of its length and the longest row's, if that is smaller.
+A tie of the bound goes on, since a row not met could win it by its smaller id.  One block is searched first; its
+k-th scores are floors for the others, which stop at them and report only what reaches them.
 
 Defined cases: rows with a null id, a null or empty vector, or a null or non-finite component take no part;
 vectors are compared with vectors of the same length only; a query meets no row of its own id; equal rows are
 gathered with their number first and each takes a rank; a query id with several vectors is ranked over all of
-them together.  Input columns other than the id and the vector are ignored.
+them together; an empty table has no result.  Components too large for exact sums in doubles are multiplied as whole
+numbers of any size; a reported score beyond 64 bits raises an error.  Input columns other than the id and the vector
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,73 +29,103 @@ from polisgraph.llm import _common as C
 K = 5
 SCALE = 256
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 512
-#: Rows of each list that a query walks in its first round; each later round is four times as deep.
+#: Rows of each list that a query walks in its first round; each later round is twice as deep.
 FIRST_DEPTH = 8
 
 
 class SortedLists:
-    """A block of candidates with their ids in order of each dimension."""
+    """A block of candidates, sorted by every dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         first = np.argsort(ids, kind="stable")  # equal scores then come in order of id
-        self.ids, self.vectors = ids[first], vectors[first]
-        # Sums up to 2**53 are exact in doubles; larger components are multiplied as whole numbers.
-        small = np.abs(self.vectors).max(initial=0) < 1 << 20
-        self.exact = self.vectors.astype(np.float64) if small else self.vectors
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable")
+        self.ids, vectors = ids[first], vectors[first]
+        self.small = bool(np.abs(vectors).max(initial=0) < 1 << 20)
+        # Sums up to 2**53 are exact in doubles; larger whole numbers are Python's.
+        self.vectors = vectors if self.small else np.vectorize(int, otypes=[object])(vectors)
+        self.order = np.argsort(-vectors, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.longest = float(np.sqrt((vectors**2).sum(axis=1).max(initial=0))) * (1 + 1e-9)
+        self.scored = 0
 
-    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows whose id is not ``own``, and all that tie with a smaller id first."""
+    def best(self, query: np.ndarray, k: int, own: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows whose id is not ``own`` and whose score is at least ``floor``."""
         n = len(self.ids)
+        small = self.small and bool(np.abs(query).max(initial=0) < 1 << 20)
+        vectors = self.vectors if small or not self.small else self.vectors.astype(np.int64).astype(object)
+        q = query if small else np.vectorize(int, otypes=[object])(query)
         used = np.flatnonzero(query)
-        q = query.astype(self.exact.dtype)
-        from_top = query[used] > 0
+        top, low = used[query[used] > 0], used[query[used] < 0]
+        reach = float(np.sqrt((query**2).sum())) * self.longest * (1 + 1e-9)
         seen = np.zeros(n, bool)
-        places, scores = np.zeros(0, np.int64), np.zeros(0, self.exact.dtype)
-        depth, before = FIRST_DEPTH, 0
+        places, scores = np.zeros(0, np.int64), np.zeros(0, q.dtype)
+        before, depth = 0, FIRST_DEPTH
+        bound = reach
         while True:
+            worst = scores.min() if len(places) >= k else None
+            worst = floor if worst is None or floor is not None and floor > worst else worst
+            if seen.all() or worst is not None and bound < worst:
+                return places, scores
             depth = min(depth, n)
-            if len(used) * depth >= n or not len(used):  # the lists name every row at this depth, or none matters
-                fresh, bound = np.flatnonzero(~seen), None
+            if len(used):
+                fresh = np.zeros(n, bool)
+                fresh[self.order[before:depth, top].ravel()] = True
+                fresh[self.order[n - depth : n - before, low].ravel()] = True
+                fresh = np.flatnonzero(fresh & ~seen)
+                bound = min(reach, self.values[depth - 1, top] @ q[top] + self.values[n - depth, low] @ q[low])
             else:
-                top, low = used[from_top], used[~from_top]
-                named = np.concatenate([self.order[before:depth, top].ravel(), self.order[n - depth : n - before, low].ravel()])
-                mark = np.zeros(n, bool)
-                mark[named] = True
-                fresh = np.flatnonzero(mark & ~seen)
-                bound = int(self.values[depth - 1, top] @ query[top] + self.values[n - depth, low] @ query[low])
+                fresh = np.flatnonzero(~seen)  # every score is 0
             seen[fresh] = True
+            self.scored += len(fresh)
             fresh = fresh[self.ids[fresh] != own]
-            places = np.concatenate([places, fresh])
-            scores = np.concatenate([scores, self.exact[fresh] @ q])
-            if len(places) > k:
-                keep = np.lexsort((places, -scores))[:k]
+            found = vectors[fresh] @ q
+            if floor is not None:
+                keep = np.asarray(found >= floor, bool)
+                fresh, found = fresh[keep], found[keep]
+            places, scores = np.concatenate([places, fresh]), np.concatenate([scores, found])
+            if len(places):
+                keep = np.array(sorted(range(len(places)), key=lambda i: (-scores[i], places[i]))[:k]) if not small else np.lexsort((places, -scores))[:k]
                 places, scores = places[keep], scores[keep]
-            if bound is None or len(places) >= k and bound < scores.min():
-                return places, scores
-            before, depth = depth, 4 * depth
+            before, depth = depth, 2 * depth
 
 
 def _numbers(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<i8").reshape(len(column), -1)
-
-
-def _searcher(k: int):
-    def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if candidates.num_rows and queries.num_rows:
-            lists = SortedLists(candidates["id"].to_numpy(), _numbers(candidates["v"]))
-            copies = dict(zip(candidates["id"].to_pylist(), candidates["n"].to_pylist(), strict=True)) if max(candidates["n"].to_pylist()) > 1 else {}
-            for own, vector in zip(queries["id"].to_pylist(), _numbers(queries["v"]), strict=True):
-                places, scores = lists.best(vector, k, own)
-                out[0] += [own] * len(places)
-                out[1] += lists.ids[places].tolist()
-                out[2] += scores.astype(np.int64).tolist()
-                out[3] += [copies.get(i, 1) for i in lists.ids[places].tolist()]
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score", "n"])
+    return np.frombuffer(raw, "<f8").reshape(len(column), -1)
+
+
+def _by_length(batch: pa.RecordBatch | pa.Table):
+    """The rows of each vector length."""
+    import pyarrow.compute as pc
+
+    size = pc.binary_length(batch.column(1))
+    for n in pc.unique(size).to_pylist():
+        yield n, batch.filter(pc.equal(size, n))
+
+
+def _searcher(folder: str, k: int):
+    def search(batches):
+        import pyarrow.dataset as ds
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists = {n: SortedLists(part["id"].to_numpy(), _numbers(part["v"])) for n, part in _by_length(rows)}
+        copies = dict(zip(rows["id"].to_pylist(), rows["n"].to_pylist(), strict=True)) if max(rows["n"].to_pylist()) > 1 else {}
+        fs, root = C.local_folder(folder)
+        for queries in ds.dataset(root, format="parquet", filesystem=fs).to_batches(columns=["id", "v", "floor"], batch_size=4096, fragment_readahead=1, batch_readahead=1):
+            for n, part in _by_length(queries):
+                if n not in lists or not part.num_rows:
+                    continue
+                out: list[list] = [[], [], [], []]
+                for own, vector, floor in zip(part["id"].to_pylist(), _numbers(part["v"]), part["floor"].to_pylist(), strict=True):
+                    places, scores = lists[n].best(vector, k, own, floor)
+                    ids = lists[n].ids[places].tolist()
+                    out[0] += [own] * len(ids)
+                    out[1] += ids
+                    out[2] += [int(x) for x in scores]  # beyond 64 bits Arrow raises
+                    out[3] += [copies.get(i, 1) for i in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score", "n"])
 
     return search
 
@@ -102,36 +135,45 @@ def _packer(scale: int):
         for batch in batches:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
-            flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype("<i8")
+            flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype("<f8")
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), C.binary([flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), C.binary([(flat[a:b] + 0.0).tobytes() for a, b in zip(cut, cut[1:], strict=False)])], ["id", "v"])
 
     return pack
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best rows of ``vectors`` for every row of ``queries``."""
+    spark = vectors.sparkSession
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col("v")
-        fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**31))
+        fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
         rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
         return rows.mapInArrow(_packer(scale), "id long, v binary").groupBy("id", "v").agg(F.count("*").alias("n"))
 
-    cands = C.saved(whole(vectors))
-    asked = C.saved(whole(queries).drop("n"))
-    blocks = max(1, -(-cands.count() // BLOCK_ROWS))
-    groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-    size = F.length("v").alias("bytes")
-    # Every block meets every group of queries: the query set against all rows, in blocks.
-    left = cands.select("id", "v", "n", size, C.salted_bucket(blocks, "id", "v").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = asked.select("id", "v", size, C.salted_bucket(groups, "id", "v").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ("bytes", "block", "group")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searcher(k), "query_id long, vec_id long, score long, n long")
-    # Copies of a row each take a rank; a repeat beyond k ranks is never reported.
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
+    cands = C.staged(whole(vectors), "vectors")
+    blocks = max(1, -(-cands.count() // block_rows))
+    dealt = cands.withColumn("block", C.salted_bucket(blocks, "id", "v"))
+    folder = C.new_path(spark, "queries")
+    whole(queries).select("id", "v", F.lit(None).cast("long").alias("floor")).write.parquet(folder)
+    asked = spark.read.schema("id long, v binary, floor long").parquet(folder)
+
+    def searched(rows: DataFrame, folder: str) -> DataFrame:
+        found = rows.repartitionById(blocks, "block").select("id", "v", "n").mapInArrow(_searcher(folder, k), "query_id long, vec_id long, score long, n long")
+        # Copies of a row each take a rank; a repeat beyond k ranks is never reported.
+        return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
+    found = searched(dealt.where("block = 0"), folder)
+    if blocks > 1:
+        found = C.staged(found, "first-block")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        floors = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("low"))
+        again = C.new_path(spark, "queries")
+        asked.join(floors, "id", "left").select("id", "v", F.col("low").alias("floor")).write.parquet(again)
+        found = found.unionByName(searched(dealt.where("block > 0"), again))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,12 +2,16 @@
 
 Labels mark documents, so tokens are labelled first: a token of a toxic document is toxic if one of its
 features (its word and its beginnings, which carry the stem) is in far more toxic documents than chance allows.  A
-two-state chain over runs of 64 tokens is trained on these by gradient ascent on the conditional likelihood.
+two-state chain over runs of 64 tokens is trained on these by gradient ascent on the conditional likelihood,
+whose gradient is a sum over chains, one small job a round.  The labels are then weighed anew by the
+chain itself: given that some token of a chain with labelled ones is toxic, the chance that this one is (its marginal over the
+chance that any is), which takes weight from listed words that stand in clean surroundings; training goes on from
+there.
 Forward-backward marginals give each token's probability; their sum over the background, calibrated on
 the labelled sample, is the document's score, and tokens over one half are its offending spans.
 
-Bounds, all parameters: ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, ``MAX_FEATURES``
-features and ``MAX_CHAINS`` chains.  Counting, scoring and every text's length are whole.
+Bounds, both parameters: about ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, whole.  All their
+features that are evidence enough and all their chains with such a feature are used; nothing else is bounded.
 
 Defined cases: null, empty and wordless texts have no tokens and the score of a text without a toxic token;
 rows with a null id or label teach nothing; of several labels of one document the largest counts; without
@@ -32,8 +36,7 @@ from polisgraph.llm.langid import held_out
 
 MAX_TOXIC = 3000
 MAX_CLEAN = 6000
-MAX_FEATURES = 20_000
-MAX_CHAINS = 8000
+ROUNDS, FURTHER_ROUNDS = 40, 12
 CHAIN = 64
 #: Log-likelihood ratio from which a feature is used, and from which it labels tokens.
 USED_G, LABEL_G = 12.0, 20.0
@@ -69,6 +72,7 @@ def _sliced(batches, text_at: int):
 
 
 def _count_features(batches):
+    C.begin("toxicity")
     toxic: Counter = Counter()
     clean: Counter = Counter()
     for batch in _sliced(batches, 0):
@@ -80,6 +84,7 @@ def _count_features(batches):
 
 def _clean_counter(held):
     def count(batches):
+        C.begin("toxicity")
         wanted, clean = held.value, Counter()
         for batch in _sliced(batches, 0):
             for words in _words(batch.column(0)):
@@ -100,6 +105,7 @@ def evidence(a, b, p: float):
 
 def _chain_maker(held):
     def chains(batches):
+        C.begin("toxicity")
         index, strong = held.value
         for batch in _sliced(batches, 0):
             size, place, feature, marked = [], [], [], []
@@ -148,38 +154,87 @@ def marginals(emission: np.ndarray, size: np.ndarray, transition: np.ndarray, st
     return p, moves
 
 
-def train(size, place, feature, marked, n_features: int, rounds: int = 60, ridge: float = 0.02) -> tuple:
-    """Feature weights, bias, transitions and start of the chain, by Adam on the penalised likelihood."""
+def gradient(theta: np.ndarray, n_features: int, size, place, feature, marked, again: bool) -> np.ndarray:
+    """Of the conditional log-likelihood of chains.
+
+    ``again``: a chain with marked tokens is only known to hold some toxic token; its tokens' labels are what the chain
+    itself expects under that condition, and all its transitions likewise.
+    """
     n = len(size)
     size = np.asarray(size)
+    w, bias, trans, start = theta[:n_features], theta[n_features], theta[n_features + 1 : -2].reshape(2, 2), theta[-2:]
     row = np.repeat(np.arange(n), [len(x) for x in place])
     at, ids = np.concatenate(place).astype(int), np.concatenate(feature).astype(int)
     gold = np.zeros((n, CHAIN))
     for i, x in enumerate(marked):
         gold[i, x] = 1
     inside = np.arange(CHAIN)[None, :] < size[:, None]
+    emission = np.full((n, CHAIN), bias)
+    np.add.at(emission, (row, at), w[ids])
+    p, moves = marginals(emission, size, trans, start)
+    if again:
+        some = gold.any(axis=1)
+        clean = _all_clean(emission, size, trans, start)
+        gold[some] = np.minimum(p[some] / np.maximum(1 - clean[some], 1e-6)[:, None], 1)
     seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & inside[:, 1:]).sum()
-    first = np.array([(gold[:, 0] == 0).sum(), (gold[:, 0] == 1).sum()], float)
+    for i in (0, 1):
+        for j in (0, 1):
+            x, y = gold[:, :-1] if i else 1 - gold[:, :-1], gold[:, 1:] if j else 1 - gold[:, 1:]
+            seen[i, j] = (x * y * inside[:, 1:]).sum()
+    gap = gold - p
+    return np.concatenate([
+        np.bincount(ids, gap[row, at], n_features),
+        [gap[inside].sum()],
+        (seen - moves).ravel(),
+        [(1 - gold[:, 0]).sum() - (1 - p[:, 0]).sum(), gold[:, 0].sum() - p[:, 0].sum()],
+    ])
+
+
+def _all_clean(emission: np.ndarray, size: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The chance of each chain that none of its tokens is toxic."""
+    t = np.exp(transition)
+    local = np.exp(np.clip(emission, -30, 30))
+    alpha = np.exp(start) * np.stack([np.ones(len(size)), local[:, 0]], 1)
+    log_clean = np.full(len(size), start[0])
+    log_all = np.log(alpha.sum(axis=1))
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    for k in range(1, emission.shape[1]):
+        on = size > k
+        step = (alpha @ t) * np.stack([np.ones(len(size)), local[:, k]], 1)
+        total = step.sum(axis=1)
+        log_all += np.where(on, np.log(total), 0)
+        log_clean += np.where(on, transition[0, 0], 0)
+        alpha = np.where(on[:, None], step / total[:, None], alpha)
+    return np.exp(np.minimum(log_clean - log_all, 0))
+
+
+def _gradients(held):
+    def gradients(batches):
+        C.begin("toxicity")
+        theta, n_features, again = held.value
+        total = np.zeros_like(theta)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                total += gradient(theta, n_features, *(c.to_pylist() for c in batch.columns), again)
+        yield pa.RecordBatch.from_arrays([C.binary([total.tobytes()])], ["g"])
+
+    return gradients
+
+
+def train(chains: DataFrame, n_features: int, ridge: float = 0.02) -> tuple:
+    """Feature weights, bias, transitions and start of the chain, by Adam on the penalised likelihood."""
+    spark = chains.sparkSession
     theta = np.zeros(n_features + 1 + 4 + 2)
     theta[n_features] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        w, bias, trans, start = theta[:n_features], theta[n_features], theta[n_features + 1 : -2].reshape(2, 2), theta[-2:]
-        emission = np.full((n, CHAIN), bias)
-        np.add.at(emission, (row, at), w[ids])
-        p, moves = marginals(emission, size, trans, start)
-        gap = gold - p
-        grad = np.concatenate([
-            np.bincount(ids, gap[row, at], n_features) - ridge * w,
-            [gap[inside].sum() - ridge * bias],
-            (seen - moves).ravel() - ridge * trans.ravel(),
-            first - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()]) - ridge * start,
-        ])
+    for step in range(1, ROUNDS + FURTHER_ROUNDS + 1):
+        held = spark.sparkContext.broadcast((theta, n_features, step > ROUNDS))
+        parts = chains.mapInArrow(_gradients(held), "g binary").collect()  # a row of n_features numbers for each task
+        grad = sum((np.frombuffer(r["g"]) for r in parts), -ridge * theta)
+        held.unpersist()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta += 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta = theta + (0.35 if step <= ROUNDS else 0.05) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 : -2].reshape(2, 2), theta[-2:]
 
 
@@ -235,6 +290,7 @@ def _scorer(key: str, held) -> tuple:
 
 def _sums(key: str, held):
     def sums(batches):
+        C.begin("toxicity")
         scorer, _ = _scorer(key, held)
         for batch in _sliced(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(scorer.texts(_words(batch.column(0)))[0]), batch.column(1)], ["x", "toxic"])
@@ -244,6 +300,7 @@ def _sums(key: str, held):
 
 def _score(key: str, held, text_at: int, names: list[str]):
     def score(batches):
+        C.begin("toxicity")
         scorer, (slope, cut) = _scorer(key, held)
         for batch in _sliced(batches, text_at):
             column = batch.column(text_at)
@@ -287,15 +344,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if len(sizes) < 2:
         return counts[1] / (counts[0] + counts[1])
     a = rows.where("toxic = 1").mapInArrow(_count_features, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic")).where("toxic >= 3")
-    # Bounded by the sample's words; the most frequent first should there be more than ten times the bound.
-    found = {r["feature"]: r["toxic"] for r in a.orderBy(F.desc("toxic"), "feature").limit(10 * MAX_FEATURES).collect()}
+    found = {r["feature"]: r["toxic"] for r in a.collect()}  # the sample's words
     wanted = spark.sparkContext.broadcast(frozenset(found))
     b = rows.where("toxic = 0").mapInArrow(_clean_counter(wanted), "feature string, clean long").groupBy("feature").agg(F.sum("clean").alias("clean"))
     clean = {r["feature"]: r["clean"] for r in b.collect()}
     names = sorted(found)
     share = sizes[1] / (sizes[0] + sizes[1])
     g = evidence(np.array([found[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float), share)
-    order = [int(k) for k in np.argsort(-g, kind="stable")[:MAX_FEATURES] if g[k] >= USED_G]
+    order = [int(k) for k in np.argsort(-g, kind="stable") if g[k] >= USED_G]
     if not order:
         return counts[1] / (counts[0] + counts[1])
     index = {names[k]: i for i, k in enumerate(order)}
@@ -303,9 +359,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     if not strong.any():
         strong[:] = True
     held = spark.sparkContext.broadcast((index, strong))
-    made = rows.mapInArrow(_chain_maker(held), "size int, place array<int>, feature array<int>, marked array<int>")
-    made = made.orderBy(F.xxhash64("size", "place", "feature", "marked")).limit(MAX_CHAINS).collect()
-    weights, bias, transition, start = train([r["size"] for r in made], [r["place"] for r in made], [r["feature"] for r in made], [r["marked"] for r in made], len(index))
+    made = C.staged(rows.mapInArrow(_chain_maker(held), "size int, place array<int>, feature array<int>, marked array<int>"), "toxicity-chains")
+    weights, bias, transition, start = train(made, len(index))
     parts = ({f: float(weights[i]) for f, i in index.items() if weights[i]}, bias, transition, start)
     held = spark.sparkContext.broadcast((parts, None))
     sums = rows.mapInArrow(_sums(uuid.uuid4().hex, held), "x double, toxic int").collect()  # the sample's rows
@@ -318,7 +373,7 @@ def score_toxicity(docs: DataFrame, model, text: str = "text") -> DataFrame:
     docs = docs.drop(*[c for c in ("toxicity", "toxic_spans") if c != text])
     if isinstance(model, float):
         return docs.withColumns({"toxicity": F.lit(model), "toxic_spans": F.array().cast("array<bigint>")})
-    held = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the weights of the sample's features
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(T.LongType()))])
     return docs.mapInArrow(_score(uuid.uuid4().hex, held, docs.columns.index(text), schema.names), schema)
 

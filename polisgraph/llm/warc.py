@@ -8,11 +8,13 @@ count.
 
 Reading: archives are read record by record, payload digests are checked, and the captures of each archive
 are sorted by URL key and timestamp: a run.  Runs are cut at splitters taken from a bounded sample and the cuts
-of one key range meet in one task, which merges them with a loser tree.  Ranges in order of their number,
-and rows in order within, are the global history of every URL, however often one is captured.
+of one key range, about ``RANGE_ROWS`` captures at most, meet in one task, which holds them compressed and merges
+them with a loser tree, row by row.  Ranges in order of their number, and rows in order within, are the global
+history of every URL, however often one is captured.
 
 Defined cases: a null payload is empty; equal ids with one payload are all responses where that id is the
-largest; rows with a null id are responses unless a page with an id has their payload; a null URL is empty; an
+largest; rows with a null id are responses unless a page with an id has their payload; ids of any size are kept
+(a page without a capture time gets one from its id, within a century); a null URL is empty; an
 empty table has no archives.  Columns other than id, URL, payload and (optionally) capture time are ignored.
 """
 
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import DataFrame
@@ -38,9 +41,17 @@ from polisgraph.llm import _common as C
 MIN_REVISIT = 1000
 #: Payload bytes after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
+#: Records after which a task begins another archive.
+ARCHIVE_RECORDS = 200_000
+#: Captures in a key range, about: what a merging task holds, compressed, at a time.
+RANGE_ROWS = 1_000_000
+#: Payload bytes that are turned into records at a time.
+_SLICE = 8 << 20
+#: Pages without a capture time get one within a century of this, by their id.
 #: Sampled captures for each key range.
 SAMPLE_PER_RANGE = 64
 _EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
+_CENTURY = 36_500 * 86_400
 _RUN = "urlkey string, stamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long"
 _FIELDS = [x.split()[0] for x in _RUN.split(", ")]
 
@@ -137,6 +148,16 @@ def classified(pages: DataFrame, id_col: str = "page_id", url: str = "url", payl
     return named.select("page_id", "url", "payload", "stamp", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
+def _rows_of(batches) -> Iterator[dict]:
+    """Rows as Python values, a bounded slice of payloads at a time."""
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        sizes = pc.binary_length(whole.column("payload")).to_numpy(zero_copy_only=False)
+        for a, b in C.row_slices(np.concatenate([[0], np.cumsum(sizes)]), _SLICE):
+            yield from whole.slice(a, b - a).to_pylist()
+
+
 def _writer(folder: str, limit: int):
     def write(batches):
         from pyspark import TaskContext
@@ -145,19 +166,18 @@ def _writer(folder: str, limit: int):
         fs.create_dir(root, recursive=True)
         part, name, sink, size, n = TaskContext.get().partitionId(), None, None, 0, 0
         done: list[tuple[str, int]] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if sink is None:
-                    name = f"part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.gz"
-                    sink, size, n = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                stamp = row["stamp"] or (_EPOCH + timedelta(seconds=abs(row["page_id"] or 0) % (1 << 40))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                machine = zlib.compressobj(6, zlib.DEFLATED, 31)
-                sink.write(machine.compress(record(row["page_id"], row["url"], stamp, row["payload"], row["payload_digest"], row["refers_to"])) + machine.flush())
-                size, n = size + len(row["payload"]), n + 1
-                if size >= limit:
-                    sink.close()
-                    done.append((name, n))
-                    sink = None
+        for row in _rows_of(batches):
+            if sink is None:
+                name = f"part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.gz"
+                sink, size, n = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
+            stamp = row["stamp"] or (_EPOCH + timedelta(seconds=abs(row["page_id"] or 0) % _CENTURY)).strftime("%Y-%m-%dT%H:%M:%SZ")
+            machine = zlib.compressobj(6, zlib.DEFLATED, 31)
+            sink.write(machine.compress(record(row["page_id"], row["url"], stamp, row["payload"], row["payload_digest"], row["refers_to"])) + machine.flush())
+            size, n = size + len(row["payload"]), n + 1
+            if size >= limit or n >= ARCHIVE_RECORDS:
+                sink.close()
+                done.append((name, n))
+                sink = None
         if sink is not None:
             sink.close()
             done.append((name, n))
@@ -287,6 +307,7 @@ def capture_index(manifest: DataFrame, folder: str) -> DataFrame:
     files = manifest.select("file").repartition(n, "file")
     runs = C.staged(files.mapInArrow(_run_reader(folder), _RUN), "capture-runs")
     total = runs.count()
+    n = max(n, -(-total // RANGE_ROWS))
     share = min(1.0, n * SAMPLE_PER_RANGE / max(total, 1))
     draw = F.pmod(F.xxhash64("urlkey", "stamp", "page_id", "file", "at"), F.lit(1 << 30)) / float(1 << 30)
     seen = runs.where(draw < share).select("urlkey", "stamp", "page_id").collect()  # about n * SAMPLE_PER_RANGE keys

@@ -87,6 +87,12 @@ def test_jaccard_of_a_large_group_of_distant_copies_meets_few_pairs(spark, monke
     assert sum(x.count() for x in met) < 20 * len(values)  # all pairs of the 500 are 124,750
 
 
+def test_jaccard_of_tasks_with_and_without_frequent_shingles(spark):
+    values = ["a b c d e f"] + [f"a b c d e x{k}" for k in range(40)] + [f"u{k} v{k} w{k} x{k} y{k} z{k}" for k in range(40)] + ["a b c d e"]
+    got = jaccard.near_duplicates(docs(spark, values).repartitionByRange(4, "doc_id"), hot_sets=16).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(enumerate(components([shingle_set(t) for t in values])))
+
+
 def test_jaccard_of_nothing_and_without_ids(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
@@ -229,8 +235,9 @@ def test_repeated_lines_are_brute_force(least):
         size = {v: r.choice([0, 1, 5, 12, 45]) for v in range(1, 8)} | {0: 0}
         x, y = ([r.randint(0, r.choice([2, 7])) for _ in range(r.randint(0, 25))] for _ in range(2))
         v, w = (np.array([size[k] for k in z], np.int32) for z in (x, y))
-        got = linededup.repeated_lines(np.array(x, np.uint64), np.array(y, np.uint64), v, w, least).tolist()
-        assert trimmed(got, y, size) == trimmed(common_lines(x, y, size, least), y, size), (case, x, y)
+        for find in (linededup.repeated_lines, linededup.aligned_lines):
+            got = find(np.array(x, np.uint64), np.array(y, np.uint64), v, w, least).tolist()
+            assert trimmed(got, y, size) == trimmed(common_lines(x, y, size, least), y, size), (case, x, y)
 
 
 def test_line_dedup_cuts_moved_and_repeated_passages(spark):
@@ -240,6 +247,19 @@ def test_line_dedup_cuts_moved_and_repeated_passages(spark):
     assert got == {0: values[0], 1: "h\nz\nw", 2: f"{r}\nq", 3: "z"}
 
 
+def test_patience_diff_aligns_the_gaps_between_anchors():
+    assert linededup.common_blocks([101, 11, 1, 2, 3, 12, 102, 1, 2, 3], [101, 21, 1, 2, 3, 22, 102, 1, 2, 3]) == [(0, 0, 1), (2, 2, 3), (6, 6, 4)]
+
+
+def test_line_dedup_of_repeats_nulls_and_clashing_columns(spark):
+    p = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, p, "x"), (1, p, "x"), (2, p, "y"), (None, p, "z"), (3, None, "z"), (4, "", "z"), (5, f"{p}\n\n{p}", "z")]
+    found = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string"))
+    got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.deleted_lines, r.all_deleted) for r in found.collect()), key=lambda r: (r[0], r[2]))
+    assert got == [(0, p, 1, [], False), (1, p, 1, [], False), (1, p, 1, [], False), (2, "", 1, [0], True), (3, None, 0, [], False), (4, "", 1, [], False), (5, "", 3, [0, 1, 2], True)]
+    assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_line_dedup_is_brute_force(spark):
     r = random.Random(5)
     line = {k: " ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([0, 2, 15, 15, 20, 30, 45])}
@@ -290,6 +310,32 @@ def test_top_k_is_brute_force(spark):
         scored = sorted((-int(q[ids.index(i)] @ q[k]), j) for k, j in enumerate(ids) if j != i)[:5]
         want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(scored)}
     assert got == want
+    parts = topk.top_k(df, df.where("vec_id % 50 = 0 or vec_id = 305"), block_rows=40).collect()
+    assert {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in parts} == want
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_the_threshold_stops_before_all_rows_where_dimensions_differ():
+    r = np.random.default_rng(4)
+    v = np.floor(256 * r.normal(size=(5000, 8)) * 2.0 ** -np.arange(8))
+    lists = topk.SortedLists(np.arange(5000), v)
+    for i in range(20):
+        places, scores = lists.best(v[i], 5, i)
+        all_ = v @ v[i]
+        assert places.tolist() == [j for _, j in sorted((-s, j) for j, s in enumerate(all_.tolist()) if j != i)][:5]
+        assert scores.tolist() == all_[places].tolist()
+        floor = float(scores[2])
+        assert lists.best(v[i], 5, i, floor)[0].tolist() == [j for j in sorted(range(5000), key=lambda j: (-all_[j], j)) if j != i and all_[j] >= floor][:5]
+    assert lists.scored < 40 * 5000 / 4  # rows met by the forty searches
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(1, [2.0**33, 1.0]), (2, [2.0**-8, 2.0**20]), (3, [2.0**20, 3.0]), (3, [2.0**20, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x["rank"], x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id = 2")).collect()]
+    assert sorted(got) == [(1, 1, 2**41 + 2**36), (2, 3, 2**28 + 2**28 * 768), (3, 3, 2**28 + 2**28 * 768)]
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big|int"):
+        topk.top_k(df, df.where("vec_id = 1").withColumn("vec_id", F.lit(9).cast("long"))).collect()
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
