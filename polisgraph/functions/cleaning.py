@@ -39,19 +39,17 @@ def first_last(c) -> Column:
 def name_key(c) -> Column:
     """Lower case, no punctuation, without company suffixes at the end: what names are compared by."""
     plain = F.trim(F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", " "))
-    return F.trim(F.regexp_replace(plain, "( (inc|llc|ltd|corp|co|company|incorporated|corporation|foundation))+$", ""))
+    return F.trim(F.regexp_replace(plain, f"(^| )({'|'.join(V.NAME_SUFFIXES)})( ({'|'.join(V.NAME_SUFFIXES)}))*$", ""))
 
 
 def ein(c) -> Column:
-    """Nine digits, or null."""
-    digits = F.regexp_replace(_c(c), "[^0-9]", "")
-    return F.when(F.length(digits) == 9, digits)
+    """All digits of a tax number, or null without any."""
+    return F.nullif(F.regexp_replace(_c(c).cast("string"), "[^0-9]", ""), F.lit(""))
 
 
 def uei(c) -> Column:
-    """Twelve upper-case letters and digits, or null."""
-    plain = F.upper(F.regexp_replace(_c(c), "[^A-Za-z0-9]", ""))
-    return F.when(F.length(plain) == 12, plain)
+    """All letters, upper case, and digits of an entity's id, or null without any."""
+    return F.nullif(F.upper(F.regexp_replace(_c(c).cast("string"), "[^A-Za-z0-9]", "")), F.lit(""))
 
 
 def fingerprint(*columns) -> Column:
@@ -96,22 +94,74 @@ def parse_date(c) -> Column:
 def meeting_type(title) -> Column:
     """The first keyword of a title in order of precedence."""
     t, out = F.lower(_c(title)), F.lit("other")
-    for word, kind in reversed((("closed session", "closed_session"), ("joint", "joint"), ("budget", "budget"), ("special", "special"), ("regular", "regular"))):
+    for word, kind in reversed((("closed session", "closed_session"), ("joint", "joint_meeting"), ("budget", "budget"), ("special", "special"), ("regular", "regular"))):
         out = F.when(t.contains(word), kind).otherwise(out)
     return out
 
 
 def search_rank(node_type, degree, last_day, as_of: str) -> Column:
-    """0 to 100: half a hundred, up to 25 for links, up to 25 for activity in the last three years, and the type's weight."""
+    """0 to 100: half a hundred, up to 25 for links, up to 25 for activity in the last three years (25 for days to come),
+    and the type's weight; a record has only its links and ten, 30 at most."""
     n, t = _c(degree), _c(node_type)
     linked = F.least(F.lit(25), F.floor(20 * F.log1p(n) / F.log(F.lit(1000.0)) + 1e-9))
-    days = F.datediff(F.lit(as_of).cast("date"), F.try_to_date(_c(last_day)))
-    recent = F.coalesce(F.greatest(F.lit(0), 25 - F.floor(25 * days / 1095)), F.lit(0))
+    days = F.datediff(F.lit(as_of).cast("date"), F.try_to_date(F.substring(_c(last_day), 1, 10)))
+    recent = F.coalesce(F.when(days < 0, 25).otherwise(F.greatest(F.lit(0), 25 - F.floor(25 * days / 1095))), F.lit(0))
     clamp = lambda x, top: F.least(F.lit(top), F.greatest(F.lit(0), x)).cast("int")
-    weight = F.when(t.isin("Person", "Organization", "Project", "Case"), 5).otherwise(0)
+    weight = F.lit(0)
+    for name, w in V.SEARCH_WEIGHT.items():
+        weight = F.when(t == name, w).otherwise(weight)
     return F.when(t == "Record", clamp(linked + 10, 30)).otherwise(clamp(50 + linked + recent + weight, 100))
 
 
+def title_case(c) -> Column:
+    """Underscores to spaces, words with a capital first."""
+    return F.initcap(F.replace(_c(c), F.lit("_"), F.lit(" ")))
+
+
+def joined(sep: str, *parts) -> Column:
+    """The parts that are neither null nor blank; null without any."""
+    return F.nullif(F.concat_ws(sep, *[F.nullif(_c(p), F.lit("")) for p in parts]), F.lit(""))
+
+
+def search_label(node_type, node_id, label, kind, day, filer) -> Column:
+    """How search results name a node of a type."""
+    t, name = _c(node_type), F.coalesce(F.nullif(_c(label), F.lit("")), _c(node_id))
+    return (
+        F.when(t == "Decision", joined(" · ", name, day))
+        .when(t == "Meeting", joined(" — ", name, day))
+        .when(t == "Filing", joined(" · ", title_case(kind), filer, day))
+        .when(t == "Election", joined(" — ", F.coalesce(_c(kind), F.lit("Election")), day))
+        .when(t == "Record", title_case(F.coalesce(_c(kind), F.lit("Record"))))
+        .otherwise(name)
+    )
+
+
+def search_terms(node_type, node_id, label, kind, day, filer, url) -> Column:
+    """Lower-case words by which a node of a type is found: id, name, and what its type adds."""
+    t = _c(node_type)
+    host = F.regexp_extract(F.lower(_c(url)), "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    when = F.when(t.isin("Decision", "Meeting"), _c(day))
+    more = F.when(t.isin("Filing", "Record"), _c(kind))
+    by = F.when(t == "Filing", _c(filer))
+    name = F.when(~t.isin("Filing", "Record", "Election"), _c(label))
+    return F.lower(joined(" ", _c(node_id), name, when, more, by, F.when(t == "Record", host)))
+
+
+def search_key_fact(node_type, label, kind, status, day, filer) -> Column:
+    """A headline of a node of a type; null where its parts are missing."""
+    t, name = _c(node_type), F.nullif(_c(label), F.lit(""))
+    return (
+        F.when(t == "Person", F.lit(None).cast("string"))
+        .when(t.isin("Decision", "Case", "Meeting"), joined(" · ", name, F.when(name.isNotNull() | (t != "Decision"), _c(day))))
+        .when(t.isin("Project", "Program"), joined(" · ", name, status))
+        .when(t == "Filing", joined(" · ", title_case(kind), filer, day))
+        .when(t == "Organization", joined(" · ", name, kind))
+        .when(t == "Election", joined(" · ", F.coalesce(_c(kind), F.lit("Election")), day))
+        .when(t == "Record", title_case(F.coalesce(_c(kind), F.lit("Record"))))
+        .otherwise(name)
+    )
+
+
 def synthesis_hash(text, neighbours) -> Column:
     """Changes with a node's text or with the set of its neighbours, not with their order."""
     return F.sha2(F.concat_ws("\n", _c(text), F.array_join(F.array_sort(_c(neighbours)), ",")), 256)

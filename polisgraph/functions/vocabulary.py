@@ -31,11 +31,23 @@ PREFIX = {
     "Amendment": "amendment", "Seat": "seat", "SeatService": "service", "Election": "election", "Candidacy": "candidacy", "Issue": "issue", "Membership": "membership", "EconomicInterest": "economicinterest",
 }
 
-# Classes in which edges are drawn.
+# Classes in which edges are drawn; any other edge is governance.  No relationship constrains yet.
 EDGE_STYLE = {
-    "money": ("FROM_SOURCE", "TO_TARGET", "RELATED_TO_ELECTION", "COUNTERPARTY_ACTOR"),
-    "legal": ("PARTY_TO", "PART_OF_CASE", "HEARD_BY", "HEARD_IN"),
+    "money": ("FROM_SOURCE", "TO_TARGET", "DISCLOSED_IN_FILING", "RELATES_TO_AGREEMENT"),
+    "legal-constrains": (),
 }
 
+# What a type adds to its rank in searches; other types are not searched.
+SEARCH_WEIGHT = {
+    "Person": 20, "Organization": 18, "Decision": 16, "Project": 14, "Program": 14, "Case": 14, "Meeting": 10, "Filing": 10, "Committee": 10,
+    "Agreement": 8, "Amendment": 6, "Election": 6, "Place": 4, "Issue": 4, "Record": 0,
+}
+# Types whose dates count as activity of their neighbours.
+ACTIVITY_TYPES = ("Meeting", "Decision", "MoneyFlow", "Filing", "Election", "Proceeding", "Agreement", "Amendment", "Case")
+# Endings of names that are left out when names are compared.
+NAME_SUFFIXES = ("inc", "incorporated", "llc", "corp")
+# Words that a cluster's name takes no account of.
+STOP_WORDS = ("the", "a", "an", "of", "for", "and", "or", "in", "on", "at", "to", "by", "with", "from", "is", "as", "this")
+
 # Promotion states from the weakest.
 PROMOTION = ("review", "candidate", "promoted", "canonical")

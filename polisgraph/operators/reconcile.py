@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOLERANCE = 0.01
-
 
 def reconcile(rows: DataFrame, measured: str, reference: str) -> DataFrame:
-    """``rows`` with delta, its size and direction, a status and a severity.
+    """``rows`` with delta, its size and direction, a status, a severity and a confidence.
 
-    A missing measurement or a shortfall is an extraction gap, a surplus a source inconsistency, a missing
-    reference needs review.
+    Without one of the two values the row needs review, with medium confidence and no delta.  Values are compared after
+    rounding to cents: a shortfall is an extraction gap, a surplus a source inconsistency.
     """
-    m, r = F.col(measured), F.col(reference)
-    delta = (m - r).cast("decimal(18,2)")
-    direction = F.when(delta > 0, "over").when(delta < 0, "under").when(delta == 0, "equal").otherwise("unknown")
-    status = F.when(m.isNull(), "extraction_gap").when(r.isNull(), "needs_review").when(F.abs(delta) <= TOLERANCE, "reconciled").when(delta < 0, "extraction_gap").otherwise("source_inconsistency")
-    return rows.withColumns({"delta": delta, "absolute_delta": F.abs(delta).cast("decimal(18,2)"), "direction": direction, "status": status}).withColumn("severity", F.when(F.col("status") == "reconciled", "info").otherwise("warn"))
+    delta = F.round(F.col(measured) - F.col(reference), 2).cast("decimal(18,2)")
+    direction = F.when(delta > 0, "measured_gt_reference").when(delta < 0, "reference_gt_measured").when(delta == 0, "equal")
+    status = F.when(delta.isNull(), "needs_review").when(delta == 0, "reconciled").when(delta < 0, "extraction_gap").otherwise("source_inconsistency")
+    out = rows.withColumns({"delta": delta, "absolute_delta": F.abs(delta).cast("decimal(18,2)"), "direction": direction, "status": status, "confidence": F.when(delta.isNull(), "medium").otherwise("high")})
+    return out.withColumn("severity", F.when(F.col("status") == "reconciled", "info").otherwise("warn"))

@@ -108,6 +108,6 @@ ORACLE_SQL = {
     "neighbourhood_total": with_graph(f"{_BOTH}, one AS (SELECT DISTINCT n.id AS s, v FROM nodes n JOIN und ON u = n.id WHERE n.node_type = 'SeatService'), two AS (SELECT s, v FROM one UNION SELECT s, b.v FROM one JOIN und b ON b.u = one.v) SELECT s AS start, count(*) AS total FROM two WHERE v <> s GROUP BY s"),
     "edges_among": with_graph(f"{_BOTH}, ids AS (SELECT id FROM nodes WHERE node_type IN ('Case', 'Proceeding', 'Program', 'Person')) SELECT DISTINCT u, rel, v FROM und WHERE u < v AND u IN (SELECT id FROM ids) AND v IN (SELECT id FROM ids)"),
     "components": with_graph("l AS MATERIALIZED (SELECT source_id AS u, target_id AS v FROM edges WHERE rel IN ('PARTY_TO', 'PART_OF_CASE')), b AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l), r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node", recursive=True),
-    "edge_styles": with_graph("SELECT CASE " + " ".join(f"WHEN rel IN ({', '.join(repr(r) for r in rels)}) THEN '{k}'" for k, rels in V.EDGE_STYLE.items()) + " ELSE 'governance' END AS style, count(*) AS edges FROM edges GROUP BY 1"),
+    "edge_styles": with_graph("SELECT CASE " + " ".join(f"WHEN rel IN ({', '.join(repr(r) for r in rels)}) THEN '{k}'" for k, rels in V.EDGE_STYLE.items() if rels) + " ELSE 'governance' END AS style, count(*) AS edges FROM edges GROUP BY 1"),
     "merged_edges": with_graph("SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, rel, count(*) AS n FROM edges WHERE rel IN ('CAST_VOTE', 'PARTY_TO', 'DECIDED_BY') GROUP BY ALL"),
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polisgraph.graph import Graph
@@ -88,33 +88,42 @@ def is_current(ended: str, as_of: str) -> Column:
     return c.isNull() | (c == "") | (F.try_to_date(c) >= F.to_date(F.lit(as_of)))
 
 
-def officeholder_coverage(g: Graph, as_of: str, seat: str | None) -> DataFrame:
-    s = g.of("SeatService").where(is_current("ended_date", as_of)).select(F.col("id").alias("service_id"))
-    held = g.rel("HELD_BY", source="service_id", target="person_id")
-    seats = g.rel("FOR_SEAT", source="service_id", target="seat_id")
-    s = s.join(held, "service_id").join(seats, "service_id", "left")
-    s = s.where(F.col("seat_id") == seat) if seat else s
-    filings = g.rel("FILED_BY", source="filing_id", target="person_id").groupBy("person_id").agg(F.countDistinct("filing_id").alias("filings"))
-    during = g.rel("FILED_DURING_SEAT_SERVICE", source="filing_id", target="service_id").groupBy("service_id").agg(F.countDistinct("filing_id").alias("during_service"))
-    out = s.join(filings, "person_id", "left").join(during, "service_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("person_id", "service_id", "seat_id", zero("filings"), zero("during_service")).orderBy(down("filings"), up("person_id"), up("service_id")).limit(500)
-
-
-def agreements_for_project(g: Graph, project: str) -> DataFrame:
-    linked = g.undirected().where(F.col("v") == project).select(F.col("u").alias("id")).distinct().withColumn("linked", F.lit(True))
-    amendments = g.rel("AMENDS_AGREEMENT", source="amendment", target="id").groupBy("id").agg(F.count("*").alias("amendments"))
-    a = g.of("Agreement").join(linked, "id", "left").where(F.col("linked") | (F.col("ref_id") == project))
-    return a.join(amendments, "id", "left").select(F.col("id").alias("agreement_id"), F.col("label").alias("title"), "amount", F.coalesce("amendments", F.lit(0)).alias("amendments")).orderBy(down("amendments"), up("agreement_id")).limit(500)
-
-
-def legal_proceedings(g: Graph, kind: str | None) -> DataFrame:
-    p = g.of("Proceeding").where(F.col("kind") == kind) if kind else g.of("Proceeding")
+def officeholder_coverage(g: Graph, as_of: str, jurisdiction: str | None) -> DataFrame:
+    """Current services with the number of their holder's disclosure filings of each form."""
+    s = g.of("SeatService").where(is_current("ended_date", as_of)).select(F.col("id").alias("service"), F.col("ref_id").alias("seat_ref"))
+    held = g.undirected().where(F.col("rel") == "HELD_BY").select(F.col("u").alias("service"), F.col("v").alias("id"))
+    people = g.of("Person").select("id", F.coalesce("label", "id").alias("person_name"))
+    seats = g.of("Seat").select(F.col("id").alias("seat"), F.col("label").alias("seat_name"), F.col("ref_id").alias("seat_place"))
+    s = s.join(held, "service").join(people, "id").join(g.rel("FOR_SEAT", source="service", target="seat"), "service", "left").join(seats, "seat", "left")
+    s = s.where(F.col("seat_place") == jurisdiction) if jurisdiction else s
+    forms = g.of("Filing").where(F.col("kind").isin("form_700", "form_803")).select(F.col("id").alias("f"), "kind").join(g.rel("FILED_BY", source="f", target="id"), "f")
+    filed = forms.groupBy("id").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("f"))).alias(f"{k}_count") for k in ("form_700", "form_803")])
+    counts = [F.coalesce(f"form_{k}_count", F.lit(0)).alias(f"form_{k}_count") for k in (700, 803)]
+    out = s.join(filed, "id", "left").select("person_name", F.coalesce("seat_name", "seat_ref", "service").alias("seat_display"), *counts, "id")
+    return out.orderBy(up("person_name"), up("id"), up("seat_display")).limit(500)
+
+
+def agreements_for_project(g: Graph, project: str | None) -> DataFrame:
+    """Agreements tied to a project by any edge or by its name, or all without a project."""
+    a = g.of("Agreement")
+    if project:
+        linked = g.undirected().where(F.col("v") == project).select(F.col("u").alias("id")).distinct().withColumn("linked", F.lit(True))
+        a = a.join(linked, "id", "left").where(F.col("linked") | (F.col("ref_id") == project))
+    amendments = g.rel("AMENDS_AGREEMENT", source="amendment", target="id", source_type="amendment").groupBy("id").agg(F.count("*").alias("n"))
+    out = a.join(amendments, "id", "left").select(F.coalesce("label", "id").alias("agreement_name"), F.col("event_date").alias("effective_date"), "amount", F.coalesce("n", F.lit(0)).alias("amendment_count"), "id")
+    return out.orderBy(down("effective_date"), up("id")).limit(500)
+
+
+def legal_proceedings(g: Graph, case: str | None) -> DataFrame:
+    """Proceedings of a case, or of all, once for each edge of the case to a program or project."""
     part = g.rel("PART_OF_CASE", "PART_OF", source="id", target="case_id")
-    cases = g.of("Case").select(F.col("id").alias("case_id"), F.col("label").alias("case_name"))
-    linked = g.undirected().where(F.col("u").startswith("case-") & (F.col("v").startswith("program-") | F.col("v").startswith("project-"))).select(F.col("u").alias("case_id"), F.col("v").alias("linked_id")).distinct()
-    out = p.join(part, "id").join(cases, "case_id").join(linked, "case_id", "left")
-    return out.select(F.col("id").alias("proceeding_id"), F.col("event_date").alias("occurred_at"), "case_id", "case_name", "linked_id").orderBy(down("occurred_at"), up("proceeding_id"), up("linked_id")).limit(500)
+    cases = g.of("Case").select(F.col("id").alias("case_id"), F.coalesce("label", "id").alias("case_caption"))
+    cases = cases.where(F.col("case_id") == case) if case else cases
+    linked = g.undirected().where(F.col("u").startswith("case-") & (F.col("v").startswith("program-") | F.col("v").startswith("project-"))).select(F.col("u").alias("case_id"), F.col("v").alias("linked"))
+    names = g.of("Program", "Project").select(F.col("id").alias("linked"), F.coalesce("label", "id").alias("affected_program"))
+    out = g.of("Proceeding").join(part, "id").join(cases, "case_id").join(linked.join(names, "linked"), "case_id", "left")
+    out = out.select("case_caption", F.col("kind").alias("proceeding_type"), F.col("event_date").alias("occurred_at"), "affected_program", "id")
+    return out.orderBy(down("occurred_at"), up("id"), up("affected_program")).limit(500)
 
 
 def evidence_records(g: Graph, target: str) -> DataFrame:
@@ -123,19 +132,24 @@ def evidence_records(g: Graph, target: str) -> DataFrame:
     return out.orderBy(down("captured_at"), up("record_id")).limit(500)
 
 
-def pressure_ranking(g: Graph) -> DataFrame:
-    """Money, decisions and evidence around projects, programs and cases; parallel links multiply money (T16)."""
-    subject = F.col("v").startswith("project-") | F.col("v").startswith("program-") | F.col("v").startswith("case-")
-    near = g.undirected().where(subject)
-    flows = near.where(F.col("u").startswith("moneyflow-")).select(F.col("v").alias("id"), F.col("u").alias("flow"))
-    amounts = g.of("MoneyFlow").select(F.col("id").alias("flow"), F.coalesce("amount", F.lit(0)).alias("amount"))
-    money = flows.join(amounts, "flow").groupBy("id").agg(F.countDistinct("flow").alias("flows"), F.sum("amount").cast("decimal(18,2)").alias("money"))
-    decisions = near.where(F.col("u").startswith("decision-")).groupBy(F.col("v").alias("id")).agg(F.countDistinct("u").alias("decisions"))
-    records = near.where(F.col("u").startswith("record-")).groupBy(F.col("v").alias("id")).agg(F.countDistinct("u").alias("records"))
-    out = g.of("Project", "Program", "Case").select("id", "node_type", "label").join(money, "id", "left").join(decisions, "id", "left").join(records, "id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = out.select("id", "node_type", "label", zero("flows"), F.coalesce("money", F.lit(0).cast("decimal(18,2)")).cast("decimal(18,2)").alias("money"), zero("decisions"), zero("records"))
-    return out.orderBy(F.desc("money"), F.desc("decisions"), F.desc("records"), "id").limit(100)
+def pressure_ranking(g: Graph, place: str) -> DataFrame:
+    """Money, proceedings and evidence around a place's projects, programs and cases; parallel links multiply money (T16).
+
+    A thread is of the place by an edge to it, or by an id that names it.
+    """
+    there = g.rel("IN_JURISDICTION", "PRIMARY_PLACE", source="id", target="place").where(F.col("place") == place).select("id").distinct().withColumn("there", F.lit(True))
+    named = F.col("id").contains(place.removeprefix("place-"))
+    threads = g.of("Project", "Program", "Case").select("id", "node_type", "label").join(there, "id", "left").where(F.coalesce("there", F.lit(False)) | named).drop("there")
+    near = g.undirected().where(F.col("u").startswith("moneyflow-") | F.col("u").startswith("proceeding-")).select(F.col("v").alias("id"), "u").join(threads.select("id"), "id")
+    amounts = g.of("MoneyFlow").select(F.col("id").alias("u"), F.coalesce("amount", F.lit(0)).alias("amount"))
+    money = near.join(amounts, "u").groupBy("id").agg(F.sum("amount").cast("decimal(18,2)").alias("money"))
+    legal = near.where(F.col("u").startswith("proceeding-")).groupBy("id").agg(F.count_distinct("u").alias("legal"))
+    records = g.rel("EVIDENCED_BY", source="id", target="record", target_type="record").groupBy("id").agg(F.count_distinct("record").alias("records"))
+    out = threads.join(money, "id", "left").join(legal, "id", "left").join(records, "id", "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    money = F.coalesce("money", F.lit(0).cast("decimal(18,2)")).cast("decimal(18,2)").alias("money_pressure")
+    out = out.select(F.coalesce("label", "id").alias("thread_name"), F.col("node_type").alias("type"), money, zero("legal", "legal_pressure"), zero("records", "evidence_density"), "id")
+    return out.orderBy(F.desc("money_pressure"), F.desc("legal_pressure"), F.desc("evidence_density"), "id").limit(100)
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_day: str, right_day: str, window: int) -> DataFrame:
@@ -150,36 +164,44 @@ def interval_join(left: DataFrame, right: DataFrame, left_day: str, right_day: s
     return out.where(F.abs("days_delta") <= window).drop("_bucket")
 
 
-def money_near_decisions(g: Graph, window: int, minimum: float, institution: str) -> DataFrame:
-    d = g.of("Decision").where(F.col("ref_id") == institution).select(F.col("id").alias("decision_id"), F.col("event_date").alias("decided_at"))
-    f = g.of("MoneyFlow").where((F.col("kind") == "contribution") & (F.col("amount") >= minimum)).select(F.col("id").alias("flow_id"), F.col("event_date").alias("flow_date"), "amount")
-    out = interval_join(d, f, "decided_at", "flow_date", window).select("decision_id", "decided_at", "flow_id", "flow_date", "amount", "days_delta")
-    return out.orderBy(F.abs("days_delta"), down("decided_at"), "decision_id", "flow_id").limit(500)
+def money_around_decisions(g: Graph, window: int, jurisdiction: str, most: int = 500) -> DataFrame:
+    """Every dated flow near a decision whose institution or id contains the slug: any kind and amount, also none.
 
-
-def money_around_decisions(g: Graph, window: int, jurisdiction: str) -> DataFrame:
-    """Every dated flow near a decision whose institution or id contains the slug: any kind and amount, also none."""
-    d = g.of("Decision").where(F.col("ref_id").contains(jurisdiction) | F.col("id").contains(jurisdiction)).select(F.col("id").alias("decision_id"), F.col("event_date").alias("decided_at"))
-    f = g.of("MoneyFlow").select(F.col("id").alias("flow_id"), F.col("event_date").alias("flow_date"), "amount")
-    out = interval_join(d, f, "decided_at", "flow_date", window).select("decision_id", "decided_at", "flow_id", "flow_date", "amount", "days_delta")
-    return out.orderBy(F.abs("days_delta"), down("decided_at"), "flow_id", "decision_id").limit(500)
+    The nearest pairs come first, then the latest decisions.  Counts by day tell which pairs of days those are, so only
+    the rows of these days are joined: a table of days and distances, not of rows, is ordered as a whole.
+    """
+    day = lambda c: F.try_to_date(F.col(c))
+    d = g.of("Decision").where(F.col("ref_id").contains(jurisdiction) | F.col("id").contains(jurisdiction)).select(F.col("id").alias("decision_id"), F.col("event_date").alias("decided_at"), day("event_date").alias("day")).where("day is not null")
+    f = g.of("MoneyFlow").select(F.col("id").alias("flow_id"), F.col("event_date").alias("flow_date"), "amount", day("event_date").alias("flow_day")).where("flow_day is not null")
+    per_day = d.groupBy("day").agg(F.count("*").alias("n")).withColumn("delta", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("flow_day", F.date_sub("day", F.col("delta")))
+    cells = per_day.join(f.groupBy("flow_day").agg(F.count("*").alias("m")), "flow_day").select("day", "flow_day", "delta", (F.col("n") * F.col("m")).alias("pairs"))
+    nearest = Window.orderBy(F.abs("delta"), F.desc("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each day and distance
+    cells = cells.withColumn("so_far", F.sum("pairs").over(nearest)).groupBy("day", F.abs("delta").alias("gap")).agg(F.collect_list(F.struct("flow_day", "delta")).alias("c"), F.max("so_far").alias("so_far"), F.sum("pairs").alias("pairs"))
+    cells = cells.where(F.col("so_far") - F.col("pairs") < most).select("day", F.explode("c").alias("c")).select("day", "c.flow_day", "c.delta")
+    # Within a pair of days the order is by flow, then by decision: more than ``most`` of either can't come up.
+    few = lambda df, key, own: df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(own))).where(F.col("k") <= most).drop("k")
+    flows = few(f.join(cells.select("flow_day").distinct(), "flow_day", "left_semi"), "flow_day", "flow_id")
+    decisions = few(d.join(cells.select("day").distinct(), "day", "left_semi"), "day", "decision_id")
+    out = cells.join(decisions, "day").join(flows, "flow_day").select("decision_id", "decided_at", "flow_id", "flow_date", "amount", F.col("delta").alias("days_delta"))
+    return out.orderBy(F.abs("days_delta"), down("decided_at"), "flow_id", "decision_id").limit(most)
 
 
 def validation_gaps(g: Graph) -> DataFrame:
-    """Five kinds of gaps, counted."""
+    """Five kinds of gaps, counted; a blank date is a missing one."""
     cited = g.rel("EVIDENCED_BY", source="x", target="id").select("id").distinct()
+    undated = F.coalesce("event_date", F.lit("")) == ""
     gaps = [
-        ("records_without_evidence_links", g.of("Record").join(cited, "id", "left_anti")),
-        ("decisions_without_date", g.of("Decision").where("event_date is null")),
-        ("flows_without_amount", g.of("MoneyFlow").where("amount is null")),
-        ("filings_without_signature_date", g.of("Filing").where("event_date is null")),
-        ("proceedings_without_date", g.of("Proceeding").where("event_date is null")),
+        ("decisions.missing_decided_at", "Decisions with no decided_at date", g.of("Decision").where(undated)),
+        ("money_flows.missing_amount", "Money flows with no amount", g.of("MoneyFlow").where("amount is null")),
+        ("filings.missing_signed_at", "Filings with no signed_at date", g.of("Filing").where(undated)),
+        ("records.orphan_no_target", "Records not attached to any target", g.of("Record").join(cited, "id", "left_anti")),
+        ("agreements.missing_effective_date", "Agreements with no effective_date", g.of("Agreement").where(undated)),
     ]
     out = None
-    for name, df in gaps:
-        row = df.agg(F.count("*").alias("gaps")).select(F.lit(name).alias("category"), "gaps")
+    for name, description, df in gaps:
+        row = df.agg(F.count("*").alias("count")).select(F.lit(name).alias("category"), F.lit(description).alias("description"), "count")
         out = row if out is None else out.unionByName(row)
-    return out.distinct().orderBy(F.desc("gaps"), "category")
+    return out.orderBy("category")
 
 
 def _sql(body: str) -> str:
@@ -206,44 +228,47 @@ TEMPLATES = {
         ORDER BY signed_at DESC NULLS FIRST, filing_id LIMIT 500"""),
         {"filing_type": "purchase", "start": "2024-01-01", "end": "2024-12-31", "filer": None}),
     "officeholder_form_coverage": Template(officeholder_coverage, _sql("""
-        SELECT h.target_id AS person_id, s.id AS service_id, e.target_id AS seat_id,
-          (SELECT count(DISTINCT source_id) FROM edges WHERE rel = 'FILED_BY' AND target_id = h.target_id) AS filings,
-          (SELECT count(DISTINCT source_id) FROM edges WHERE rel = 'FILED_DURING_SEAT_SERVICE' AND target_id = s.id) AS during_service
-        FROM nodes s JOIN edges h ON h.rel = 'HELD_BY' AND h.source_id = s.id LEFT JOIN edges e ON e.rel = 'FOR_SEAT' AND e.source_id = s.id
-        WHERE s.node_type = 'SeatService' AND (s.ended_date IS NULL OR s.ended_date = '' OR TRY_CAST(s.ended_date AS DATE) >= DATE '2026-01-01')
-        ORDER BY filings DESC, person_id, service_id LIMIT 500"""),
-        {"as_of": "2026-01-01", "seat": None}, ("as_of",)),
+        SELECT coalesce(p.label, p.id) AS person_name, coalesce(t.label, s.ref_id, s.id) AS seat_display,
+          (SELECT count(DISTINCT f.id) FROM edges b JOIN nodes f ON f.id = b.source_id AND f.node_type = 'Filing' WHERE b.rel = 'FILED_BY' AND b.target_id = p.id AND f.kind = 'form_700') AS form_700_count,
+          (SELECT count(DISTINCT f.id) FROM edges b JOIN nodes f ON f.id = b.source_id AND f.node_type = 'Filing' WHERE b.rel = 'FILED_BY' AND b.target_id = p.id AND f.kind = 'form_803') AS form_803_count, p.id
+        FROM nodes s JOIN edges h ON h.rel = 'HELD_BY' AND (h.source_id = s.id OR h.target_id = s.id) JOIN nodes p ON p.node_type = 'Person' AND p.id = CASE WHEN h.source_id = s.id THEN h.target_id ELSE h.source_id END
+        LEFT JOIN edges e ON e.rel = 'FOR_SEAT' AND e.source_id = s.id LEFT JOIN nodes t ON t.id = e.target_id AND t.node_type = 'Seat'
+        WHERE s.node_type = 'SeatService' AND (s.ended_date IS NULL OR s.ended_date = '' OR TRY_CAST(s.ended_date AS DATE) >= DATE '2026-01-01') AND t.ref_id = 'place-nation-23'
+        ORDER BY person_name, p.id, seat_display LIMIT 500"""),
+        {"as_of": "2026-01-01", "jurisdiction": "place-nation-23"}, ("as_of",)),
     "agreements_for_project": Template(agreements_for_project, _sql("""
-        SELECT a.id AS agreement_id, a.label AS title, a.amount, (SELECT count(*) FROM edges m WHERE m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.id) AS amendments
-        FROM nodes a WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-10' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-10' OR e.target_id = a.id AND e.source_id = 'project-10'))
-        ORDER BY amendments DESC, agreement_id LIMIT 500"""),
-        {"project": "project-10"}, ("project",)),
+        SELECT coalesce(a.label, a.id) AS agreement_name, a.event_date AS effective_date, a.amount, (SELECT count(*) FROM edges m WHERE m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.id AND m.source_id LIKE 'amendment-%') AS amendment_count, a.id
+        FROM nodes a WHERE a.node_type = 'Agreement' ORDER BY effective_date DESC NULLS FIRST, a.id LIMIT 500"""),
+        {"project": None}),
     "legal_proceedings": Template(legal_proceedings, _sql("""
         linked AS (SELECT source_id AS c, target_id AS x FROM edges WHERE source_id LIKE 'case-%' AND (target_id LIKE 'program-%' OR target_id LIKE 'project-%')
-          UNION SELECT target_id, source_id FROM edges WHERE target_id LIKE 'case-%' AND (source_id LIKE 'program-%' OR source_id LIKE 'project-%'))
-        SELECT p.id AS proceeding_id, p.event_date AS occurred_at, c.id AS case_id, c.label AS case_name, l.x AS linked_id
-        FROM nodes p JOIN edges e ON e.rel IN ('PART_OF_CASE', 'PART_OF') AND e.source_id = p.id JOIN nodes c ON c.id = e.target_id AND c.node_type = 'Case' LEFT JOIN linked l ON l.c = c.id
-        WHERE p.node_type = 'Proceeding' ORDER BY occurred_at DESC NULLS FIRST, proceeding_id, linked_id NULLS LAST LIMIT 500"""),
-        {"kind": None}),
+          UNION ALL SELECT target_id, source_id FROM edges WHERE target_id LIKE 'case-%' AND (source_id LIKE 'program-%' OR source_id LIKE 'project-%'))
+        SELECT coalesce(c.label, c.id) AS case_caption, p.kind AS proceeding_type, p.event_date AS occurred_at, coalesce(x.label, x.id) AS affected_program, p.id
+        FROM nodes p JOIN edges e ON e.rel IN ('PART_OF_CASE', 'PART_OF') AND e.source_id = p.id JOIN nodes c ON c.id = e.target_id AND c.node_type = 'Case' LEFT JOIN linked l ON l.c = c.id LEFT JOIN nodes x ON x.id = l.x
+        WHERE p.node_type = 'Proceeding' ORDER BY occurred_at DESC NULLS FIRST, p.id, affected_program NULLS LAST LIMIT 500"""),
+        {"case": None}),
     "evidence_records_supporting": Template(evidence_records, _sql("""
         SELECT r.id AS record_id, r.label AS title, r.event_date AS captured_at, r.url
-        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-10'
+        FROM edges e JOIN nodes r ON r.id = e.target_id AND r.node_type = 'Record' WHERE e.rel = 'EVIDENCED_BY' AND e.source_id = 'project-35'
         ORDER BY captured_at DESC NULLS FIRST, record_id LIMIT 500"""),
-        {"target": "project-10"}, ("target",)),
+        {"target": "project-35"}, ("target",)),
     "local_pressure_ranking": Template(pressure_ranking, _sql("""
         near AS (SELECT source_id AS u, target_id AS v FROM edges UNION ALL SELECT target_id, source_id FROM edges)
-        SELECT n.id, n.node_type, n.label, coalesce(m.flows, 0) AS flows, CAST(coalesce(m.money, 0) AS DECIMAL(18,2)) AS money, coalesce(d.n, 0) AS decisions, coalesce(r.n, 0) AS records
+        SELECT coalesce(n.label, n.id) AS thread_name, n.node_type AS type, CAST(coalesce(m.money, 0) AS DECIMAL(18,2)) AS money_pressure, coalesce(l.n, 0) AS legal_pressure, coalesce(r.n, 0) AS evidence_density, n.id
         FROM nodes n
-        LEFT JOIN (SELECT v, count(DISTINCT u) AS flows, sum(coalesce(f.amount, 0)) AS money FROM near JOIN nodes f ON f.id = u AND f.node_type = 'MoneyFlow' GROUP BY v) m ON m.v = n.id
-        LEFT JOIN (SELECT v, count(DISTINCT u) AS n FROM near WHERE u LIKE 'decision-%' GROUP BY v) d ON d.v = n.id
-        LEFT JOIN (SELECT v, count(DISTINCT u) AS n FROM near WHERE u LIKE 'record-%' GROUP BY v) r ON r.v = n.id
-        WHERE n.node_type IN ('Project', 'Program', 'Case') ORDER BY money DESC, decisions DESC, records DESC, n.id LIMIT 100""")),
-    "campaign_money_near_decisions": Template(money_near_decisions, _sql("""
-        SELECT d.id AS decision_id, d.event_date AS decided_at, f.id AS flow_id, f.event_date AS flow_date, f.amount, CAST(datediff('day', CAST(f.event_date AS DATE), CAST(d.event_date AS DATE)) AS INTEGER) AS days_delta
-        FROM nodes d JOIN nodes f ON abs(datediff('day', CAST(f.event_date AS DATE), CAST(d.event_date AS DATE))) <= 30
-        WHERE d.node_type = 'Decision' AND d.ref_id = 'org-3' AND f.node_type = 'MoneyFlow' AND f.kind = 'contribution' AND f.amount >= 50000
-        ORDER BY abs(days_delta), decided_at DESC, decision_id, flow_id LIMIT 500"""),
-        {"window": 30, "minimum": 50000, "institution": "org-3"}),
+        LEFT JOIN (SELECT v, sum(coalesce(f.amount, 0)) AS money FROM near JOIN nodes f ON f.id = u AND f.node_type = 'MoneyFlow' GROUP BY v) m ON m.v = n.id
+        LEFT JOIN (SELECT v, count(DISTINCT u) AS n FROM near WHERE u LIKE 'proceeding-%' GROUP BY v) l ON l.v = n.id
+        LEFT JOIN (SELECT source_id, count(DISTINCT target_id) AS n FROM edges WHERE rel = 'EVIDENCED_BY' AND target_id LIKE 'record-%' GROUP BY 1) r ON r.source_id = n.id
+        WHERE n.node_type IN ('Project', 'Program', 'Case') AND (contains(n.id, 'nation-3') OR n.id IN (SELECT source_id FROM edges WHERE rel IN ('IN_JURISDICTION', 'PRIMARY_PLACE') AND target_id = 'place-nation-3'))
+        ORDER BY money_pressure DESC, legal_pressure DESC, evidence_density DESC, n.id LIMIT 100"""),
+        {"place": "place-nation-3"}),
+    "campaign_money_near_decisions": Template(money_around_decisions, _sql("""
+        d AS (SELECT id, event_date, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'Decision' AND (contains(ref_id, 'org-1') OR contains(id, 'org-1'))),
+        f AS (SELECT id, event_date, amount, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'MoneyFlow')
+        SELECT d.id AS decision_id, d.event_date AS decided_at, f.id AS flow_id, f.event_date AS flow_date, f.amount, CAST(datediff('day', f.day, d.day) AS INTEGER) AS days_delta
+        FROM d JOIN f ON f.day BETWEEN d.day - 7 AND d.day + 7
+        ORDER BY abs(days_delta), decided_at DESC, flow_id, decision_id LIMIT 500"""),
+        {"window": 7, "jurisdiction": "org-1"}),
     "money_around_decisions": Template(money_around_decisions, _sql("""
         d AS (SELECT id, event_date, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'Decision' AND (contains(ref_id, 'org-3') OR contains(id, 'org-3'))),
         f AS (SELECT id, event_date, amount, TRY_CAST(event_date AS DATE) AS day FROM nodes WHERE node_type = 'MoneyFlow')
@@ -252,12 +277,15 @@ TEMPLATES = {
         ORDER BY abs(days_delta), decided_at DESC, flow_id, decision_id LIMIT 500"""),
         {"window": 30, "jurisdiction": "org-3"}),
     "qa_validation_gaps": Template(validation_gaps, _sql("""
-        SELECT 'records_without_evidence_links' AS category, count(*) AS gaps FROM nodes r WHERE r.node_type = 'Record' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.rel = 'EVIDENCED_BY' AND e.target_id = r.id)
-        UNION SELECT 'decisions_without_date', count(*) FROM nodes WHERE node_type = 'Decision' AND event_date IS NULL
-        UNION SELECT 'flows_without_amount', count(*) FROM nodes WHERE node_type = 'MoneyFlow' AND amount IS NULL
-        UNION SELECT 'filings_without_signature_date', count(*) FROM nodes WHERE node_type = 'Filing' AND event_date IS NULL
-        UNION SELECT 'proceedings_without_date', count(*) FROM nodes WHERE node_type = 'Proceeding' AND event_date IS NULL""")),
+        SELECT 'records.orphan_no_target' AS category, 'Records not attached to any target' AS description, count(*) AS count FROM nodes r WHERE r.node_type = 'Record' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.rel = 'EVIDENCED_BY' AND e.target_id = r.id)
+        UNION SELECT 'decisions.missing_decided_at', 'Decisions with no decided_at date', count(*) FROM nodes WHERE node_type = 'Decision' AND (event_date IS NULL OR event_date = '')
+        UNION SELECT 'money_flows.missing_amount', 'Money flows with no amount', count(*) FROM nodes WHERE node_type = 'MoneyFlow' AND amount IS NULL
+        UNION SELECT 'filings.missing_signed_at', 'Filings with no signed_at date', count(*) FROM nodes WHERE node_type = 'Filing' AND (event_date IS NULL OR event_date = '')
+        UNION SELECT 'agreements.missing_effective_date', 'Agreements with no effective_date', count(*) FROM nodes WHERE node_type = 'Agreement' AND (event_date IS NULL OR event_date = '')""")),
 }
 
+_FOR_ONE = TEMPLATES["agreements_for_project"].sql.replace("WHERE a.node_type = 'Agreement' ORDER", "WHERE a.node_type = 'Agreement' AND (a.ref_id = 'project-35' OR EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a.id AND e.target_id = 'project-35' OR e.target_id = a.id AND e.source_id = 'project-35')) ORDER")
 QUERIES = {f"dq_{slug}": (lambda spark, sf_dir, slug=slug: query(fixture_graph(spark, sf_dir), slug)) for slug in TEMPLATES}
 ORACLE_SQL = {f"dq_{slug}": t.sql for slug, t in TEMPLATES.items()}
+QUERIES["dq_agreements_for_one_project"] = lambda spark, sf_dir: query(fixture_graph(spark, sf_dir), "agreements_for_project", project="project-35")
+ORACLE_SQL["dq_agreements_for_one_project"] = _FOR_ONE

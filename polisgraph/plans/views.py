@@ -143,12 +143,13 @@ def legal_scope(g: Graph, place: str) -> DataFrame:
 
 
 def money_overlap(g: Graph) -> DataFrame:
-    """Subjects with flows to at least two decisions; the 25 with most money are the view."""
-    ends = g.rel("FROM_SOURCE", source="flow", target="subject").unionByName(g.rel("TO_TARGET", source="flow", target="subject"))
-    rows = ends.join(g.rel("RELATES_TO_DECISION", source="flow", target="decision", source_type="moneyflow"), "flow").join(flows_of(g), "flow")
-    per = rows.groupBy("subject", "flow").agg(F.max("amount").alias("amount"), F.min("decision").alias("decision"))
-    out = per.groupBy("subject").agg(F.count("*").alias("flow_count"), F.countDistinct("decision").alias("decisions"), F.sum("amount").cast(MONEY).alias("total")).where("flow_count >= 2 and decisions >= 2")
-    return out.orderBy(F.desc("total"), F.desc("flow_count"), "subject").limit(25)
+    """Subjects with two flows or more: every neighbour of a flow but records, filings and checks; the first 25 are the view."""
+    flows = g.of("MoneyFlow").select(F.col("id").alias("u"), F.coalesce("kind", F.lit("unknown")).alias("kind"))
+    near = g.undirected().where(F.col("u").startswith("moneyflow-")).join(flows, "u")
+    out = near.groupBy(F.col("v").alias("subject")).agg(F.count_distinct("u").alias("flow_count"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set("rel")).alias("rels")).where("flow_count >= 2")
+    types = g.nodes.where(~F.col("node_type").isin("Record", "Filing", "ValidationCheck")).select(F.col("id").alias("subject"), "node_type")
+    out = out.join(types, "subject").orderBy(F.desc("flow_count"), F.desc(F.size("kinds")), "node_type", "subject").limit(25)
+    return out.select("subject", "node_type", "flow_count", F.array_join("kinds", ",").alias("flow_types"), F.array_join("rels", ",").alias("relationship_types"))
 
 
 def legal_constraints(g: Graph) -> DataFrame:
@@ -179,24 +180,25 @@ def validation_queue(g: Graph) -> DataFrame:
 
 
 PLACE = "place-nation-3"
-_SCOPE = f"scope AS MATERIALIZED (SELECT DISTINCT e.source_id AS decision FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.target_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROJECT' AND e.source_id LIKE 'decision-%')"
+_SCOPE = f"scope AS MATERIALIZED (SELECT DISTINCT e.source_id AS decision FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.target_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROJECT' AND e.source_id LIKE 'decision-%' UNION SELECT e.target_id FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_DECISION' AND e.source_id LIKE 'program-%')"
 _FLOWS = "f AS MATERIALIZED (SELECT id AS flow, kind, coalesce(amount, 0) AS amount FROM nodes WHERE node_type = 'MoneyFlow')"
 _FD = "fd AS MATERIALIZED (SELECT source_id AS flow, target_id AS decision FROM edges WHERE rel = 'RELATES_TO_DECISION' AND source_id LIKE 'moneyflow-%')"
 _THREADS = f"""{_FLOWS}, pp AS (SELECT source_id AS project, target_id AS program FROM edges WHERE rel = 'RELATES_TO_PROGRAM' AND source_id LIKE 'project-%'),
   pf AS MATERIALIZED (SELECT DISTINCT target_id AS thread, source_id AS flow FROM edges WHERE rel = 'RELATES_TO_PROJECT' AND source_id LIKE 'moneyflow-%'),
-  allf AS (SELECT * FROM pf UNION SELECT program, flow FROM pf JOIN pp ON project = thread),
+  od AS (SELECT DISTINCT source_id AS thread, target_id AS decision FROM edges WHERE rel = 'RELATES_TO_DECISION' AND source_id LIKE 'program-%'),
+  allf AS (SELECT * FROM pf UNION SELECT program, flow FROM pf JOIN pp ON project = thread UNION SELECT thread, e.source_id FROM od JOIN edges e ON e.rel = 'RELATES_TO_DECISION' AND e.source_id LIKE 'moneyflow-%' AND e.target_id = decision),
   pd AS (SELECT DISTINCT target_id AS thread, source_id AS decision FROM edges WHERE rel = 'RELATES_TO_PROJECT' AND source_id LIKE 'decision-%'),
-  alld AS (SELECT * FROM pd UNION SELECT program, decision FROM pd JOIN pp ON project = thread),
+  alld AS (SELECT * FROM pd UNION SELECT program, decision FROM pd JOIN pp ON project = thread UNION SELECT * FROM od),
   threads AS MATERIALIZED (SELECT n.id AS thread, n.node_type, coalesce(m.flows, 0) AS flows, coalesce(d.n, 0) AS decisions, coalesce(c.n, 0) AS cases, CAST(coalesce(m.money, 0) AS DECIMAL(18,2)) AS money FROM nodes n
     LEFT JOIN (SELECT thread, count(*) AS flows, sum(amount) AS money FROM allf JOIN f USING (flow) GROUP BY 1) m ON m.thread = n.id
     LEFT JOIN (SELECT thread, count(*) AS n FROM alld GROUP BY 1) d ON d.thread = n.id
     LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE rel = 'RELATES_TO_PROGRAM' AND source_id LIKE 'case-%' GROUP BY 1) c ON c.target_id = n.id
     WHERE n.node_type IN ('Project', 'Program')),
-  here AS (SELECT source_id AS thread, target_id AS place FROM edges WHERE rel = 'IN_JURISDICTION' AND source_id LIKE 'project-%'),
+  here AS (SELECT source_id AS thread, target_id AS place FROM edges WHERE rel = 'IN_JURISDICTION' AND (source_id LIKE 'project-%' OR source_id LIKE 'program-%')),
   ranked AS (SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY money DESC, decisions DESC, flows DESC, thread) AS INTEGER) AS rank, thread, flows, decisions, money FROM threads JOIN here USING (thread))"""
 _CHECKS = f"""{_FLOWS}, {_FD}, ck AS (SELECT id AS subject, measured, amount AS reference, CAST(measured - amount AS DECIMAL(18,2)) AS delta FROM nodes LEFT JOIN (SELECT decision, CAST(sum(amount) AS DECIMAL(18,2)) AS measured FROM fd JOIN f USING (flow) GROUP BY 1) m ON m.decision = id WHERE node_type = 'Decision'),
-  st AS (SELECT *, CAST(abs(delta) AS DECIMAL(18,2)) AS absolute_delta, CASE WHEN delta > 0 THEN 'over' WHEN delta < 0 THEN 'under' WHEN delta = 0 THEN 'equal' ELSE 'unknown' END AS direction,
-    CASE WHEN measured IS NULL THEN 'extraction_gap' WHEN reference IS NULL THEN 'needs_review' WHEN abs(delta) <= 0.01 THEN 'reconciled' WHEN delta < 0 THEN 'extraction_gap' ELSE 'source_inconsistency' END AS status FROM ck),
+  st AS (SELECT *, CAST(abs(delta) AS DECIMAL(18,2)) AS absolute_delta, CASE WHEN delta > 0 THEN 'measured_gt_reference' WHEN delta < 0 THEN 'reference_gt_measured' WHEN delta = 0 THEN 'equal' END AS direction,
+    CASE WHEN delta IS NULL THEN 'needs_review' WHEN delta = 0 THEN 'reconciled' WHEN delta < 0 THEN 'extraction_gap' ELSE 'source_inconsistency' END AS status, CASE WHEN delta IS NULL THEN 'medium' ELSE 'high' END AS confidence FROM ck),
   sv AS (SELECT *, CASE WHEN status = 'reconciled' THEN 'info' ELSE 'warn' END AS severity FROM st)"""
 
 
@@ -209,13 +211,13 @@ VIEWS = {
     "decision_counterparties": (lambda g: counterparties(g, PLACE), f"{_SCOPE}, {_FLOWS}, {_FD}, l AS (SELECT fd.decision, e.target_id AS party, fd.flow, e.rel, f.amount FROM fd JOIN scope USING (decision) JOIN f USING (flow) JOIN edges e ON e.source_id = fd.flow AND e.rel IN ('FROM_SOURCE', 'TO_TARGET')), p AS (SELECT decision, party, flow, count(*) AS n, max(amount) AS amount, max(CAST(rel = 'FROM_SOURCE' AS INTEGER)) AS s, max(CAST(rel = 'TO_TARGET' AS INTEGER)) AS t FROM l GROUP BY 1, 2, 3) SELECT decision, party, count(*) AS flows, CAST(sum(amount * n) AS DECIMAL(18,2)) AS link_total, CAST(sum(amount) AS DECIMAL(18,2)) AS flow_total, max(s) AS is_source, max(t) AS is_target FROM p GROUP BY 1, 2"),
     "program_local_pressure": (program_pressure, f"{_THREADS} SELECT thread, flows, decisions, cases, money FROM threads WHERE node_type = 'Program'"),
     "election_rollup": (election_rollup, f"{_FLOWS} SELECT n.id AS election, (SELECT count(DISTINCT source_id) FROM edges WHERE rel = 'FOR_ELECTION' AND target_id = n.id) AS committees, count(f.flow) AS flows, CAST(coalesce(sum(f.amount), 0) AS DECIMAL(18,2)) AS money FROM nodes n LEFT JOIN edges e ON e.rel = 'RELATED_TO_ELECTION' AND e.target_id = n.id LEFT JOIN f ON f.flow = e.source_id WHERE n.node_type = 'Election' GROUP BY n.id"),
-    "jurisdiction_delivery": (jurisdiction_delivery, f"{_THREADS}, ag AS (SELECT h.place, count(DISTINCT a.source_id) AS agreements, count(DISTINCT m.source_id) AS amendments FROM here h JOIN edges a ON a.rel = 'RELATES_TO_PROJECT' AND a.target_id = h.thread AND a.source_id LIKE 'agreement-%' LEFT JOIN edges m ON m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.source_id GROUP BY 1) SELECT h.place, count(*) AS projects, coalesce(max(agreements), 0) AS agreements, coalesce(max(amendments), 0) AS amendments, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(money) AS DECIMAL(18,2)) AS money FROM here h JOIN threads USING (thread) LEFT JOIN ag USING (place) GROUP BY 1"),
+    "jurisdiction_delivery": (jurisdiction_delivery, f"{_THREADS}, ag AS (SELECT h.place, count(DISTINCT a.source_id) AS agreements, count(DISTINCT m.source_id) AS amendments FROM (SELECT * FROM here WHERE thread LIKE 'project-%') h JOIN edges a ON a.rel = 'RELATES_TO_PROJECT' AND a.target_id = h.thread AND a.source_id LIKE 'agreement-%' LEFT JOIN edges m ON m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.source_id GROUP BY 1) SELECT h.place, count(*) AS projects, coalesce(max(agreements), 0) AS agreements, coalesce(max(amendments), 0) AS amendments, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(money) AS DECIMAL(18,2)) AS money FROM (SELECT * FROM here WHERE thread LIKE 'project-%') h JOIN threads USING (thread) LEFT JOIN ag USING (place) GROUP BY 1"),
     "pressure_comparison": (pressure_comparison, f"{_THREADS} SELECT * FROM ranked"),
     "pressure_explanation": (pressure_explanation, f"{_THREADS} SELECT place, thread, highest_money, highest_decisions, highest_flows, CAST(money - coalesce(nm, 0) AS DECIMAL(18,2)) AS lead FROM (SELECT *, lead(money) OVER (PARTITION BY place ORDER BY rank) AS nm, money = max(money) OVER (PARTITION BY place) AS highest_money, decisions = max(decisions) OVER (PARTITION BY place) AS highest_decisions, flows = max(flows) OVER (PARTITION BY place) AS highest_flows FROM ranked) WHERE rank = 1"),
     "legal_constraint_summary": (lambda g: legal_scope(g, PLACE), f"{_SCOPE}, hits AS (SELECT e.target_id AS c, 'place' AS why FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'PARTY_TO' UNION SELECT e.source_id, 'program' FROM edges e JOIN edges p ON p.rel = 'RELATES_TO_PROGRAM' AND p.source_id LIKE 'project-%' AND p.target_id = e.target_id JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = p.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROGRAM' AND e.source_id LIKE 'case-%' UNION SELECT e.source_id, 'decision' FROM edges e JOIN scope ON decision = e.target_id WHERE e.rel = 'RELATES_TO_DECISION' AND e.source_id LIKE 'case-%') SELECT c AS case, max(CAST(why = 'place' AS INTEGER)) AS by_place, max(CAST(why = 'program' AS INTEGER)) AS by_program, max(CAST(why = 'decision' AS INTEGER)) AS by_decision FROM hits GROUP BY c".replace(" AS case", ' AS "case"')),
-    "money_overlap": (money_overlap, f"{_FLOWS}, {_FD}, per AS (SELECT e.target_id AS subject, e.source_id AS flow, max(amount) AS amount, min(decision) AS decision FROM edges e JOIN fd ON fd.flow = e.source_id JOIN f ON f.flow = e.source_id WHERE e.rel IN ('FROM_SOURCE', 'TO_TARGET') GROUP BY 1, 2) SELECT subject, count(*) AS flow_count, count(DISTINCT decision) AS decisions, CAST(sum(amount) AS DECIMAL(18,2)) AS total FROM per GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT decision) >= 2 ORDER BY total DESC, flow_count DESC, subject LIMIT 25"),
+    "money_overlap": (money_overlap, "b AS (SELECT source_id AS u, rel, target_id AS v FROM edges UNION ALL SELECT target_id, rel, source_id FROM edges) SELECT v AS subject, n.node_type, count(DISTINCT u) AS flow_count, string_agg(DISTINCT coalesce(f.kind, 'unknown'), ',' ORDER BY coalesce(f.kind, 'unknown')) AS flow_types, string_agg(DISTINCT rel, ',' ORDER BY rel) AS relationship_types FROM b JOIN nodes f ON f.id = u AND f.node_type = 'MoneyFlow' JOIN nodes n ON n.id = v AND n.node_type NOT IN ('Record', 'Filing', 'ValidationCheck') GROUP BY 1, 2 HAVING count(DISTINCT u) >= 2 ORDER BY flow_count DESC, count(DISTINCT coalesce(f.kind, 'unknown')) DESC, n.node_type, subject LIMIT 25"),
     "legal_constraints": (legal_constraints, "SELECT n.id AS \"case\", n.label, count(p.id) AS proceedings, coalesce(string_agg(p.id, ',' ORDER BY coalesce(p.event_date, '9999'), p.id), '') AS lineage FROM nodes n LEFT JOIN edges e ON e.rel = 'PART_OF_CASE' AND e.target_id = n.id LEFT JOIN nodes p ON p.id = e.source_id WHERE n.node_type = 'Case' GROUP BY 1, 2"),
-    "reconciliation_checks": (checks, f"{_CHECKS} SELECT subject, measured, reference, delta, absolute_delta, direction, status, severity FROM sv"),
+    "reconciliation_checks": (checks, f"{_CHECKS} SELECT subject, measured, reference, delta, absolute_delta, direction, status, confidence, severity FROM sv"),
     "validation_queue": (validation_queue, f"{_CHECKS} SELECT status, CAST(place AS INTEGER) AS place, subject, severity, delta, absolute_delta, direction FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY absolute_delta DESC NULLS LAST, subject) AS place FROM sv WHERE status <> 'reconciled') WHERE place <= 50"),
 }
 

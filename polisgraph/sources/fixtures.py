@@ -16,6 +16,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 _FLOW = "'moneyflow-' || substr(md5({0}l_orderkey || '|' || {0}l_partkey || '|' || {0}l_suppkey || '|' || {0}l_linenumber || '|' || CAST(CAST({0}l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(40)) || '|' || CAST(CAST({0}l_shipdate AS DATE) AS VARCHAR(10))), 1, 16)"
 _BRAND = "'program-' || lower(replace(p_brand, '#', '-'))"
+_MONTH = "substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 7)"
+_MEETING = f"'meeting-' || (o_custkey % 12) || '-' || {_MONTH}"
 _DAY = "CAST(CAST({0} AS DATE) AS VARCHAR(10))"
 
 
@@ -36,15 +38,16 @@ NODES = [
     _node("id", "Program", "label", f"(SELECT DISTINCT {_BRAND} AS id, p_brand AS label FROM {{part}}) p", sub="'brand'"),
     _node("'decision-' || o_orderkey", "Decision", "'Order ' || o_orderkey", "{orders}", sub="o_orderpriority", status="o_orderstatus", amount="o_totalprice", day=f"CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {_DAY.format('o_orderdate')} END", ref="'org-' || (o_custkey % 12)"),
     _node(_FLOW.format(""), "MoneyFlow", "'Flow'", "{lineitem}", sub="CASE l_returnflag WHEN 'A' THEN 'contribution' WHEN 'N' THEN 'expenditure' ELSE 'behest' END", status="l_linestatus", amount=f"CASE WHEN substr({_FLOW.format('')}, 11, 2) = 'ff' THEN NULL ELSE l_extendedprice END", day=_DAY.format("l_shipdate")),
-    _node("'filing-' || event_id", "Filing", "event_type", "{events}", sub="event_type", amount="value", day=f"CASE WHEN event_id % 89 = 0 THEN NULL ELSE {_DAY.format('ts')} END", ref="'person-' || user_id"),
+    _node("'filing-' || event_id", "Filing", "event_type", "{events}", sub="CASE event_id % 10 WHEN 3 THEN 'form_700' WHEN 7 THEN 'form_803' ELSE event_type END", amount="value", day=f"CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 97 = 0 THEN '' ELSE {_DAY.format('CAST(ts AS DATE) - CAST(365 * (event_id % 3) AS INTEGER)')} END", ref="'person-' || user_id"),
     _node("'record-doc-' || doc_id", "Record", "'Document ' || doc_id", "{documents}", sub="'document'", status="lang", day="CAST(DATE '2020-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR(10))", url="CASE doc_id % 3 WHEN 0 THEN 'https://records.example.org/' || doc_id || '.pdf' WHEN 1 THEN '//records.example.org/' || doc_id ELSE NULL END"),
     _node("'record-page-' || page_id", "Record", "'Page ' || page_id", "{pages}", sub="'page'", day="CAST(DATE '2021-01-01' + CAST(page_id % 365 AS INTEGER) AS VARCHAR(10))", url="url"),
     _node("'case-' || o_orderkey", "Case", "'Case ' || o_orderkey", "{orders}", "o_orderstatus = 'P' AND o_orderkey % 7 = 0", sub="o_orderpriority", day=_DAY.format("o_orderdate")),
     _node("'proceeding-' || o_orderkey || '-' || k", "Proceeding", "'Hearing ' || k", "{orders}, (SELECT 1 AS k UNION ALL SELECT 2 AS k) n", "o_orderstatus = 'P' AND o_orderkey % 7 = 0 AND k <= 1 + o_orderkey % 2", sub="CASE k WHEN 1 THEN 'petition' ELSE 'appeal' END", day=f"CASE WHEN k = 2 AND o_orderkey % 3 = 0 THEN NULL ELSE {_DAY.format('o_orderdate')} END"),
-    _node("'agreement-' || p_partkey", "Agreement", "'Agreement for ' || p_name", "{part}", "p_size <= 10", sub="p_type", amount="p_retailprice", ref="'project-' || p_partkey"),
+    _node("'agreement-' || p_partkey", "Agreement", "'Agreement for ' || p_name", "{part}", "p_size <= 10", sub="p_type", amount="p_retailprice", day="CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(DATE '2015-01-01' + CAST(p_partkey % 900 AS INTEGER) AS VARCHAR(10)) END", ref="'project-' || p_partkey"),
     _node("'amendment-' || p_partkey || '-' || k", "Amendment", "'Amendment ' || k", "{part}, (SELECT 1 AS k UNION ALL SELECT 2 AS k) n", "p_size <= 10 AND k <= p_size % 3"),
-    _node("'seat-' || n_nationkey", "Seat", "'Seat of ' || n_name", "{nation}"),
-    _node("'service-' || c_custkey", "SeatService", "c_name", "{customer}", "c_custkey % 10 = 0", day="'2015-01-01'", ended="CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2018-12-31' ELSE '2999-12-31' END"),
+    _node("'seat-' || n_nationkey", "Seat", "'Seat of ' || n_name", "{nation}", ref="'place-nation-' || n_nationkey"),
+    _node("id", "Meeting", "'Meeting of ' || org || ' in ' || month", f"(SELECT DISTINCT {_MEETING} AS id, 'org-' || (o_custkey % 12) AS org, {_MONTH} AS month FROM {{orders}}) m", sub="'regular'", day="month || '-15'", ref="org"),
+    _node("'service-' || c_custkey", "SeatService", "c_name", "{customer}", "c_custkey % 10 = 0", day="'2015-01-01'", ended="CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2018-12-31' ELSE '2999-12-31' END", ref="'seat-' || c_nationkey"),
     _node("'election-' || y", "Election", "'Election ' || y", "(SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) o", day="y || '-11-03'"),
     _node("'committee-' || s_suppkey", "Committee", "'Friends of ' || s_name", "{supplier}", "s_suppkey % 5 = 0", ref="'person-' || s_suppkey"),
 ]
@@ -61,6 +64,10 @@ EDGES = [
     _edge("'org-' || s_suppkey", "IN_JURISDICTION", "'place-nation-' || s_nationkey", "{supplier}"),
     _edge("'project-' || p_partkey", "IN_JURISDICTION", "'place-nation-' || (p_partkey % 25)", "{part}"),
     _edge("'place-nation-' || n_nationkey", "IN_JURISDICTION", "'place-region-' || n_regionkey", "{nation}"),
+    _edge("'case-' || o_orderkey", "IN_JURISDICTION", "'place-nation-' || (o_custkey % 25)", "{orders}", "o_orderstatus = 'P' AND o_orderkey % 7 = 0"),
+    _edge(_BRAND, "IN_JURISDICTION", "'place-nation-' || CAST(length(p_brand) + CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 20 AS INTEGER)", "{part}", distinct=True),
+    _edge("'decision-' || o_orderkey", "DECIDED_AT", _MEETING, "{orders}", "o_orderkey % 5 <> 0"),
+    _edge(_FLOW.format(""), "DISCLOSED_IN_FILING", "'filing-' || (l_orderkey % 50)", "{lineitem}", "l_returnflag = 'A' AND l_linenumber = 1"),
     _edge("'person-' || o_custkey", "CAST_VOTE", "'decision-' || o_orderkey", "{orders}", detail="o_orderstatus"),
     _edge("'decision-' || o_orderkey", "DECIDED_BY", "'org-' || (o_custkey % 10)", "{orders}"),
     _edge(_FLOW.format(""), "FROM_SOURCE", "'org-' || l_suppkey", "{lineitem}"),
@@ -69,6 +76,8 @@ EDGES = [
     _edge(_FLOW.format(""), "RELATES_TO_PROJECT", "'project-' || l_partkey", "{lineitem}"),
     _edge("'decision-' || l_orderkey", "RELATES_TO_PROJECT", "'project-' || l_partkey", "{lineitem}", distinct=True),
     _edge("'project-' || p_partkey", "RELATES_TO_PROGRAM", _BRAND, "{part}"),
+    _edge(_BRAND, "RELATES_TO_DECISION", "'decision-' || l_orderkey", "{lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey", "l_orderkey % 11 = 0 AND l_linenumber = 1", distinct=True),
+    _edge("'decision-' || l_orderkey", "RELATES_TO_PROGRAM", _BRAND, "{lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey", "l_orderkey % 9 = 0 AND l_linenumber = 1", distinct=True),
     _edge("'filing-' || event_id", "FILED_BY", "'person-' || user_id", "{events}"),
     _edge("'decision-' || o_orderkey", "EVIDENCED_BY", "'record-doc-' || (o_orderkey % 200)", "{orders}"),
     _edge("'project-' || p_partkey", "EVIDENCED_BY", "'record-doc-' || (p_partkey % 150)", "{part}"),

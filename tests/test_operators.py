@@ -1,4 +1,5 @@
 import difflib
+import re
 from decimal import Decimal
 
 import pytest
@@ -23,14 +24,16 @@ def one(spark, column, value):
 
 def test_cleaning(spark):
     assert one(spark, K.slug("x"), "  Ärger & Co. No. 5 ") == "rger-co-no-5"
-    assert one(spark, K.name_key("x"), "The Acme Co., Inc.") == "the acme"
+    assert one(spark, K.name_key("x"), "The Acme Co., Inc.") == "the acme co"
+    assert one(spark, K.name_key("x"), "Park Foundation, LLC Corp.") == "park foundation" and one(spark, K.name_key("x"), "Inc.") == ""
     assert one(spark, K.first_last("x"), "Doe, Jane") == "Jane Doe"
     assert one(spark, K.ein("x"), "12-3456789") == "123456789"
-    assert one(spark, K.uei("x"), "short") is None
+    assert one(spark, K.ein("x"), "12-34") == "1234" and one(spark, K.ein("x"), "none") is None
+    assert one(spark, K.uei("x"), "jz9-fla") == "JZ9FLA" and one(spark, K.uei("x"), "--") is None
     assert str(one(spark, K.parse_date("x"), "3/4/21")) == "2021-03-04"
     assert str(one(spark, K.parse_date("x"), "March 4, 2021")) == "2021-03-04"
     assert one(spark, K.parse_date("x"), "no date") is None
-    assert one(spark, K.meeting_type("x"), "Special Joint Meeting") == "joint"
+    assert one(spark, K.meeting_type("x"), "Special Joint Meeting") == "joint_meeting"
     assert one(spark, K.type_of_id("x"), "agenda-item-3") == "AgendaItem"
     assert one(spark, K.public_url("x"), "//a.org/b") == "https://a.org/b"
 
@@ -66,10 +69,14 @@ def test_components_of_a_chain_and_of_nothing(spark):
 
 
 def test_similar_names_are_those_of_brute_force(spark):
-    names = ["acme land trust", "acme land trusts", "acme lands trust", "friends of the park", "friends of park", "zebra", "zebras", "x", "a very long name of no one", ""]
+    names = ["acme land trust", "acme land trusts", "acme lands trust", "friends of the park", "friends of park", "zebra", "zebras", "x", "a very long name of no one", "", "ACME Land Trust, Inc.", "Zebras LLC", "Friends-of the Park"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, k string")
-    got = {(r.id, r.match) for r in resolve.by_similar_names(df, df, "k").collect()}
-    assert got == {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if a and b and (a == b or difflib.SequenceMatcher(None, a, b).ratio() >= 0.85)}
+    settled = spark.createDataFrame([(0, 0), (1, 0)], "id int, match int")
+    got = {(r.id, r.match): r.score for r in resolve.by_similar_names(df, df, "k", settled=settled).collect()}
+    plain = lambda x: re.sub("( (inc|llc|corp|incorporated))+$", "", re.sub("[^a-z0-9]+", " ", x.lower()).strip())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {(i, j): 0.9 if plain(a) == plain(b) else round(ratio(a, b), 2) for i, a in enumerate(names) for j, b in enumerate(names) if a and b and (plain(a) == plain(b) or ratio(a, b) >= 0.85)}
+    assert got == {k: v for k, v in want.items() if k not in ((0, 0), (1, 0))}
 
 
 def test_two_ueis_in_a_group_raise(spark):
@@ -81,7 +88,10 @@ def test_two_ueis_in_a_group_raise(spark):
 
 def test_reconcile(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (None, 1.0), (1.0, None), (0.5, 1.0)], "m double, r double")
-    assert [r.status for r in reconcile(df, "m", "r").collect()] == ["reconciled", "source_inconsistency", "extraction_gap", "needs_review", "extraction_gap"]
+    got = [(r.status, r.direction, r.confidence) for r in reconcile(df, "m", "r").collect()]
+    assert got == [("reconciled", "equal", "high"), ("source_inconsistency", "measured_gt_reference", "high"), ("needs_review", None, "medium"), ("needs_review", None, "medium"), ("extraction_gap", "reference_gt_measured", "high")]
+    cents = spark.createDataFrame([(1.004, 1.0), (1.02, 1.01)], "m double, r double")
+    assert [r.status for r in reconcile(cents, "m", "r").collect()] == ["reconciled", "source_inconsistency"]
 
 
 def test_store_round_trip_and_difference(spark, tmp_path):
