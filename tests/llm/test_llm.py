@@ -287,14 +287,51 @@ def test_common_blocks_are_common():
 
 def test_license_scan_finds_notices_and_their_places(spark):
     fill = "lorem ipsum dolor sit amet consectetur " * 30
-    apache = dict((n, t) for n, t in reversed(license.TEMPLATES))["Apache-2.0"]
-    values = [f"{fill}\n{apache} {fill}", apache.upper(), fill, None, "", "MIT License.", f"é {license.TEMPLATES[1][1].replace('without restriction', 'with no restriction')}"]
-    got = {r.doc_id: r.matches for r in license.scan_licenses(docs(spark, values)).collect()}
+    notice = dict((n, t) for n, t in reversed(license.TEMPLATES))
+    apache, mit = notice["Apache-2.0"], next(t for n, t in license.TEMPLATES if n == "MIT" and t.startswith("Permission") and len(t) < 500)
+    values = [f"{fill}\n{apache} {fill}", apache.upper(), fill, None, "", "MIT License.", f"é {mit.replace('without restriction', 'with no restriction')}"]
+    values += [f"{apache} {fill} {apache} {apache}", license.texts.MIT]
+    got = {r.doc_id: r.matches for r in license.scan_licenses(docs(spark, values).withColumn("matches", F.lit("x"))).collect()}
     assert [m.license for m in got[0]] == ["Apache-2.0"] and [m.license for m in got[1]] == ["Apache-2.0"] and [m.license for m in got[6]] == ["MIT"]
     assert values[0][got[0][0].start : got[0][0].end] == apache.rstrip(".")
     assert all(got[k] == [] for k in (2, 3, 4, 5))
+    assert [values[7][m.start : m.end] for m in got[7]] == [apache.rstrip(".")] * 3
+    assert [m.license for m in got[8]] == ["MIT", "MIT"] and got[8][0].start == 0 and got[8][0].end == len(values[8]) - 1
     bands, rows = license.band_settings(0.4)
     assert (1 - 0.4**rows) ** bands <= license.MISS
+    assert license.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_license_scan_is_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(5))
+    made = [(f"L{k}", " ".join(word() for _ in range(n))) for k, n in enumerate([3, 5, 8, 20, 21, 60, 150])]
+    values = []
+    for k in range(60):
+        w = [word() for _ in range(r.randint(0, 200))]
+        for _, t in r.sample(made, r.randint(0, 3)):
+            t = t.split()
+            for _ in range(r.choice([0, 0, 1, len(t) // 20])):
+                t[r.randrange(len(t))] = word()
+            at = r.randint(0, len(w))
+            w[at:at] = t
+        values.append(" ".join(w))
+    monkeypatch.setattr(license, "MAX_TEMPLATE_WORDS", 50)  # several steps
+    table = spark.createDataFrame([*made, ("none", None), (None, made[0][1]), ("blank", " ")], "license string, text string")
+    for templates in (made, table):
+        got = {x.doc_id: {m.license for m in x.matches} for x in license.scan_licenses(docs(spark, values), templates).collect()}
+        for i, v in enumerate(values):
+            w, want = v.split(), set()
+            for name, t in made:
+                t = t.split()
+                n = min(5, len(t))
+                own = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)}
+                cut = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+                span = len(t) - n + 1  # a passage as long as the template
+                if any(len(own & set(cut[k : k + span])) >= 0.8 * len(own) for k in range(len(cut))):
+                    want.add(name)
+            assert want <= got[i], i
+            assert all(any(5 * len({tuple(w[k : k + min(5, len(t.split()))]) for k in range(len(w))} & {tuple(t.split()[k : k + min(5, len(t.split()))]) for k in range(len(t.split()) - min(5, len(t.split())) + 1)}) >= 4 for n2, t in made if n2 == name) for name in got[i])
 
 
 def test_top_k_is_brute_force(spark):
