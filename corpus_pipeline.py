@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``; the last returns
 the packed pieces.  Between stages ``run`` writes Parquet to the shared folder and reads it again.
+
+Defined cases: language identification drops null texts, empty ones and texts without letters, so later stages meet
+none in ``run``; called by themselves they keep rows with a null text or id, but packing gives each row at least its end
+id.  Repeated rows share their fate: all stay or all go, except that line dedup counts equal texts under other ids as
+repeats.  Ties are settled by the smallest id.  Empty tables pass through.  Further columns are kept, whatever their
+names, up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -11,14 +17,21 @@ from pyspark.sql import functions as F
 
 from polisgraph.llm import _common, decontaminate, jaccard, langid, linededup, packing
 
-#: A prediction of less confidence names no language: the document goes.
-LEAST_LANGUAGE_SCORE = 0.4
+#: A language is told if its score is at least this part of the way from chance, one over the languages, to certainty.
+LEAST_LANGUAGE_LEAD = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; null texts and texts without letters go."""
-    found = langid.identify(docs, langid.fit(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    """Documents in a language that can be told; null texts and texts without letters go.
+
+    Without a labelled row no language can be learned: then every text with a letter stays.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    chance = 1 / len(model[0])
+    found = langid.identify(docs, model)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= chance + LEAST_LANGUAGE_LEAD * (1 - chance)))
     return kept.select(*docs.columns)
 
 
@@ -54,7 +67,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models and alignments are beyond SQL: tests hold the pipeline against a brute-force version.
+#: Trained models and alignments are beyond SQL: tests hold each stage after the first against a brute-force version of it,
+#: and the first against the labels.
 ORACLE_SQL = None
 
 
