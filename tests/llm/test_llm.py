@@ -417,3 +417,66 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontaminate", "packing"]
     assert sizes[0] > 0.9 * d.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    """Each stage after the first on its own input, with nulls, repeats, ties, long texts and clashing columns."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared, item = [line(45) for _ in range(4)], line(20)
+    values = ["\n".join(r.sample(shared, r.randint(0, 3)) + [line(r.randint(1, 60)) for _ in range(r.randint(0, 3))]) for _ in range(30)]
+    near = line(120).split()
+    for k in range(8):
+        w = list(near)
+        w[10 * k] = word()
+        values.append(" ".join(w))
+    values += [f"{line(5)} {item} {line(5)}", f"{line(900)} {item}", values[3], values[3], None, "", " \n ", "?!", line(30_000)]
+    rows = [(i, t, "en", "s", len(t or ""), f"x{i}") for i, t in enumerate(values)]
+    rows += [rows[5], (None, values[5], "en", "s", len(values[5]), "x")]
+    d = spark.createDataFrame(rows, DOCS + ", n_hit string")
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    empty = d.limit(0)
+
+    out = stage["line_dedup"](spark, d, sf)
+    assert out.columns == d.columns and stage["line_dedup"](spark, empty, sf).count() == 0
+    got = sorted((x.doc_id, x.text) for x in out.where("doc_id is not null").collect())
+    key = lambda t: [" ".join(x.split()) for x in t.split("\n")]
+    size = {x: len(x.split()) for t in values if t is not None for x in key(t)}
+    want = []
+    for j, t in enumerate(values):
+        if t is not None:
+            lost = set().union(*[common_lines(key(x), key(t), size, linededup.BLOCK_WORDS) for x in values[:j] if x is not None])
+            lost = set(trimmed(lost, key(t), size))
+            for k in range(len(key(t))) if lost else ():
+                sides = [next((i for i in side if size[key(t)[i]]), None) for side in (range(k, -1, -1), range(k, len(key(t))))]
+                lost |= {k} if not size[key(t)[k]] and all(i is None or i in lost for i in sides) else set()
+            rest = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
+            if lost and not rest.strip():
+                continue
+            t = rest
+        want += [(j, t)] * (2 if j == 5 else 1)
+    assert got == sorted(want, key=lambda x: x[0])
+
+    out = stage["ngram_jaccard"](spark, d, sf)
+    assert out.columns == d.columns and stage["ngram_jaccard"](spark, empty, sf).count() == 0
+    first = components([shingle_set(t) for t in values])
+    assert sorted(x.doc_id for x in out.where("doc_id is not null").collect()) == sorted([i for i, c in enumerate(first) if c == i] + ([5] if first[5] == 5 else []))
+
+    out = stage["decontaminate"](spark, d, sf)
+    assert out.columns == d.columns and stage["decontaminate"](spark, empty, sf).count() == 0
+    assert {x.doc_id for x in d.where("doc_id is not null").collect()} - {x.doc_id for x in out.collect()} == {38}
+
+    out = stage["packing"](spark, d, sf).collect()
+    t = Tokenizer.from_file(_tokens.default_vocabulary())
+    t.encode_special_tokens = True
+    tokens = lambda x: len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    assert sum(x.length for x in out) == sum(tokens(x[1]) for x in rows)
+    assert {(x.doc_id, x.doc_tokens) for x in out} == {(x[0], tokens(x[1])) for x in rows}
+    assert stage["packing"](spark, empty, sf).count() == 0
+
+    kept = stage["language_id"](spark, d, sf)
+    assert kept.columns == d.columns and {x.doc_id for x in kept.where("doc_id is not null").collect()} == {i for i, v in enumerate(values) if v and re.search("[a-z]", v)}
+    assert stage["language_id"](spark, empty, sf).count() == 0 and stage["language_id"](spark, d.withColumn("lang", F.lit(None).cast("string")), sf).count() == kept.count()
