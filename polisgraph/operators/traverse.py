@@ -28,6 +28,12 @@ def starts_with(c: str, types) -> Column:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A frontier in the shared folder: it is used twice, by the result and by the next hop."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def distances(edges: DataFrame, starts: DataFrame, hops: int, blocked=()) -> DataFrame:
     """``(id, hop)`` of nodes within ``hops`` of any row of ``starts`` (a column ``id``), which are hop 0."""
     seen = starts.select("id").distinct().withColumn("hop", F.lit(0))
@@ -35,7 +41,7 @@ def distances(edges: DataFrame, starts: DataFrame, hops: int, blocked=()) -> Dat
     passable = edges.where(~starts_with("v", blocked)) if blocked else edges
     for k in range(1, hops + 1):
         reached = frontier.select(F.col("id").alias("u")).join(passable, "u").select(F.col("v").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k))
+        frontier = kept(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -86,16 +92,22 @@ def weighted_path(g: Graph, start: str, target: str, max_hops: int = 4, loose: b
     """
     spark = g.nodes.sparkSession
     weights = spark.createDataFrame(list(V.PATH_WEIGHT.items()) + ([(r, V.LOOSE_PENALTY) for r in V.UNIVERSAL_RELS] if loose else []), "rel string, w int")
-    edges = g.undirected().join(F.broadcast(weights), "rel").groupBy("u", "v").agg(F.min("w").alias("w"))
+    edges = g.undirected().join(F.broadcast(weights), "rel").select("u", "v", "w")
     hub = starts_with("id", V.PATH_EXCLUDED)
+    # What can still reach the target in one hop, and in two: the last hops go nowhere else.
+    reach = [spark.createDataFrame([(target,)], "id string")]
+    for _ in range(min(2, max_hops // 2)):
+        back = edges.join(reach[-1].select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id"))
+        reach.append(kept(reach[-1].unionByName(back).distinct()))
     state = spark.createDataFrame([(start, 0, 0, start)], "id string, weight int, hops int, path string").where(F.lit(start != target))
     best = state
-    for _ in range(max_hops):
+    for k in range(1, max_hops + 1):
         pass_on = state.where(F.col("id") != target)
         penalty = F.when(hub & (F.col("id") != start), V.LOOSE_PENALTY).otherwise(0)
         pass_on = pass_on.withColumn("weight", F.col("weight") + penalty) if loose else pass_on.where(~hub | (F.col("id") == start))
         step = pass_on.join(edges, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("hops") + 1).alias("hops"), F.concat_ws(" > ", "path", "v").alias("path"))
-        state = step.groupBy("id").agg(F.min(F.struct("weight", "hops", "path")).alias("b")).select("id", "b.*")
+        step = step.join(reach[max_hops - k], "id", "left_semi") if max_hops - k < len(reach) else step
+        state = kept(step.groupBy("id").agg(F.min(F.struct("weight", "hops", "path")).alias("b")).select("id", "b.*"))
         best = best.unionByName(state)
     return best.where(F.col("id") == target).agg(F.min(F.struct("weight", "hops", "path")).alias("b")).where("b is not null").select("b.path", "b.hops", "b.weight")
 

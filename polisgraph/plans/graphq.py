@@ -33,17 +33,21 @@ def _expand_sql(hop: int) -> str:
     )
 
 
-def _path_sql(hops: int) -> str:
-    weight = "CASE rel " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in V.PATH_WEIGHT.items()) + " END"
+def _path_sql(hops: int, loose: bool = False) -> str:
+    weights = V.PATH_WEIGHT | (dict.fromkeys(V.UNIVERSAL_RELS, V.LOOSE_PENALTY) if loose else {})
+    weight = "CASE rel " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in weights.items()) + " END"
     hub = " OR ".join(f"id LIKE '{V.PREFIX[t]}-%'" for t in V.PATH_EXCLUDED)
+    passed = "" if loose else f" AND (id = '{START}' OR NOT ({hub}))"
+    penalty = f" + CASE WHEN id <> '{START}' AND ({hub}) THEN {V.LOOSE_PENALTY} ELSE 0 END" if loose else ""
     steps = [f"s0 AS (SELECT '{START}' AS id, 0 AS weight, 0 AS hops, '{START}' AS path)"]
     for k in range(1, hops + 1):  # all walks of k hops, the best of each end kept by a window
         steps.append(
             f"s{k} AS MATERIALIZED (SELECT id, weight, hops, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight, hops, path) AS k FROM "
-            f"(SELECT v AS id, weight + w AS weight, hops + 1 AS hops, path || ' > ' || v AS path FROM s{k - 1} JOIN we ON u = id WHERE id <> '{TARGET}' AND (id = '{START}' OR NOT ({hub})))) WHERE k = 1)"
+            f"(SELECT v AS id, weight + w{penalty} AS weight, hops + 1 AS hops, path || ' > ' || v AS path FROM s{k - 1} JOIN we ON u = id WHERE id <> '{TARGET}'{passed})) WHERE k = 1)"
         )
     union = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(hops + 1))
-    return with_graph(f"{_BOTH}, we AS MATERIALIZED (SELECT u, v, min({weight}) AS w FROM und WHERE {weight} IS NOT NULL GROUP BY u, v), {', '.join(steps)} SELECT path, hops, weight FROM ({union}) WHERE id = '{TARGET}' ORDER BY weight, hops, path LIMIT 1")
+    both = "und AS (SELECT source_id AS u, rel, target_id AS v FROM edges UNION ALL SELECT target_id, rel, source_id FROM edges)"
+    return with_graph(f"{both}, we AS MATERIALIZED (SELECT u, v, min({weight}) AS w FROM und WHERE {weight} IS NOT NULL GROUP BY u, v), {', '.join(steps)} SELECT path, hops, weight FROM ({union}) WHERE id = '{TARGET}' ORDER BY weight, hops, path LIMIT 1")
 
 
 PERSON_PATTERN = [(1, ["CAST_VOTE"]), (1, ["HELD_BY"]), (2, ["HELD_BY", "FOR_SEAT"]), (3, ["HELD_BY", "FOR_SEAT", "AT_INSTITUTION"]), (1, ["PARTY_TO"])]
@@ -83,7 +87,10 @@ QUERIES = {
     "expand_h1": lambda s, d: traverse.expand(fixture_graph(s, d), START, 1),
     "expand_h2": lambda s, d: traverse.expand(fixture_graph(s, d), START, 2),
     "expand_h3": lambda s, d: traverse.expand(fixture_graph(s, d), START, 3),
+    "expand_h4": lambda s, d: traverse.expand(fixture_graph(s, d), START, 4),
     "weighted_path": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 3),
+    "weighted_path_h4": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 4),
+    "weighted_path_loose": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 4, loose=True),
     "must_show": lambda s, d: traverse.must_show(fixture_graph(s, d), "person-20", PERSON_PATTERN),
     "neighbourhood_total": _total,
     "edges_among": _among,
@@ -103,7 +110,10 @@ ORACLE_SQL = {
     "expand_h1": _expand_sql(1),
     "expand_h2": _expand_sql(2),
     "expand_h3": _expand_sql(3),
+    "expand_h4": _expand_sql(4),
     "weighted_path": _path_sql(3),
+    "weighted_path_h4": _path_sql(4),
+    "weighted_path_loose": _path_sql(4, loose=True),
     "must_show": with_graph("b AS (SELECT source_id AS u, rel, target_id AS v FROM edges UNION ALL SELECT target_id, rel, source_id FROM edges) SELECT id, CAST(min(ring) AS INTEGER) AS ring FROM (" + " UNION ALL ".join(_CHAINS) + ") WHERE id <> 'person-20' GROUP BY id"),
     "neighbourhood_total": with_graph(f"{_BOTH}, one AS (SELECT DISTINCT n.id AS s, v FROM nodes n JOIN und ON u = n.id WHERE n.node_type = 'SeatService'), two AS (SELECT s, v FROM one UNION SELECT s, b.v FROM one JOIN und b ON b.u = one.v) SELECT s AS start, count(*) AS total FROM two WHERE v <> s GROUP BY s"),
     "edges_among": with_graph(f"{_BOTH}, ids AS (SELECT id FROM nodes WHERE node_type IN ('Case', 'Proceeding', 'Program', 'Person')) SELECT DISTINCT u, rel, v FROM und WHERE u < v AND u IN (SELECT id FROM ids) AND v IN (SELECT id FROM ids)"),
