@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polisgraph.functions import cleaning as K
 from polisgraph.graph import Graph
-from polisgraph.operators import resolve
+from polisgraph.operators import resolve, search
 from polisgraph.plans import views
 from polisgraph.plans.tabular import is_current
 from polisgraph.sources.fixtures import fixture_graph, with_graph
@@ -17,6 +19,7 @@ AS_OF = "2026-01-01"
 #: Kind of actors that came from unreliable sources.
 NOISY_ACTORS = "noisy-import"
 TERMS = ("the", "que", "license")
+SEARCHED = "org-3"
 K1, B = 1.2, 0.75
 
 
@@ -58,6 +61,21 @@ def search_properties(spark, d) -> DataFrame:
     return n.select("id", K.search_label("node_type", "id", "label", "kind", "event_date", "filer").alias("search_label"), K.search_terms("node_type", "id", "label", "kind", "event_date", "filer", "url").alias("search_terms"), K.search_key_fact("node_type", "label", "kind", "status", "event_date", "filer").alias("search_key_fact"))
 
 
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def search_index(spark, d) -> search.Index:
+    """The index of ``d``'s searched nodes, stored once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        g = fixture_graph(spark, d)
+        text = search_properties(spark, d).select("id", F.concat_ws(" ", "search_label", "search_terms").alias("text"))
+        ranked = search_rank(spark, d).select("id", "rank")
+        captured = g.nodes.where(F.col("node_type").isin(*K.V.SEARCH_WEIGHT)).select("id", "node_type", F.when(F.col("node_type") == "Record", F.col("event_date")).alias("captured"))
+        _INDEXES[key] = search.build_index(captured.join(text, "id").join(ranked, "id"))
+    return _INDEXES[key]
+
+
 def browse_page(g: Graph, node_type: str, after: str = "", size: int = 50) -> DataFrame:
     """The next page of a type in id order: a seek past the last id, never an offset."""
     return g.of(node_type).where(F.col("id") > after).orderBy("id").limit(min(200, max(1, size))).select("id", "label", "kind", "event_date")
@@ -250,6 +268,8 @@ QUERIES = {
     "search_rank": search_rank,
     "search_properties": search_properties,
     "search_bm25": search_bm25,
+    "search_nodes": lambda s, d: search.search(search_index(s, d), SEARCHED),
+    "search_entities": lambda s, d: search.search(search_index(s, d), "record-doc-7", include_records=False),
     "browse_page": lambda s, d: browse_page(fixture_graph(s, d), "Project", "project-20"),
     "catalog": catalog,
     "edge_integrity": edge_integrity,
@@ -266,6 +286,24 @@ QUERIES = {
     "cluster_names": cluster_names,
 }
 
+
+
+def _search_sql(query: str, records: bool) -> str:
+    terms = ", ".join(f"'{t}'" for t in sorted(set(re.findall("[a-z0-9]+", query.lower()))))
+    bucket = "CASE WHEN t = 'Record' THEN 2 ELSE 1 END"
+    return (
+        f"WITH sp AS ({ORACLE_SQL['search_properties']}), sr AS ({ORACLE_SQL['search_rank']}), cap AS ({with_graph('SELECT id, node_type, event_date FROM nodes')}), "
+        "d AS (SELECT sp.id, node_type AS t, rank, CASE WHEN node_type = 'Record' THEN event_date END AS captured, list_filter(regexp_split_to_array(lower(concat_ws(' ', search_label, search_terms)), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM sp JOIN sr USING (id) JOIN cap USING (id)), "
+        f"tot AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d WHERE len(w) > 0), q AS (SELECT unnest([{terms}]) AS term), "
+        "p AS (SELECT d.id, t, term, len(w) AS n, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q WHERE list_contains(w, term)), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), "
+        f"s AS (SELECT id, t, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + {search.K1} * ({1 - search.B} + {search.B} * n / mean))), 9) AS score FROM p JOIN f USING (term), tot GROUP BY 1, 2), "
+        f"b AS (SELECT *, {bucket} AS bucket FROM s{'' if records else " WHERE t <> 'Record'"} QUALIFY row_number() OVER (PARTITION BY {bucket} ORDER BY score DESC, id) <= {search.SCORED}), "
+        f"o AS (SELECT b.id, b.t, b.bucket, score, row_number() OVER (PARTITION BY b.bucket ORDER BY score * 100 + rank DESC, captured DESC NULLS FIRST, b.id) AS k FROM b JOIN d USING (id)), "
+        f"r AS (SELECT id, t, bucket, score, k FROM o WHERE k <= {search.SHOWN} AND id <> '{query}' UNION ALL SELECT id, t, 0, NULL, 1 FROM d WHERE id = '{query}') "
+        f"SELECT CAST(position AS INTEGER) AS position, CAST(bucket AS INTEGER) AS bucket, id, t AS node_type, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY bucket, k) AS position FROM r) WHERE position <= {search.SHOWN}"
+    )
+
+
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _KEY = "trim(regexp_replace(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), '(^| )(inc|incorporated|llc|corp)( (inc|incorporated|llc|corp))*$', ''))"
 _TYPE = "CASE " + " ".join(f"WHEN id LIKE '{p}-%' THEN '{t}'" for t, p in sorted(K.V.PREFIX.items(), key=lambda x: -len(x[1]))) + " END"
@@ -295,3 +333,5 @@ ORACLE_SQL = {
     "layout_promote": "SELECT vec_id AS id, CASE WHEN vec_id % 4 <> 0 THEN label END AS canonical, CASE WHEN vec_id % 3 <> 0 THEN label + 1 END AS previous, vec_id % 3 = 0 AND vec_id % 4 <> 0 AS entered FROM embeddings",
     "cluster_names": with_graph(f"c AS (SELECT label, d, avg(CAST(embedding[d + 1] AS DOUBLE)) AS m FROM embeddings, range(64) r(d) WHERE label >= 0 GROUP BY 1, 2), dist AS (SELECT vec_id, e.label AS cluster, round(sqrt(sum((CAST(embedding[d + 1] AS DOUBLE) - m) ** 2)), 6) AS distance FROM embeddings e JOIN c ON e.label = c.label GROUP BY 1, 2), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, vec_id) AS k FROM dist) WHERE k <= 10), mem AS (SELECT cluster, k, p.node_type AS t, p.label, l.label AS place FROM near LEFT JOIN nodes p ON p.id = 'project-' || vec_id LEFT JOIN edges e ON e.rel = 'IN_JURISDICTION' AND e.source_id = p.id LEFT JOIN nodes l ON l.id = e.target_id), w AS (SELECT cluster, k, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM (SELECT cluster, k, list_filter(regexp_split_to_array(lower(coalesce(label, '')), '[^a-z]+'), lambda x: x <> '' AND x NOT IN {K.V.STOP_WORDS}) AS ws FROM mem)), v AS (SELECT 1 AS what, cluster, place AS v, k, 0 AS i FROM mem WHERE place <> '' UNION ALL SELECT 2, cluster, t, k, 0 FROM mem WHERE t <> '' UNION ALL SELECT 3, cluster, v, k, i FROM w), n AS (SELECT what, cluster, v, count(*) AS n, min(k * 100000 + i) AS first FROM v GROUP BY 1, 2, 3), b AS (SELECT what, cluster, v FROM n QUALIFY row_number() OVER (PARTITION BY what, cluster ORDER BY n DESC, first) = 1) SELECT m.cluster, coalesce((SELECT string_agg(v, ' · ' ORDER BY what) FROM b WHERE b.cluster = m.cluster), 'Unnamed cluster') AS name FROM (SELECT DISTINCT cluster FROM mem) m"),
 }
+ORACLE_SQL["search_nodes"] = _search_sql(SEARCHED, True)
+ORACLE_SQL["search_entities"] = _search_sql("record-doc-7", False)
