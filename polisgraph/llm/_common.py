@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Input bytes that one shuffle partition should hold at most.
 PARTITION_BYTES = 128 << 20
+#: Rows of a few numbers that one partition of a saved table holds, and that may be broadcast.
+SAVED_ROWS, BROADCAST_ROWS = 250_000, 100_000
 
 
 # ---------------------------------------------------------------- shared folder
@@ -51,12 +53,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table in the shared folder."""
+    """Checkpoint a table of small rows in the shared folder, in as few partitions as ``SAVED_ROWS`` rows in each allow.
+
+    A table of one partition is grouped and joined with another such without a shuffle.
+    """
     shared_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    return kept.coalesce(max(1, -(-kept.count() // SAVED_ROWS)))
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its number of small rows, which was counted, is at most ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

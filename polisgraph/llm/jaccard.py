@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polisgraph.llm import _common as C
-from polisgraph.llm.components import connected_components
+from polisgraph.llm.components import connected_components, joined_components
 
 WIDTH = 5
 #: Lists up to this length give all their pairs; longer ones are resolved by pivots.
@@ -268,12 +268,12 @@ def _verify(batches):
 def _differences(batches):
     """Each member's difference from its pivot: shingles of its own, rare first, then the pivot's that it lacks, frequent first."""
     for batch in batches:
-        x, p = batch.column(4), batch.column(5)
+        x, p = batch.column(6), batch.column(7)
         out = []
         for i in range(batch.num_rows):
             own, pivot = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(p[i].as_buffer(), np.uint64)
             out.append(np.concatenate([own[~np.isin(own, pivot)], pivot[~np.isin(pivot, own)][::-1]]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.int64()))], ["pivot", "sid", "comp", "largest", "d"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.list_(pa.int64()))], ["pivot", "sid", "comp", "largest", "n", "alone", "d"])
 
 
 _PAIR = "a long, b long, na long, nb long, both long"
@@ -302,18 +302,25 @@ class _Join:
         differ = sum((F.bit_count(F.get(f"{x}bits", k).bitwiseXOR(F.get(f"{y}bits", k))) for k in range(BITMAP_WORDS)), F.col(f"{x}alone") + F.col(f"{y}alone"))
         return (100 + self.percent) * differ <= (100 - self.percent) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
+    def with_sides(self, pairs: DataFrame, rows: int, columns: dict[str, str]) -> DataFrame:
+        """``pairs`` with columns of both sets, as ``x`` and ``y`` columns: each side of the pairs is sought by itself."""
+        sides = []
+        for end, side in (("a", "x"), ("b", "y")):
+            own = self.sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{side}{name}") for c, name in columns.items()])
+            sides.append(own.join(C.hinted(pairs, rows), end))
+        return sides[0].join(sides[1], ["a", "b"])
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Overlaps of pairs that pass the suffix filter and were not verified before."""
-        thin = self.sets.select(F.col("sid").alias("a"), F.col("n").alias("xn"), F.col("alone").alias("xalone"), F.col("bits").alias("xbits"))
-        other = thin.toDF("b", "yn", "yalone", "ybits")
-        pairs = pairs.distinct().join(thin, "a").join(other, "b").where(self.suffix("x", "y")).select("a", "b")
+        pairs = pairs.distinct()
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        left = self.sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-        right = self.sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-        rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
-        found = C.staged(rows.mapInArrow(_verify, _PAIR), "verified")
-        self.known = found if self.known is None else self.known.unionByName(found)
+        pairs = C.saved(pairs)
+        thin = self.with_sides(pairs, pairs.count(), {"n": "n", "alone": "alone", "bits": "bits"})
+        pairs = C.saved(thin.where(self.suffix("x", "y")).select("a", "b"))
+        rows = self.with_sides(pairs, pairs.count(), {"n": "n", "tokens": "t"}).select("a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb"), F.col("xt").alias("x"), F.col("yt").alias("y"))
+        found = C.saved(rows.mapInArrow(_verify, _PAIR))
+        self.known = found if self.known is None else C.saved(self.known.unionByName(found))
         return found
 
     def short_pairs(self) -> DataFrame:
@@ -327,29 +334,27 @@ class _Join:
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & (ny <= F.col(f"{x}most")) & (nx <= F.col(f"{y}most"))
 
-    def links(self) -> DataFrame:
-        return self.known.where(_similar(self.percent)).select("a", "b")
+    def similar(self, verified: DataFrame) -> DataFrame:
+        return verified.where(_similar(self.percent)).select("a", "b")
 
     def named(self, members: DataFrame, found: DataFrame) -> DataFrame:
         return members.join(found, F.col("sid") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "sid").alias("comp"))
 
     def components(self) -> DataFrame:
-        self.verified(self.short_pairs())
+        found = C.saved(connected_components(self.similar(self.verified(self.short_pairs()))))
         large = self.entries.where(F.col("members") > self.short).select(F.col("token").alias("list"), "sid")
         weights = large.groupBy("sid").agg(F.count("*").alias("w"))
         open_ = C.saved(large.join(weights, "sid").select("list", "sid", "w"))
-        found = C.saved(connected_components(self.links()))
         while True:
             named = self.named(open_, found)
             lists = named.groupBy("list").agg(F.max_by("sid", F.struct("w", "sid")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             groups = C.saved(named.join(lists.where("low <> high"), "list").select("pivot", "sid", "w").distinct())
             if groups.limit(1).count() == 0:
                 return found
-            self.verified(groups.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
-            found = C.saved(connected_components(self.links()))
+            star = groups.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+            found = C.saved(joined_components(found, self.similar(self.verified(star))))
             pairs, open_ = self.by_differences(groups, found)
-            self.verified(pairs)
-            found = C.saved(connected_components(self.links()))
+            found = C.saved(joined_components(found, self.similar(self.verified(pairs))))
 
     def by_differences(self, groups: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of the members of each pivot's group that can be similar, and the lists to be resolved in another round.
@@ -361,15 +366,17 @@ class _Join:
         sizes = named.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
         most = sizes.groupBy("pivot").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
         members = named.where("sid <> pivot").join(most, "pivot").select("pivot", "sid", "comp", "largest")
-        own = self.sets.select("sid", F.col("tokens").alias("x"))
-        pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p"))
-        both = members.join(own, "sid").join(pivots, "pivot").select(*members.columns, "x", "p")
-        cut = both.mapInArrow(_differences, "pivot long, sid long, comp long, largest long, d array<long>")
-        rows = cut.join(self.sets.select("sid", "n", "alone"), "sid").withColumn("nd", F.size("d") + F.col("alone")).withColumn("s", up * F.col("nd") - down * F.col("n"))
+        members = C.saved(members)
+        asked = C.saved(members.select("pivot").distinct())
+        own = self.sets.select("sid", "n", "alone", F.col("tokens").alias("x")).join(C.hinted(members, members.count()), "sid")
+        pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p")).join(C.hinted(asked, asked.count()), "pivot")
+        both = own.join(pivots, "pivot").select("pivot", "sid", "comp", "largest", "n", "alone", "x", "p")
+        rows = both.mapInArrow(_differences, "pivot long, sid long, comp long, largest long, n long, alone long, d array<long>")
+        rows = rows.withColumn("nd", F.size("d") + F.col("alone")).withColumn("s", up * F.col("nd") - down * F.col("n"))
         rows = C.staged(rows, "differences")
         outside = F.col("comp") != F.col("largest")
         bounds = C.saved(rows.groupBy("pivot").agg(F.min("s").alias("least"), F.min_by("sid", F.struct("s", "sid")).alias("nearest"), F.min(F.when(outside, F.col("s"))).alias("least_outside")))
-        rows = rows.join(bounds, "pivot")
+        rows = rows.join(C.hinted(bounds, bounds.count()), "pivot")
         certain = rows.where((F.col("s") + F.col("least") <= 0) & (F.col("sid") != F.col("nearest"))).select(F.least("sid", "nearest").alias("a"), F.greatest("sid", "nearest").alias("b"))
 
         def overlap(x, y):
