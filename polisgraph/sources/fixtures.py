@@ -111,6 +111,19 @@ def fixture_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return load_graph(spark, _SAVED[key])
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table of ``sf_dir`` that several queries use, written to the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     held = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
