@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polisgraph.functions import vocabulary as V
+from polisgraph.functions.provenance import effective_date
 from polisgraph.graph import Graph
 
 _NO_EDGE: tuple[str, ...] = ()  # a relationship of the vocabulary that no edge has yet
@@ -75,6 +76,8 @@ FILL = [
     ("AgendaItem", 4, "kind"), ("Amendment", 2, "event_date"), ("Proceeding", 4, "event_date"), ("Election", 2, "event_date"), ("Candidacy", 2, "id"),
 ]
 
+# Fixed value: nodes of a page, unless more must be shown.
+PAGE_CAP = 40
 # The plain view of any other type shows so many neighbours; these types are reached by one more relationship.
 PLAIN_CAP = 40
 PLAIN_EXTRA = {"Place": "IN_JURISDICTION", "Issue": "RELATES_TO_ISSUE"}
@@ -106,7 +109,24 @@ def must_show(g: Graph, focus: str, focus_type: str) -> DataFrame:
 
 
 def fill(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
-    """``(id, node_type, label, ring, rank_value, type_priority)``: the best nodes of each type within two hops that are not shown.
+    return _filled(g, focus, shown).drop("k")
+
+
+def page(g: Graph, focus: str, focus_type: str) -> DataFrame:
+    """``(position, id, node_type, label, ring, event_date)``: what must be shown, then what fills the page up to its cap."""
+    must = must_show(g, focus, focus_type)
+    first = must.where(F.col("id") != focus).groupBy("id").agg(F.min(F.struct("ring", "relationship")).alias("f"), F.first("node_type").alias("node_type"), F.first("label").alias("label"))
+    first = first.select("id", "node_type", "label", "f.ring", F.lit(0).alias("type_priority"), F.lit(0).alias("k"))
+    rest = _filled(g, focus, must).select("id", "node_type", "label", "ring", "type_priority", "k")  # 52 rows at most
+    shown = must.agg(F.count("*").alias("shown"))
+    rest = rest.withColumn("n", F.row_number().over(Window.orderBy("type_priority", "k"))).crossJoin(shown).where(F.col("n") <= PAGE_CAP - F.col("shown")).drop("n", "shown")
+    rows = first.unionByName(rest).join(g.nodes.select("id", effective_date("node_type", "event_date").alias("event_date")), "id")
+    # What must be shown is not capped: a page is as long as that.
+    return rows.withColumn("position", F.row_number().over(Window.orderBy("type_priority", "k", "ring", "id"))).select("position", "id", "node_type", "label", "ring", "event_date")
+
+
+def _filled(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
+    """``(id, node_type, label, ring, rank_value, type_priority, k)``: the best nodes of each type within two hops that are not shown.
 
     ``shown`` has the ids of what must be shown.  People and organisations are ranked by their edges to those.
     """
@@ -128,7 +148,7 @@ def fill(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
     best = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pick(lambda t, n, by: F.lit(n)))
     value = pick(lambda t, n, by: F.col(by).cast("string"))
     priority = reduce(lambda out, x: F.when(F.col("node_type") == x[1][0], x[0] + 1).otherwise(out), enumerate(FILL), F.lit(None))
-    return best.select("id", "node_type", F.coalesce("label", "id").alias("label"), "ring", value.alias("rank_value"), priority.alias("type_priority"))
+    return best.select("id", "node_type", F.coalesce("label", "id").alias("label"), "ring", value.alias("rank_value"), priority.alias("type_priority"), "k")
 
 
 def plain_view(g: Graph, focus: str, focus_type: str) -> DataFrame:

@@ -32,8 +32,62 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+def read_bundle(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of JSON files that each hold one document, or a list, over several lines."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("multiLine", True).json(path)
+
+
+def write_jsonl(df: DataFrame, path: str, in_order: bool = False) -> None:
+    """One object a line with all its fields, nulls included: by name, or in the columns' order."""
+    columns = df.columns if in_order else sorted(df.columns)
+    df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """With a header; quotes inside values are doubled, and values with quotes, commas or line breaks are quoted."""
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per source, relationship and target; properties of ``new`` (a map) overlay those of ``old``."""
+    key = ["source_id", "rel", "target_id"]
+    none = F.create_map().cast("map<string,string>")
+    both = old.select(*key, F.col("properties").alias("o")).join(new.select(*key, F.col("properties").alias("n")), key, "full")
+    kept = F.map_filter(F.coalesce("o", none), lambda k, v: ~F.map_contains_key(F.coalesce("n", none), k))
+    return both.select(*key, F.map_concat(kept, F.coalesce("n", none)).alias("properties"))
+
+
+def stamp(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    """The one row that tells when and from what a store was last written."""
+    spark.createDataFrame([tuple(values.values())], list(values)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, sha256, bytes, lines)`` of every file under a folder; a file is read whole by one task (2 GB at most)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    text = F.decode("content", "ISO-8859-1")
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
+
+
+def validate_ledger(found: DataFrame, stated: DataFrame) -> DataFrame:
+    """``stated`` (path, sha256, bytes, lines) with ``problem``: what differs first; lines count only where they are stated."""
+    files = found.toDF("path", "_sha", "_bytes", "_lines")
+    problem = F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "sha256").when(F.col("_bytes") != F.col("bytes"), "bytes").when(F.col("lines").isNotNull() & (F.col("_lines") != F.col("lines")), "lines")
+    return stated.join(files, "path", "left").select("path", "sha256", "bytes", "lines", problem.alias("problem"))
+
+
+def baseline_digest(df: DataFrame, buckets: int = 256) -> DataFrame:
+    """``(rows, sha256)`` of a table that no order changes: sorted rows of each bucket of hashes, then the buckets' digests."""
+    rows = canonical_rows(df).withColumn("b", F.substring(F.md5("row"), 1, 2) if buckets == 256 else F.lit(""))
+    parts = rows.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("row", 256))), ""), 256).alias("d"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], x["d"])), ""), 256).alias("sha256"))
+
+
+def export_baseline(df: DataFrame, path: str) -> DataFrame:
+    """Write a baseline where there is none yet (else it raises) and return its digest."""
+    write_jsonl(df, path)
+    return baseline_digest(df)
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:

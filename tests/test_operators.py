@@ -1,14 +1,17 @@
 import difflib
+import hashlib
 import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from polisgraph.functions import cleaning as K
+from polisgraph.functions import provenance as P
 from polisgraph.graph import Graph
 from polisgraph.operators import resolve, traverse
 from polisgraph.operators.reconcile import reconcile
-from polisgraph.plans import cleanq, tabular, views
+from polisgraph.plans import checksq, cleanq, tabular, views
 from polisgraph.sources import store
 
 
@@ -103,6 +106,56 @@ def test_store_round_trip_and_difference(spark, tmp_path):
     assert store.read_jsonl(spark, f"{tmp_path}/j", "id string").count() == 2
 
 
+def test_bundles_lines_tables_and_ledgers(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.json").write_text('{"id": "a",\n "n": [1, 2]}')
+    assert [(r.id, r.n) for r in store.read_bundle(spark, f"{tmp_path}/b", "id string, n array<int>").collect()] == [("a", [1, 2])]
+    df = spark.createDataFrame([("é", None, 'say "a, b"\nc')], "z string, a string, q string").coalesce(1)
+    store.write_jsonl(df, f"{tmp_path}/named")
+    store.write_jsonl(df, f"{tmp_path}/ordered", in_order=True)
+    read = lambda d: next((tmp_path / d).glob("part-*")).read_text().strip()
+    assert read("named").startswith('{"a":null,"q":') and read("ordered").startswith('{"z":"é","a":null,')
+    store.write_csv(df, f"{tmp_path}/csv")
+    assert read("csv") == 'z,a,q\né,,"say ""a, b""\nc"'
+    store.stamp(spark, f"{tmp_path}/stamp", {"at": "2024-01-01"})
+    store.stamp(spark, f"{tmp_path}/stamp", {"at": "2024-01-02"})
+    assert [r.at for r in spark.read.json(f"{tmp_path}/stamp").collect()] == ["2024-01-02"]
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "f.txt").write_bytes(b"a\nb\n\xff")
+    found = store.ledger(spark, f"{tmp_path}/l")
+    row = found.first()
+    assert (row.sha256, row.bytes, row.lines) == (hashlib.sha256(b"a\nb\n\xff").hexdigest(), 5, 2)
+    stated = [(row.path, row.sha256, 5, None), (row.path, "0", 5, 2), (row.path, row.sha256, 6, 2), (row.path, row.sha256, 5, 3), ("gone", "0", 1, None)]
+    checked = store.validate_ledger(found, spark.createDataFrame(stated, "path string, sha256 string, bytes long, lines long"))
+    assert sorted(str(r.problem) for r in checked.collect()) == ["None", "bytes", "lines", "missing", "sha256"]
+    store.export_baseline(df, f"{tmp_path}/base")
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.export_baseline(df, f"{tmp_path}/base")
+    rows = spark.createDataFrame([(i, str(i)) for i in range(50)], "a int, b string")
+    assert store.baseline_digest(rows).collect() == store.baseline_digest(rows.orderBy(F.desc("a")).repartition(3)).collect() != store.baseline_digest(rows.where("a > 0")).collect()
+
+
+def test_edges_overlay_properties(spark):
+    kind = "source_id string, rel string, target_id string, properties map<string,string>"
+    old = spark.createDataFrame([("a", "R", "b", {"x": "1", "y": "2"}), ("a", "R", "c", None)], kind)
+    new = spark.createDataFrame([("a", "R", "b", {"y": "3"}), ("d", "R", "b", {"z": "4"})], kind)
+    assert {(r.source_id, r.target_id): r.properties for r in store.upsert_edges(old, new).collect()} == {("a", "b"): {"x": "1", "y": "3"}, ("a", "c"): {}, ("d", "b"): {"z": "4"}}
+
+
+def test_citations_and_years(spark):
+    rows = [({"record_ids": '["r"]'}, True), ({"record_ids": "[]"}, False), ({"minutes_url": '" "'}, False), ({"fppc_id": '"7"'}, True), ({"source_url": '"u"'}, False), ({"source_url": '"u"', "source_id": "3"}, True), ({}, False)]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(rows)], "i int, properties map<string,string>")
+    assert [r.c for r in df.select("i", P.is_cited().alias("c")).orderBy("i").collect()] == [w for _, w in rows]
+    years = spark.createDataFrame([({"signed_at": '"2020-01-02"', "meeting_date": '"soon"'},), ({"started_at": '"19"'},), ({"election_date": '"2018"', "signed_at": '"2020"'},)], "properties map<string,string>")
+    assert [r.y for r in years.select(P.node_year().alias("y")).collect()] == [2020, None, 2018]
+
+
+def test_a_small_table_has_rows_at_both_ends_and_first_occurrences_win(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a")], "k int, g string")
+    assert sorted((r.position, r.k) for r in checksq.ends(df, ["k"], 2, 2).collect()) == [(-2, 2), (-1, 3), (1, 1), (2, 2)]
+    assert sorted((r.g, r.k) for r in checksq.first_occurrences(df, ["g"], ["k"]).collect()) == [("a", 2), ("b", 1)]
+
+
 def test_browse_seeks_past_the_cursor(spark):
     g = graph(spark, [(f"person-{i}", "CAST_VOTE", "decision-1") for i in range(5)])
     assert [r.id for r in cleanq.browse_page(g, "Person", "person-1", 2).collect()] == ["person-2", "person-3"]
