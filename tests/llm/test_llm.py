@@ -366,6 +366,20 @@ def test_the_threshold_stops_before_all_rows_where_dimensions_differ():
     assert lists.scored < 40 * 5000 / 4  # rows met by the forty searches
 
 
+def test_principal_axes_let_the_threshold_stop(spark):
+    r = np.random.default_rng(8)
+    turn = np.linalg.qr(r.normal(size=(16, 16)))[0]
+    v = np.floor(256 * (r.normal(size=(4000, 16)) * 2.0 ** -np.arange(16)) @ turn)
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "id long, v binary")
+    axes = topk.principal_axes(rows)[128]
+    assert np.allclose(axes.T @ axes, np.eye(16))
+    plain, turned = topk.SortedLists(np.arange(4000), v), topk.SortedLists(np.arange(4000), v, axes)
+    for i in range(30):
+        a, b = plain.best(v[i], 5, i), turned.best(v[i], 5, i)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    assert turned.scored < plain.scored and turned.scored < 30 * 4000 / 10
+
+
 def test_top_k_of_large_components(spark):
     rows = [(1, [2.0**33, 1.0]), (2, [2.0**-8, 2.0**20]), (3, [2.0**20, 3.0]), (3, [2.0**20, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
