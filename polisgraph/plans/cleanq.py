@@ -113,12 +113,16 @@ def edge_integrity(spark, d) -> DataFrame:
     return resolve.dangling(g.edges.select("source_id", "target_id", "rel").unionByName(named), g.nodes.where("id <> 'org-11' and id <> 'place-nation-3'"))
 
 
-def resolve_keys(spark, d) -> DataFrame:
-    """Suppliers against parts of them under two keys, some of which disagree."""
+def _keyed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and parts of them under two keys, some of which disagree."""
     s = spark.read.parquet(f"{d}/supplier.parquet")
     new = s.select(F.concat(F.lit("new-"), "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 != 0, F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("ein"), F.lpad(F.col("s_suppkey").cast("string"), 12, "A").alias("uei"))
     old = s.select(F.concat(F.lit("org-"), "s_suppkey").alias("id"), F.lpad(F.when(F.col("s_suppkey") % 7 == 0, F.col("s_suppkey") + 1).otherwise(F.col("s_suppkey")).cast("string"), 9, "0").alias("ein"), F.when(F.col("s_suppkey") % 5 != 0, F.lpad(F.col("s_suppkey").cast("string"), 12, "A")).alias("uei"))
-    return resolve.by_keys(new, old, ["ein", "uei"])
+    return new, old
+
+
+def resolve_keys(spark, d) -> DataFrame:
+    return resolve.by_keys(*_keyed(spark, d), ["ein", "uei"])
 
 
 def resolve_names(spark, d) -> DataFrame:
@@ -206,7 +210,8 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.join(new.select("id", F.col("x").alias("x2"), F.col("y").alias("y2")), "id")
     gap = F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
     width = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    return both.agg(F.count("*").alias("nodes"), F.round(F.max(gap) / width, 6).alias("largest"), F.round(F.avg(gap) / width, 6).alias("mean"))
+    moved = F.hypot(F.avg("x2") - F.avg("x"), F.avg("y2") - F.avg("y"))
+    return both.agg(F.count("*").alias("nodes"), F.round(F.max(gap) / width, 6).alias("largest"), F.round(F.avg(gap) / width, 6).alias("mean"), F.round(moved / width, 6).alias("centroid"))
 
 
 def layout_drift(spark, d) -> DataFrame:
@@ -275,6 +280,8 @@ QUERIES = {
     "edge_integrity": edge_integrity,
     "edge_digests": digests,
     "resolve_keys": resolve_keys,
+    "key_conflicts": lambda s, d: resolve.key_conflicts(*_keyed(s, d), ["ein", "uei"]),
+    "complete_edges": lambda s, d: resolve.with_both_ends(fixture_graph(s, d).edges.where("rel in ('CAST_VOTE', 'DECIDED_BY', 'FILED_BY')").select("source_id", "rel", "target_id"), fixture_graph(s, d).nodes.where("id <> 'org-5'")),
     "resolve_names": resolve_names,
     "fuzzy_names": fuzzy_names,
     "merged_properties": merged_properties,
@@ -323,13 +330,15 @@ ORACLE_SQL = {
     "catalog": with_graph("SELECT t.node_type, count(n.id) AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in K.V.PREFIX) + ") t(node_type) LEFT JOIN nodes n ON n.node_type = t.node_type GROUP BY 1"),
     "edge_integrity": with_graph("ids AS (SELECT id FROM nodes WHERE id NOT IN ('org-11', 'place-nation-3')), e AS (SELECT source_id, target_id, rel FROM edges UNION ALL SELECT id, ref_id, 'institution_id' FROM nodes WHERE node_type = 'Decision') SELECT rel, count(*) AS missing FROM e WHERE source_id NOT IN (SELECT id FROM ids) OR target_id NOT IN (SELECT id FROM ids) GROUP BY rel"),
     "edge_digests": with_graph("SELECT rel AS type, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(source_id || '|' || target_id), 1, 8)) AS BIGINT)) AS VARCHAR) AS digest FROM edges GROUP BY rel"),
+    "key_conflicts": "WITH n AS (SELECT 'new-' || s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 9, '0') END AS ein, lpad(CAST(s_suppkey AS VARCHAR), 12, 'A') AS uei FROM supplier), o AS (SELECT 'org-' || s_suppkey AS id, lpad(CAST(CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS VARCHAR), 9, '0') AS ein, CASE WHEN s_suppkey % 5 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, 'A') END AS uei FROM supplier), h AS (SELECT n.id, o.id AS match, 0 AS r, 'ein' AS k FROM n JOIN o USING (ein) UNION ALL SELECT n.id, o.id, 1, 'uei' FROM n JOIN o USING (uei)), p AS (SELECT id, match, arg_min(k, r) AS matched_by FROM h GROUP BY 1, 2) SELECT * FROM p WHERE id IN (SELECT id FROM p GROUP BY 1 HAVING count(*) > 1)",
+    "complete_edges": with_graph("ids AS (SELECT id FROM nodes WHERE id <> 'org-5') SELECT source_id, rel, target_id FROM edges WHERE rel IN ('CAST_VOTE', 'DECIDED_BY', 'FILED_BY') AND source_id IN (SELECT id FROM ids) AND target_id IN (SELECT id FROM ids)"),
     "resolve_keys": "WITH n AS (SELECT 'new-' || s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 9, '0') END AS ein, lpad(CAST(s_suppkey AS VARCHAR), 12, 'A') AS uei FROM supplier), o AS (SELECT 'org-' || s_suppkey AS id, lpad(CAST(CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS VARCHAR), 9, '0') AS ein, CASE WHEN s_suppkey % 5 <> 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, 'A') END AS uei FROM supplier), h AS (SELECT n.id, o.id AS m, 0 AS r, 'ein' AS k FROM n JOIN o USING (ein) UNION ALL SELECT n.id, o.id, 1, 'uei' FROM n JOIN o USING (uei)), b AS (SELECT id, min(m) AS lo, max(m) AS hi, arg_min(k, r) AS k FROM h GROUP BY id) SELECT n.id, CASE WHEN lo = hi THEN lo END AS match, CASE WHEN lo = hi THEN k END AS matched_by, CASE WHEN lo IS NULL THEN 'new' WHEN lo <> hi THEN 'conflict' ELSE 'matched' END AS status FROM n LEFT JOIN b USING (id)",
     "resolve_names": with_graph(f"c AS (SELECT id, {_KEY.format('label')} AS k0, regexp_extract(label, '#0*([0-9]+)$', 1) AS k1 FROM nodes WHERE node_type = 'Committee'), p AS (SELECT id, {_KEY.format('label')} AS k0, regexp_extract(label, '#0*([0-9]+)$', 1) AS k1 FROM nodes WHERE node_type = 'Person'), u0 AS (SELECT k0, min(id) AS m FROM p WHERE k0 <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1), u1 AS (SELECT k1, min(id) AS m FROM p WHERE k1 <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT c.id, coalesce(u0.m, u1.m) AS match, CASE WHEN u0.m IS NOT NULL THEN 'name' WHEN u1.m IS NOT NULL THEN 'number' END AS rung FROM c LEFT JOIN u0 USING (k0) LEFT JOIN u1 USING (k1)"),
     "merged_properties": "WITH o AS (SELECT o_custkey, o_orderkey AS s, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS r, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS p, o_orderpriority AS q FROM orders), f AS (SELECT o_custkey, q, min(s) AS s FROM o GROUP BY 1, 2), l AS (SELECT o_custkey, string_agg(q, '|' ORDER BY s) AS priorities FROM f GROUP BY 1), b AS (SELECT o_custkey, p FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p IS NULL, r DESC, s) AS k FROM o) WHERE k = 1) SELECT o_custkey, p AS priority, priorities FROM b JOIN l USING (o_custkey)",
     "query_pack": with_graph("f AS (SELECT id, kind, substr(event_date, 1, 4) AS y FROM nodes WHERE node_type = 'Filing'), fa AS (SELECT f.*, e.target_id AS actor FROM f JOIN edges e ON e.rel IN ('FILED_BY', 'OFFICIAL_FILER') AND e.source_id = f.id), a AS (SELECT actor, count(DISTINCT kind) AS k, count(DISTINCT nullif(y, '')) AS y FROM fa GROUP BY 1), disc AS (SELECT DISTINCT f.id FROM f JOIN edges e ON e.rel = 'FILED_DURING_SEAT_SERVICE' AND e.source_id = f.id JOIN nodes s ON s.id = e.target_id AND s.node_type = 'SeatService' AND (s.ended_date IS NULL OR s.ended_date = '' OR TRY_CAST(s.ended_date AS DATE) >= DATE '2026-01-01') WHERE f.kind IN ('form_700', 'form_803') AND f.y >= '2019'), tl AS (SELECT e.source_id AS d, m.id AS m, substr(m.event_date, 1, 4) AS y FROM edges e JOIN nodes m ON m.id = e.target_id AND m.node_type = 'Meeting' AND m.event_date <> '' WHERE e.rel IN ('DECIDED_AT', 'AT_MEETING') AND e.source_id LIKE 'decision-%'), r AS (SELECT 'actor_dossier' AS query, count(*) FILTER (k >= 2 AND y >= 2) AS a, count(*) AS b, NULL::BIGINT AS c FROM a UNION ALL SELECT 'disclosure_coverage', count(*), count(*) FILTER (id IN (SELECT id FROM fa)), NULL FROM disc UNION ALL SELECT 'decision_timeline', count(DISTINCT d), count(DISTINCT m), count(DISTINCT y) FROM tl UNION ALL SELECT 'election_money_spine', (SELECT count(DISTINCT f.y) FROM edges e JOIN f ON f.id = e.target_id AND f.y <> '' WHERE e.rel = 'DISCLOSED_IN_FILING' AND e.source_id LIKE 'moneyflow-%'), (SELECT count(*) FROM nodes WHERE node_type IN ('Person', 'Organization') AND kind = 'noisy-import'), NULL UNION ALL SELECT 'validation_queue', count(*), count(DISTINCT id), NULL FROM nodes WHERE node_type = 'Decision' UNION ALL SELECT 'legal_constraint_chain', (SELECT count(*) FROM nodes n WHERE node_type = 'Case' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.rel = 'PART_OF_CASE' AND e.target_id = n.id)), (SELECT count(*) FROM (SELECT target_id FROM edges WHERE rel = 'RELATES_TO_PROGRAM' AND source_id LIKE 'case-%' GROUP BY 1 HAVING count(DISTINCT source_id) >= 2)), (SELECT count(DISTINCT target_id) FROM edges WHERE rel = 'RELATES_TO_DECISION' AND source_id LIKE 'case-%')) SELECT query, a, b, c, CASE query WHEN 'actor_dossier' THEN a > 0 WHEN 'disclosure_coverage' THEN a > 0 AND a = b WHEN 'decision_timeline' THEN a > 100 AND b > 20 AND c > 1 WHEN 'election_money_spine' THEN a >= 2 AND b = 0 WHEN 'validation_queue' THEN a <= 20 AND b <= 10 ELSE a = 0 AND (b > 0 OR c >= 2) END AS passed FROM r"),
     "layout_centroids": "SELECT label AS cluster, CAST(d AS INTEGER) AS dim, round(avg(CAST(embedding[d + 1] AS DOUBLE)), 6) AS mean, count(*) AS members FROM embeddings, range(64) r(d) WHERE label >= 0 GROUP BY 1, 2",
     "centroid_distance": "WITH c AS (SELECT label, d, avg(CAST(embedding[d + 1] AS DOUBLE)) AS m FROM embeddings, range(64) r(d) WHERE label >= 0 GROUP BY 1, 2) SELECT vec_id, e.label AS cluster, round(sqrt(sum((CAST(embedding[d + 1] AS DOUBLE) - m) ** 2)), 6) AS distance FROM embeddings e JOIN c ON e.label = c.label GROUP BY 1, 2",
-    "layout_drift": "SELECT count(*) AS nodes, round(max(abs(y / 10)) / greatest(max(x) - min(x), max(y) - min(y)), 6) AS largest, round(avg(abs(y / 10)) / greatest(max(x) - min(x), max(y) - min(y)), 6) AS mean FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)",
+    "layout_drift": "SELECT count(*) AS nodes, round(max(abs(y / 10)) / greatest(max(x) - min(x), max(y) - min(y)), 6) AS largest, round(avg(abs(y / 10)) / greatest(max(x) - min(x), max(y) - min(y)), 6) AS mean, round(abs(avg(y / 10)) / greatest(max(x) - min(x), max(y) - min(y)), 6) AS centroid FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)",
     "layout_promote": "SELECT vec_id AS id, CASE WHEN vec_id % 4 <> 0 THEN label END AS canonical, CASE WHEN vec_id % 3 <> 0 THEN label + 1 END AS previous, vec_id % 3 = 0 AND vec_id % 4 <> 0 AS entered FROM embeddings",
     "cluster_names": with_graph(f"c AS (SELECT label, d, avg(CAST(embedding[d + 1] AS DOUBLE)) AS m FROM embeddings, range(64) r(d) WHERE label >= 0 GROUP BY 1, 2), dist AS (SELECT vec_id, e.label AS cluster, round(sqrt(sum((CAST(embedding[d + 1] AS DOUBLE) - m) ** 2)), 6) AS distance FROM embeddings e JOIN c ON e.label = c.label GROUP BY 1, 2), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, vec_id) AS k FROM dist) WHERE k <= 10), mem AS (SELECT cluster, k, p.node_type AS t, p.label, l.label AS place FROM near LEFT JOIN nodes p ON p.id = 'project-' || vec_id LEFT JOIN edges e ON e.rel = 'IN_JURISDICTION' AND e.source_id = p.id LEFT JOIN nodes l ON l.id = e.target_id), w AS (SELECT cluster, k, unnest(ws) AS v, generate_subscripts(ws, 1) AS i FROM (SELECT cluster, k, list_filter(regexp_split_to_array(lower(coalesce(label, '')), '[^a-z]+'), lambda x: x <> '' AND x NOT IN {K.V.STOP_WORDS}) AS ws FROM mem)), v AS (SELECT 1 AS what, cluster, place AS v, k, 0 AS i FROM mem WHERE place <> '' UNION ALL SELECT 2, cluster, t, k, 0 FROM mem WHERE t <> '' UNION ALL SELECT 3, cluster, v, k, i FROM w), n AS (SELECT what, cluster, v, count(*) AS n, min(k * 100000 + i) AS first FROM v GROUP BY 1, 2, 3), b AS (SELECT what, cluster, v FROM n QUALIFY row_number() OVER (PARTITION BY what, cluster ORDER BY n DESC, first) = 1) SELECT m.cluster, coalesce((SELECT string_agg(v, ' · ' ORDER BY what) FROM b WHERE b.cluster = m.cluster), 'Unnamed cluster') AS name FROM (SELECT DISTINCT cluster FROM mem) m"),
 }
