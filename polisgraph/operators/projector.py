@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from polisgraph.functions import relations as R
 from polisgraph.functions import vocabulary as V
+from polisgraph.functions.provenance import node_year
 
 EMPTY = ("null", '""', "[]")
 #: Names under which the rows of a merge differ on purpose.
@@ -207,3 +208,9 @@ def load_once(nodes: DataFrame) -> DataFrame:
     """``(id, payload)`` with equal repeats once; an id with two payloads raises an error."""
     count = F.count_distinct("payload")
     return nodes.groupBy("id").agg(F.when(count > 1, F.raise_error(F.concat(F.lit("differing payloads of "), F.first("id")))).otherwise(F.min("payload")).alias("payload"))
+
+
+def node_summaries(nodes: DataFrame) -> DataFrame:
+    """``(id, node_type, label, year, bundles, properties)``: properties without the payload and without empty values."""
+    kept = F.map_filter("properties", lambda k, v: (k != PAYLOAD) & v.isNotNull() & ~v.isin(*EMPTY))
+    return nodes.select("id", "node_type", "label", node_year().alias("year"), "bundles", kept.alias("properties"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polisgraph.functions import provenance as P
 from polisgraph.graph import Graph
-from polisgraph.operators import entity, traverse
+from polisgraph.operators import entity, projector, resolve, traverse
 from polisgraph.plans import bundleq, cleanq, entityq, extraq, graphq, views
 from polisgraph.sources import store
 from polisgraph.sources.fixtures import fixture_graph, with_graph
@@ -100,10 +100,34 @@ def sorted_rows(rows: DataFrame, by: str, descending: bool = False) -> DataFrame
     return rows.orderBy(c, "id").limit(500).withColumn("position", F.row_number().over(Window.orderBy(c, "id")))
 
 
+#: Least numbers of nodes of a graph that is fit for use, and types that a settled graph has not.
+FLOORS = {"Person": 1, "Organization": 1, "Decision": 1001, "Meeting": 201, "Filing": 201, "Record": 501}
+RETIRED = ("CaseParticipation", "Actor", "Institution", "EconomicInterestDisclosure")
+
+
+def graph_checks(g: Graph, floors: dict[str, int] = FLOORS, retired: tuple[str, ...] = RETIRED) -> DataFrame:
+    """``(check, measured, passed)``: enough nodes of each type, none of retired types, no edge without both ends."""
+    spark = g.nodes.sparkSession
+    wanted = spark.createDataFrame([(t, n, -1) for t, n in floors.items()] + [(t, 0, 0) for t in retired], "node_type string, least long, most long")
+    counts = g.nodes.groupBy("node_type").agg(F.count("*").alias("n"))
+    types = wanted.join(counts, "node_type", "left").select(F.concat(F.lit("nodes of "), "node_type").alias("check"), F.coalesce("n", F.lit(0)).alias("measured"), "least", "most")
+    types = types.select("check", "measured", ((F.col("measured") >= F.col("least")) & ((F.col("most") < 0) | (F.col("measured") <= F.col("most")))).alias("passed"))
+    loose = resolve.dangling(g.edges.select("source_id", "target_id", "rel"), g.nodes).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("measured"))
+    return types.unionByName(loose.select(F.lit("edges without both ends").alias("check"), "measured", (F.col("measured") == 0).alias("passed")))
+
+
+def _summaries(spark, d) -> DataFrame:
+    nodes, _ = bundleq._projected(spark, d)
+    names = F.array_join(F.array_sort(F.map_keys("properties")), ",")
+    return projector.node_summaries(nodes).select("id", "node_type", "label", "year", F.array_join("bundles", ",").alias("bundles"), names.alias("properties"))
+
+
 PAGES = ("Person", "Decision", "Project")
 QUERIES = {f"page_{t.lower()}": _page(t) for t in PAGES} | {
     "effective_dates": lambda s, d: effective_dates(fixture_graph(s, d)),
     "citations": citations,
+    "graph_checks": lambda s, d: graph_checks(fixture_graph(s, d)),
+    "node_summaries": _summaries,
     "subject_rollup": _rollup,
     "first_meetings": lambda s, d: first_occurrences(fixture_graph(s, d).rel("DECIDED_AT", "AT_MEETING", source="decision", target="meeting"), ["decision"], ["meeting"]),
     "decision_ends": lambda s, d: ends(fixture_graph(s, d).of("Decision").where("event_date is not null").select("id", "event_date"), ["event_date", "id"]),
@@ -136,6 +160,8 @@ _ROW = "concat_ws(chr(31), coalesce(event_date, '∅'), id, coalesce(kind, '∅'
 ORACLE_SQL = {f"page_{t.lower()}": _page_sql(t) for t in PAGES} | {
     "effective_dates": with_graph(f"SELECT id, {_EFFECTIVE} AS day FROM nodes WHERE node_type <> 'MoneyFlow'"),
     "citations": "SELECT 'decision-' || o_orderkey AS id, true AS cited FROM orders UNION ALL SELECT 'actor-' || c_custkey, false FROM customer",
+    "graph_checks": with_graph("w AS (SELECT * FROM (VALUES " + ", ".join([f"('{t}', {n}, -1)" for t, n in FLOORS.items()] + [f"('{t}', 0, 0)" for t in RETIRED]) + ") v(t, least, most)), c AS (SELECT t, least, most, (SELECT count(*) FROM nodes WHERE node_type = t) AS n FROM w), l AS (SELECT count(*) AS n FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) OR target_id NOT IN (SELECT id FROM nodes)) SELECT 'nodes of ' || t AS \"check\", n AS measured, n >= least AND (most < 0 OR n <= most) AS passed FROM c UNION ALL SELECT 'edges without both ends', n, n = 0 FROM l"),
+    "node_summaries": f"SELECT 'decision-' || o_orderkey AS id, 'Decision' AS node_type, CASE WHEN {bundleq._LATER} AND o_orderkey % 2 = 0 THEN 'Order no. ' ELSE 'Order ' END || o_orderkey AS label, NULL::INTEGER AS year, CASE WHEN {bundleq._LATER} THEN 'b1,b2' ELSE 'b1' END AS bundles, 'institution_id,meeting_id,' || CASE WHEN {bundleq._LATER} THEN 'name,' ELSE '' END || 'record_ids,status,title' AS properties FROM orders UNION ALL SELECT 'actor-' || c_custkey, 'Actor', 'Actor ' || c_custkey, NULL, 'b1', 'actor_type,name' FROM customer",
     "subject_rollup": with_graph(f"{views._CHECKS}, p AS (SELECT n.ref_id AS institution, sv.status, count(*) AS n, max(absolute_delta) AS most FROM sv JOIN nodes n ON n.id = subject GROUP BY 1, 2) SELECT institution, CAST(sum(n) AS BIGINT) AS checks, string_agg(status || ':' || n, ',' ORDER BY status) AS statuses, CAST(coalesce(max(most), 0) AS DECIMAL(18,2)) AS largest FROM p GROUP BY 1"),
     "first_meetings": with_graph("SELECT source_id AS decision, min(target_id) AS meeting FROM edges WHERE rel IN ('DECIDED_AT', 'AT_MEETING') GROUP BY 1"),
     "decision_ends": with_graph(f"r AS (SELECT id, event_date, row_number() OVER (ORDER BY event_date, id) AS a, row_number() OVER (ORDER BY event_date DESC, id DESC) AS z FROM nodes WHERE node_type = 'Decision' AND event_date IS NOT NULL) SELECT id, event_date, CAST(a AS INTEGER) AS position FROM r WHERE a <= {FIRST} UNION ALL SELECT id, event_date, CAST(-z AS INTEGER) FROM r WHERE z <= {LAST}"),

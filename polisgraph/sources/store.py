@@ -106,3 +106,9 @@ def type_digests(df: DataFrame, by: str) -> DataFrame:
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one side has, as often as they lack on the other."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def append_audit(sent: DataFrame, path: str, vendor: str) -> None:
+    """One line for each text that left: ``sent`` has id, node_type, included, dropped (arrays of ids) and text, of which only the hash stays."""
+    rows = sent.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.lit(vendor).alias("vendor"), F.col("id").alias("node_id"), "node_type", F.col("included").alias("neighbor_ids_included"), F.col("dropped").alias("neighbor_ids_dropped"), F.sha2("text", 256).alias("prompt_hash"))
+    rows.write.mode("append").json(path)
