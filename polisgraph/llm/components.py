@@ -22,17 +22,17 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array(way("u", "v"), way("v", "u"))).alias("e")).select("e.u", "e.v")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     both = _both_ways(links)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(C.hinted(least, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     # A node's links move to its least neighbour, to which the node itself is linked too.
-    moved = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    moved = down.join(C.hinted(least, 2 * rows), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
     return moved.select("e.u", "e.v").where("u <> v").distinct()
 
 
@@ -42,7 +42,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = C.saved(links)
     before = _state(links)
     while before[0]:
-        links = C.saved(_small_star(_large_star(links)))
+        links = C.saved(_small_star(_large_star(links, before[0]), before[0]))
         after = _state(links)
         if after == before:
             break
@@ -53,13 +53,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def joined_components(found: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The components ``found`` with further ``links``: only the components that these join are gone through."""
-    ends = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    ends, rows = links.select(F.col(a).alias("u"), F.col(b).alias("v")), found.count()
     for end in ("u", "v"):
-        ends = ends.join(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        ends = ends.join(C.hinted(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), rows), end, "left")
     ends = C.saved(ends.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")))
     merged = C.saved(connected_components(ends, "cu", "cv").select(F.col("node").alias("component"), F.col("component").alias("to")))
+    n = merged.count()
     fresh = ends.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("cu").alias("component")), F.struct(F.col("v").alias("node"), F.col("cv").alias("component")))).alias("e")).select("e.*")
     # Components that merged are named by their smallest: a node that stood for one alone is one of its nodes.
     named = merged.select(F.col("component").alias("node"), "component")
     nodes = found.unionByName(fresh).unionByName(named).distinct()
-    return nodes.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")).distinct()
+    return nodes.join(C.hinted(merged, n), "component", "left").select("node", F.coalesce("to", "component").alias("component")).distinct()

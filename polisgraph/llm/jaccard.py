@@ -308,13 +308,14 @@ class _Join:
         for end, side in (("a", "x"), ("b", "y")):
             own = self.sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{side}{name}") for c, name in columns.items()])
             sides.append(own.join(C.hinted(pairs, rows), end))
-        return sides[0].join(sides[1], ["a", "b"])
+        # Rows of numbers are small; tokens can be many.
+        return sides[0].join(sides[1] if "tokens" in columns else C.hinted(sides[1], 8 * rows), ["a", "b"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Overlaps of pairs that pass the suffix filter and were not verified before."""
         pairs = pairs.distinct()
         if self.known is not None:
-            pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(C.hinted(self.known.select("a", "b"), self.known.count()), ["a", "b"], "left_anti")
         pairs = C.saved(pairs)
         thin = self.with_sides(pairs, pairs.count(), {"n": "n", "alone": "alone", "bits": "bits"})
         pairs = C.saved(thin.where(self.suffix("x", "y")).select("a", "b"))
@@ -338,7 +339,7 @@ class _Join:
         return verified.where(_similar(self.percent)).select("a", "b")
 
     def named(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        return members.join(found, F.col("sid") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "sid").alias("comp"))
+        return members.join(C.hinted(found, found.count()), F.col("sid") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "sid").alias("comp"))
 
     def components(self) -> DataFrame:
         found = C.saved(connected_components(self.similar(self.verified(self.short_pairs()))))
