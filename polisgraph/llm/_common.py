@@ -30,13 +30,15 @@ SAVED_ROWS, BROADCAST_ROWS = 250_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
