@@ -8,11 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set here only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; set here only where it is unset and Spark is local, as in tests."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     made = context._jsc.sc().getCheckpointDir()
     if not made.isDefined():
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(found or "/tmp/checkpoints")
     return (found or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
