@@ -494,3 +494,22 @@ def test_pipeline_stages_are_brute_force(spark, tmp_path):
     kept = stage["language_id"](spark, d, sf)
     assert kept.columns == d.columns and {x.doc_id for x in kept.where("doc_id is not null").collect()} == {i for i, v in enumerate(values) if v and re.search("[a-z]", v)}
     assert stage["language_id"](spark, empty, sf).count() == 0 and stage["language_id"](spark, d.withColumn("lang", F.lit(None).cast("string")), sf).count() == kept.count()
+
+
+def test_archives_of_large_ids_repeats_and_empty_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 2)
+    same = "x" * 2000
+    rows = [(5 * 10**11, "http://a.org/1", same), (-(2**62), "http://a.org/1", same), (2**62, "http://b.org", ""), (7, None, None), (7, None, None), (None, "http://a.org", same)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    assert manifest.where("records > 2").count() == 0
+    got = sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to) for r in warc.capture_index(manifest, f"{tmp_path}/w").collect())
+    assert got == [(False, -(2**62), "revisit", 5 * 10**11), (False, 7, "response", None), (False, 7, "response", None), (False, 5 * 10**11, "response", None), (False, 2**62, "response", None), (True, 0, "revisit", 5 * 10**11)]
+
+
+def test_languages_of_one_letter_repeats_and_clashing_columns(spark):
+    rows = [(i, "a" if i % 2 else "é", "x" if i % 2 else "y") for i in range(40)] + [(100, "a", None), (101, None, "x"), (102, "1", "x"), (103, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1))
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.identify(d, langid.fit(d)).collect()}
+    assert all(got[i][0] == ("x" if i % 2 else "y") for i in range(40)) and got[100][0] == "x"
+    assert [got[k] for k in (101, 102, 103)] == [("und", 0.0)] * 3
+    assert langid.fit(d.limit(0)) is None
