@@ -2,12 +2,13 @@
 
 Components are turned into whole numbers, ``floor(256 * x)``.  Candidates are dealt into blocks of about
 ``BLOCK_ROWS`` rows; a task gets one block, sorts it by every dimension once, and streams the queries past it from
-files in the shared folder, so neither side is copied for the other.  A query walks the block's lists, those that hold most of the bound
-first, from the end that its sign prefers, scores each row that it meets for the first time, and stops when the bound of
-the rows not met cannot beat its k-th score, or when no row is left that it has not met.  The bound is the sum of its
-weights times the lists' current values, or the product of its length and the longest row's, if that is smaller.
-A tie of the bound goes on, since a row not met could win it by its smaller id.  One block is searched first; its
-k-th scores are floors for the others, which stop at them and report only what reaches them.
+files in the shared folder, so neither side is copied for the other.  A query walks the block's lists, those that
+hold most of the bound first, from the end that its sign prefers, scores each row that it meets for the first time,
+and stops when the bound of the rows not met cannot beat its k-th score, or when no row is left that it has not met.
+The bound is the sum of its weights times the lists' current values, or the product of its length and the longest
+row's, if that is smaller.  A tie of the bound goes on, since a row not met could win it by its smaller id.  One
+block is searched first; its k-th scores are floors for the others, which stop at them and report only what reaches
+them.
 
 Both sides are first turned to the candidates' principal axes, which leaves every product as it is: where dimensions go
 together, a few lists then hold most of a score and the bound falls early.  Turned values serve the lists and the bound,

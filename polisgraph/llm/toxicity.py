@@ -1,14 +1,13 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Labels mark documents, so tokens are labelled first: a token of a toxic document is toxic if one of its
-features (its word and its beginnings, which carry the stem) is in far more toxic documents than chance allows.  A
-two-state chain over runs of 64 tokens is trained on these by gradient ascent on the conditional likelihood,
-whose gradient is a sum over chains, one small job a round.  The labels are then weighed anew by the
-chain itself: given that some token of a chain with labelled ones is toxic, the chance that this one is (its marginal over the
-chance that any is), which takes weight from listed words that stand in clean surroundings; training goes on from
-there.
-Forward-backward marginals give each token's probability; their sum over the background, calibrated on
-the labelled sample, is the document's score, and tokens over one half are its offending spans.
+Labels mark documents, so tokens are labelled first: a token of a toxic document is toxic if one of its features
+(its word and its beginnings, which carry the stem) is in far more toxic documents than chance allows.  A two-state
+chain over runs of 64 tokens is trained on these by gradient ascent on the conditional likelihood, whose gradient is
+a sum over chains, one small job a round.  The labels are then weighed anew by the chain itself: given that some
+token of a chain with labelled ones is toxic, the chance that this one is (its marginal over the chance that any is),
+which takes weight from listed words that stand in clean surroundings; training goes on from there.
+Forward-backward marginals give each token's probability; their sum over the background, calibrated on the labelled
+sample, is the document's score, and tokens over one half are its offending spans.
 
 Bounds, both parameters: about ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, whole.  All their
 features that are evidence enough and all their chains with such a feature are used; nothing else is bounded.
