@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, packing, tokenbin, topk, toxicity, warc
+from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, packing, tokenbin, tokencount, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_token_ids": tokenbin.op9_token_ids,
     "op10_warc": warc.op10_warc,
+    "op11_token_counts": tokencount.op11_token_counts,
 }
 
 ORACLE_SQL = {
