@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, packing, tokenbin, tokencount, topk, toxicity, warc
+from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, maxscore, packing, tokenbin, tokencount, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_ids": tokenbin.op9_token_ids,
     "op10_warc": warc.op10_warc,
     "op11_token_counts": tokencount.op11_token_counts,
+    "op12_lexical_search": maxscore.op12_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_topk_search": topk.OP7_SQL,
     "op8_ngram_jaccard": jaccard.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_lexical_search": maxscore.OP12_SQL,
 }
