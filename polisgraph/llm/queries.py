@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, maxscore, packing, tokenbin, tokencount, topk, toxicity, warc
+from polisgraph.llm import decontaminate, jaccard, langid, license, linededup, maxscore, packing, tokenbin, tokencount, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_token_counts": tokencount.op11_token_counts,
     "op12_lexical_search": maxscore.op12_lexical_search,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_ngram_jaccard": jaccard.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
     "op12_lexical_search": maxscore.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
