@@ -38,12 +38,12 @@ from polisgraph.llm import _common as C
 
 K = 10
 #: Text bytes and documents of one shard, and text bytes that are hashed at a time.
-SHARD_BYTES, SHARD_DOCS, SLICE_BYTES = 16 << 20, 1 << 16, 4 << 20
+SHARD_BYTES, SHARD_DOCS, SLICE_BYTES = 8 << 20, 1 << 16, 2 << 20
 WINDOW_DOCS = 2048
 #: Distinct terms of the items that are searched, and broadcast, at a time.
 BLOCK_TERMS = 1_000_000
 #: Parquet row groups of the index.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 _KEPT = C.kept("maxscore")
 
 
