@@ -45,20 +45,20 @@ def _halves(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, tuple[str, Column]], name: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, tuple[str, Column]], name: str, parts: int | None = None) -> DataFrame:
     """``df`` with running ``sum`` or ``xor`` of values per key, itself included, however many rows one key has.
 
     Rows are dealt by ranges of key and order, so a large key is split over tasks; each task's totals per key are a row.
+    ``parts`` says into how many; Spark's guess at the size of ``df`` does, unless joins made it.
     """
-    spark = df.sparkSession
     named = df.withColumns({f"_{c}": of for c, (_, of) in values.items()})
-    dealt = named.repartitionByRange(C.partitions_for(spark, df), *keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = named.repartitionByRange(parts or C.partitions_for(df.sparkSession, df), *keys, *order).withColumn("_part", F.spark_partition_id())
     dealt = C.staged(dealt, name)
     total = {"sum": F.sum, "xor": F.bit_xor}
     within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy(*keys, "_part").agg(*[total[how](f"_{c}").alias(f"_{c}") for c, (how, _) in values.items()])
-    bases = parts.select(*keys, "_part", *[F.coalesce(total[how](f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c, (how, _) in values.items()])
+    totals = dealt.groupBy(*keys, "_part").agg(*[total[how](f"_{c}").alias(f"_{c}") for c, (how, _) in values.items()])
+    bases = totals.select(*keys, "_part", *[F.coalesce(total[how](f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c, (how, _) in values.items()])
     inside = dealt.withColumns({c: total[how](f"_{c}").over(within) for c, (how, _) in values.items()})
     join = {"sum": lambda x, y: x + y, "xor": lambda x, y: x.bitwiseXOR(y)}
     found = inside.join(bases, [*keys, "_part"])
@@ -93,11 +93,11 @@ def rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
     return own.unionByName(taken)
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame, parts: int) -> DataFrame:
     """``conv_id, depth, words, a, b, pa, pb``: for each turn the key of the prefix that it ends, and of the one before."""
     x, y = _halves(F.md5(F.concat_ws(",", "depth", "x", "y")))
     placed = turns.select("conv_id", "depth", "words", x.alias("x"), y.alias("y"))
-    keyed = running(placed, ["conv_id"], [F.col("depth").asc()], {"a": ("xor", F.col("x")), "b": ("xor", F.col("y"))}, "placed")
+    keyed = running(placed, ["conv_id"], [F.col("depth").asc()], {"a": ("xor", F.col("x")), "b": ("xor", F.col("y"))}, "placed", parts)
     before = [F.col(k).bitwiseXOR(F.col(v)).alias(f"p{k}") for k, v in (("a", "x"), ("b", "y"))]
     return C.staged(keyed.select("conv_id", "depth", "words", "a", "b", *before), "prefixes")
 
@@ -223,7 +223,7 @@ def end_digests(rows: DataFrame, convs: DataFrame, chunk: int = CHUNK_IDS) -> Da
     last = rows.groupBy("conv_id").agg(F.max(F.struct("depth", *KEY)).alias("last"))
     zero = F.lit(0).cast("long")
     ends = convs.join(last, "conv_id", "left").select(F.coalesce("last.a", zero).alias("a"), F.coalesce("last.b", zero).alias("b"), "conv_id")
-    n = C.partitions_for(rows.sparkSession, ends)
+    n = C.partitions_for(rows.sparkSession, rows)
     dealt = ends.repartitionByRange(n, *KEY, "conv_id").sortWithinPartitions(*KEY, "conv_id")
     chunks = dealt.mapInArrow(_joined(chunk), "a long, b long, part long, chunk long, ids string")
     together = chunks.repartition(n, *KEY).sortWithinPartitions(*KEY, "part", "chunk").select(*KEY, "ids")
@@ -237,13 +237,13 @@ def prefix_trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     """One row per node of the trie of rebuilt conversations."""
     turns = C.staged(digested(conversations, conv_id, turn, role, text), "digested")
     convs = C.staged(turns.groupBy("conv_id").agg(F.count("*").alias("n")), "conversations")
-    rows = prefixes(rebuilt(turns, convs))
+    rows = prefixes(rebuilt(turns, convs), C.partitions_for(turns.sparkSession, turns))
     nodes = nodes_of(rows, convs)
     places, heads = path_arrays(rows, nodes)
     hung = attached(places, heads)
     more = places.select("path", "depth", *KEY, "leaves", "saved").join(hung.select(*KEY, F.col("leaves").alias("l"), F.col("saved").alias("s")), KEY, "left")
     more = more.select("path", "depth", *KEY, *[(F.col(c) + F.coalesce(o, F.lit(0))).alias(c) for c, o in (("leaves", "l"), ("saved", "s"))])
-    summed = running(more, ["path"], [F.col("depth").desc()], {"n_leaves": ("sum", F.col("leaves")), "saved_tokens": ("sum", F.col("saved"))}, "suffixes").select(*KEY, "n_leaves", "saved_tokens")
+    summed = running(more, ["path"], [F.col("depth").desc()], {"n_leaves": ("sum", F.col("leaves")), "saved_tokens": ("sum", F.col("saved"))}, "suffixes", C.partitions_for(places.sparkSession, places)).select(*KEY, "n_leaves", "saved_tokens")
     parents = nodes.where("n_children > 0").select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
     found = nodes.join(summed, KEY).join(end_digests(rows, convs, chunk), KEY, "left").join(parents, ["pa", "pb"], "left")
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
