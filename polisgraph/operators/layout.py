@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polisgraph.operators.traverse import components
+from polisgraph.session import shared_dir
+
 #: Nodes in both layouts below which a fit is refused.
 LEAST_ANCHORS = 100
 #: Share of members that make two clusters the same.
@@ -51,24 +56,72 @@ def similarity_apply(points: DataFrame, fit: DataFrame) -> DataFrame:
     return rows.select("id", (a * F.col("x") - b * y + F.col("tx")).alias("x"), (b * F.col("x") + a * y + F.col("ty")).alias("y"))
 
 
+def heaviest_pairs(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, each at most once, with the largest sum of weights, by shortest augmenting ways."""
+    turned = weights.shape[0] > weights.shape[1]
+    cost = -(weights.T if turned else weights).astype(np.float64)
+    n, m = cost.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64)  # columns from 1; column 0 is the row's start
+    for row in range(1, n + 1):
+        match[0], at = row, 0
+        least, before, seen = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+        while match[at]:
+            seen[at] = True
+            open_ = np.flatnonzero(~seen[1:]) + 1
+            slack = cost[match[at] - 1, open_ - 1] - u[match[at]] - v[open_]
+            closer = slack < least[open_]
+            least[open_[closer]], before[open_[closer]] = slack[closer], at
+            to = int(open_[least[open_].argmin()])
+            step = least[to]
+            u[match[seen]] += step
+            v[seen] -= step
+            least[~seen] -= step
+            at = to
+        while at:
+            match[at] = match[before[at]]
+            at = int(before[at])
+    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+
+
+def assigned(overlap: DataFrame) -> DataFrame:
+    """``(cluster, prior)``: pairs of the largest total overlap, solved for each connected part of the overlaps.
+
+    ``overlap`` holds ``(cluster, prior, both)``, a row per pair with members in common.  A part is held by one task.
+    """
+    # One name space: prior clusters get even numbers, new ones odd ones.
+    ends = overlap.select((F.col("cluster") * 2 + 1).alias("a"), (F.col("prior") * 2).alias("b"))
+    parts = components(ends).where("node % 2 <> 0").select(F.expr("(node - 1) div 2").alias("cluster"), "component")
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows, i = np.unique(table.column("cluster").to_numpy(), return_inverse=True)
+        columns, j = np.unique(table.column("prior").to_numpy(), return_inverse=True)
+        weights = np.zeros((len(rows), len(columns)))
+        weights[i, j] = table.column("both").to_numpy()
+        pairs = [(int(rows[a]), int(columns[b])) for a, b in heaviest_pairs(weights) if weights[a, b] > 0]
+        return pa.table({"cluster": pa.array([a for a, _ in pairs], pa.int64()), "prior": pa.array([b for _, b in pairs], pa.int64())})
+
+    return overlap.join(parts, "cluster").select("component", "cluster", "prior", "both").groupBy("component").applyInArrow(solve, "cluster long, prior long")
+
+
 def stable_ids(prior: DataFrame, new: DataFrame, least: float = SAME_CLUSTER) -> DataFrame:
     """``(cluster, stable_id, rename)`` of every cluster of ``new``; both sides hold ``(id, cluster)``, an id once.
 
-    Two clusters with a Jaccard similarity of ``least`` or more are the same; above one half no other can be as
-    close, and at exactly one half the larger overlap, then the smaller ids decide.  Any other cluster takes the id
+    Clusters are paired for the largest total overlap (``assigned``); a pair with a Jaccard similarity of ``least`` or
+    more is the same cluster.  Any other cluster takes the id
     of the prior one it overlaps most, if no cluster has it (of several, the smallest cluster), or else a fresh id
     above all.  Clusters to be named anew: those that were not the same, and those with members of several prior
     ones.  Only overlap counts and cluster sizes, never members, meet after the join; the fresh ids are numbered in one
     task, a row per cluster.
     """
-    p, n = prior.select("id", F.col("cluster").alias("prior")), new.select("id", "cluster")
+    p, n = prior.select("id", F.col("cluster").cast("long").alias("prior")), new.select("id", F.col("cluster").cast("long").alias("cluster"))
     sizes_p = p.groupBy("prior").agg(F.count("*").alias("np"))
     sizes_n = n.groupBy("cluster").agg(F.count("*").alias("nn"))
-    overlap = n.join(p, "id").groupBy("cluster", "prior").agg(F.count("*").alias("both")).join(sizes_p, "prior").join(sizes_n, "cluster")
+    shared_dir(new.sparkSession)
+    overlap = n.join(p, "id").groupBy("cluster", "prior").agg(F.count("*").alias("both")).join(sizes_p, "prior").join(sizes_n, "cluster").checkpoint()
     rank = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    close = overlap.where(F.col("both") >= least * (F.col("np") + F.col("nn") - F.col("both")))
-    close = close.withColumns({"k": rank("cluster", F.desc("both"), "prior"), "j": rank("prior", F.desc("both"), "cluster")})
-    same = close.where("k = 1 and j = 1").select("cluster", F.col("prior").alias("same"))
+    close = assigned(overlap).join(overlap, ["cluster", "prior"]).where(F.col("both") >= least * (F.col("np") + F.col("nn") - F.col("both")))
+    same = close.select("cluster", F.col("prior").alias("same")).checkpoint()
 
     rest = overlap.join(same.select("cluster"), "cluster", "left_anti").withColumn("k", rank("cluster", F.desc("both"), "prior")).where("k = 1")
     rest = rest.join(same.select(F.col("same").alias("prior")), "prior", "left_anti").withColumn("j", rank("prior", "cluster")).where("j = 1")

@@ -1,8 +1,11 @@
 """Layout history, dual roles and names taken out of names."""
 
+import itertools
 import math
+import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from polisgraph.functions.extraction import candidate_name
@@ -60,6 +63,69 @@ def test_cluster_ids_stay(spark, prior, new, want):
     assert len(found) == len(want)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_pairs_are_the_heaviest_of_all(seed):
+    r = np.random.default_rng(seed)
+    weights = r.integers(0, 9, (r.integers(1, 6), r.integers(1, 6)))
+    wide = weights if weights.shape[0] <= weights.shape[1] else weights.T
+    most = max(sum(wide[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+    pairs = layout.heaviest_pairs(weights)
+    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == min(weights.shape)
+    assert sum(weights[i, j] for i, j in pairs) == most
+
+
+def test_ids_follow_the_heaviest_pairs(spark):
+    """Where the best pairs overall differ from each cluster's own best, and on clusters drawn at random."""
+    r = random.Random(4)
+    prior = {10: range(10), 11: range(10, 16), 12: range(20, 29), 13: range(40, 44)}
+    new = {0: [*range(6), *range(10, 16)], 1: range(6, 10), 2: range(20, 26), 3: [26, 27, 28, 60], 4: range(40, 44), 5: range(70, 75)}
+    for _ in range(2):
+        found = {c: (s, again) for c, s, again in layout.stable_ids(clusters(spark, prior), clusters(spark, new)).collect()}
+        assert found == plain_ids(prior, new)
+        prior = {c: [] for c in range(7, 13)}
+        new = {c: [] for c in range(6)}
+        for k in range(400):
+            c = r.randrange(6)
+            prior[7 + c].append(k)
+            new[c if r.random() < 0.8 else r.randrange(6)].append(k)
+
+
+def plain_ids(prior, new):
+    sets = lambda groups: {c: set(ids) for c, ids in groups.items()}
+    prior, new = sets(prior), sets(new)
+    order, old = sorted(new), sorted(prior)
+
+    def best(k, taken):
+        """The largest overlap of the clusters from the k-th on, and their partners."""
+        if k == len(order):
+            return 0, ()
+        total, rest = best(k + 1, taken)
+        found = (total, (None, *rest))
+        for p in old:
+            if p not in taken:
+                total, rest = best(k + 1, taken | {p})
+                found = max(found, (total + len(new[order[k]] & prior[p]), (p, *rest)), key=lambda x: x[0])
+        return found
+
+    out, used = {}, set()
+    for c, p in zip(order, best(0, frozenset())[1], strict=True):
+        if p is not None and 2 * len(new[c] & prior[p]) >= len(new[c] | prior[p]):
+            out[c] = p
+            used.add(p)
+    named, fresh = set(), max(prior) + 1
+    for c in sorted(new):
+        if c not in out:
+            over = max(sorted(prior), key=lambda p: len(new[c] & prior[p]))
+            if new[c] & prior[over] and over not in used:
+                out[c] = over
+                used.add(over)
+            else:
+                out[c], fresh = fresh, fresh + 1
+            named.add(c)
+    named |= {c for c in new if sum(bool(new[c] & p) for p in prior.values()) > 1}
+    return {c: (out[c], c in named) for c in new}
+
+
 def test_dual_roles_need_both_legs(spark):
     node = "id string, node_type string, label string, kind string, amount decimal(18,2), event_date string"
     flow = lambda k, kind, amount, day: (f"moneyflow-{k}", "MoneyFlow", None, kind, None if amount is None else Decimal(amount), day)
