@@ -246,3 +246,25 @@ def nearest(spark: SparkSession, placed: DataFrame, cells: Cells, k: int) -> Dat
     other = _asked(placed, asking.mapInArrow(_routed(held), "cell long, rid long, v binary, bound double"), k)
     flat = own.select("rid", F.explode("list").alias("e")).select("rid", "e.d", "e.near")
     return staged(best_lists(flat.unionByName(other), k), "nearest")
+
+
+def _into_cells(cells_held):
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells_held.value.of(matrix(batch.column(1))), pa.int64())], ["rid", "v", "cell"])
+
+    return place
+
+
+def nearest_to(spark: SparkSession, placed: DataFrame, cells: Cells, asking: DataFrame, k: int) -> DataFrame:
+    """``(rid, list)``: for rows ``(rid, v)`` that are not in ``placed``, the ``k`` nearest that are."""
+    endless = F.lit(float("inf"))
+    held = spark.sparkContext.broadcast(cells)
+    at = staged(asking.select("rid", "v").mapInArrow(_into_cells(held), "rid long, v binary, cell long"), "asking")
+    own = staged(best_lists(_asked(placed, at.select("cell", "rid", "v", endless.alias("bound")), k), k), "own-cell")
+    bound = F.when(F.size("list") >= k, F.get("list", F.lit(k - 1))["d"]).otherwise(endless)
+    more = at.join(own.select("rid", bound.alias("bound")), "rid", "left").select("rid", "v", F.coalesce("bound", endless).alias("bound"), "cell")
+    other = _asked(placed, more.mapInArrow(_routed(held), "cell long, rid long, v binary, bound double"), k)
+    flat = own.select("rid", F.explode("list").alias("e")).select("rid", "e.d", "e.near")
+    return staged(best_lists(flat.unionByName(other), k), "nearest")
