@@ -7,6 +7,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the store that Spark takes it to be in: Hadoop's default one, without a scheme."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; set here only where it is unset and Spark is local, as in tests."""
     context = spark.sparkContext
@@ -16,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(found or "/tmp/checkpoints")
-    return (found or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    return qualified(spark, found or context._jsc.sc().getCheckpointDir().get())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
