@@ -11,13 +11,14 @@ import ctypes
 import functools
 import gc
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polisgraph.session import new_path, shared_dir
+
 #: Bytes of text whose running sums are held at once.
 SLICE_BYTES = 1 << 20
 #: Input bytes that one shuffle partition should hold at most.
@@ -26,25 +27,7 @@ PARTITION_BYTES = 128 << 20
 SAVED_ROWS, BROADCAST_ROWS = 250_000, 100_000
 
 
-# ---------------------------------------------------------------- shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where unset and Spark is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+# ---------------------------------------------------------------- shared folder, named by ``session.shared_dir`` with its store
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -245,7 +228,7 @@ def binary(rows: list[bytes]) -> pa.Array:
 
 
 def local_folder(uri: str) -> tuple:
-    """A pyarrow file system and path for a folder of the shared store."""
+    """A pyarrow file system and path for a folder of the shared store, whose name has its store's scheme."""
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
