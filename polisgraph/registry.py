@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from polisgraph.plans import bundleq, checksq, cleanq, entityq, extraq, graphq, identityq, layoutq, tabular, views
+from polisgraph.plans import bundleq, checksq, cleanq, entityq, extraq, graphq, identityq, layoutq, minutesq, tabular, views
 
-_MODULES = (tabular, graphq, views, cleanq, extraq, entityq, bundleq, checksq, layoutq, identityq)
+_MODULES = (tabular, graphq, views, cleanq, extraq, entityq, bundleq, checksq, layoutq, identityq, minutesq)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
