@@ -10,15 +10,16 @@ met, in a number of pairs linear in the lines.
 Each pair's line hashes, a few bytes a line, are aligned by patience diff: lines that are unique on both sides and
 in the same order are anchors, equal lines next to an anchor join it, and the gaps between anchors are aligned in
 the same way.  Aligned blocks of at least ``BLOCK_WORDS`` words go from the later text; what is left of it is
-aligned again until nothing more goes, which finds blocks that were moved or stand there twice.  A last look-up of
-its runs among those of the earlier text finds blocks without any unique line.  So a document loses exactly the
+aligned again until nothing more goes, which finds blocks that were moved or stand there twice.  A block without
+any unique line is aligned from a run that both texts have.  So a document loses exactly the
 lines of the blocks of at least ``BLOCK_WORDS`` words that an earlier document also has; the tests hold this
 against all pairs of places.  The first holder of a run never loses it for that run, so no passage disappears
 from the corpus.
 
 Defined cases: documents are ordered by id, then by text hash; of equal texts all but the first lose every line, if
 they have ``BLOCK_WORDS`` words; equal rows are one document, and each gets its deletions; rows with a null id or text
-are left as they are; blank lines go where the lines with words on both sides go (a text's end counts as gone); a
+are left as they are; a blank line goes where the nearest lines with words before and after it go (a text's end counts
+as gone), whether the block has it or not; a
 text with no line left becomes empty; an empty table stays empty.  Added columns replace input columns of the same name.
 """
 
@@ -192,26 +193,39 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
 
 
-def repeated_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np.ndarray, least: int) -> np.ndarray:
-    """The lines of ``y`` that lie in a block of at least ``least`` words that ``x`` also has, wherever it stands in both."""
+def shared_runs(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``y`` that ``x`` has too: start in x, start in y, lines."""
     xs, xe, xh = minimal_runs(x, x_words, np.array([0, len(x)]), least)
     ys, ye, yh = minimal_runs(y, y_words, np.array([0, len(y)]), least)
     known, where = np.unique(xh, return_index=True)
     if not len(known) or not len(yh):
-        return np.zeros(0, np.int64)
+        return ys[:0], ys[:0], ys[:0]
     at = np.minimum(np.searchsorted(known, yh), len(known) - 1)
     of = where[at]
     hit = (known[at] == yh) & (xe[of] - xs[of] == ye - ys)
-    if not hit.any():
-        return np.zeros(0, np.int64)
     start, length, of = ys[hit], (ye - ys)[hit], of[hit]
-    place = _spread(start, length)
-    same = np.logical_and.reduceat(x[_spread(xs[of], length)] == y[place], np.cumsum(length) - length)
-    return np.unique(place[np.repeat(same, length)])
+    if not hit.any():
+        return start, start, length
+    same = np.logical_and.reduceat(x[_spread(xs[of], length)] == y[_spread(start, length)], np.cumsum(length) - length)
+    return xs[of][same], start[same], length[same]
+
+
+def grown(x: list[int], y: list[int], i: int, j: int, n: int) -> tuple[int, int]:
+    """Start and end in ``y`` of the block of equal lines around ``n`` lines at ``i`` and ``j``."""
+    to, stop = i + n, j + n
+    while i and j and x[i - 1] == y[j - 1]:
+        i, j = i - 1, j - 1
+    while to < len(x) and stop < len(y) and x[to] == y[stop]:
+        to, stop = to + 1, stop + 1
+    return j, stop
 
 
 def aligned_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np.ndarray, least: int) -> np.ndarray:
-    """The lines of ``y`` that go: blocks that patience diff aligns, again and again, then what only runs can find."""
+    """The lines with words of ``y`` that go: those of the blocks of ``least`` words that are aligned with ``x``.
+
+    Patience diff aligns what is left of ``y`` again and again.  Where it finds no block, but a run with a line that still
+    stands is shared, that run is the anchor: the texts are aligned from it both ways.
+    """
     early, late, size = x.tolist(), y.tolist(), np.concatenate([[0], np.cumsum(y_words, dtype=np.int64)])
     gone = np.zeros(len(y), bool)
     left = [(0, len(y))]
@@ -225,8 +239,11 @@ def aligned_lines(x: np.ndarray, y: np.ndarray, x_words: np.ndarray, y_words: np
         if blocks:
             edges = [a, *(k for block in sorted(blocks) for k in block), b]
             left += list(zip(edges[::2], edges[1::2], strict=True))
-    gone[repeated_lines(x, y, x_words, y_words, least)] = True
-    return np.flatnonzero(gone)
+    for i, j, n in zip(*(k.tolist() for k in shared_runs(x, y, x_words, y_words, least)), strict=True):
+        if not gone[j : j + n].all():
+            start, stop = grown(early, late, i, j, n)
+            gone[start:stop] = True
+    return np.flatnonzero(gone & (y_words > 0))
 
 
 def _blanks(gone: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -192,6 +192,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(d, labels.where("false")) == 0.0
 
 
+def test_toxicity_with_few_labels_still_ranks(spark):
+    """Five toxic labels give no evident feature; scores must differ, and the planted words rank first."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(60)]
+    plain = lambda: [r.choice(common) for _ in range(30)]
+    values = [" ".join([*plain(), *(["vilezz", "rotzz"] if k % 8 == 0 else [])]) for k in range(80)]
+    d = docs(spark, values)
+    known = [(k, 0, int(k % 8 == 0)) for k in range(80) if zlib.crc32(str(k).encode()) % 5][:45]
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    assert 0 < sum(t for *_, t in known) <= 8
+    got = {x.doc_id: x.toxicity for x in toxicity.score_toxicity(d, toxicity.fit(d, labels)).collect()}
+    bad, good = [got[k] for k in range(80) if k % 8 == 0], [got[k] for k in range(80) if k % 8]
+    assert min(bad) > max(good)
+
+
+def test_toxicity_of_the_smallest_tables_tells_documents_apart(spark):
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score_toxicity(d.select("doc_id", "text"), toxicity.fit(d, labels)).join(labels.select("doc_id", "toxic"), "doc_id").select("toxicity", "toxic").collect()
+    bad, good = [x.toxicity for x in rows if x.toxic], [x.toxicity for x in rows if not x.toxic]
+    assert len(set(bad + good)) > 10 and sum(bad) / len(bad) > sum(good) / len(good) + 0.2
+
+
 def test_line_dedup_keeps_the_first_and_cuts_the_later(spark):
     line = lambda k: " ".join(f"w{k}x{i}" for i in range(15))
     shared = "\n".join(line(k) for k in range(4))
@@ -229,15 +252,14 @@ def trimmed(found, y, size):
 
 
 @pytest.mark.parametrize("least", [1, 7, 40])
-def test_repeated_lines_are_brute_force(least):
+def test_aligned_lines_are_brute_force(least):
     r = random.Random(least)
     for case in range(200):
         size = {v: r.choice([0, 1, 5, 12, 45]) for v in range(1, 8)} | {0: 0}
         x, y = ([r.randint(0, r.choice([2, 7])) for _ in range(r.randint(0, 25))] for _ in range(2))
         v, w = (np.array([size[k] for k in z], np.int32) for z in (x, y))
-        for find in (linededup.repeated_lines, linededup.aligned_lines):
-            got = find(np.array(x, np.uint64), np.array(y, np.uint64), v, w, least).tolist()
-            assert trimmed(got, y, size) == trimmed(common_lines(x, y, size, least), y, size), (case, x, y)
+        got = linededup.aligned_lines(np.array(x, np.uint64), np.array(y, np.uint64), v, w, least).tolist()
+        assert got == trimmed(common_lines(x, y, size, least), y, size), (case, x, y)
 
 
 def test_line_dedup_cuts_moved_and_repeated_passages(spark):
@@ -247,6 +269,21 @@ def test_line_dedup_cuts_moved_and_repeated_passages(spark):
     assert got == {0: values[0], 1: "h\nz\nw", 2: f"{r}\nq", 3: "z"}
 
 
+def test_line_dedup_keeps_a_blank_line_beside_a_line_that_stays(spark):
+    a = " ".join(f"a{i}" for i in range(45))
+    values = [f"{a}\n\nb", f"{a}\n\nc", f"{a}\n\n{a}", f"\n{a}\nd\n"]
+    got = {d.doc_id: d.deleted_lines for d in linededup.dedup_lines(docs(spark, values)).collect()}
+    assert got == {0: [], 1: [0], 2: [0, 1, 2], 3: [0, 1]}
+
+
+def test_alignment_grows_from_runs_without_unique_lines():
+    """Lines that all stand twice: no anchor is unique, and the block is aligned from a shared run."""
+    x, y = [1, 2, 1, 2, 9, 3, 4, 3, 4], [3, 4, 3, 4, 8, 1, 2, 1, 2]
+    w = np.full(9, 5, np.int32)
+    assert linededup.aligned_lines(np.array(x, np.uint64), np.array(y, np.uint64), w, w, 20).tolist() == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert linededup.grown(x, y, 0, 5, 2) == (5, 9)
+
+
 def test_patience_diff_aligns_the_gaps_between_anchors():
     assert linededup.common_blocks([101, 11, 1, 2, 3, 12, 102, 1, 2, 3], [101, 21, 1, 2, 3, 22, 102, 1, 2, 3]) == [(0, 0, 1), (2, 2, 3), (6, 6, 4)]
 
