@@ -12,9 +12,12 @@ sample, is the document's score, and tokens over one half are its offending span
 Bounds, both parameters: about ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, whole.  All their
 features that are evidence enough and all their chains with such a feature are used; nothing else is bounded.
 
+With too few labels for such evidence the ``WEAK_FEATURES`` features with the largest ratio are used instead, in whatever number
+of toxic documents they are, so that scores still tell documents apart.
+
 Defined cases: null, empty and wordless texts have no tokens and the score of a text without a toxic token;
 rows with a null id or label teach nothing; of several labels of one document the largest counts; without
-both kinds of labels every score is the toxic share of the labels (0 without labels).  Added columns replace
+both kinds of labels, or if no toxic document has a word, every score is the toxic share of the labels (0 without labels).  Added columns replace
 input columns of the same name.
 """
 
@@ -37,8 +40,11 @@ MAX_TOXIC = 3000
 MAX_CLEAN = 6000
 ROUNDS, FURTHER_ROUNDS = 40, 12
 CHAIN = 64
-#: Log-likelihood ratio from which a feature is used, and from which it labels tokens.
-USED_G, LABEL_G = 12.0, 20.0
+#: Log-likelihood ratio from which a feature is used, and from which it labels tokens; toxic documents that hold it at least.
+USED_G, LABEL_G, USED_IN = 12.0, 20.0, 3
+#: Where no feature is that evident, as with few labels: toxic documents that hold it at least, and how many of the most
+#: evident features are used instead.
+WEAK_IN, WEAK_FEATURES = 1, 40
 #: Marginals up to this are background and do not count towards a document's score.
 BACKGROUND = 0.2
 #: Words whose scores a worker keeps.
@@ -326,6 +332,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def _ratios(rows: DataFrame, share: float, least: int) -> tuple[list[str], np.ndarray]:
+    """Features of at least ``least`` toxic documents of the sample, in order, and their log-likelihood ratios."""
+    a = rows.where("toxic = 1").mapInArrow(_count_features, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+    found = {r["feature"]: r["toxic"] for r in a.collect()}  # the sample's words
+    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(found))
+    b = rows.where("toxic = 0").mapInArrow(_clean_counter(wanted), "feature string, clean long").groupBy("feature").agg(F.sum("clean").alias("clean"))
+    clean = {r["feature"]: r["clean"] for r in b.collect()}
+    wanted.destroy()
+    names = sorted(found)
+    return names, evidence(np.array([found[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float), share)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic"):
     """The model from rows that are not held out, or the share of toxic labels where one kind is missing."""
     spark = docs.sparkSession
@@ -342,15 +360,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return counts[1] / (counts[0] + counts[1])
-    a = rows.where("toxic = 1").mapInArrow(_count_features, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic")).where("toxic >= 3")
-    found = {r["feature"]: r["toxic"] for r in a.collect()}  # the sample's words
-    wanted = spark.sparkContext.broadcast(frozenset(found))
-    b = rows.where("toxic = 0").mapInArrow(_clean_counter(wanted), "feature string, clean long").groupBy("feature").agg(F.sum("clean").alias("clean"))
-    clean = {r["feature"]: r["clean"] for r in b.collect()}
-    names = sorted(found)
     share = sizes[1] / (sizes[0] + sizes[1])
-    g = evidence(np.array([found[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float), share)
+    names, g = _ratios(rows, share, USED_IN)
     order = [int(k) for k in np.argsort(-g, kind="stable") if g[k] >= USED_G]
+    if not order:
+        names, g = _ratios(rows, share, WEAK_IN)
+        order = np.argsort(-g, kind="stable")[:WEAK_FEATURES].tolist()
     if not order:
         return counts[1] / (counts[0] + counts[1])
     index = {names[k]: i for i, k in enumerate(order)}
