@@ -14,7 +14,7 @@ PATH_WEIGHT = {
 
 # Relationships that are traversed, though paths do not use them.
 TRAVERSED = (*PATH_WEIGHT, "FILED_DURING_SEAT_SERVICE", "FILED_FOR_SEAT", "FILED_WITH", "OPERATED_BY", "PRIMARY_FOR_ELECTION", "PRIMARY_PLACE")
-UNIVERSAL_RELS = ("EVIDENCED_BY", "IN_JURISDICTION", "ABOUT_ISSUE")
+UNIVERSAL_RELS = ("EVIDENCED_BY", "IN_JURISDICTION", "RELATES_TO_ISSUE")
 UNIVERSAL_TYPES = ("Record", "Place", "Issue")
 PATH_EXCLUDED = ("Record", "Issue", "Place", "AgendaItem")
 LOOSE_PENALTY = 10

@@ -54,12 +54,18 @@ def quota(hop: int) -> Column:
     return out
 
 
-def expand(g: Graph, start: str, hop: int, loaded: tuple[str, ...] = (), excluded=V.UNIVERSAL_TYPES) -> DataFrame:
-    """Nodes within ``hop`` of ``start``: by type the best of its quota, then the best of the hop's cap."""
+def expand(g: Graph, start: str, hop: int, loaded: tuple[str, ...] = (), excluded: tuple[str, ...] | None = None, excluded_rels: tuple[str, ...] = (), universal: bool = False) -> DataFrame:
+    """Nodes within ``hop`` of ``start``: by type the best of its quota, then the best of the hop's cap.
+
+    ``universal`` walks the universal relationships too; their types are left out without it, unless ``excluded`` says
+    otherwise.  Relationships of ``excluded_rels`` are not walked.
+    """
     if hop not in V.EXPAND_CAP:
         raise ValueError("hop must be 1 to 4")
     spark = g.nodes.sparkSession
-    near = distances(walkable(g), spark.createDataFrame([(start,)], "id string"), hop, excluded).where("hop > 0")
+    excluded = (() if universal else V.UNIVERSAL_TYPES) if excluded is None else excluded
+    walked = walkable(g, [r for r in V.TRAVERSED if r not in excluded_rels], tuple(r for r in V.UNIVERSAL_RELS if universal and r not in excluded_rels))
+    near = distances(walked, spark.createDataFrame([(start,)], "id string"), hop, excluded).where("hop > 0")
     near = near.where(~F.col("id").isin(*loaded)) if loaded else near
     found = g.nodes.join(near, "id").select("id", "node_type", "label", "hop", F.coalesce("event_date", F.lit("")).alias("rank_value"))
     order = Window.partitionBy("node_type").orderBy("hop", F.desc("rank_value"), "id")

@@ -10,24 +10,26 @@ from polisgraph.sources.fixtures import fixture_graph, with_graph
 
 START, TARGET = "person-7", "program-brand-3"
 _RELS = ", ".join(f"'{r}'" for r in V.TRAVERSED)
+_NOT_WALKED = ("CAST_VOTE", "FROM_SOURCE")
+_WALKED = ", ".join(f"'{r}'" for r in (*V.TRAVERSED, *V.UNIVERSAL_RELS) if r not in _NOT_WALKED)
 _BOTH = f"und AS MATERIALIZED (SELECT source_id AS u, rel, target_id AS v FROM edges WHERE rel IN ({_RELS}) UNION ALL SELECT target_id, rel, source_id FROM edges WHERE rel IN ({_RELS}))"
 _BLOCK = " AND ".join(f"v NOT LIKE '{V.PREFIX[t]}-%'" for t in V.UNIVERSAL_TYPES)
 
 
-def _rounds(hops: int) -> str:
+def _rounds(hops: int, block: str = _BLOCK) -> str:
     """Sets of nodes at each distance, one CTE a round."""
     out = [f"d0 AS (SELECT '{START}' AS id, 0 AS hop)"]
     for k in range(1, hops + 1):
         seen = " UNION ALL ".join(f"SELECT id FROM d{j}" for j in range(k))
-        out.append(f"d{k} AS MATERIALIZED (SELECT DISTINCT v AS id, {k} AS hop FROM und JOIN d{k - 1} ON u = id WHERE {_BLOCK} AND v NOT IN ({seen}))")
+        out.append(f"d{k} AS MATERIALIZED (SELECT DISTINCT v AS id, {k} AS hop FROM und JOIN d{k - 1} ON u = id WHERE {block} AND v NOT IN ({seen}))")
     return ", ".join(out)
 
 
-def _expand_sql(hop: int) -> str:
+def _expand_sql(hop: int, both: str = _BOTH, block: str = _BLOCK) -> str:
     quota = "CASE " + " ".join(f"WHEN n.node_type IN ({', '.join(repr(t) for t in types)}) THEN {n * V.EXPAND_STEP[hop]}" for types, n in V.EXPAND_QUOTA) + f" ELSE {2 * V.EXPAND_STEP[hop]} END"
     near = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, hop + 1))
     return with_graph(
-        f"{_BOTH}, {_rounds(hop)}, near AS ({near}), ranked AS (SELECT n.id, n.node_type, n.label, hop, coalesce(n.event_date, '') AS r, {quota} AS q, "
+        f"{both}, {_rounds(hop, block)}, near AS ({near}), ranked AS (SELECT n.id, n.node_type, n.label, hop, coalesce(n.event_date, '') AS r, {quota} AS q, "
         f"row_number() OVER (PARTITION BY n.node_type ORDER BY hop, coalesce(n.event_date, '') DESC, n.id) AS k FROM nodes n JOIN near ON near.id = n.id) "
         f"SELECT id, node_type, label, hop FROM ranked WHERE k <= q ORDER BY hop, r DESC, id DESC LIMIT {V.EXPAND_CAP[hop]}"
     )
@@ -88,7 +90,10 @@ QUERIES = {
     "expand_h2": lambda s, d: traverse.expand(fixture_graph(s, d), START, 2),
     "expand_h3": lambda s, d: traverse.expand(fixture_graph(s, d), START, 3),
     "expand_h4": lambda s, d: traverse.expand(fixture_graph(s, d), START, 4),
+    "expand_universal": lambda s, d: traverse.expand(fixture_graph(s, d), TARGET, 2, excluded_rels=_NOT_WALKED, universal=True),
+    "expand_issues": lambda s, d: traverse.expand(fixture_graph(s, d), "issue-2", 2, excluded=("Record", "Place"), universal=True),
     "weighted_path": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 3),
+    "weighted_path_issue": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, "issue-2", 4, loose=True),
     "weighted_path_h4": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 4),
     "weighted_path_loose": lambda s, d: traverse.weighted_path(fixture_graph(s, d), START, TARGET, 4, loose=True),
     "must_show": lambda s, d: traverse.must_show(fixture_graph(s, d), "person-20", PERSON_PATTERN),
@@ -111,7 +116,10 @@ ORACLE_SQL = {
     "expand_h2": _expand_sql(2),
     "expand_h3": _expand_sql(3),
     "expand_h4": _expand_sql(4),
+    "expand_universal": _expand_sql(2, _BOTH.replace(_RELS, _WALKED), "true").replace(START, TARGET),
+    "expand_issues": _expand_sql(2, _BOTH.replace(_RELS, f"{_RELS}, {', '.join(map(repr, V.UNIVERSAL_RELS))}"), "v NOT LIKE 'record-%' AND v NOT LIKE 'place-%'").replace(START, "issue-2"),
     "weighted_path": _path_sql(3),
+    "weighted_path_issue": _path_sql(4, loose=True).replace(TARGET, "issue-2"),
     "weighted_path_h4": _path_sql(4),
     "weighted_path_loose": _path_sql(4, loose=True),
     "must_show": with_graph("b AS (SELECT source_id AS u, rel, target_id AS v FROM edges UNION ALL SELECT target_id, rel, source_id FROM edges) SELECT id, CAST(min(ring) AS INTEGER) AS ring FROM (" + " UNION ALL ".join(_CHAINS) + ") WHERE id <> 'person-20' GROUP BY id"),

@@ -131,11 +131,11 @@ def pressure_explanation(g: Graph) -> DataFrame:
 
 
 def legal_scope(g: Graph, place: str) -> DataFrame:
-    """Cases of a place by any of three ways: a party there, a program with a project there, a decision in scope."""
-    people = g.rel("IN_JURISDICTION", source="person", target="place", source_type="person").where(F.col("place") == place).select("person")
-    by_place = g.rel("PARTY_TO", source="person", target="case").join(people, "person", "left_semi").select("case", F.lit("place").alias("why"))
-    projects = g.rel("IN_JURISDICTION", source="project", target="place", source_type="project").where(F.col("place") == place).select("project")
-    programs = g.rel("RELATES_TO_PROGRAM", source="project", target="program", source_type="project").join(projects, "project", "left_semi").select("program").distinct()
+    """Cases of a place by any of three ways: their own place, a program that is there or has a project there, a decision in scope."""
+    there = lambda kind: g.rel("IN_JURISDICTION", source="id", target="place", source_type=kind).where(F.col("place") == place).select("id")
+    by_place = there("case").select(F.col("id").alias("case"), F.lit("place").alias("why"))
+    through = g.rel("RELATES_TO_PROGRAM", source="id", target="program", source_type="project").join(there("project"), "id", "left_semi").select("program")
+    programs = through.unionByName(there("program").select(F.col("id").alias("program"))).distinct()
     by_program = g.rel("RELATES_TO_PROGRAM", source="case", target="program", source_type="case").join(programs, "program", "left_semi").select("case", F.lit("program").alias("why"))
     by_decision = g.rel("RELATES_TO_DECISION", source="case", target="decision", source_type="case").join(decisions_in_scope(g, place), "decision", "left_semi").select("case", F.lit("decision").alias("why"))
     hits = by_place.unionByName(by_program).unionByName(by_decision).distinct()
@@ -194,8 +194,10 @@ _THREADS = f"""{_FLOWS}, pp AS (SELECT source_id AS project, target_id AS progra
     LEFT JOIN (SELECT thread, count(*) AS n FROM alld GROUP BY 1) d ON d.thread = n.id
     LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n FROM edges WHERE rel = 'RELATES_TO_PROGRAM' AND source_id LIKE 'case-%' GROUP BY 1) c ON c.target_id = n.id
     WHERE n.node_type IN ('Project', 'Program')),
-  here AS (SELECT source_id AS thread, target_id AS place FROM edges WHERE rel = 'IN_JURISDICTION' AND (source_id LIKE 'project-%' OR source_id LIKE 'program-%')),
-  ranked AS (SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY money DESC, decisions DESC, flows DESC, thread) AS INTEGER) AS rank, thread, flows, decisions, money FROM threads JOIN here USING (thread))"""
+  here AS (SELECT source_id AS thread, target_id AS place FROM edges WHERE rel = 'IN_JURISDICTION' AND (source_id LIKE 'project-%' OR source_id LIKE 'program-%' OR source_id LIKE 'election-%')),
+  spent AS (SELECT DISTINCT e.target_id AS thread, f.flow, f.amount FROM edges e JOIN nodes n ON n.id = e.target_id AND n.node_type = 'Election' AND n.kind = 'general_municipal' JOIN f ON f.flow = e.source_id WHERE e.rel = 'RELATED_TO_ELECTION' AND e.source_id LIKE 'moneyflow-%'),
+  contests AS (SELECT thread, flows, decisions, money FROM threads UNION ALL SELECT thread, count(*), 0, CAST(sum(amount) AS DECIMAL(18,2)) FROM spent GROUP BY thread),
+  ranked AS (SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY money DESC, decisions DESC, flows DESC, thread) AS INTEGER) AS rank, thread, flows, decisions, money FROM contests JOIN here USING (thread))"""
 _CHECKS = f"""{_FLOWS}, {_FD}, ck AS (SELECT id AS subject, measured, amount AS reference, CAST(measured - amount AS DECIMAL(18,2)) AS delta FROM nodes LEFT JOIN (SELECT decision, CAST(sum(amount) AS DECIMAL(18,2)) AS measured FROM fd JOIN f USING (flow) GROUP BY 1) m ON m.decision = id WHERE node_type = 'Decision'),
   st AS (SELECT *, CAST(abs(delta) AS DECIMAL(18,2)) AS absolute_delta, CASE WHEN delta > 0 THEN 'measured_gt_reference' WHEN delta < 0 THEN 'reference_gt_measured' WHEN delta = 0 THEN 'equal' END AS direction,
     CASE WHEN delta IS NULL THEN 'needs_review' WHEN delta = 0 THEN 'reconciled' WHEN delta < 0 THEN 'extraction_gap' ELSE 'source_inconsistency' END AS status, CASE WHEN delta IS NULL THEN 'medium' ELSE 'high' END AS confidence FROM ck),
@@ -214,7 +216,7 @@ VIEWS = {
     "jurisdiction_delivery": (jurisdiction_delivery, f"{_THREADS}, ag AS (SELECT h.place, count(DISTINCT a.source_id) AS agreements, count(DISTINCT m.source_id) AS amendments FROM (SELECT * FROM here WHERE thread LIKE 'project-%') h JOIN edges a ON a.rel = 'RELATES_TO_PROJECT' AND a.target_id = h.thread AND a.source_id LIKE 'agreement-%' LEFT JOIN edges m ON m.rel = 'AMENDS_AGREEMENT' AND m.target_id = a.source_id GROUP BY 1) SELECT h.place, count(*) AS projects, coalesce(max(agreements), 0) AS agreements, coalesce(max(amendments), 0) AS amendments, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(money) AS DECIMAL(18,2)) AS money FROM (SELECT * FROM here WHERE thread LIKE 'project-%') h JOIN threads USING (thread) LEFT JOIN ag USING (place) GROUP BY 1"),
     "pressure_comparison": (pressure_comparison, f"{_THREADS} SELECT * FROM ranked"),
     "pressure_explanation": (pressure_explanation, f"{_THREADS} SELECT place, thread, highest_money, highest_decisions, highest_flows, CAST(money - coalesce(nm, 0) AS DECIMAL(18,2)) AS lead FROM (SELECT *, lead(money) OVER (PARTITION BY place ORDER BY rank) AS nm, money = max(money) OVER (PARTITION BY place) AS highest_money, decisions = max(decisions) OVER (PARTITION BY place) AS highest_decisions, flows = max(flows) OVER (PARTITION BY place) AS highest_flows FROM ranked) WHERE rank = 1"),
-    "legal_constraint_summary": (lambda g: legal_scope(g, PLACE), f"{_SCOPE}, hits AS (SELECT e.target_id AS c, 'place' AS why FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'PARTY_TO' UNION SELECT e.source_id, 'program' FROM edges e JOIN edges p ON p.rel = 'RELATES_TO_PROGRAM' AND p.source_id LIKE 'project-%' AND p.target_id = e.target_id JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = p.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROGRAM' AND e.source_id LIKE 'case-%' UNION SELECT e.source_id, 'decision' FROM edges e JOIN scope ON decision = e.target_id WHERE e.rel = 'RELATES_TO_DECISION' AND e.source_id LIKE 'case-%') SELECT c AS case, max(CAST(why = 'place' AS INTEGER)) AS by_place, max(CAST(why = 'program' AS INTEGER)) AS by_program, max(CAST(why = 'decision' AS INTEGER)) AS by_decision FROM hits GROUP BY c".replace(" AS case", ' AS "case"')),
+    "legal_constraint_summary": (lambda g: legal_scope(g, PLACE), f"{_SCOPE}, hits AS (SELECT source_id AS c, 'place' AS why FROM edges WHERE rel = 'IN_JURISDICTION' AND target_id = '{PLACE}' AND source_id LIKE 'case-%' UNION SELECT e.source_id, 'program' FROM edges e JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = e.target_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROGRAM' AND e.source_id LIKE 'case-%' AND e.target_id LIKE 'program-%' UNION SELECT e.source_id, 'program' FROM edges e JOIN edges p ON p.rel = 'RELATES_TO_PROGRAM' AND p.source_id LIKE 'project-%' AND p.target_id = e.target_id JOIN edges j ON j.rel = 'IN_JURISDICTION' AND j.source_id = p.source_id AND j.target_id = '{PLACE}' WHERE e.rel = 'RELATES_TO_PROGRAM' AND e.source_id LIKE 'case-%' UNION SELECT e.source_id, 'decision' FROM edges e JOIN scope ON decision = e.target_id WHERE e.rel = 'RELATES_TO_DECISION' AND e.source_id LIKE 'case-%') SELECT c AS case, max(CAST(why = 'place' AS INTEGER)) AS by_place, max(CAST(why = 'program' AS INTEGER)) AS by_program, max(CAST(why = 'decision' AS INTEGER)) AS by_decision FROM hits GROUP BY c".replace(" AS case", ' AS "case"')),
     "money_overlap": (money_overlap, "b AS (SELECT source_id AS u, rel, target_id AS v FROM edges UNION ALL SELECT target_id, rel, source_id FROM edges) SELECT v AS subject, n.node_type, count(DISTINCT u) AS flow_count, string_agg(DISTINCT coalesce(f.kind, 'unknown'), ',' ORDER BY coalesce(f.kind, 'unknown')) AS flow_types, string_agg(DISTINCT rel, ',' ORDER BY rel) AS relationship_types FROM b JOIN nodes f ON f.id = u AND f.node_type = 'MoneyFlow' JOIN nodes n ON n.id = v AND n.node_type NOT IN ('Record', 'Filing', 'ValidationCheck') GROUP BY 1, 2 HAVING count(DISTINCT u) >= 2 ORDER BY flow_count DESC, count(DISTINCT coalesce(f.kind, 'unknown')) DESC, n.node_type, subject LIMIT 25"),
     "legal_constraints": (legal_constraints, "SELECT n.id AS \"case\", n.label, count(p.id) AS proceedings, coalesce(string_agg(p.id, ',' ORDER BY coalesce(p.event_date, '9999'), p.id), '') AS lineage FROM nodes n LEFT JOIN edges e ON e.rel = 'PART_OF_CASE' AND e.target_id = n.id LEFT JOIN nodes p ON p.id = e.source_id WHERE n.node_type = 'Case' GROUP BY 1, 2"),
     "reconciliation_checks": (checks, f"{_CHECKS} SELECT subject, measured, reference, delta, absolute_delta, direction, status, confidence, severity FROM sv"),

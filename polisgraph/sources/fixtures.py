@@ -35,6 +35,7 @@ NODES = [
     _node("'person-' || c_custkey", "Person", "c_name", "{customer}", sub="c_mktsegment", amount="c_acctbal"),
     _node("'org-' || s_suppkey", "Organization", "s_name", "{supplier}", sub="'institution'", amount="s_acctbal"),
     _node("'project-' || p_partkey", "Project", "p_name", "{part}", sub="p_brand", status="CASE WHEN p_size <= 25 THEN 'active' ELSE 'planned' END", amount="p_retailprice"),
+    _node("'issue-' || r_regionkey", "Issue", "'Issue of ' || r_name", "{region}"),
     _node("id", "Program", "label", f"(SELECT DISTINCT {_BRAND} AS id, p_brand AS label FROM {{part}}) p", sub="'brand'"),
     _node("'decision-' || o_orderkey", "Decision", "'Order ' || o_orderkey", "{orders}", sub="o_orderpriority", status="o_orderstatus", amount="o_totalprice", day=f"CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {_DAY.format('o_orderdate')} END", ref="'org-' || (o_custkey % 12)"),
     _node(_FLOW.format(""), "MoneyFlow", "'Flow'", "{lineitem}", sub="CASE l_returnflag WHEN 'A' THEN 'contribution' WHEN 'N' THEN 'expenditure' ELSE 'behest' END", status="l_linestatus", amount=f"CASE WHEN substr({_FLOW.format('')}, 11, 2) = 'ff' THEN NULL ELSE l_extendedprice END", day=_DAY.format("l_shipdate")),
@@ -48,7 +49,7 @@ NODES = [
     _node("'seat-' || n_nationkey", "Seat", "'Seat of ' || n_name", "{nation}", ref="'place-nation-' || n_nationkey"),
     _node("id", "Meeting", "'Meeting of ' || org || ' in ' || month", f"(SELECT DISTINCT {_MEETING} AS id, 'org-' || (o_custkey % 12) AS org, {_MONTH} AS month FROM {{orders}}) m", sub="'regular'", day="month || '-15'", ref="org"),
     _node("'service-' || c_custkey", "SeatService", "c_name", "{customer}", "c_custkey % 10 = 0", day="'2015-01-01'", ended="CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2018-12-31' ELSE '2999-12-31' END", ref="'seat-' || c_nationkey"),
-    _node("'election-' || y", "Election", "'Election ' || y", "(SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) o", day="y || '-11-03'"),
+    _node("'election-' || y", "Election", "'Election ' || y", "(SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) o", sub="CASE y % 3 WHEN 0 THEN 'general_municipal' ELSE 'primary' END", day="y || '-11-03'"),
     _node("'committee-' || s_suppkey", "Committee", "'Friends of ' || s_name", "{supplier}", "s_suppkey % 5 = 0", ref="'person-' || s_suppkey"),
 ]
 
@@ -78,6 +79,8 @@ EDGES = [
     _edge("'project-' || p_partkey", "RELATES_TO_PROGRAM", _BRAND, "{part}"),
     _edge(_BRAND, "RELATES_TO_DECISION", "'decision-' || l_orderkey", "{lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey", "l_orderkey % 11 = 0 AND l_linenumber = 1", distinct=True),
     _edge("'decision-' || l_orderkey", "RELATES_TO_PROGRAM", _BRAND, "{lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey", "l_orderkey % 9 = 0 AND l_linenumber = 1", distinct=True),
+    _edge("'election-' || y", "IN_JURISDICTION", "'place-nation-' || (y % 25)", "(SELECT DISTINCT year(o_orderdate) AS y FROM {orders}) o"),
+    _edge("'decision-' || o_orderkey", "RELATES_TO_ISSUE", "'issue-' || (o_custkey % 5)", "{orders}", "o_orderkey % 13 = 0"),
     _edge("'filing-' || event_id", "FILED_BY", "'person-' || user_id", "{events}"),
     _edge("'decision-' || o_orderkey", "EVIDENCED_BY", "'record-doc-' || (o_orderkey % 200)", "{orders}"),
     _edge("'project-' || p_partkey", "EVIDENCED_BY", "'record-doc-' || (p_partkey % 150)", "{part}"),
