@@ -4,7 +4,8 @@ Benchmark texts are cut into windows of 13 consecutive normalised words (a text
 at least one, is one window).  The automaton over those windows, with words as symbols, scans every
 document once; the word positions it reports are mapped back to character offsets of the original.
 
-The windows of one automaton are bounded by ``BLOCK_WORDS``.  A larger benchmark is scanned block after
+The windows of one automaton and the item ids that they name are bounded by ``BLOCK_WORDS`` together, so many equal items
+are several blocks too.  A larger benchmark is scanned block after
 block, with the marks so far written to the shared folder in between, so neither the driver nor a worker
 ever holds more than one block.
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from polisgraph.llm import _common as C
 
 WINDOW_WORDS = 13
-#: Words in the windows of one automaton: about 200 MB of states at most.
+#: Words in the windows of one automaton and ids at them: about 200 MB of states at most.
 BLOCK_WORDS = 2_000_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else (b if C.ALNUM[b] else 32) for b in range(256))
@@ -58,8 +59,8 @@ def _blocks(items: Iterator[tuple], width: int, limit: int) -> Iterator[dict[tup
         for k in range(max(1, len(words) - width + 1)):
             window = tuple(words[k : k + width])
             ids = block.setdefault(window, {})
-            if not ids:
-                held += len(window)
+            held += 0 if ids else len(window)
+            held += item_id not in ids
             ids[item_id] = None
             if held >= limit:
                 yield block

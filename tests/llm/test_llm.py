@@ -99,6 +99,16 @@ def test_jaccard_of_nothing_and_without_ids(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in jaccard.near_duplicates(rows).collect() if r.doc_id) == [(False, 5), (False, 5)]
 
 
+def test_equal_items_fill_blocks_too(spark):
+    """Ids count towards a block, so one window with very many items is not held at once."""
+    text = " ".join(f"w{k}" for k in range(13))
+    items = [(k, text) for k in range(100)]
+    blocks = list(decontaminate._blocks(iter(items), 13, 30))
+    assert max(sum(map(len, b.values())) for b in blocks) <= 30 and sum(len(ids) for b in blocks for ids in b.values()) == 100
+    found = decontaminate.mark(docs(spark, [f"x {text} y", "z"]), spark.createDataFrame(items, "item_id long, text string"), block_words=60).collect()
+    assert [(r.doc_id, r.n_hit, r.n_items) for r in sorted(found)] == [(0, 13, 100), (1, 0, 0)]
+
+
 @pytest.mark.parametrize("block_words", [30, 2_000_000])
 def test_decontamination_is_brute_force(spark, block_words):
     values = [t for t in texts() if t is None or len(t) < 5000]
