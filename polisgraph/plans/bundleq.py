@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polisgraph.functions import provenance
 from polisgraph.operators import migrate, projector
 from polisgraph.sources.fixtures import stored
 
@@ -55,7 +56,39 @@ def migrated_nodes(spark, d) -> DataFrame:
     return out.select("id", "node_type", F.array_join("labels", ",").alias("labels"), "qa_lane", projector.text_of(F.try_element_at("properties", F.lit("institution_id"))).alias("institution"))
 
 
-QUERIES = {"projected_nodes": projected_nodes, "projected_edges": projected_edges, "migrated_nodes": migrated_nodes, "migrated_edges": migrated_edges}
+def section_reasons(spark, d) -> DataFrame:
+    """Objects that a section's filters let through, and those that they do not, by reason."""
+    rows = projector.section_filter(bundles(spark, d), {"decisions": {"status": ["F", "O"]}, "actors": {"actor_type": ["person"], "name": []}})
+    return rows.groupBy("section", "bundle", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def aliased_edges(spark, d) -> DataFrame:
+    """Votes after every tenth actor is settled to stand for the two that follow it."""
+    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("k"))
+    actor = lambda n: F.concat(F.lit("actor-"), (F.col("k") + n).cast("string"))
+    settled = c.select((F.col("k") + 5_000_000_000).alias("seq"), actor(0).alias("id"), F.lit("Actor").alias("node_type"), F.create_map(F.lit("resolves_raw_actor_seed_ids"), F.to_json(F.array(actor(1), actor(2)))).alias("properties"))
+    _, edges = _projected(spark, d)
+    votes = edges.where("rel = 'CAST_VOTE_ON'").select("source_id", "source_type", "rel", "target_id", "target_type")
+    return projector.remap_aliases(votes, projector.alias_map(settled)).select("source_id", "rel", "target_id", "remapped")
+
+
+def cited_and_dated(spark, d) -> DataFrame:
+    """Which events cite a source and the years that they tell, by properties that are there, blank or absent."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.substring(F.col("ts").cast("string"), 1, 10).alias("day"))
+    k, text = F.col("event_id"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    pairs = {
+        "filing_id": F.when(k % 3 == 0, text(k.cast("string"))).when(k % 3 == 1, F.lit('"  "')),
+        "source_url": F.when(k % 4 == 0, F.lit('"https://records.example.org"')),
+        "source_id": F.when(k % 5 == 0, F.lit("7")).otherwise(F.lit("0")),
+        "record_ids": F.when(k % 11 == 0, F.lit('["record-1"]')).otherwise(F.lit("[]")),
+        "filed_at": F.when(k % 2 == 0, text(F.col("day"))).otherwise(F.lit('"soon"')),
+        "meeting_date": F.when(k % 7 == 0, F.lit('"2031-05-05"')),
+    }
+    rows = e.select(k.alias("id"), F.map_filter(F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull()).alias("properties"))
+    return rows.select("id", provenance.is_cited().alias("cited"), provenance.node_year().alias("year"))
+
+
+QUERIES = {"section_reasons": section_reasons, "aliased_edges": aliased_edges, "cited_and_dated": cited_and_dated, "projected_nodes": projected_nodes, "projected_edges": projected_edges, "migrated_nodes": migrated_nodes, "migrated_edges": migrated_edges}
 
 _LATER = "o_orderkey % 5 = 0"
 _RAW = f"""
@@ -70,6 +103,12 @@ _IN_ORDER = f"CASE WHEN o_orderkey % 50 = o_orderkey % 70 THEN 'record-' || (o_o
 _DEDUPED = f"CASE WHEN {_LATER} AND o_orderkey % 50 = o_orderkey % 70 THEN replace({_IN_ORDER}, 'record-' || (o_orderkey % 50) || ',record-' || (o_orderkey % 70), 'record-' || (o_orderkey % 50)) ELSE {_IN_ORDER} END"
 
 ORACLE_SQL = {
+    "section_reasons": f"""SELECT section, bundle, reason, count(*) AS n FROM (SELECT 'decisions' AS section, 'b1' AS bundle, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'kept' ELSE 'filter:status' END AS reason FROM orders
+      UNION ALL SELECT 'decisions', 'b2', 'filter:status' FROM orders WHERE {_LATER} UNION ALL SELECT 'actors', 'b1', CASE WHEN c_custkey % 4 = 0 THEN 'filter:actor_type' ELSE 'filter:name' END FROM customer) GROUP BY ALL""",
+    "aliased_edges": """WITH e AS (SELECT 'actor-' || o_custkey AS source_id, 'CAST_VOTE_ON' AS rel, 'decision-' || o_orderkey AS target_id, o_custkey, c_custkey IS NOT NULL AND o_custkey % 10 IN (1, 2) AS remapped
+      FROM orders LEFT JOIN customer ON c_custkey = o_custkey - o_custkey % 10) SELECT CASE WHEN remapped THEN 'actor-' || (o_custkey - o_custkey % 10) ELSE source_id END AS source_id, rel, target_id, remapped FROM e""",
+    "cited_and_dated": """SELECT event_id AS id, event_id % 3 = 0 OR event_id % 11 = 0 OR (event_id % 4 = 0 AND event_id % 5 = 0) AS cited,
+      CASE WHEN event_id % 7 = 0 THEN 2031 WHEN event_id % 2 = 0 THEN CAST(substr(CAST(ts AS VARCHAR), 1, 4) AS INTEGER) END AS year FROM events""",
     "projected_nodes": f"""SELECT 'decision-' || o_orderkey AS id, 'Decision' AS node_type, CASE WHEN {_LATER} AND o_orderkey % 2 = 0 THEN 'Order no. ' ELSE 'Order ' END || o_orderkey AS label,
       CASE WHEN {_LATER} AND o_orderkey % 2 = 0 THEN 'promoted' ELSE 'candidate' END AS promotion, CASE WHEN {_LATER} THEN 'b1,b2' ELSE 'b1' END AS bundles, o_orderstatus AS status, {_DEDUPED} AS records, 0 AS conflicts FROM orders
       UNION ALL SELECT 'actor-' || c_custkey, 'Actor', 'Actor ' || c_custkey, 'canonical', 'b1', NULL, NULL, 0 FROM customer""",
