@@ -96,7 +96,7 @@ def must_show(g: Graph, focus: str, focus_type: str) -> DataFrame:
     """``(id, node_type, label, ring, relationship)`` of everything that the page of a focus must show."""
     if focus_type not in MUST_SHOW:
         raise ValueError(f"no page for {focus_type}")
-    start = g.nodes.where((F.col("id") == focus) & (F.col("node_type") == focus_type)).select("id")
+    start = g.nodes_of(focus_type).where(F.col("id") == focus).select("id")
     names = g.nodes.select("id", "node_type", F.coalesce("label", "id").alias("label"))
     out = None
     for ring, name, steps in MUST_SHOW[focus_type]:
@@ -130,7 +130,7 @@ def _filled(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
 
     ``shown`` has the ids of what must be shown.  People and organisations are ranked by their edges to those.
     """
-    both = g.undirected().where(F.col("rel").isin(*V.TRAVERSED)).select("u", "v")
+    both = g.undirected(*V.TRAVERSED).select("u", "v")
     near = both.where(F.col("u") == focus).select(F.col("v").alias("id")).distinct()
     second = both.join(near.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
     rings = near.withColumn("ring", F.lit(1)).unionByName(second.withColumn("ring", F.lit(2))).groupBy("id").agg(F.min("ring").alias("ring"))

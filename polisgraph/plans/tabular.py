@@ -91,7 +91,7 @@ def is_current(ended: str, as_of: str) -> Column:
 def officeholder_coverage(g: Graph, as_of: str, jurisdiction: str | None) -> DataFrame:
     """Current services with the number of their holder's disclosure filings of each form."""
     s = g.of("SeatService").where(is_current("ended_date", as_of)).select(F.col("id").alias("service"), F.col("ref_id").alias("seat_ref"))
-    held = g.undirected().where(F.col("rel") == "HELD_BY").select(F.col("u").alias("service"), F.col("v").alias("id"))
+    held = g.undirected("HELD_BY").select(F.col("u").alias("service"), F.col("v").alias("id"))
     people = g.of("Person").select("id", F.coalesce("label", "id").alias("person_name"))
     seats = g.of("Seat").select(F.col("id").alias("seat"), F.col("label").alias("seat_name"), F.col("ref_id").alias("seat_place"))
     s = s.join(held, "service").join(people, "id").join(g.rel("FOR_SEAT", source="service", target="seat"), "service", "left").join(seats, "seat", "left")
