@@ -31,14 +31,20 @@ def words(c: str):
 
 
 def build_index(nodes: DataFrame, path: str | None = None) -> Index:
-    """Store the index of ``nodes`` (id, node_type, text, rank, captured) in the shared folder and open it."""
+    """Store the index of ``nodes`` (id, node_type, text, rank, captured) in the shared folder and open it.
+
+    ``nodes`` are worked out once, when they are stored.  A node's words are counted where its row is, and postings are moved
+    once, to their folder.
+    """
     spark = nodes.sparkSession
     path = path or new_path(spark, "search-index")
-    said = nodes.select("id", "node_type", words("text").alias("w")).where(F.size("w") > 0)
-    each = said.select("id", "node_type", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("term", "id", "node_type", "n").agg(F.count("*").alias("tf"))
+    nodes.select("id", "node_type", "text", "rank", "captured").write.option("compression", "zstd").parquet(f"{path}/nodes")
+    said = spark.read.parquet(f"{path}/nodes").select("id", "node_type", words("text").alias("w")).where(F.size("w") > 0)
+    counted = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tf")))
+    each = said.select("id", "node_type", F.size("w").alias("n"), F.explode(counted).alias("x")).select("x.term", "id", "node_type", "n", "x.tf")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    each.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/postings")
-    nodes.select("id", "node_type", "rank", "captured").write.parquet(f"{path}/nodes")
+    dealt = each.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     said.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{path}/totals")
     return open_index(spark, path)
 
