@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, with each chunk encoded once per worker.
 
 Byte-level BPE never merges across the start of a run of white space that follows other text, so a text
-is cut there and the ids of its chunks, joined, are the ids of the text.  Chunks repeat, so a worker keeps
-the ids of up to ``CACHE_CHUNKS`` of them.  Special tokens' strings inside a text are ordinary text.
+is cut there and the ids of its chunks, joined, are the ids of the text.  Chunks repeat, so Arrow finds the different ones of
+a batch, and a worker keeps the ids of up to ``CACHE_CHUNKS`` of them.  Special tokens' strings inside a text are ordinary text.
 New chunks are encoded many to a call, joined by spaces: each begins at the only ids that open with a space.
 """
 
@@ -12,10 +12,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from polisgraph.llm import _common as C
 
-#: Chunks whose ids a worker keeps; the table is emptied when full.
+#: Chunks whose ids a worker keeps; when the table is full, those of the batch at hand stay.
 CACHE_CHUNKS = 1_000_000
 #: New chunks that are encoded as one text.
 JOINED_CHUNKS = 500
@@ -57,34 +59,69 @@ class Encoder:
     def learn_each(self, chunks: list[str]) -> None:
         self.cache.update(zip(chunks, self.whole([" " + w for w in chunks]), strict=True))
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def _known(self, chunks: list[str], single: set[str] | None = None) -> list[bytes]:
+        """Ids of different chunks, each after a space; those in ``single``, or all without it, are learned one to a call."""
+        found = list(map(self.cache.get, chunks))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.cache) + len(missing) > CACHE_CHUNKS:
+            self.cache = {w: ids for w, ids in zip(chunks, found, strict=True) if ids is not None}
+        new = [chunks[k] for k in missing]
+        alone = new if single is None else [w for w in new if w in single]
+        joined = [] if single is None else [w for w in new if w not in single]
+        for group, learn in ((joined, self.learn), (alone, self.learn_each)):
+            for at in range(0, len(group), 50_000):
+                learn(group[at : at + 50_000])
+        for k, w in zip(missing, new, strict=True):
+            found[k] = self.cache[w]
+        return found
+
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null has none."""
-        cut: list[tuple[str, list[str]]] = []
-        plain: set[str] = set()
-        other: set[str] = set()
-        for text in texts:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = column.to_pylist() if column is texts else texts
+        out = [b""] * len(texts)
+        regular = []
+        for k, text in enumerate(texts):
             if not text:
-                cut.append(("", []))
                 continue
             if text[0] == " " or _IRREGULAR.search(text):
                 first, rest = _cut(text)
-                other.update(rest)
+                found = dict(zip(each := list(set(rest)), self._known(each), strict=True))
+                out[k] = self.whole([first])[0] + b"".join(map(found.__getitem__, rest))
             else:
-                first, *rest = text.split(" ")
-                plain.update(rest)
-                if rest and (not rest[-1] or rest[-1][-1].isspace()):  # only a text's end can be white space here
-                    plain.discard(rest[-1])
-                    other.add(rest[-1])
-            cut.append((first, rest))
-        firsts = self.whole([first for first, _ in cut])
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        for chunks, learn in ((plain - other, self.learn), (other, self.learn_each)):
-            missing = [w for w in chunks if w not in self.cache]
-            for at in range(0, len(missing), 50_000):
-                learn(missing[at : at + 50_000])
-        get = self.cache.__getitem__
-        return [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, cut, strict=True)]
+                regular.append(k)
+        for k, found in zip(regular, self._regular(column.take(pa.array(regular, pa.int64()))), strict=True) if regular else ():
+            out[k] = found
+        return out
+
+    def _regular(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that begin with no space and have none after white space: every space begins a chunk."""
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        begin = np.asarray(cut.offsets).astype(np.int64)
+        words = cut.values.dictionary_encode()
+        place, chunks = np.asarray(words.indices).astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = begin[:-1]
+        firsts = self.whole([chunks[p] for p in place[heads].tolist()])
+        rest = np.ones(len(place), bool)
+        rest[heads] = False
+        asked = np.zeros(len(chunks), bool)
+        asked[place[rest]] = True
+        # Only a text's end can be white space here, and such a chunk is not followed by another.
+        last = (chunks[p] for p in np.unique(place[begin[1:] - 1]).tolist())
+        ends = {w for w in last if not w or w[-1].isspace()}
+        held: list[bytes] = [b""] * len(chunks)
+        at = np.flatnonzero(asked).tolist()
+        for k, found in zip(at, self._known([chunks[k] for k in at], ends), strict=True):
+            held[k] = found
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        source = np.frombuffer(b"".join(held), "<u4")
+        start = np.cumsum(size) - size
+        # Each chunk's ids in the order of the texts; a text's first chunk is put before them.
+        n = np.where(rest, size[place], 0)
+        done = np.cumsum(n)
+        stream = source[np.repeat(start[place] - (done - n), n) + np.arange(done[-1])].tobytes()
+        upto = [0, *(4 * done[begin[1:] - 1]).tolist()]
+        return [first + stream[a:b] for first, a, b in zip(firsts, upto, upto[1:], strict=False)]
 
 
 def _cut(text: str) -> tuple[str, list[str]]:

@@ -61,10 +61,12 @@ def decode_block(raw: bytes, at: int = 0) -> np.ndarray:
     base, width, n, m = _HEAD.unpack_from(raw, at)
     at += _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
-    full[:, :width] = bits
-    gap = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().copy()
+    # Eight bytes from the one in which each value begins: a value of up to 32 bits lies within them.
+    packed = np.zeros(size + 8, np.uint8)
+    packed[:size] = np.frombuffer(raw, np.uint8, size, at)
+    first = np.arange(0, n * width, width)
+    words = np.ndarray(size + 1, "<u8", packed, strides=(1,))[first >> 3]
+    gap = (words >> (first & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.uint32)
     places = np.frombuffer(raw, "<u2", m, at + size)
     gap[places] = np.frombuffer(raw, "<u4", m, at + size + 2 * m)
     return gap + np.uint32(base)
@@ -152,7 +154,7 @@ def _writer(path: str, folder: str, end_id: int):
             for a, b in C.row_slices(offsets, _ENCODE_BYTES):
                 batch = whole.slice(a, b - a)
                 names, shards, starts, counts = [], [], [], []
-                for found in encode(batch.column(1).to_pylist()):
+                for found in encode(batch.column(1)):
                     if writer is None or writer.count + writer.n >= SHARD_IDS:
                         if writer is not None:
                             writer.close()

@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -174,6 +175,19 @@ def test_chunked_encoding_is_whole_encoding():
     assert e.ids([None, ""]) == [b"", b""]
 
 
+def test_chunks_of_a_full_table_that_are_at_hand_are_not_encoded_again(monkeypatch):
+    e = _tokens.Encoder(_tokens.default_vocabulary())
+    monkeypatch.setattr(_tokens, "CACHE_CHUNKS", 6)
+    learned = []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda chunks: learned.extend(chunks) or learn(chunks))
+    values = ["x one two one", None, " two ", "x four five six seven two\n"]
+    assert e.ids(pa.array(values[:3])) == e.whole(values[:1]) + [b""] + e.whole(values[2:3])
+    assert e.ids(pa.array(["x one eight nine ten eleven twelve", *values[3:]])) == e.whole(["x one eight nine ten eleven twelve", *values[3:]])
+    assert e.ids(pa.array(["x one"])) == e.whole(["x one"])
+    assert learned.count("one") == 1
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_blocks_round_trip(seed):
     r = np.random.default_rng(seed)
