@@ -20,7 +20,8 @@ form one class, and only one set per class goes on.
    ``c = (1 - t) / (1 + t)``.  Where ``s_x + s_y <= 0`` both are similar to the member of least ``s`` too, so one
    pair a member stands for all of those.  The other pairs share a shingle of their differences, and of a rare-first
    prefix of them: edits, which are rare where texts were changed independently.  Entries of a list that no other
-   entry of it can meet at their place and ``s`` are left out, and so are pairs within one component.  A difference that is itself frequent is a long list of the next round, without the pivot.
+   entry of it can meet at their place and ``s`` are left out, and so are pairs within one component or with too many
+   differing bits, which make no row.  A difference that is itself frequent is a long list of the next round, without the pivot.
 5. Each pair is verified once, on the shingles that returned: those in one set alone cannot be shared.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; with one to four words
@@ -368,8 +369,9 @@ class _Join:
         most = sizes.groupBy("pivot").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
         members = named.where("sid <> pivot").join(most, "pivot").select("pivot", "sid", "comp", "largest")
         members = C.saved(members)
+        n_members = members.count()
         asked = C.saved(members.select("pivot").distinct())
-        own = self.sets.select("sid", "n", "alone", F.col("tokens").alias("x")).join(C.hinted(members, members.count()), "sid")
+        own = self.sets.select("sid", "n", "alone", F.col("tokens").alias("x")).join(C.hinted(members, n_members), "sid")
         pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p")).join(C.hinted(asked, asked.count()), "pivot")
         both = own.join(pivots, "pivot").select("pivot", "sid", "comp", "largest", "n", "alone", "x", "p")
         rows = both.mapInArrow(_differences, "pivot long, sid long, comp long, largest long, n long, alone long, d array<long>")
@@ -405,11 +407,14 @@ class _Join:
         held = postings.groupBy("pivot", "token").agg(probes.alias("probes"), (F.count("*") - probes).alias("others"))
         held = held.where("probes > 0 and others > 0").select("pivot", "token", (F.least("probes", "others") > DIRECT * self.short).alias("long"))
         postings = C.saved(postings.join(held, ["pivot", "token"]))
-        x = postings.where("probe and not long")
-        y = postings.where("not probe and not long").select("pivot", "token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "nd", "s", "comp", "pos")])
+        # The suffix filter is part of the join: a shingle that many differences share does not turn all pairs of them into rows.
+        bits = self.sets.select("sid", "alone", "bits").join(C.hinted(members.select("sid").distinct(), n_members), "sid", "left_semi")
+        direct = postings.where("not long").join(C.hinted(bits, 4 * n_members), "sid")
+        x = direct.where("probe")
+        y = direct.where("not probe").select("pivot", "token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "nd", "s", "comp", "pos", "alone", "bits")])
         similar = 100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")
         enough = F.least(F.col("nd") - F.col("pos"), F.col("pnd") - F.col("ppos")) >= overlap(F.col("s"), F.col("ps"))
-        met = x.join(y, ["pivot", "token"]).where(similar & enough & (F.col("comp") != F.col("pcomp")))
+        met = x.join(y, ["pivot", "token"]).where(similar & enough & (F.col("comp") != F.col("pcomp")) & self.suffix("", "p"))
         pairs = certain.unionByName(met.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")))
         again = postings.where("long").select(F.xxhash64("pivot", "token").alias("list"), "sid").distinct()
         weights = groups.groupBy("sid").agg(F.max("w").alias("w"))

@@ -88,6 +88,23 @@ def test_jaccard_of_a_large_group_of_distant_copies_meets_few_pairs(spark, monke
     assert sum(x.count() for x in met) < 20 * len(values)  # all pairs of the 500 are 124,750
 
 
+def test_jaccard_of_copies_that_share_a_pivots_edits_makes_rows_in_proportion(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, values = [word() for _ in range(100)], []
+    for k in range(400):  # every copy lacks the pivot's edits; a third is far from most others
+        w = list(base)
+        for _ in range(1 + k % 2 if k % 3 else 4):
+            w[r.randrange(len(w))] = word()
+        values.append(" ".join(w))
+    met = []
+    verified = jaccard._Join.verified
+    monkeypatch.setattr(jaccard._Join, "verified", lambda self, pairs: met.append(pairs.distinct().count()) or verified(self, pairs))
+    got = jaccard.near_duplicates(docs(spark, values), hot_sets=100).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == set(enumerate(components([shingle_set(t) for t in values])))
+    assert sum(met) < 10 * len(values)
+
+
 def test_jaccard_of_tasks_with_and_without_frequent_shingles(spark):
     values = ["a b c d e f"] + [f"a b c d e x{k}" for k in range(40)] + [f"u{k} v{k} w{k} x{k} y{k} z{k}" for k in range(40)] + ["a b c d e"]
     got = jaccard.near_duplicates(docs(spark, values).repartitionByRange(4, "doc_id"), hot_sets=16).collect()
