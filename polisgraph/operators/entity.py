@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from polisgraph.functions import vocabulary as V
 from polisgraph.functions.provenance import effective_date
 from polisgraph.graph import Graph
+from polisgraph.operators.traverse import among, kept
 
 _NO_EDGE: tuple[str, ...] = ()  # a relationship of the vocabulary that no edge has yet
 _SEAT = ("<", ("HELD_BY",), ("SeatService",))
@@ -89,21 +90,21 @@ def _step(g: Graph, reached: DataFrame, step: tuple) -> DataFrame:
     against = g.rel(*rels, source="next", target="id")
     edges = along if way == ">" else against if way == "<" else along.unionByName(against)
     prefixes = [F.col("next").startswith(V.PREFIX[t] + "-") for t in types]
-    return edges.where(reduce(lambda a, b: a | b, prefixes)).join(reached, "id", "left_semi").select(F.col("next").alias("id")).distinct()
+    return kept(among(edges.where(reduce(lambda a, b: a | b, prefixes)), reached, reached.count(), "id").select(F.col("next").alias("id")).distinct())
 
 
 def must_show(g: Graph, focus: str, focus_type: str) -> DataFrame:
     """``(id, node_type, label, ring, relationship)`` of everything that the page of a focus must show."""
     if focus_type not in MUST_SHOW:
         raise ValueError(f"no page for {focus_type}")
-    start = g.nodes_of(focus_type).where(F.col("id") == focus).select("id")
+    start = kept(g.nodes_of(focus_type).where(F.col("id") == focus).select("id"))
     names = g.nodes.select("id", "node_type", F.coalesce("label", "id").alias("label"))
     out = None
     for ring, name, steps in MUST_SHOW[focus_type]:
         if any(not rels for _, rels, _ in steps):
             continue
         found = reduce(lambda r, s: _step(g, r, s), steps, start)
-        rows = names.where(F.col("node_type").isin(*steps[-1][2])).join(found, "id", "left_semi").select("id", "node_type", "label", F.lit(ring).alias("ring"), F.lit(name).alias("relationship"))
+        rows = among(names.where(F.col("node_type").isin(*steps[-1][2])), found, found.count(), "id").select("id", "node_type", "label", F.lit(ring).alias("ring"), F.lit(name).alias("relationship"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -114,13 +115,14 @@ def fill(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
 
 def page(g: Graph, focus: str, focus_type: str) -> DataFrame:
     """``(position, id, node_type, label, ring, event_date)``: what must be shown, then what fills the page up to its cap."""
-    must = must_show(g, focus, focus_type)
+    must = kept(must_show(g, focus, focus_type))
     first = must.where(F.col("id") != focus).groupBy("id").agg(F.min(F.struct("ring", "relationship")).alias("f"), F.first("node_type").alias("node_type"), F.first("label").alias("label"))
     first = first.select("id", "node_type", "label", "f.ring", F.lit(0).alias("type_priority"), F.lit(0).alias("k"))
     rest = _filled(g, focus, must).select("id", "node_type", "label", "ring", "type_priority", "k")  # 52 rows at most
     shown = must.agg(F.count("*").alias("shown"))
     rest = rest.withColumn("n", F.row_number().over(Window.orderBy("type_priority", "k"))).crossJoin(shown).where(F.col("n") <= PAGE_CAP - F.col("shown")).drop("n", "shown")
-    rows = first.unionByName(rest).join(g.nodes.select("id", effective_date("node_type", "event_date").alias("event_date")), "id")
+    rows = kept(first.unionByName(rest))
+    rows = among(g.nodes.select("id", effective_date("node_type", "event_date").alias("event_date")), rows, rows.count(), "id", "inner")
     # What must be shown is not capped: a page is as long as that.
     return rows.withColumn("position", F.row_number().over(Window.orderBy("type_priority", "k", "ring", "id"))).select("position", "id", "node_type", "label", "ring", "event_date")
 
@@ -131,14 +133,16 @@ def _filled(g: Graph, focus: str, shown: DataFrame) -> DataFrame:
     ``shown`` has the ids of what must be shown.  People and organisations are ranked by their edges to those.
     """
     both = g.undirected(*V.TRAVERSED).select("u", "v")
-    near = both.where(F.col("u") == focus).select(F.col("v").alias("id")).distinct()
-    second = both.join(near.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
+    near = kept(both.where(F.col("u") == focus).select(F.col("v").alias("id")).distinct())
+    second = among(both, near.select(F.col("id").alias("u")), near.count(), "u").select(F.col("v").alias("id")).distinct()
     rings = near.withColumn("ring", F.lit(1)).unionByName(second.withColumn("ring", F.lit(2))).groupBy("id").agg(F.min("ring").alias("ring"))
-    shown = shown.select("id").distinct()
-    rings = rings.where(F.col("id") != focus).join(shown, "id", "left_anti")
-    rows = g.of(*[t for t, _, _ in FILL]).join(rings, "id")
+    # What is near is counted: few ids are looked up, so that edges and nodes need no shuffle.
+    shown = kept(shown.select("id").distinct())
+    n_shown = shown.count()
+    rings = kept(among(rings.where(F.col("id") != focus), shown, n_shown, "id", "left_anti"))
+    rows = kept(among(g.of(*[t for t, _, _ in FILL]), rings, rings.count(), "id", "inner"))
     ranked_by_links = [t for t, _, by in FILL if by == "links"]
-    linked = g.undirected().join(shown.select(F.col("id").alias("v")), "v", "left_semi")
+    linked = among(g.undirected(), shown.select(F.col("id").alias("v")), n_shown, "v")
     links = linked.join(rows.where(F.col("node_type").isin(*ranked_by_links)).select(F.col("id").alias("u")), "u", "left_semi").groupBy(F.col("u").alias("id")).agg(F.count("*").alias("links"))
     rows = rows.join(links, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     pick = lambda make: reduce(lambda out, x: F.when(F.col("node_type") == x[0], make(*x)).otherwise(out), FILL, F.lit(None))
