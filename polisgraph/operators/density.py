@@ -2,9 +2,10 @@
 
 Two rows are as far apart as the largest of their core distances and their distance, a row's core distance being that
 of its ``min_samples``-th nearest other row.  Edges are ordered by weight and then by their rows, so there is one
-spanning tree.  Its edges lie in the trees of pairs of cells (``neighbours``): each task builds the tree of one cell, or of two
-of them.  A pair is left out only if no distance across can be below the largest step of a known way between the two cells.
-The edges found are then merged in that order, ``MERGE_EDGES`` to a task, each round starting from the components of
+spanning tree.  Links to nearest rows and the trees of single cells (``neighbours``) join all rows first.  Merging these links puts
+the rows in a line in which the heaviest link of the way between two rows is the largest step between their places.  An edge that
+is heavier than that way is in no tree, so each task takes two blocks of the line and keeps the pairs that are not: all pairs are
+looked at, by products, but few are kept.  The edges found are then merged in that order, ``MERGE_EDGES`` to a task, each round starting from the components of
 the one before.  Merging builds the condensed tree from its leaves: a component of ``min_size`` rows is a cluster, smaller ones
 that join it fall out there, and two clusters that meet end as children of a new one.  A cluster that outweighs its
 children's sum of stabilities stands for them; the topmost of those, the root aside, are the result.
@@ -27,8 +28,8 @@ MIN_SIZE, MIN_SAMPLES = 15, 5
 MERGE_EDGES = 1_000_000
 #: Distances below count as this one, so that densities stay finite.
 LEAST_GAP = 1e-9
-#: Links to other cells that a cell's bound on ways is taken from, beside those of one row per cell.
-CELL_LINKS = 16
+#: Edges that a task holds before it keeps only those of a spanning forest.
+HELD_EDGES = 1 << 20
 
 
 # ---------------------------------------------------------------- core distances and the spanning tree
@@ -67,136 +68,231 @@ def prim(ids: np.ndarray, points: np.ndarray, core: np.ndarray) -> tuple[np.ndar
 
 
 def _trees(batches):
-    """Edges of the tree over the one or two cells of each job; of two, those that cross."""
-    job, parts = None, []
+    """Edges of the tree over each cell."""
+    cell, parts = None, []
 
     def solved():
-        side, ids, core = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 4))
-        w, u, v = prim(ids, np.concatenate([N.matrix(p.column(3)) for p in parts]), core)
-        if side.any():
-            of = dict(zip(ids.tolist(), side.tolist(), strict=True))
-            cross = np.array([of[a] != of[b] for a, b in zip(u.tolist(), v.tolist(), strict=True)], bool)
-            w, u, v = w[cross], u[cross], v[cross]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), job[0]), pa.int64()), pa.array(w, pa.float64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["job", "w", "u", "v"])
-
-    for now, part in N.runs(batches, ["job"]):
-        if now != job and parts:
+        ids, core = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 3))
+        w, u, v = prim(ids, np.concatenate([N.matrix(p.column(2)) for p in parts]), core)
+        return pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["w", "u", "v"])
+
+    for now, part in N.runs(batches, ["cell"]):
+        if now != cell and parts:
             yield solved()
             parts = []
-        job = now
+        cell = now
         parts.append(part)
     if parts:
         yield solved()
 
 
-def _solved(spark: SparkSession, jobs: DataFrame) -> DataFrame:
+def known_edges(spark: SparkSession, cored: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(w, u, v)``: links to nearest rows, the tree of each cell and a tree over one row of each; together they join all rows."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = jobs.repartition(4 * n, "job").sortWithinPartitions("job").select("job", "side", "rid", "v", "core")
-    return dealt.mapInArrow(_trees, "job long, w double, u long, v long")
-
-
-class Ways:
-    """For each pair of cells the largest step of some way between them, from a tree over the cells."""
-
-    def __init__(self, inside: np.ndarray, links: list[tuple[float, int, int]]):
-        n = len(inside)
-        root = list(range(n))
-        self.up, self.height = np.full(2 * n, -1), np.zeros(2 * n)
-        node, parts, count = list(range(n)), {k: [k] for k in range(n)}, n
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        children: dict[int, tuple[int, int]] = {}
-        for w, a, b in sorted((max(w, inside[a], inside[b]), a, b) for w, a, b in links):
-            a, b = find(a), find(b)
-            if a != b:
-                children[count] = (node[a], node[b])
-                self.up[node[a]] = self.up[node[b]] = count
-                self.height[count] = w
-                root[b] = a
-                node[a] = count
-                count += 1
-        del parts
-        # Leaves in the order of the tree: those below a node are a range.
-        self.first, self.last, order, stack = np.zeros(2 * n, int), np.zeros(2 * n, int), [], []
-        for top in sorted({node[find(k)] for k in range(n)}):
-            stack = [(top, False)]
-            while stack:
-                at, done = stack.pop()
-                if at < n:
-                    self.first[at] = len(order)
-                    order.append(at)
-                    self.last[at] = len(order)
-                elif done:
-                    a, b = children[at]
-                    self.first[at], self.last[at] = self.first[a], self.last[b]
-                else:
-                    a, b = children[at]
-                    stack += [(at, True), (b, False), (a, False)]
-        self.order, self.inside = np.array(order), inside
-
-    def of(self, cell: int) -> np.ndarray:
-        """Bounds on the ways from ``cell`` to every cell; endless where none is known."""
-        out = np.full(len(self.order), np.inf)
-        at, a, b = cell, int(self.first[cell]), int(self.last[cell])
-        out[a:b] = self.inside[cell]
-        while (at := int(self.up[at])) >= 0:
-            lo, hi = int(self.first[at]), int(self.last[at])
-            out[lo:a], out[b:hi] = self.height[at], self.height[at]
-            a, b = lo, hi
-        bounds = np.empty_like(out)
-        bounds[self.order] = out
-        return np.maximum(bounds, np.maximum(self.inside, self.inside[cell]))
-
-
-def _cell_links(cored: DataFrame, lists: DataFrame, cells: N.Cells) -> list[tuple[float, int, int]]:
-    """Real edges between cells: the lightest between neighbours, and a tree over one row of each cell."""
+    trees = cored.select("cell", "rid", "v", "core").repartition(4 * n, "cell").sortWithinPartitions("cell").mapInArrow(_trees, "w double, u long, v long")
+    one = cored.groupBy("cell").agg(F.min(F.struct("rid", "v", "core")).alias("r")).select("r.rid", "r.v", "r.core").toArrow()  # a row per cell
+    w, u, v = prim(one.column("rid").to_numpy(), N.matrix(one.column("v")), one.column("core").to_numpy())
+    across = spark.createDataFrame(list(zip(w.tolist(), u.tolist(), v.tolist(), strict=True)), "w double, u long, v long")
     near = lists.select("rid", F.explode("list").alias("e")).select("rid", F.col("e.d").alias("d"), F.col("e.near").alias("near"))
-    ends = cored.select("rid", "cell", "core")
-    both = near.join(ends, "rid").join(ends.select(F.col("rid").alias("near"), F.col("cell").alias("other"), F.col("core").alias("core2")), "near").where("cell <> other")
-    light = both.groupBy("cell", "other").agg(F.min(F.greatest("d", "core", "core2")).alias("w"))
-    light = light.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("w", "other"))).where(F.col("k") <= CELL_LINKS)
-    links = [(r["w"], r["cell"], r["other"]) for r in light.collect()]  # CELL_LINKS per cell
-    one = cored.groupBy("cell").agg(F.min(F.struct("rid", "v", "core")).alias("r")).select("cell", "r.v", "r.core").toArrow()  # a row per cell
-    of, points, core = one.column("cell").to_numpy(), N.matrix(one.column("v")), one.column("core").to_numpy()
-    w, u, v = prim(of, points, core)
-    return links + list(zip(w.tolist(), u.tolist(), v.tolist(), strict=True))
-
-
-def _pairs(held):
-    def pairs(batches):
-        cells, ways, core = held.value
-        for batch in batches:
-            for a in batch.column(0).to_pylist():
-                if not np.isfinite(core[a]):
-                    continue
-                with np.errstate(invalid="ignore"):
-                    least = np.sqrt(np.square(np.maximum(0, np.maximum(cells.lo - cells.hi[a], cells.lo[a] - cells.hi))).sum(1))
-                least = np.maximum(least, np.maximum(core, core[a]))
-                other = np.flatnonzero(np.isfinite(core) & (np.arange(cells.count) > a) & (least * (1 - 1e-12) <= ways.of(a)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), a), pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+    ends = cored.select("rid", "core")
+    both = near.join(ends, "rid").join(ends.select(F.col("rid").alias("near"), F.col("core").alias("core2")), "near")
+    links = both.select(F.greatest("d", "core", "core2").alias("w"), F.least("rid", "near").alias("u"), F.greatest("rid", "near").alias("v"))
+    return N.staged(links.unionByName(trees).unionByName(across).distinct(), "known")
+
+
+class _Line:
+    """Rows of joined components in one line each: of two, the smaller goes behind the larger, whose first row names both."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.behind: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.used: list[tuple] = []
+        self.step: list[tuple] = []
+
+    def find(self, x: int) -> int:
+        path = []
+        while (up := self.root.get(x, x)) != x:
+            path.append(x)
+            x = up
+        total = 0
+        for p in reversed(path):
+            total += self.behind[p]
+            self.behind[p], self.root[p] = total, x
+        return x
+
+    def edge(self, w: float, u0: int, v0: int, u: int, v: int) -> None:
+        u, v = self.find(u), self.find(v)
+        if u == v:
+            return
+        if (a := self.size.get(u, 1)) < (b := self.size.get(v, 1)):
+            u, v, a, b = v, u, b, a
+        self.root[v], self.behind[v], self.size[u] = u, a, a + b
+        self.used.append((w, u0, v0))
+        self.step.append((w, v))
+
+
+def _lined(batches):
+    """Rows of kind 0: edge used; 1: component, its new name and how many rows are before it; 2: size; 3: step before a row."""
+    m = _Line()
+    for batch in batches:
+        for w, u0, v0, u, v, nu, nv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, n in ((u, nu), (v, nv)):
+                if x not in m.root:
+                    m.root[x] = x
+                    m.size[x] = n or 1
+            m.edge(w, u0, v0, u, v)
+    out = [(0, w, u, v, None) for w, u, v in m.used] + [(3, w, row, None, None) for w, row in m.step]
+    for x in list(m.root):
+        top = m.find(x)
+        out.append((2, None, x, None, m.size[x]) if top == x else (1, None, x, top, m.behind[x]))
+    for at in range(0, len(out), 50_000):
+        columns = zip(*out[at : at + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["kind", "w", "a", "b", "n"])
+
+
+def in_line(spark: SparkSession, rows: DataFrame, edges: DataFrame, merge_edges: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``place`` and ``step``, and the edges ``(w, u, v)`` of a spanning tree of those given.
+
+    On the tree's way between two rows the heaviest edge weighs as much as the largest ``step`` after the first of their places
+    up to the second.
+    """
+    chunks = max(1, -(-edges.count() // merge_edges))
+    dealt = edges.repartitionByRange(chunks, "w", "u", "v").withColumn("chunk", F.spark_partition_id())
+    left = N.staged(dealt.select("chunk", "w", F.col("u").alias("u0"), F.col("v").alias("v0"), "u", "v"), "edges")
+    at = rows.select("rid", F.col("rid").alias("part"), F.lit(0).cast("long").alias("place"))
+    used = steps = sizes = None
+    for k in range(chunks):
+        now = left.where(F.col("chunk") == k)
+        for end in "uv":
+            now = now.withColumn(f"n{end}", F.lit(None).cast("long")) if sizes is None else now.join(sizes.select(F.col("a").alias(end), F.col("n").alias(f"n{end}")), end, "left")
+        one = now.select("w", "u0", "v0", "u", "v", "nu", "nv").repartition(1).sortWithinPartitions("w", "u0", "v0")
+        found = N.staged(one.mapInArrow(_lined, "kind int, w double, a long, b long, n long"), "lined")
+        fresh, moved = found.where("kind = 2").select("a", "n"), found.where("kind = 1").select("a", "b", "n")
+        used = (lambda x: x if used is None else used.unionByName(x))(found.where("kind = 0").select("w", F.col("a").alias("u"), F.col("b").alias("v")))
+        steps = (lambda x: x if steps is None else steps.unionByName(x))(found.where("kind = 3").select(F.col("a").alias("rid"), F.col("w").alias("step")))
+        at = N.staged(at.join(moved.withColumnRenamed("a", "part"), "part", "left").select("rid", F.coalesce("b", "part").alias("part"), (F.col("place") + F.coalesce("n", F.lit(0))).alias("place")), "line")
+        if k < chunks - 1:
+            gone = moved.select("a").unionByName(fresh.select("a"))
+            sizes = fresh if sizes is None else N.staged(sizes.join(gone, "a", "left_anti").unionByName(fresh), "sizes")
+            rest = left.where(F.col("chunk") > k)
+            for end in "uv":
+                rest = rest.join(moved.select(F.col("a").alias(end), F.col("b").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            left = N.staged(rest.where("u <> v").select("chunk", "w", "u0", "v0", "u", "v"), "edges")
+    placed = rows.join(at.select("rid", "place"), "rid").join(steps, "rid", "left").select(*rows.columns, "place", F.coalesce("step", F.lit(float("inf"))).alias("step"))
+    return N.staged(placed, "in-line"), used
+
+
+def forest(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges that a spanning forest of the given ones has, by weight and ends."""
+    root: dict[int, int] = {}
+    kept = []
+    order = np.lexsort((v, u, w))
+    for k, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist(), strict=True):
+        while (up := root.get(a, a)) != a:
+            root[a] = root.get(up, up)
+            a = up
+        while (up := root.get(b, b)) != b:
+            root[b] = root.get(up, up)
+            b = up
+        if a != b:
+            root[b] = a
+            kept.append(k)
+    return w[kept], u[kept], v[kept]
+
+
+class _Pair:
+    """Rows of one or two blocks of the line: those pairs that are not farther apart than the way between them."""
+
+    def __init__(self, parts: list[pa.RecordBatch], border: int | None, between: float):
+        self.ids, self.core, self.step = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (2, 4, 5))
+        self.rows = N.Rows(np.concatenate([N.matrix(p.column(3)) for p in parts]))
+        self.border, self.between = border, between
+
+    def _edges(self, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.ids[i], self.ids[j]
+        return w, np.minimum(a, b), np.maximum(a, b)
+
+    def _of_run(self, run: np.ndarray):
+        """Pairs of the run, and those of its rows with all later ones of the other block, or of this one if it is alone."""
+        step, core, n = self.step[run], self.core[run], len(run)
+        if self.border is None:
+            later = np.arange(n) > np.arange(n)[:, None]
+            way = np.maximum.accumulate(np.where(later, step[None], -np.inf), 1)
+            w = np.maximum(np.maximum(core, core[:, None]), N.gaps(self.rows.x[run], self.rows.x[run]))
+            i, j = np.nonzero(later & (w <= way))
+            yield self._edges(run[i], run[j], w[i, j])
+        rest = np.arange(run[-1] + 1 if self.border is None else self.border, len(self.ids))
+        if not len(rest):
+            return
+        # The way from a row to one of ``rest``: the steps up to the end of the run, those between, those up to the other.
+        up = np.r_[np.maximum.accumulate(step[:0:-1])[::-1], -np.inf]
+        gap = self.step[run[-1] + 1 : rest[0]].max(initial=self.between)
+        down = np.maximum(np.maximum.accumulate(self.step[rest]), gap)
+        x = self.rows.x
+        lo, hi = x[run].min(0), x[run].max(0)
+        most = np.maximum(down, up.max())
+        least = np.sqrt(np.square(np.maximum(0, np.maximum(lo - x[rest], x[rest] - hi))).sum(1)) * (1 - 1e-12)
+        kept = np.maximum(np.maximum(least, self.core[rest]), core.min()) <= most
+        rest, down = rest[kept], down[kept]
+        if not len(rest):
+            return
+        own = core <= np.maximum(up, down.max())
+        run, up = run[own], up[own]
+        for i, j, d in N.within(self.rows.take(run), up, self.rows.take(rest), down):
+            w = np.maximum(d, np.maximum(self.core[run[i]], self.core[rest[j]]))
+            light = w <= np.maximum(up[i], down[j])
+            yield self._edges(run[i[light]], rest[j[light]], w[light])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, size = [], 0
+        end = len(self.ids) if self.border is None else self.border
+        for k in range(0, end, N.CELL_ROWS):
+            for part in self._of_run(np.arange(k, min(k + N.CELL_ROWS, end))):
+                found.append(part)
+                size += len(part[0])
+                if size > HELD_EDGES:
+                    found = [forest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+                    size = len(found[0][0])
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+
+
+def _lighter(held):
+    def lighter(batches):
+        tops = held.value
+        job, parts, border = None, [], None
+
+        def solved():
+            a, b = divmod(job, len(tops))
+            w, u, v = _Pair(parts, border, float(tops[a + 1 : b].max(initial=-np.inf))).edges()
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["w", "u", "v"])
+
+        for (now, second), part in N.runs(batches, ["job", "second"]):
+            if now != job:
+                if parts:
+                    yield solved()
+                job, parts, border = now, [], None
+            if second and border is None:
+                border = sum(p.num_rows for p in parts)
+            parts.append(part)
+        if parts:
+            yield solved()
 
-    return pairs
+    return lighter
 
 
-def spanning_edges(spark: SparkSession, cored: DataFrame, lists: DataFrame, cells: N.Cells) -> DataFrame:
+def spanning_edges(spark: SparkSession, cored: DataFrame, lists: DataFrame, merge_edges: int) -> DataFrame:
     """``(w, u, v)`` with all edges of the spanning tree of distinct vectors, and some more."""
-    alone = N.staged(_solved(spark, cored.select(F.col("cell").alias("job"), F.lit(0).alias("side"), "rid", "v", "core")), "cell-trees")
-    inside, core = np.zeros(cells.count), np.full(cells.count, np.inf)
-    for r in alone.groupBy("job").agg(F.max("w").alias("w")).collect():  # a row per cell
-        inside[r["job"]] = r["w"]
-    for r in cored.groupBy("cell").agg(F.min("core").alias("core")).collect():
-        core[r["cell"]] = r["core"]
-    ways = Ways(inside, _cell_links(cored, lists, cells))
-    held = spark.sparkContext.broadcast((cells, ways, core))
-    pairs = spark.range(cells.count, numPartitions=max(1, min(cells.count // 64, 1000))).mapInArrow(_pairs(held), "a long, b long")
-    pairs = pairs.select((F.col("a") * cells.count + F.col("b")).alias("job"), F.explode(F.array(F.struct(F.col("a").alias("cell"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cell"), F.lit(1).alias("side")))).alias("e"))
-    jobs = pairs.select("job", "e.*").join(cored, "cell").select("job", "side", "rid", "v", "core")
-    return alone.select("w", "u", "v").unionByName(_solved(spark, jobs).select("w", "u", "v"))
+    line, tree = in_line(spark, cored.select("rid", "v", "core"), known_edges(spark, cored, lists), merge_edges)
+    per = N.block_rows(line.count())
+    blocks = line.withColumn("block", F.floor(F.col("place") / per))
+    top = blocks.groupBy("block").agg(F.max("step").alias("step")).orderBy("block").collect()  # a row per block
+    held, m = spark.sparkContext.broadcast(np.array([r["step"] for r in top])), len(top)
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    jobs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(0, m - 1))))).select((first * m + second).alias("job"), ((F.col("block") == second) & (first < second)).cast("int").alias("second"), "rid", "v", "core", "step", "place")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = jobs.repartition(4 * n, "job").sortWithinPartitions("job", "place").select("job", "second", "rid", "v", "core", "step")
+    return N.staged(tree.unionByName(dealt.mapInArrow(_lighter(held), "w double, u long, v long")), "light")
 
 
 # ---------------------------------------------------------------- the condensed tree
@@ -336,7 +432,7 @@ def clusters(vectors: DataFrame, id_col: str = "id", vector: str = "v", min_size
     placed, cells = N.in_cells(points, cell_rows)
     lists = N.nearest(spark, placed, cells, min_samples)
     cored = N.staged(core_distances(placed, lists, min_samples), "cores")
-    edges = spanning_edges(spark, cored, lists, cells)
+    edges = spanning_edges(spark, cored, lists, merge_edges)
     firsts = cored.where("n > 1").select(F.col("rid").alias("u"), "v", "core")
     copies = points.join(firsts, "v").where("rid <> u").select(F.col("core").alias("w"), "u", F.col("rid").alias("v"))
     fell, tree = condensed(spark, edges.unionByName(copies), min_size, merge_edges)

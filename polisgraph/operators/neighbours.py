@@ -1,10 +1,12 @@
 """Exact nearest neighbours of vectors, cell by cell.
 
 A k-d tree over a bounded sample cuts space into cells; each cell's true bounds are then measured over all rows.  A row
-finds neighbours in its own cell first.  The k-th distance there bounds the search: the row is sent only to cells whose
-bounds lie within it, and the lists of all cells it met are merged.  Tasks hold one cell and stream the rows that ask.  No plan
-pairs all rows; with many dimensions that carry equal weight few cells can be ruled out, and rows then meet most cells.
-Equal vectors are searched once, as one row with a count.
+finds neighbours in its own cell first.  The k-th distance there bounds the search.  Neighbouring cells make a block: a task
+holds a block's rows with the lists they have so far and streams the cells that any of them may need, so each cell is sent
+to ``BLOCKS`` blocks at most (more where a block would pass ``BLOCK_ROWS``) and bounds tighten on the way.  A streamed cell meets only
+rows whose bound reaches its own.  Pairs are sifted by products in single precision with a margin above their rounding, and
+those left are measured.  With many dimensions that carry equal weight few cells can be ruled out: then the work is that of
+all pairs, but memory, rows sent and rows written are not.  Equal vectors are searched once, as one row with a count.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from polisgraph.session import new_path
 
 #: Rows that the k-d tree is cut by, rows that a cell should hold, and numbers that all cells' bounds may have.
 SAMPLE_ROWS, CELL_ROWS, BOUND_NUMBERS = 100_000, 512, 1 << 18
-#: Differences that are held at once.
-HELD_NUMBERS = 1 << 21
+#: Differences that are held at once, and products.
+HELD_NUMBERS, HELD_PRODUCTS = 1 << 21, 1 << 18
+#: Blocks that rows are dealt to, and rows that a block holds at most: more rows make more blocks.
+BLOCKS, BLOCK_ROWS = 48, 16_384
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +75,52 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(np.square(a[k : k + step, None] - b[None]).sum(-1)) for k in range(0, len(a), step)]) if len(a) else np.zeros((0, len(b)))
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Products in tasks take the one core that a task has; without this each takes all cores of its machine."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
+class Rows:
+    """Vectors, and what a product needs to tell that two of them are far apart."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        with np.errstate(over="ignore", invalid="ignore"):
+            low = x.astype(np.float32)
+            # Less than the square by more than all rounding of a product of both forms.
+            square = np.square(low).sum(1, keepdims=True) * np.float32(1 - (4 * x.shape[1] + 32) * 2.0**-24)
+            one = np.ones_like(square)
+            self.left, self.right = np.concatenate([low, square, one], 1), np.concatenate([-2 * low, one, square], 1)
+            self.told = bool((square < 1e37).all())
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        out = object.__new__(Rows)
+        out.x, out.left, out.right, out.told = self.x[rows], self.left[rows], self.right[rows], self.told
+        return out
+
+
+def within(a: Rows, reach: np.ndarray, b: Rows, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, distance)`` of all rows of ``a`` and ``b`` that are at most ``reach[i]``, or the larger ``other[j]``, apart."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        ra, rb = ((np.square(r) * (1 + 1e-6) + 1e-30).astype(np.float32) if r is not None else None for r in (reach, other))
+        step = max(1, HELD_PRODUCTS // max(1, len(b)))
+        most = max(1, HELD_NUMBERS // max(1, a.x.shape[1]))
+        for k in range(0, len(a), step):
+            near = a.left[k : k + step] @ b.right.T <= (ra[k : k + step, None] if other is None else np.maximum(ra[k : k + step, None], rb))
+            if not (a.told and b.told):
+                near[:] = True  # too large for products: all are measured
+            i, j = np.divmod(np.flatnonzero(near), max(1, len(b)))
+            i += k
+            for at in range(0, len(i), most):
+                u, v = i[at : at + most], j[at : at + most]
+                d = np.sqrt(np.square(a.x[u] - b.x[v]).sum(-1))
+                kept = d <= (reach[u] if other is None else np.maximum(reach[u], other[v]))
+                yield u[kept], v[kept], d[kept]
+
+
 # ---------------------------------------------------------------- cells
 
 
@@ -143,6 +193,7 @@ def in_cells(points: DataFrame, cell_rows: int = CELL_ROWS) -> tuple[DataFrame,
         columns = [[k for k, _ in keys], [d for _, d in keys], [lo[k][d] for k, d in keys], [hi[k][d] for k, d in keys]]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], ["cell", "d", "lo", "hi"])
 
+    cells.total = total
     rows = found.select("cell", "v").mapInArrow(bounds, "cell long, d int, lo double, hi double").groupBy("cell", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
     width = sample.shape[1]
     cells.lo, cells.hi = np.full((cells.count, width), np.inf), np.full((cells.count, width), -np.inf)
@@ -219,6 +270,119 @@ def best_lists(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near"))), 1, k).alias("list"))
 
 
+def box_gap(cells: Cells, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least distance of each cell's bounds from those of one other; endless or no number for cells without rows."""
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(np.square(np.maximum(0, np.maximum(cells.lo - hi, lo - cells.hi))).sum(1))
+
+
+def block_rows(total: int) -> int:
+    return min(BLOCK_ROWS, max(1, -(-total // BLOCKS)))
+
+
+def _met(held):
+    """Blocks and the cells that their rows may find neighbours in."""
+
+    def met(batches):
+        cells, bound, per = held.value
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                far = box_gap(cells, cells.lo[a], cells.hi[a])
+                other = np.flatnonzero((far * (1 - 1e-12) <= bound[a]) & np.isfinite(far) & (np.arange(cells.count) != a))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), a // per), pa.int32()), pa.array(other, pa.int64())], ["block", "cell"])
+
+    return met
+
+
+class _Lists:
+    """The rows of a block, each with the ``k`` nearest rows that it met."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int):
+        self.cell, self.ids = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (2, 3))
+        self.rows = Rows(np.concatenate([matrix(p.column(4)) for p in parts]))
+        self.d, self.near = np.full((len(self.ids), k), np.inf), np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        at = 0
+        for p in parts:
+            lists = p.column(5)
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            row, place = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            flat = lists.flatten()
+            self.d[at + row, place], self.near[at + row, place] = flat.field("d").to_numpy(), flat.field("near").to_numpy()
+            at += len(size)
+
+    def meet(self, cell: int, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Takes rows of a cell into the lists of the rows of all other cells."""
+        bound = self.d[:, -1]
+        p = self.rows.x
+        least = np.sqrt(np.square(np.maximum(0, np.maximum(lo - p, p - hi))).sum(1))
+        asks = np.flatnonzero((least * (1 - 1e-12) <= bound) & (self.cell != cell))
+        if not len(asks):
+            return
+        whole = len(asks) == len(p)
+        found = list(within(self.rows if whole else self.rows.take(asks), bound[asks], Rows(x)))
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+        if not len(i):
+            return
+        k = self.d.shape[1]
+        i = asks[i]
+        rows = np.unique(i)
+        row, d, near = np.r_[np.repeat(rows, k), i], np.r_[self.d[rows].ravel(), d], np.r_[self.near[rows].ravel(), ids[j]]
+        order = np.lexsort((near, d, row))
+        first = np.searchsorted(row[order], rows)
+        best = order[(first[:, None] + np.arange(k)).ravel()]
+        self.d[rows], self.near[rows] = d[best].reshape(-1, k), near[best].reshape(-1, k)
+
+    def out(self) -> pa.RecordBatch:
+        held = np.isfinite(self.d)
+        offsets = np.r_[0, np.cumsum(held.sum(1))]
+        entries = pa.StructArray.from_arrays([pa.array(self.d[held]), pa.array(self.near[held], pa.int64())], ["d", "near"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)], ["rid", "list"])
+
+
+def _blockwise(held, k: int):
+    """Lists of the rows of each block (``streamed`` 0), which come before the cells that they may need (1)."""
+
+    def search(batches):
+        cells = held.value[0]
+        block, parts, lists = None, [], None
+        for (now, streamed, cell), part in runs(batches, ["block", "streamed", "cell"]):
+            if now != block:
+                if parts:
+                    yield (lists or _Lists(parts, k)).out()
+                block, parts, lists = now, [], None
+            if not streamed:
+                parts.append(part)
+                continue
+            lists = lists or _Lists(parts, k)
+            lists.meet(cell, cells.lo[cell], cells.hi[cell], part.column(3).to_numpy(), matrix(part.column(4)))
+        if parts:
+            yield (lists or _Lists(parts, k)).out()
+
+    return search
+
+
+_LIST = "array<struct<d:double,near:bigint>>"
+
+
+def nearest(spark: SparkSession, placed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """``(rid, list)``: the ``k`` nearest other distinct vectors of each, or all if there are fewer."""
+    one_thread(spark)
+    endless = F.lit(float("inf"))
+    own = staged(best_lists(_asked(placed, placed.select("cell", "rid", "v", endless.alias("bound")), k), k), "own-cell")
+    asking = staged(placed.join(own, "rid", "left").select("cell", "rid", "v", F.col("list").cast(_LIST).alias("list")), "asking")
+    reach = F.when(F.coalesce(F.size("list"), F.lit(0)) >= k, F.get("list", F.lit(k - 1))["d"]).otherwise(endless)
+    bound = np.zeros(cells.count)
+    for r in asking.groupBy("cell").agg(F.max(reach).alias("reach")).collect():  # a row per cell
+        bound[r["cell"]] = r["reach"]
+    per = max(1, cells.count * block_rows(cells.total) // max(1, cells.total))
+    held = spark.sparkContext.broadcast((cells, bound, per))
+    needed = spark.range(cells.count, numPartitions=max(1, min(cells.count // 64, 1000))).mapInArrow(_met(held), "block int, cell long").distinct()
+    streamed = asking.join(needed, "cell").select("block", F.lit(1).alias("streamed"), "cell", "rid", "v", F.lit(None).cast(_LIST).alias("list"))
+    rows = asking.select((F.col("cell") / per).cast("int").alias("block"), F.lit(0).alias("streamed"), "cell", "rid", "v", "list").unionByName(streamed)
+    dealt = rows.repartitionById(-(-cells.count // per), F.col("block")).sortWithinPartitions("block", "streamed", "cell")
+    return staged(dealt.mapInArrow(_blockwise(held, k), f"rid long, list {_LIST}"), "nearest")
+
+
 def _routed(cells_held):
     def route(batches):
         for batch in batches:
@@ -236,18 +400,6 @@ def _routed(cells_held):
     return route
 
 
-def nearest(spark: SparkSession, placed: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``(rid, list)``: the ``k`` nearest other distinct vectors of each, or all if there are fewer."""
-    endless = F.lit(float("inf"))
-    own = staged(best_lists(_asked(placed, placed.select("cell", "rid", "v", endless.alias("bound")), k), k), "own-cell")
-    bound = F.when(F.size("list") >= k, F.get("list", F.lit(k - 1))["d"]).otherwise(endless)
-    held = spark.sparkContext.broadcast(cells)
-    asking = placed.join(own.select("rid", bound.alias("bound")), "rid", "left").select("rid", "v", F.coalesce("bound", endless).alias("bound"), "cell")
-    other = _asked(placed, asking.mapInArrow(_routed(held), "cell long, rid long, v binary, bound double"), k)
-    flat = own.select("rid", F.explode("list").alias("e")).select("rid", "e.d", "e.near")
-    return staged(best_lists(flat.unionByName(other), k), "nearest")
-
-
 def _into_cells(cells_held):
     def place(batches):
         for batch in batches:

@@ -108,6 +108,34 @@ def test_neighbours_are_brute_force(spark):
         assert lists[rid[k]] == [j for _, j in want]
 
 
+def test_lists_of_other_cells_are_not_written(spark, monkeypatch):
+    """No cell can be ruled out here, yet each row has one list, not one for each cell that it meets."""
+    points = np.random.default_rng(8).normal(0, 1, (600, 24))
+    numbered = neighbours.numbered(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, v array<double>"), "id", "v")
+    placed, cells = neighbours.in_cells(numbered, 30)
+    seen, best = [], neighbours.best_lists
+    monkeypatch.setattr(neighbours, "best_lists", lambda found, k: seen.append(found.count()) or best(found, k))
+    lists = {r["rid"]: [e["near"] for e in r["list"]] for r in neighbours.nearest(spark, placed, cells, 5).collect()}
+    assert sum(seen) <= 600 * 5
+    rid = {r["id"]: r["rid"] for r in numbered.collect()}
+    far = neighbours.gaps(points, points)
+    for k in range(600):
+        assert lists[rid[k]] == [j for _, j in sorted((far[k, j], rid[j]) for j in range(600) if j != k)[:5]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25, 1e170])
+def test_products_lose_no_pair(scale):
+    r = np.random.default_rng(9)
+    a, b = (r.normal(0, 1, (n, 5)) * scale for n in (300, 400))
+    b[:50] = a[:50] * (1 + 1e-9)
+    reach, other = r.uniform(0, 2, 300) * scale, r.uniform(0, 1, 400) * scale
+    with np.errstate(over="ignore"):
+        far = neighbours.gaps(a, b)
+        for second, most in ((None, reach[:, None]), (other, np.maximum(reach[:, None], other))):
+            found = [(i, j, d) for part in neighbours.within(neighbours.Rows(a), reach, neighbours.Rows(b), second) for i, j, d in zip(*part, strict=True)]
+            assert found == [(i, j, far[i, j]) for i, j in zip(*np.nonzero(far <= most), strict=True)]
+
+
 def test_copies_and_what_takes_no_part(spark):
     points = np.concatenate([np.zeros((40, 2)), np.ones((3, 2)) * [[5, 5]], blobs(6, 60) + 50])
     found = run(spark, range(len(points)), points, cell_rows=20)
