@@ -7,6 +7,7 @@ and no Python loop over words.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polisgraph.session import new_path, shared_dir
+from polisgraph.session import new_path
 
 #: Bytes of text whose running sums are held at once.
 SLICE_BYTES = 1 << 20
@@ -38,16 +39,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Checkpoint a table of small rows in the shared folder, in as few partitions as ``SAVED_ROWS`` rows in each allow.
+    """Write a table of small rows to the shared folder and read it in as few partitions as ``SAVED_ROWS`` rows in each allow.
 
-    A table of one partition is grouped and joined with another such without a shuffle.
+    A table of one partition is grouped and joined with another such without a shuffle.  ``rows_of`` tells its rows.
     """
-    shared_dir(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    kept = df.checkpoint(eager=True)
-    return kept.coalesce(max(1, -(-kept.count() // SAVED_ROWS)))
+    with _one_partition_joins(df.sparkSession):
+        kept = staged(df, "saved")
+    return _in_few(kept, kept.coalesce(1).count())  # from the files' footers
+
+
+@contextlib.contextmanager
+def _one_partition_joins(spark: SparkSession):
+    """Tables of one partition are joined where they are, however large Spark takes the plans above them to be."""
+    name = "spark.sql.maxSinglePartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str((1 << 63) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _in_few(df: DataFrame, rows: int) -> DataFrame:
+    out = df.coalesce(max(1, -(-rows // SAVED_ROWS)))
+    out.saved_rows = rows
+    return out
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """Rows of a table as ``saved`` or ``together`` returned it: they were counted once.  Of any other table none are known."""
+    return getattr(df, "saved_rows", None)
+
+
+def together(rows: int, *tables: DataFrame) -> DataFrame:
+    """The rows of tables that were saved, ``rows`` in all at most, in as few partitions as if they were saved together."""
+    return _in_few(functools.reduce(DataFrame.unionByName, tables), rows)
+
+
+def none(spark: SparkSession, schema: str) -> DataFrame:
+    """A saved table without rows."""
+    return _in_few(spark.createDataFrame([], schema), 0)
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -55,6 +86,17 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def joined(left: DataFrame, n_left: int | None, right: DataFrame, n_right: int, on, how: str = "inner") -> DataFrame:
+    """A join of saved tables whose rows were counted, inner or left.
+
+    Two tables of one partition are merged by one task, which takes no job of its own and sends nothing through the driver.
+    """
+    if n_left is None or max(n_left, n_right) > SAVED_ROWS:
+        return left.join(hinted(right, n_right), on, how)
+    # Spark takes a join of joins for one of many partitions.
+    return left.join(right.hint("merge"), on, how).coalesce(1)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -296,6 +296,7 @@ class _Join:
         entries = entries.join(least, "token").where("most >= least").drop("least", "held")
         lists = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
         self.entries = C.staged(entries.join(lists, "token"), "postings")
+        self.thin = C.saved(sets.select("sid", "n", "alone", "bits"))
         self.known: DataFrame | None = None
 
     def suffix(self, x: str, y: str):
@@ -303,26 +304,38 @@ class _Join:
         differ = sum((F.bit_count(F.get(f"{x}bits", k).bitwiseXOR(F.get(f"{y}bits", k))) for k in range(BITMAP_WORDS)), F.col(f"{x}alone") + F.col(f"{y}alone"))
         return (100 + self.percent) * differ <= (100 - self.percent) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
-    def with_sides(self, pairs: DataFrame, rows: int, columns: dict[str, str]) -> DataFrame:
-        """``pairs`` with columns of both sets, as ``x`` and ``y`` columns: each side of the pairs is sought by itself."""
+    def with_sides(self, pairs: DataFrame) -> DataFrame:
+        """Saved ``pairs`` with size and tokens of both sets, as ``x`` and ``y`` columns: each side of the pairs is sought by itself."""
         sides = []
         for end, side in (("a", "x"), ("b", "y")):
-            own = self.sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{side}{name}") for c, name in columns.items()])
-            sides.append(own.join(C.hinted(pairs, rows), end))
-        # Rows of numbers are small; tokens can be many.
-        return sides[0].join(sides[1] if "tokens" in columns else C.hinted(sides[1], 8 * rows), ["a", "b"])
+            own = self.sets.select(F.col("sid").alias(end), F.col("n").alias(f"{side}n"), F.col("tokens").alias(f"{side}t"))
+            sides.append(own.join(C.hinted(pairs, C.rows_of(pairs)), end))
+        return sides[0].join(sides[1], ["a", "b"])
+
+    def may_be_similar(self, pairs: DataFrame) -> DataFrame:
+        """Saved ``pairs`` that pass the suffix filter."""
+        n = C.rows_of(pairs)
+        for end in ("a", "b"):
+            own = self.thin.select(*[F.col(c).alias(f"{end}{c}") for c in self.thin.columns])
+            own = own.withColumnRenamed(f"{end}sid", end)
+            pairs = C.joined(own, C.rows_of(self.thin), pairs, n, end)
+        return pairs.where(self.suffix("a", "b")).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Overlaps of pairs that pass the suffix filter and were not verified before."""
-        pairs = pairs.distinct()
+        most, pairs = C.rows_of(pairs), pairs.distinct()
         if self.known is not None:
-            pairs = pairs.join(C.hinted(self.known.select("a", "b"), self.known.count()), ["a", "b"], "left_anti")
+            # Spark would take an anti join below the pairs' one partition, and deal them out.
+            known = self.known.select("a", "b", F.lit(True).alias("known"))
+            pairs = C.joined(pairs, most, known, C.rows_of(self.known), ["a", "b"], "left").where("known is null").drop("known")
         pairs = C.saved(pairs)
-        thin = self.with_sides(pairs, pairs.count(), {"n": "n", "alone": "alone", "bits": "bits"})
-        pairs = C.saved(thin.where(self.suffix("x", "y")).select("a", "b"))
-        rows = self.with_sides(pairs, pairs.count(), {"n": "n", "tokens": "t"}).select("a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb"), F.col("xt").alias("x"), F.col("yt").alias("y"))
+        if C.rows_of(pairs):
+            pairs = C.saved(self.may_be_similar(pairs))
+        if not C.rows_of(pairs):
+            return C.none(pairs.sparkSession, _PAIR)
+        rows = self.with_sides(pairs).select("a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb"), F.col("xt").alias("x"), F.col("yt").alias("y"))
         found = C.saved(rows.mapInArrow(_verify, _PAIR))
-        self.known = found if self.known is None else C.saved(self.known.unionByName(found))
+        self.known = found if self.known is None else C.together(C.rows_of(self.known) + C.rows_of(found), self.known, found)
         return found
 
     def short_pairs(self) -> DataFrame:
@@ -337,26 +350,31 @@ class _Join:
         return (100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)) & (ny <= F.col(f"{x}most")) & (nx <= F.col(f"{y}most"))
 
     def similar(self, verified: DataFrame) -> DataFrame:
-        return verified.where(_similar(self.percent)).select("a", "b")
+        return C.together(C.rows_of(verified), verified.where(_similar(self.percent)).select("a", "b"))
 
     def named(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        return members.join(C.hinted(found, found.count()), F.col("sid") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "sid").alias("comp"))
+        """Saved ``members`` with their component, or their own name."""
+        known = C.joined(members, C.rows_of(members), found, C.rows_of(found), F.col("sid") == F.col("node"), "left")
+        return known.select(*members.columns, F.coalesce("component", "sid").alias("comp"))
 
     def components(self) -> DataFrame:
         found = C.saved(connected_components(self.similar(self.verified(self.short_pairs()))))
         large = self.entries.where(F.col("members") > self.short).select(F.col("token").alias("list"), "sid")
         weights = large.groupBy("sid").agg(F.count("*").alias("w"))
         open_ = C.saved(large.join(weights, "sid").select("list", "sid", "w"))
-        while True:
+        while C.rows_of(open_):
+            n_open = C.rows_of(open_)
             named = self.named(open_, found)
             lists = named.groupBy("list").agg(F.max_by("sid", F.struct("w", "sid")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            groups = C.saved(named.join(lists.where("low <> high"), "list").select("pivot", "sid", "w").distinct())
-            if groups.limit(1).count() == 0:
-                return found
+            groups = C.saved(C.joined(named, n_open, lists.where("low <> high"), n_open, "list").select("pivot", "sid", "w").distinct())
+            if not C.rows_of(groups):
+                break
             star = groups.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
-            found = C.saved(joined_components(found, self.similar(self.verified(star))))
+            found = C.saved(joined_components(found, self.similar(self.verified(C.together(C.rows_of(groups), star)))))
             pairs, open_ = self.by_differences(groups, found)
-            found = C.saved(joined_components(found, self.similar(self.verified(pairs))))
+            if C.rows_of(pairs):
+                found = C.saved(joined_components(found, self.similar(self.verified(pairs))))
+        return found
 
     def by_differences(self, groups: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of the members of each pivot's group that can be similar, and the lists to be resolved in another round.
@@ -364,22 +382,24 @@ class _Join:
         All in whole numbers: ``s`` stands for ``(100 + percent) (|D| - c n)``.
         """
         up, down = 100 + self.percent, 100 - self.percent
+        n_groups = C.rows_of(groups)
         named = self.named(groups, found)
         sizes = named.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
         most = sizes.groupBy("pivot").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-        members = named.where("sid <> pivot").join(most, "pivot").select("pivot", "sid", "comp", "largest")
-        members = C.saved(members)
-        n_members = members.count()
-        asked = C.saved(members.select("pivot").distinct())
+        members = C.saved(C.joined(named.where("sid <> pivot"), n_groups, most, n_groups, "pivot").select("pivot", "sid", "comp", "largest"))
+        n_members = C.rows_of(members)
+        if not n_members:
+            return C.none(groups.sparkSession, "a long, b long"), C.none(groups.sparkSession, "list long, sid long, w long")
         own = self.sets.select("sid", "n", "alone", F.col("tokens").alias("x")).join(C.hinted(members, n_members), "sid")
-        pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p")).join(C.hinted(asked, asked.count()), "pivot")
+        asked = members.select("pivot").distinct()
+        pivots = self.sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("p")).join(C.hinted(asked, n_members), "pivot")
         both = own.join(pivots, "pivot").select("pivot", "sid", "comp", "largest", "n", "alone", "x", "p")
         rows = both.mapInArrow(_differences, "pivot long, sid long, comp long, largest long, n long, alone long, d array<long>")
         rows = rows.withColumn("nd", F.size("d") + F.col("alone")).withColumn("s", up * F.col("nd") - down * F.col("n"))
         rows = C.staged(rows, "differences")
         outside = F.col("comp") != F.col("largest")
         bounds = C.saved(rows.groupBy("pivot").agg(F.min("s").alias("least"), F.min_by("sid", F.struct("s", "sid")).alias("nearest"), F.min(F.when(outside, F.col("s"))).alias("least_outside")))
-        rows = rows.join(C.hinted(bounds, bounds.count()), "pivot")
+        rows = rows.join(C.hinted(bounds, C.rows_of(bounds)), "pivot")
         certain = rows.where((F.col("s") + F.col("least") <= 0) & (F.col("sid") != F.col("nearest"))).select(F.least("sid", "nearest").alias("a"), F.greatest("sid", "nearest").alias("b"))
 
         def overlap(x, y):
@@ -408,17 +428,20 @@ class _Join:
         held = held.where("probes > 0 and others > 0").select("pivot", "token", (F.least("probes", "others") > DIRECT * self.short).alias("long"))
         postings = C.saved(postings.join(held, ["pivot", "token"]))
         # The suffix filter is part of the join: a shingle that many differences share does not turn all pairs of them into rows.
-        bits = self.sets.select("sid", "alone", "bits").join(C.hinted(members.select("sid").distinct(), n_members), "sid", "left_semi")
-        direct = postings.where("not long").join(C.hinted(bits, 4 * n_members), "sid")
+        n_postings = C.rows_of(postings)
+        bits = C.joined(self.thin.select("sid", "alone", "bits"), C.rows_of(self.thin), members.select("sid").distinct(), n_members, "sid")
+        direct = C.joined(postings.where("not long"), n_postings, bits, 4 * n_members, "sid")
         x = direct.where("probe")
         y = direct.where("not probe").select("pivot", "token", *[F.col(c).alias(f"p{c}") for c in ("sid", "n", "nd", "s", "comp", "pos", "alone", "bits")])
         similar = 100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")
         enough = F.least(F.col("nd") - F.col("pos"), F.col("pnd") - F.col("ppos")) >= overlap(F.col("s"), F.col("ps"))
-        met = x.join(y, ["pivot", "token"]).where(similar & enough & (F.col("comp") != F.col("pcomp")) & self.suffix("", "p"))
+        # No side of this join is sent: many postings are joined by key.
+        both = x.join(y.hint("merge"), ["pivot", "token"])
+        met = both.where(similar & enough & (F.col("comp") != F.col("pcomp")) & self.suffix("", "p"))
         pairs = certain.unionByName(met.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")))
         again = postings.where("long").select(F.xxhash64("pivot", "token").alias("list"), "sid").distinct()
         weights = groups.groupBy("sid").agg(F.max("w").alias("w"))
-        return C.saved(pairs), C.saved(again.join(weights, "sid").select("list", "sid", "w"))
+        return C.saved(pairs), C.saved(C.joined(again, n_postings, weights, n_groups, "sid").select("list", "sid", "w"))
 
 
 def frequent_shingles(named: DataFrame, least: int = HOT_SETS, most: int = MAX_HOT) -> tuple[np.ndarray, np.ndarray]:

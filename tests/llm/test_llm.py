@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from polisgraph.llm import _tokens, decontaminate, jaccard, langid, license, linededup, packing, tokenbin, topk, toxicity, warc
+from polisgraph.llm import _common, _tokens, decontaminate, jaccard, langid, license, linededup, packing, tokenbin, topk, toxicity, warc
+from polisgraph.llm.components import connected_components, joined_components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,6 +66,39 @@ def test_jaccard_is_brute_force(spark, short_list):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), c) for i, c in enumerate(components(sets))}
 
 
+def test_jaccard_of_few_links_runs_few_jobs(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, values = [word() for _ in range(80)], []
+    for k in range(120):  # near copies, and others that share a passage: short and long lists, and rounds
+        w = list(base[:40]) + [word() for _ in range(40)] if k % 3 == 0 else list(base)
+        for at in r.sample(range(80), k % 4):
+            w[at] = word()
+        values.append(" ".join(w))
+    spark.sparkContext.setJobGroup("few-jobs", "near duplicates")
+    try:
+        got = jaccard.near_duplicates(docs(spark, values)).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert {(x.doc_id, x.component_id) for x in got} == set(enumerate(components([shingle_set(t) for t in values])))
+    assert jobs <= 120, jobs
+
+
+def test_components_of_one_partition_equal_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1020)] + [(7, 7), (None, 3)]
+    table = spark.createDataFrame(links, "a long, b long")
+    found, more = (_common.saved(table.where(w)) for w in ("a % 2 = 0", "a % 2 = 1 or a is null"))
+    whole = {tuple(x) for x in connected_components(table).collect()}
+    first = _common.saved(connected_components(found))
+    assert {tuple(x) for x in joined_components(first, more).collect()} == whole
+    monkeypatch.setattr(_common, "SAVED_ROWS", 10)
+    assert {tuple(x) for x in connected_components(table).collect()} == whole
+    assert {tuple(x) for x in joined_components(first, more).collect()} == whole
+
+
 def test_jaccard_of_a_large_group_of_distant_copies_meets_few_pairs(spark, monkeypatch):
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
