@@ -42,8 +42,9 @@ SHARD_BYTES, SHARD_DOCS, SLICE_BYTES = 8 << 20, 1 << 16, 2 << 20
 WINDOW_DOCS = 2048
 #: Distinct terms of the items that are searched, and broadcast, at a time.
 BLOCK_TERMS = 1_000_000
-#: Parquet row groups of the index.
-GROUP_BYTES = 16 << 20
+#: A shard is a row group by itself: a writer holds a hundred rows before it looks at their size, a reader holds a whole group.
+#: A shard's arrays do not repeat, so no dictionary of them is tried.
+STORED = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 _KEPT = C.kept("maxscore")
 
 
@@ -133,7 +134,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     binary = [T.StructField(c, T.BinaryType()) for c in _FIELDS[3:]]
     schema = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("n_terms", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["doc_id"].dataType)), *binary])
-    rows.mapInArrow(_indexer(shard_bytes, shard_docs, slice_bytes), schema).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    rows.mapInArrow(_indexer(shard_bytes, shard_docs, slice_bytes), schema).write.options(**STORED).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import compare
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from polisgraph.llm import maxscore
@@ -88,3 +89,11 @@ def test_rows_are_those_of_the_sql(spark):
     want, found = con.sql(maxscore.OP12_SQL).df(), maxscore.op12_lexical_search(spark, SF).toPandas()
     assert len(found) > 100
     assert compare.tidy(pd.DataFrame(found)) == compare.tidy(want)
+
+
+def test_no_row_group_of_the_index_holds_two_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word{k} and more") for k in range(40)], "doc_id long, text string").coalesce(2)
+    maxscore.build_index(docs, f"file://{tmp_path}/index", shard_docs=4)
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("index/*.parquet")]
+    assert sum(m.num_rows for m in files) >= 10
+    assert all(m.row_group(k).num_rows == 1 for m in files for k in range(m.num_row_groups))
