@@ -32,3 +32,16 @@ def test_no_view_broadcasts_flows(spark, name):
             below = [x for x in lines[k + 1 :]]
             below = below[: next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))]
             assert not [x for x in below if re.search(r"FileScan parquet \[[^]]*amount#", x)]
+
+
+def test_projection_deals_each_property_out_once(spark, monkeypatch):
+    plans = []
+
+    def stored(s, d, table, make):
+        plans.append(make())
+        return plans[-1]
+
+    monkeypatch.setattr(bundleq, "stored", stored)
+    checksq.QUERIES["citations"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1  # the nodes; no edges are made for them
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 2
